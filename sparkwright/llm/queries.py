@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwright.llm import decontaminate, packing, pii, simhash
+from sparkwright.llm import decontaminate, licenses, lm, packing, pii, quality, quality_rules, secrets, simhash, toxicity
 from sparkwright.sources.scratch import read_table
 
 HELD_OUT = "pmod(crc32(cast(cast({0} as string) as binary)), 5)"
@@ -58,11 +58,63 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality.score_documents(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+    held = F.expr(HELD_OUT.format("doc_id") + " = 0")
+    return found.select("doc_id", held.alias("held_out"), "text_score", "meta_score", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(read_table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["exact"])
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda s: s["start"])).cast("long").alias("first_word"),
+        F.array_max(F.transform(base, lambda s: s["start"])).cast("long").alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["covered"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    found = toxicity.score_documents(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+    held = F.expr(HELD_OUT.format("doc_id") + " = 0")
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+def op7_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score_documents(read_table(spark, folder, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge(read_table(spark, folder, "documents"))
+
+
+def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(read_table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        *(_count(F.col("base"), kind).alias(f"n_{kind}") for kind in secrets.BASE),
+        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
+        _joined(F.array_sort(F.concat("base", "linked"))).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
+    "op3_quality": op3_quality,
+    "op4_licenses": op4_licenses,
+    "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
+    "op7_lm": op7_lm,
+    "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE: dict[str, str] = {
