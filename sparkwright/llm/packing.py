@@ -12,6 +12,7 @@ task's number, so they are unique without any exchange and the same when a lost
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -27,55 +28,108 @@ WINDOW = 2048
 CLASS = 8
 END = (1).to_bytes(4, "little")
 #: Bounds of a chunk that is packed at once, and of a worker's cache of tokenised words.
-CHUNK_DOCS, CHUNK_BYTES, CACHE_WORDS = 16_384, 64 << 20, 500_000
+CHUNK_DOCS, CHUNK_BYTES, CACHE_WORDS = 16_384, 64 << 20, 700_000
 #: A sequence that would keep more padding than this is taken apart and cut anew.
 SLACK = 16
+#: ASCII marks, which the tokenizer sets apart from letters before them.
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _tokenizers: dict[str, WordIds] = {}
 
 
+def _letters(word: bytes) -> str:
+    """The word as the tokenizer's normalizer leaves it if it is one run of letters, else nothing."""
+    if word.isalpha():  # of ASCII
+        return word.lower().decode()
+    text = unicodedata.normalize("NFC", word.decode())
+    if not text.isalpha() or "\u03a3" in text:  # a capital sigma is lowered by its place in Python only
+        return ""
+    text = text.lower()
+    return text if text.isalpha() else ""
+
+
+def _as_bytes(token: str) -> bytes:
+    """A token of the vocabulary as bytes: characters stand for bytes, and a byte 0 stands for the end of a word."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    whole = token.removesuffix("</w>")
+    return bytes(byte[c] for c in whole) + b"\0" * (whole != token)
+
+
 class WordIds:
     """Token ids of texts, by a cache of space-separated words.
 
-    The tokenizer drops white space and none of its tokens crosses it, so a text's ids are those of its words in order.
+    The tokenizer drops white space and none of its tokens crosses it, so a text's ids are those of its words in order. New
+    words of letters go many at once through the same vocabulary as ranked byte pairs, which is several times as fast and
+    gives the same ids (see tests): the end of a word is a byte 0 there, and each word ends with its only token that has it.
+    Marks at a word's end are set apart, as the tokenizer does; any other word is encoded by the tokenizer itself. When the
+    cache is full it becomes the older generation, from which words that come again are taken over.
     """
 
     def __init__(self, path: str) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        ranks = {_as_bytes(token): i for token, i in vocabulary.items() if token not in special}
+        self.pairs = tiktoken.Encoding("words", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={})
+        self.ends = np.zeros(max(ranks.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in ranks.items() if token.endswith(b"\0") and len(token) > 1]] = True
         self.cache: dict[bytes, bytes] = {b"": b""}
+        self.older: dict[bytes, bytes] = {}
+
+    def _encode_letters(self, words: list[tuple[bytes, str]]) -> None:
+        for a in range(0, len(words), 20_000):
+            part = words[a : a + 20_000]
+            ids = np.array(self.pairs.encode_ordinary("\0 ".join([*(plain for _, plain in part), ""])), dtype="<u4")
+            raw, at = ids.tobytes(), 0
+            for (w, _), end in zip(part, (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), strict=True):
+                self.cache[w] = raw[at:end]
+                at = end
+
+    def _encode_each(self, words: list[bytes]) -> None:
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        self.cache.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(words, found, strict=True))
 
     def _learn(self, words: set[bytes]) -> None:
-        cache = self.cache
-        if len(cache) + len(words) > CACHE_WORDS:
-            cache.clear()
-            cache[b""] = b""
-        whole, parts, tails = [], [], []
-        for w in words:
-            core = w.rstrip(b".,")
-            if core != w and core.isalpha():  # bytes: ASCII letters, which the tokenizer splits from . and ,
-                parts.append((w, core.lower(), w[len(core) :]))
+        if len(self.cache) + len(words) > CACHE_WORDS:
+            self.older, self.cache = self.cache, {b"": b""}
+        cache, older = self.cache, self.older.get
+        letters, other, composed = [], [], []
+        parts: set[bytes] = set()
+
+        def sort(w: bytes) -> bool:
+            if (ids := older(w)) is not None:
+                cache[w] = ids
+            elif plain := _letters(w):
+                letters.append((w, plain))
             else:
-                whole.append(w)
-        tails = {x for _, core, tail in parts for x in (core, tail)}.difference(cache, whole)
-        whole += tails
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False)
-        cache.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(whole, found, strict=True))
-        cache.update((w, cache[core] + cache[tail]) for w, core, tail in parts)
+                return False
+            return True
+
+        for w in words:
+            if not sort(w):
+                core = w.rstrip(MARKS)
+                if core and len(core) < len(w) and _letters(core):
+                    composed.append((w, core, w[len(core) :]))
+                    parts.update(composed[-1][1:])
+                else:
+                    other.append(w)
+        other += [w for w in parts.difference(cache, words) if not sort(w)]
+        self._encode_letters(letters)
+        self._encode_each(other)
+        cache.update((w, cache[core] + cache[tail]) for w, core, tail in composed)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [t.replace(b"\n", b" ").split(b" ") for t in texts]
         found = [list(map(self.cache.get, words)) for words in split]
-        holes = [i for i, parts in enumerate(found) if None in parts]
-        if holes:
-            self._learn({w for i in holes for w, part in zip(split[i], found[i], strict=True) if part is None})
-            for i in holes:
-                parts = list(map(self.cache.get, split[i]))
-                if None in parts:  # the cache began anew
-                    self._learn(set(split[i]).difference(self.cache))
-                    parts = list(map(self.cache.__getitem__, split[i]))
-                found[i] = parts
+        holes = [[k for k, ids in enumerate(parts) if ids is None] if None in parts else [] for parts in found]
+        self._learn({words[k] for words, at in zip(split, holes, strict=True) for k in at})
+        for words, parts, at in zip(split, found, holes, strict=True):
+            for k in at:
+                parts[k] = self.cache[words[k]]
         return [b"".join(parts) for parts in found]
 
 
