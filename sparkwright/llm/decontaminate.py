@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.text import plain_words, utf8
+from sparkwright.llm.text import plain_words, unused, utf8
 
 WINDOW = 13
 #: Bytes of benchmark text whose patterns are held at once; the patterns take some fifty times as much.
@@ -165,8 +165,9 @@ def is_contaminated(found: F.Column) -> F.Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated."""
-    found = docs.select(*docs.columns, contamination(docs, benchmark, text_col).alias("_found"))
-    return found.where(~is_contaminated(F.col("_found"))).select(*docs.columns)
+    name = unused(docs, "found")
+    found = docs.select("*", contamination(docs, benchmark, text_col).alias(name))
+    return found.where(~is_contaminated(F.col(name))).drop(name)
 
 
 def items_digest(items: Iterable[int]) -> str:

@@ -137,12 +137,16 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), spans_column(text_col).alias("spans"))
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span in the text replaced by its kind; a null text stays null, other columns are kept."""
+def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs`` with every span in the text replaced by its kind, and its length where there is a column for it.
+
+    A null text stays null; other columns are kept.
+    """
 
     @F.arrow_udf("string")
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([t if t is None else redacted(t, find(t)) for t in batch.to_pylist()], pa.string())
 
-    return docs.select(*(clean(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    done = docs.select(*(clean(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    return done.select(*(F.coalesce(F.length(text_col).cast(kind), F.col(c)).alias(c) if c == length_col else F.col(c) for c, kind in docs.dtypes))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: A-Z to a-z; every ASCII byte that is no letter or digit to a space; other bytes stay.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -21,3 +22,11 @@ def plain_words(text: bytes) -> list[bytes]:
 def spaced_words(text: bytes) -> list[bytes]:
     """Lower-cased (A-Z) runs without ASCII white space; bytes.split splits at 0x20 and 0x09-0x0D."""
     return text.lower().split()
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

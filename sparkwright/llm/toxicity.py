@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.text import plain_words, utf8
+from sparkwright.llm.text import plain_words, unused, utf8
 from sparkwright.sources.scratch import materialize
 
 EXAMPLES, TERMS, NEAREST = 4096, 4096, 15
@@ -306,5 +306,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", at: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is below ``at``."""
     model = fit(docs, labels, text_col=text_col)
-    scored = docs.select(*docs.columns, score_column(model, docs, text_col)["score"].alias("_score"))
-    return scored.where(F.col("_score") < at).select(*docs.columns)
+    name = unused(docs, "score")
+    scored = docs.select("*", score_column(model, docs, text_col)["score"].alias(name))
+    return scored.where(F.col(name) < at).drop(name)

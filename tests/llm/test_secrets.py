@@ -1,0 +1,65 @@
+import hashlib
+import random
+import re
+
+from sparkwright.llm import queries, secrets
+
+BASE = {
+    "assign": re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
+    "access": re.compile(r"AKIA[A-Z0-9]+"),
+    "hex": re.compile(r"[0-9a-f]+"),
+}
+
+
+def brute(text):
+    out = []
+    for rank, (kind, pattern) in enumerate(BASE.items()):
+        for m in pattern.finditer(text or ""):
+            if kind == "assign" and len(m[2]) < 6 or kind == "access" and len(m[0]) < 20 or kind == "hex" and len(m[0]) < 24:
+                continue
+            out.append((m.start(), rank, kind, m.end()))
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(out))
+
+
+def joined(spans):
+    return ",".join(f"{s.kind}:{s.start}:{s.end}" for s in spans)
+
+
+def test_base_on_a_whole_table(spark):
+    folder = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = queries.op10_secrets(spark, folder).collect()
+    assert len(got) == len(texts) and sum(r.n_assign for r in got) > 10 and sum(r.n_hex for r in got) > 0
+    for r in got:
+        want = brute(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert set(filter(None, want.split(","))) <= set(r.spans.split(","))
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(x.startswith(k + ":") for x in want.split(",")) for k in BASE]
+
+
+def test_base_on_random_texts(spark):
+    rnd = random.Random(9)
+    bits = ["password", "Token", "API_KEY", "apikey", "secret", "=", ":", " ", "'", '"', "abc", "é", "\U0001f600", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", "x", "\n", "passwd"]
+    rows = [(i, "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 25)))) for i in range(600)]
+    for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert joined(r.base) == brute(rows[r.doc_id][1]), rows[r.doc_id][1]
+
+
+def test_weak_parts_need_company(spark):
+    rows = [
+        (1, "username: admin at https://db.example.com/x with bearer abcdefgh12"),
+        (2, "username: admin"),
+        (3, "see https://db.example.com/x"),
+        (4, "https://db.example.com/x " + "z " * 300 + "bearer abcdefgh12"),
+        (5, "user_id=bob password=hunter22x"),
+        (6, "bearer abcdefgh12 then https://a.example/b"),
+    ]
+    got = {r.doc_id: [s.kind for s in r.linked] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ["id", "endpoint", "key"], 2: [], 3: [], 4: [], 5: ["id"], 6: ["key"]}
+
+
+def test_edges(edge_docs, edge_texts, empty_docs):
+    got = secrets.find_secrets(edge_docs).collect()
+    key = lambda r: (r[0] if r[0] is not None else -1, r[1])
+    assert sorted(((r.doc_id, joined(r.base)) for r in got), key=key) == sorted(((i, brute(t)) for i, t in edge_texts), key=key)
+    assert secrets.find_secrets(empty_docs).count() == 0
