@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwright.plans import decisions
+from sparkwright.plans import decisions, graphs, model
 
-MODULES = (decisions,)
+MODULES = (decisions, graphs, model)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -32,9 +32,13 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable, eager checkpoint for iterative plans; Spark's cleaner drops it once unused."""
+    """Reliable, eager checkpoint for iterative plans; Spark's cleaner drops it once unused.
+
+    Columns are named anew, as plans that join a checkpoint with what came from it need different attributes.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    saved = df.checkpoint(eager=True)
+    return saved.select(*(saved[c].alias(c) for c in saved.columns))
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
