@@ -27,11 +27,13 @@ from sparkwright.llm.text import plain_words, unused, utf8
 from sparkwright.sources.scratch import materialize
 
 EXAMPLES, TERMS, NEAREST = 4096, 4096, 15
-BLOCK = 64
+BLOCK = 256
 #: Beginnings of words that are terms besides whole words, in characters.
 BEGINNINGS = (4, 5, 6)
 #: Chi-square with one degree of freedom from which a term counts as standing out, and its least number of examples.
-STANDS_OUT, LEAST = 15.0, 3
+STANDS_OUT, LEAST = 30.0, 3
+#: How many times as frequent a term must be among toxic examples as among the others.
+LIFT = 10.0
 SHRINK = 0.5
 #: Rows whose crc32(id as text) mod 5 is 0 are held out; 1 calibrates; 2, 3 and 4 are indexed.
 FOLD = "pmod(crc32(cast(cast({0} as string) as binary)), 5)"
@@ -229,6 +231,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     chosen = materialize(labelled(labels, id_col, label_col, examples))
     sample = materialize(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "fold", "toxic", "text"))
+    firsts = sample.groupBy(F.xxhash64("text").alias("h"), "toxic", (F.col("fold") == 1).alias("c")).agg(F.min("doc_id").alias("doc_id"))
+    sample = sample.join(F.broadcast(materialize(firsts.select("doc_id"))), "doc_id", "left_semi")  # copies say nothing new
     totals = {r.toxic: r.n for r in sample.where("fold > 1").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     rate = _rate(labels, id_col, label_col)
@@ -241,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = n1 + n0
     chi = F.pow(F.col("a") * (n0 - F.col("b")) - F.col("b") * (n1 - F.col("a")), 2) * n / ((F.col("a") + F.col("b")) * (n - F.col("a") - F.col("b")) * float(n1) * float(n0))
     standing = (
-        counted.where((F.col("a") >= LEAST) & (F.col("a") * n0 > F.col("b") * n1) & (F.col("a") + F.col("b") < n))
+        counted.where((F.col("a") >= LEAST) & (F.col("a") * n0 > LIFT * F.col("b") * n1) & (F.col("a") + F.col("b") < n))
         .select("term", chi.alias("chi")).where(F.col("chi") >= STANDS_OUT).orderBy(F.desc("chi"), "term").limit(terms)
     )
     vocabulary = {bytes(r.term): i for i, r in enumerate(standing.collect())}
