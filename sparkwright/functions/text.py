@@ -75,16 +75,16 @@ def line_widths(text: Column | str) -> Column:
 
 def glob_pattern(glob: str) -> str:
     """A path glob as an anchored regular expression: * stays in a segment, ** is any number of segments, :: is /."""
-    out = ""
     segments = glob.replace("::", "/").split("/")
-    for i, segment in enumerate(segments):
+    if set(segments) == {"**"}:
+        return "^.*$"
+    out, lead = "", ""
+    for segment in segments:
         if segment == "**":
-            out += "(?:/[^/]+)*" if i else "(?:[^/]+(?:/[^/]+)*)?"
+            out += "(?:/[^/]*)*" if lead else "(?:[^/]*/)*"
         else:
-            lead = "/" if i else ""
-            if i and segments[:i] == ["**"] * i:
-                lead = "/?"
             out += lead + "[^/]*".join(map(re.escape, segment.split("*")))
+            lead = "/"
     return f"^{out}$"
 
 

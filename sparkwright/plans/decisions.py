@@ -1,37 +1,254 @@
-"""Decisions over documents as files: scan, filter, project, identify, order."""
+"""The catalogue of decisions over the derived model, and the whole check as one query.
+
+Conditions are SQL that both engines understand, but for MATCH(text, pattern); the facts under them are computed by this
+library's operators on one side and by plain SQL on the other.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkwright.functions import text as T
+from sparkwright.operators import graphs, metrics
+from sparkwright.operators.decisions import Decision, check, evaluate, incomplete
+from sparkwright.plans import model
 from sparkwright.sources.scratch import read_table
+from sparkwright.sources.tables import relation, with_sql
 
 QUERIES = {}
 ORACLE = {}
 
+DECISIONS = [
+    Decision("complexity", "info", "function", "cyclomatic > 12 or cognitive > 15 or unit > 20", "'complexity ' || cyclomatic || ', with helpers ' || unit", tests=False),
+    Decision("coupling", "warn", "function", "fan_in >= 2 and fan_out >= 3 and statements > 10", "'hub: ' || fan_in || ' in, ' || fan_out || ' out'", (("coordinator", "fan_out > 2 * statements"),), tests=False),
+    Decision("signature-size", "warn", "function", "params > most", "params || ' parameters, at most ' || most", (("most", "CASE WHEN visibility = 'public' THEN 5 ELSE 7 END"),)),
+    Decision("max-name-words", "warn", "function", "n_words > 2", "name || ' has ' || n_words || ' words'"),
+    Decision("no-unused-symbol", "error", "function", "visibility = 'private' and users = 0", "name || ' is never used'", tests=False),
+    Decision("feature-envy", "info", "function", "envied >= 2", "name || ' uses ' || envied || ' members of ' || envy_target"),
+    Decision("prefer-method", "warn", "function", "affinity is not null", "name || ' serves ' || affinity || ' only'"),
+    Decision("vertical-distance", "warn", "function", "gap > 15", "name || ' stands ' || gap || ' lines below its sibling'"),
+    Decision("no-redundant-symbol", "warn", "function", "visibility = 'private' and users = 1 and fan_out = 1 and statements <= 12", "name || ' only wraps'"),
+    Decision("reserved-verbs", "warn", "function", "MATCH(name, '^(new|get|is|has)_') and params = 1", "name || ' promises an action'"),
+    Decision("no-type-encoding", "warn", "function", "MATCH(name, '(ring|widget)[0-9]+$')", "name || ' encodes a type'", (("suffix", "right(name, 4)"),)),
+    Decision("abbreviations", "warn", "function", "MATCH(key, '(^|_)(gear|bolt)[0-9]*(_|$)')", "name || ' spells an initialism'"),
+    Decision("short-names", "warn", "function", "length(key) < 8", "name || ' is short'"),
+    Decision("exported-doc", "warn", "function", "visibility = 'public' and statements > 40 and not MATCH(name, '^(new|get)_')", "name || ' has no doc'", tests=False),
+    Decision("consistent-terms", "warn", "function", "others >= 5", "plain || ' is exported in ' || others || ' other modules'", (), identity="plain"),
+    Decision("top-down-order", "warn", "function", "first_user_line > line", "name || ' stands above its first user'", (), tests=False),
+    Decision("no-single-line-bodies", "error", "function", "end_line = line", "name || ' has its body on one line'"),
+    Decision("no-private-types", "warn", "function", "visibility = 'public' and owner is not null and owner_private", "name || ' names a private type'"),
+    Decision("dispatcher", "info", "function", "dispatcher and statements < 30", "name || ' only dispatches'"),
+    Decision("context-first", "warn", "function", "params >= 6 and statements % 3 = 1", "name || ' takes its context late'", languages=("go",)),
+    Decision("owner-file", "info", "function", "owner is not null and split_share < 0.45", "name || ' stands away from its type'"),
+    Decision("max-case-depth", "warn", "test", "depth > 2", "name || ' nests ' || depth || ' deep'"),
+    Decision("no-hidden-target", "warn", "test", "fan_out > 0 and untested_reach = 0", "name || ' reaches code through helpers only'"),
+    Decision("standard-assertions", "warn", "test", "statements > 20 and fan_out = 0", "name || ' asserts by hand'"),
+    Decision("max-lines", "info", "file", "lines > 500", "path || ' has ' || lines || ' lines'", identity="path", path="path", line="1"),
+    Decision("public-boundary", "error", "file", "test and private_reach > 0", "path || ' reaches ' || private_reach || ' private symbols'", identity="path", path="path", line="1"),
+    Decision("declaration-blocks", "warn", "file", "functions > 2 and methods = 0", "path || ' declares loose functions'", identity="path", path="path", line="1"),
+    Decision("single-responsibility", "info", "file", "groups > 3", "path || ' falls into ' || groups || ' groups'", identity="path", path="path", line="1"),
+    Decision("module-layout", "warn", "module", "declares > 0 and files > 5", "path || ' mixes ' || declares || ' declarations'", identity="path", path="path", line="1"),
+    Decision("meaningful-separation", "info", "module", "dependents = 1 and lines < 3000", "path || ' serves one module'", identity="path", path="path", line="1"),
+    Decision("module-cycle", "warn", "module", "cycle_size > 1", "path || ' is in a cycle of ' || cycle_size", identity="path", path="path", line="1"),
+    Decision("no-conjoined-modules", "info", "module", "dependents > 0 and files = 0", "path || ' is used and has no file'", identity="path", path="path", line="1"),
+    Decision("layers", "error", "edge", "src_region > dst_region and src_region <> 'europe'", "src || ' may not use ' || dst", identity="src || '>' || dst", path="src", line="1"),
+    Decision("independence", "error", "edge", "src_region = dst_region and src_region in ('asia', 'africa')", "src || ' and ' || dst || ' are to be independent'", identity="src || '>' || dst", path="src", line="1"),
+    Decision("no-panic", "warn", "event", "kind = 'error' and value > 60", "'panic ' || ordinal || ' of ' || owner", identity="kind || ordinal", path="owner"),
+    Decision("error-identity", "warn", "event", "kind = 'click' and ordinal >= 3 and value < 5", "'compared ' || ordinal", identity="kind || ordinal", path="owner"),
+    Decision("max-len", "warn", "line", "width > 400 and not exempt", "'line is ' || width || ' wide'", identity="CAST(line AS STRING)", path="owner"),
+    Decision("no-todo", "info", "line", "MATCH(trimmed, '^(TODO|FIXME|XXX|All rights)')", "'note: ' || substr(trimmed, 1, 20)", identity="trimmed", path="owner"),
+    Decision("no-noise-comment", "warn", "line", "MATCH(trimmed, '[|] [^|]+ [|] [^|]+ [|]') or MATCH(trimmed, '^[=*-]+$')", "'banner of ' || width", identity="CAST(line AS STRING)", path="owner"),
+    Decision("no-detached-comment", "warn", "line", "blank and next_width > 300", "'blank before a long line'", identity="CAST(line AS STRING)", path="owner"),
+]
+RULES = {d.name: d for d in DECISIONS}
+
+
+def _spark(text: str) -> str:
+    return re.sub(r"MATCH\(", "regexp(", text)
+
+
+def _duck(text: str) -> str:
+    return re.sub(r"MATCH\(", "regexp_matches(", text)
+
+
+def _for_spark(d: Decision) -> Decision:
+    return Decision(**{**vars(d), "where": _spark(d.where), "variables": tuple((n, _spark(e)) for n, e in d.variables)})
+
+
+def function_facts(spark: SparkSession, folder: str) -> DataFrame:
+    f = relation(spark, folder, "functions")
+    uses = relation(spark, folder, "uses")
+    files = relation(spark, folder, "files").select(F.col("path").alias("file"), "lang", "generated", (F.col("fid") % 3 == 0).alias("owner_private"))
+    measured = model._measures(spark, folder)
+    flow = F.col("flow")
+    m = measured.select("id", metrics.cyclomatic(flow).alias("cyclomatic"), metrics.cognitive(flow).alias("cognitive"), metrics.depth(flow).alias("depth"), metrics.dispatcher(flow).alias("dispatcher"))
+    unit = metrics.unit_rollup(f, uses, m.select("id", F.col("cyclomatic").alias("m"))).select("id", "unit")
+    distinct = uses.where("src <> dst").select("src", "dst").distinct()
+    users = distinct.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("users"))
+    place = f.select("id", "file", "line", "test")
+    first = distinct.join(place.select(F.col("id").alias("src"), F.col("file").alias("sf"), F.col("line").alias("sl")), "src").join(place.select(F.col("id").alias("dst"), F.col("file").alias("df")), "dst").where("sf = df").groupBy(F.col("dst").alias("id")).agg(F.min("sl").alias("first_user_line"))
+    reach = distinct.join(place.select(F.col("id").alias("dst"), F.col("test").alias("t")), "dst").groupBy(F.col("src").alias("id")).agg(F.count_if(~F.col("t")).alias("untested_reach"))
+    envy = metrics.envy(f, uses).select("id", F.col("target").alias("envy_target"), F.col("members").alias("envied"))
+    affinity = metrics.receiver_affinity(f, uses).select("id", F.col("owner").alias("affinity"))
+    split = metrics.split_share(f, uses).select("file", F.col("share").alias("split_share"))
+    gaps = model.siblings(spark, folder).select("id", "gap")
+    named = f.withColumn("plain", F.regexp_replace("name", "[0-9]+$", ""))
+    terms = metrics.homonyms(named.where("visibility = 'public'"), "plain", "module").select("plain", "module", "others")
+    out = named.join(files, "file").join(m, "id").join(unit, "id").join(metrics.fans(f, uses), "id")
+    for table in (users, first, reach, envy, affinity, gaps):
+        out = out.join(table, "id", "left")
+    out = out.join(split, "file", "left").join(terms, ["plain", "module"], "left")
+    return out.withColumn("key", T.name_key("name")).withColumn("n_words", F.size(T.words("name"))).fillna(0, ["users", "untested_reach"])
+
+
+def test_facts(spark: SparkSession, folder: str) -> DataFrame:
+    return function_facts(spark, folder).where("test")
+
+
+def file_facts(spark: SparkSession, folder: str) -> DataFrame:
+    files = relation(spark, folder, "files")
+    f = relation(spark, folder, "functions")
+    uses = relation(spark, folder, "uses").where("src <> dst").select("src", "dst").distinct()
+    private = uses.join(f.select(F.col("id").alias("src"), F.col("file").alias("path")), "src").join(f.where("visibility = 'private'").select(F.col("id").alias("dst"), F.col("file").alias("df")), "dst").where("path <> df").groupBy("path").agg(F.countDistinct("dst").alias("private_reach"))
+    counts = f.groupBy(F.col("file").alias("path")).agg(F.count("*").alias("functions"), F.count_if(F.col("kind") == "method").alias("methods"))
+    groups = metrics.cohesion(f, relation(spark, folder, "uses")).select(F.col("owner").alias("type_id"), "groups")
+    return files.join(counts, "path", "left").join(private, "path", "left").join(groups, "type_id", "left").fillna(0, ["functions", "methods", "private_reach", "groups"])
+
+
+def module_facts(spark: SparkSession, folder: str) -> DataFrame:
+    stats = model.module_stats(spark, folder)
+    found = graphs.strong_components(relation(spark, folder, "module_edges"))
+    size = found.groupBy("component").agg(F.count("*").alias("cycle_size"))
+    return stats.join(found.join(size, "component").select(F.col("node").alias("path"), "cycle_size"), "path", "left").fillna(1, ["cycle_size"])
+
+
+def edge_facts(spark: SparkSession, folder: str) -> DataFrame:
+    e = relation(spark, folder, "module_edges")
+    return e.select("src", "dst", F.substring_index("src", "/", 1).alias("src_region"), F.substring_index("dst", "/", 1).alias("dst_region"))
+
+
+def event_facts(spark: SparkSession, folder: str) -> DataFrame:
+    e = read_table(spark, folder, "events")
+    ordinal = F.row_number().over(Window.partitionBy("user_id", "event_type", F.to_date("ts")).orderBy("ts", "event_id")) - 1
+    return e.select(F.concat(F.lit("u"), "user_id").alias("owner"), F.col("event_type").alias("kind"), "value", ordinal.cast("long").alias("ordinal"), F.col("event_id").alias("line"))
+
+
+def line_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of every document; what stands after a line is found within its text."""
+    d = read_table(spark, folder, "documents").select(F.concat(F.lit("doc/"), "doc_id").alias("owner"), T.lines("text").alias("x"))
+    d = d.select("owner", "x", F.posexplode("x").alias("pos", "t"))
+    trimmed = F.trim("t")
+    return d.select("owner", (F.col("pos") + 1).cast("long").alias("line"), trimmed.alias("trimmed"), F.char_length("t").cast("long").alias("width"), T.unbreakable(trimmed).alias("exempt"), (trimmed == "").alias("blank"), F.coalesce(F.char_length(F.get("x", F.col("pos") + 1)), F.lit(0)).cast("long").alias("next_width"))
+
+
+FACTS = {"function": function_facts, "test": test_facts, "file": file_facts, "module": module_facts, "edge": edge_facts, "event": event_facts, "line": line_facts}
+
+
+def _query(d: Decision):
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return evaluate(_for_spark(d), FACTS[d.select](spark, folder))
+
+    return run
+
 
 def decision_max_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Files with more lines than the limit, as findings with a message and a fingerprint."""
+    """Documents with more lines than the limit, as findings; the flagship of the library."""
     lines = F.size(F.split("text", "\n"))
     path = F.concat(F.lit("doc/"), F.col("doc_id"))
     return (
         read_table(spark, folder, "documents")
         .select(path.alias("path"), lines.cast("long").alias("n_lines"))
         .where("n_lines > 20")
-        .select(
-            "path",
-            "n_lines",
-            F.concat(F.lit("file has "), F.col("n_lines"), F.lit(" lines; at most 20 are allowed")).alias("message"),
-            F.sha2(F.concat(F.lit("core/max-lines"), F.lit("\0"), F.col("path"), F.lit("\0")), 256).alias("fingerprint"),
-        )
+        .select("path", "n_lines", F.concat(F.lit("file has "), F.col("n_lines"), F.lit(" lines; at most 20 are allowed")).alias("message"), T.fingerprint(F.lit("core/max-lines"), F.col("path"), F.lit("")).alias("fingerprint"))
     )
 
 
-QUERIES["decision_max_lines"] = decision_max_lines
-ORACLE["decision_max_lines"] = """
-SELECT path, n_lines, 'file has ' || n_lines || ' lines; at most 20 are allowed' AS message,
-       sha256('core/max-lines' || chr(0) || path || chr(0)) AS fingerprint
-FROM (SELECT 'doc/' || doc_id AS path, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM documents)
-WHERE n_lines > 20
+def check_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings of all decisions on files, modules, edges, events and lines, counted by decision."""
+    some = [_for_spark(d) for d in DECISIONS if d.select not in ("function", "test")]
+    found = check(some, {name: FACTS[name](spark, folder) for name in {d.select for d in some}})
+    return found.groupBy("decision", "severity").agg(F.count("*").alias("findings"), F.countDistinct("path").alias("paths"))
+
+
+def check_incomplete(spark: SparkSession, folder: str) -> DataFrame:
+    """Functions that a decision on gaps cannot judge, as they have no sibling."""
+    return incomplete(_for_spark(RULES["vertical-distance"]), FACTS["function"](spark, folder))
+
+
+QUERIES |= {"decision_" + d.name.replace("-", "_"): _query(d) for d in DECISIONS if d.name != "max-lines"}
+QUERIES |= {"decision_max_lines": decision_max_lines, "decision_file_lines": _query(RULES["max-lines"]), "check_all": check_all, "check_incomplete": check_incomplete}
+
+FUNCTION_SQL = with_sql("modules", "files", "functions", "uses", "flow") + model.USED + model.CYCLO + """,
+w0 AS (SELECT DISTINCT src, dst FROM uses WHERE src <> dst),
+s1 AS (SELECT u.dst AS id, min(u.src) AS caller FROM u GROUP BY u.dst HAVING count(*) = 1),
+t1 AS (SELECT s1.id, s1.caller FROM s1 JOIN functions a ON a.id = s1.id JOIN functions b ON b.id = s1.caller WHERE a.module = b.module AND a.visibility = 'private'),
+q1 AS (SELECT id, caller AS root FROM t1 UNION SELECT q1.id, t1.caller FROM q1 JOIN t1 ON q1.root = t1.id),
+unit AS (SELECT m.id, CAST(m.m + coalesce((SELECT sum(h.m - 1) FROM q1 JOIN m h ON h.id = q1.id WHERE q1.root = m.id AND q1.id <> m.id), 0) AS BIGINT) AS unit FROM m),
+mm AS (SELECT f.id, CAST(coalesce(sum(CASE WHEN w.kind IN ('if', 'switch', 'loop', 'catch') THEN 1 + nesting WHEN w.kind IN ('else-if', 'else', 'logic') THEN 1 ELSE 0 END), 0) AS BIGINT) AS cognitive,
+ coalesce(max(nesting), 0) AS depth, count(*) FILTER (w.kind = 'switch') = 1 AND count(*) FILTER (w.kind IN ('if', 'loop', 'catch')) = 0 AS dispatcher FROM functions f LEFT JOIN flow w ON w.symbol = f.id GROUP BY f.id),
+fi AS (SELECT u.dst AS id, count(*) AS n FROM u JOIN functions c ON c.id = u.src JOIN functions d ON d.id = u.dst WHERE c.module = d.module AND NOT c.test GROUP BY 1),
+fo AS (SELECT src AS id, count(*) AS n FROM u GROUP BY 1),
+us AS (SELECT dst AS id, count(*) AS n FROM w0 GROUP BY 1),
+fu AS (SELECT w0.dst AS id, min(a.line) AS l FROM w0 JOIN functions a ON a.id = w0.src JOIN functions b ON b.id = w0.dst WHERE a.file = b.file GROUP BY 1),
+ur AS (SELECT w0.src AS id, count(*) FILTER (NOT b.test) AS n FROM w0 JOIN functions b ON b.id = w0.dst GROUP BY 1),
+ec AS (SELECT x.src AS id, d.owner AS target, count(DISTINCT x.dst) AS members FROM uses x JOIN functions s ON s.id = x.src JOIN functions d ON d.id = x.dst WHERE x.resolution <> 'heuristic' AND d.owner IS NOT NULL AND d.owner IS DISTINCT FROM s.owner GROUP BY ALL),
+en AS (SELECT id, target, members FROM ec WHERE members >= 2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY members DESC, target) = 1),
+ra AS (SELECT d.id, min(s.owner) AS owner FROM u JOIN functions s ON s.id = u.src JOIN functions d ON d.id = u.dst WHERE d.kind = 'function' AND d.visibility = 'private' GROUP BY d.id HAVING count(*) = count(s.owner) AND count(DISTINCT s.owner) = 1),
+ga AS (SELECT id, CASE WHEN owner IS NOT NULL THEN line - lag(end_line) OVER (PARTITION BY file, owner ORDER BY line) END AS gap FROM functions),
+pl AS (SELECT DISTINCT regexp_replace(name, '[0-9]+$', '') AS plain, module FROM functions WHERE visibility = 'public'),
+te AS (SELECT plain, module, count(*) OVER (PARTITION BY plain) - 1 AS others FROM pl QUALIFY others > 0),
+function_facts AS (SELECT f.*, regexp_replace(f.name, '[0-9]+$', '') AS plain, fl.lang, fl.generated, fl.fid % 3 = 0 AS owner_private, m.m AS cyclomatic, mm.cognitive, mm.depth, mm.dispatcher, unit.unit,
+ coalesce(fi.n, 0) AS fan_in, coalesce(fo.n, 0) AS fan_out, coalesce(us.n, 0) AS users, fu.l AS first_user_line, coalesce(ur.n, 0) AS untested_reach, en.target AS envy_target, en.members AS envied, ra.owner AS affinity, ga.gap,
+ te.others, array_to_string(list_filter(string_split_regex(lower(f.name), '[_-]+'), lambda x: x <> ''), '_') AS key, len(list_filter(string_split_regex(lower(f.name), '[_-]+'), lambda x: x <> '')) AS n_words
+ FROM functions f JOIN files fl ON fl.path = f.file JOIN m ON m.id = f.id JOIN mm ON mm.id = f.id JOIN unit ON unit.id = f.id LEFT JOIN fi ON fi.id = f.id LEFT JOIN fo ON fo.id = f.id LEFT JOIN us ON us.id = f.id
+ LEFT JOIN fu ON fu.id = f.id LEFT JOIN ur ON ur.id = f.id LEFT JOIN en ON en.id = f.id LEFT JOIN ra ON ra.id = f.id LEFT JOIN ga ON ga.id = f.id LEFT JOIN te ON te.plain = regexp_replace(f.name, '[0-9]+$', '') AND te.module = f.module)
 """
+SQL_FACTS = {
+    "function": FUNCTION_SQL,
+    "test": FUNCTION_SQL + ", test_facts AS (SELECT * FROM function_facts WHERE test)\n",
+    "file": with_sql("files", "functions", "uses") + model.USED + """,
+ms AS (SELECT id, owner FROM functions WHERE owner IS NOT NULL),
+l AS (SELECT a.id AS x, b.id AS y FROM u JOIN ms a ON a.id = u.src JOIN ms b ON b.id = u.dst WHERE a.owner = b.owner UNION SELECT a.id, b.id FROM u JOIN u v ON u.dst = v.dst JOIN ms a ON a.id = u.src JOIN ms b ON b.id = v.src WHERE a.owner = b.owner AND a.id <> b.id),
+p AS (SELECT x, y FROM l UNION SELECT y, x FROM l), r AS (SELECT id AS x, id AS y FROM ms UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x), c AS (SELECT x, min(y) AS c FROM r GROUP BY x),
+g AS (SELECT owner, count(DISTINCT c.c) AS groups FROM ms JOIN c ON c.x = ms.id GROUP BY owner),
+pr AS (SELECT a.file AS path, count(DISTINCT b.id) AS n FROM uses x JOIN functions a ON a.id = x.src JOIN functions b ON b.id = x.dst WHERE a.file <> b.file AND b.visibility = 'private' GROUP BY 1),
+file_facts AS (SELECT f.*, (SELECT count(*) FROM functions x WHERE x.file = f.path) AS functions, (SELECT count(*) FROM functions x WHERE x.file = f.path AND x.kind = 'method') AS methods, coalesce(pr.n, 0) AS private_reach, coalesce(g.groups, 0) AS groups
+ FROM files f LEFT JOIN pr ON pr.path = f.path LEFT JOIN g ON g.owner = f.type_id)
+""",
+    "module": model.ORACLE["module_stats"].replace("SELECT m.path, (", ", st AS (SELECT m.path, (", 1) + """),
+rm AS (SELECT src, dst FROM module_edges UNION SELECT rm.src, e.dst FROM rm JOIN module_edges e ON rm.dst = e.src),
+cy AS (SELECT a.src AS node, count(DISTINCT a.dst) AS n FROM rm a JOIN rm b ON a.dst = b.src AND a.src = b.dst GROUP BY 1),
+module_facts AS (SELECT st.*, greatest(1, coalesce(cy.n, 1)) AS cycle_size FROM st LEFT JOIN cy ON cy.node = st.path)
+""",
+    "edge": with_sql("module_edges") + ", edge_facts AS (SELECT src, dst, split_part(src, '/', 1) AS src_region, split_part(dst, '/', 1) AS dst_region FROM module_edges)\n",
+    "event": "WITH event_facts AS (SELECT 'u' || user_id AS owner, event_type AS kind, value, row_number() OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS ordinal, event_id AS line FROM events)\n",
+    "line": r"""WITH x AS (SELECT 'doc/' || doc_id AS owner, CASE WHEN text LIKE '%' || chr(10) THEN string_split(text, chr(10))[1:-2] ELSE string_split(text, chr(10)) END AS x FROM documents),
+y AS (SELECT owner, unnest(x) AS t, generate_subscripts(x, 1) AS line FROM x),
+z AS (SELECT owner, line, regexp_replace(t, '\r$', '') AS t, lead(regexp_replace(t, '\r$', '')) OVER (PARTITION BY owner ORDER BY line) AS nt FROM y),
+line_facts AS (SELECT owner, line, trim(t) AS trimmed, length(t) AS width, regexp_matches(trim(t), '^(import |import\(|use |from )')
+ OR CASE WHEN regexp_matches(trim(t), '^(///|//!|//|/\*|\*/|\*|#|--)') THEN regexp_matches(trim(regexp_replace(trim(regexp_replace(trim(t), '^(///|//!|//|/\*|\*/|\*|#|--)', '')), '(\*/)+$', '')), '^\S*://\S+$') ELSE regexp_matches(trim(t), '^("[^"]*"|`[^`]*`)[,;]?$') END AS exempt,
+ trim(t) = '' AS blank, coalesce(length(nt), 0) AS next_width FROM z)
+""",
+}
+#: Facts that a greatest fixpoint gives, which a monotone recursion cannot.
+NO_SQL = {"owner-file"}
+
+
+def _findings_sql(d: Decision) -> str:
+    inner = "*" + "".join(f", {_duck(e)} AS {n}" for n, e in d.variables)
+    path = d.path if not d.path.startswith("f.") else d.path
+    return f"""SELECT '{d.name}' AS decision, '{d.severity}' AS severity, {path} AS path, CAST(greatest(1, {d.line}) AS BIGINT) AS line, {d.message} AS message,
+sha256('{d.name}' || chr(0) || ({path}) || chr(0) || trim(regexp_replace({d.identity}, '\\s+', ' ', 'g'))) AS fingerprint
+FROM (SELECT {inner} FROM {d.select}_facts WHERE {d.scope()}) WHERE {_duck(d.where)}"""
+
+
+ORACLE |= {"decision_" + d.name.replace("-", "_"): SQL_FACTS[d.select] + _findings_sql(d) for d in DECISIONS if d.name not in NO_SQL | {"max-lines"}}
+ORACLE |= {
+    "decision_file_lines": SQL_FACTS["file"] + _findings_sql(RULES["max-lines"]),
+    "check_incomplete": SQL_FACTS["function"] + "SELECT 'vertical-distance' AS decision, count(*) FILTER (gap IS NULL) AS incomplete FROM function_facts WHERE NOT generated",
+    "decision_max_lines": """SELECT path, n_lines, 'file has ' || n_lines || ' lines; at most 20 are allowed' AS message, sha256('core/max-lines' || chr(0) || path || chr(0)) AS fingerprint
+FROM (SELECT 'doc/' || doc_id AS path, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM documents) WHERE n_lines > 20""",
+}
