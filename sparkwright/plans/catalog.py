@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwright.plans import decisions, evaluation, findings, graphs, model, text
+from sparkwright.plans import decisions, evaluation, findings, graphs, model, streams, text
 
-MODULES = (decisions, evaluation, findings, graphs, model, text)
+MODULES = (decisions, evaluation, findings, graphs, model, streams, text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

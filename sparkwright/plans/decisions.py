@@ -78,65 +78,91 @@ def _for_spark(d: Decision) -> Decision:
     return Decision(**{**vars(d), "where": _spark(d.where), "variables": tuple((n, _spark(e)) for n, e in d.variables)})
 
 
-def function_facts(spark: SparkSession, folder: str) -> DataFrame:
+def _needs(d: Decision) -> set[str]:
+    """Names that a decision's expressions read; facts that none of them names are not built."""
+    return set(re.findall(r"[a-z_]+", " ".join([d.where, d.message, d.identity, d.path, d.line, d.scope(), *(e for _, e in d.variables)])))
+
+
+def function_facts(spark: SparkSession, folder: str, needs: set[str] | None = None) -> DataFrame:
+    """Functions with the derived facts among ``needs`` (all if None), each family joined only if it is read."""
     f = relation(spark, folder, "functions")
-    uses = relation(spark, folder, "uses")
+    wanted = lambda *names: needs is None or bool(needs & set(names))
+    named = f.withColumn("plain", F.regexp_replace("name", "[0-9]+$", ""))
     files = relation(spark, folder, "files").select(F.col("path").alias("file"), "lang", "generated", (F.col("fid") % 3 == 0).alias("owner_private"))
-    measured = model._measures(spark, folder)
-    flow = F.col("flow")
-    m = measured.select("id", metrics.cyclomatic(flow).alias("cyclomatic"), metrics.cognitive(flow).alias("cognitive"), metrics.depth(flow).alias("depth"), metrics.dispatcher(flow).alias("dispatcher"))
-    unit = metrics.unit_rollup(f, uses, m.select("id", F.col("cyclomatic").alias("m"))).select("id", "unit")
+    out = named.join(files, "file")
+    uses = relation(spark, folder, "uses")
     distinct = uses.where("src <> dst").select("src", "dst").distinct()
-    users = distinct.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("users"))
     place = f.select("id", "file", "line", "test")
-    first = distinct.join(place.select(F.col("id").alias("src"), F.col("file").alias("sf"), F.col("line").alias("sl")), "src").join(place.select(F.col("id").alias("dst"), F.col("file").alias("df")), "dst").where("sf = df").groupBy(F.col("dst").alias("id")).agg(F.min("sl").alias("first_user_line"))
-    reach = distinct.join(place.select(F.col("id").alias("dst"), F.col("test").alias("t")), "dst").groupBy(F.col("src").alias("id")).agg(F.count_if(~F.col("t")).alias("untested_reach"))
-    envy = metrics.envy(f, uses).select("id", F.col("target").alias("envy_target"), F.col("members").alias("envied"))
-    affinity = metrics.receiver_affinity(f, uses).select("id", F.col("owner").alias("affinity"))
-    split = metrics.split_share(f, uses).select("file", F.col("share").alias("split_share"))
-    gaps = model.siblings(spark, folder).select("id", "gap")
-    named = f.withColumn("plain", F.regexp_replace("name", "[0-9]+$", ""))
-    terms = metrics.homonyms(named.where("visibility = 'public'"), "plain", "module").select("plain", "module", "others")
-    out = named.join(files, "file").join(m, "id").join(unit, "id").join(metrics.fans(f, uses), "id")
-    for table in (users, first, reach, envy, affinity, gaps):
-        out = out.join(table, "id", "left")
-    out = out.join(split, "file", "left").join(terms, ["plain", "module"], "left")
-    return out.withColumn("key", T.name_key("name")).withColumn("n_words", F.size(T.words("name"))).fillna(0, ["users", "untested_reach"])
-
-
-def test_facts(spark: SparkSession, folder: str) -> DataFrame:
-    return function_facts(spark, folder).where("test")
-
-
-def file_facts(spark: SparkSession, folder: str) -> DataFrame:
-    files = relation(spark, folder, "files")
+    if wanted("cyclomatic", "cognitive", "depth", "dispatcher", "unit"):
+        flow = F.col("flow")
+        m = model._measures(spark, folder).select("id", metrics.cyclomatic(flow).alias("cyclomatic"), metrics.cognitive(flow).alias("cognitive"), metrics.depth(flow).alias("depth"), metrics.dispatcher(flow).alias("dispatcher"))
+        out = out.join(m, "id")
+        if wanted("unit"):
+            out = out.join(metrics.unit_rollup(f, uses, m.select("id", F.col("cyclomatic").alias("m"))).select("id", "unit"), "id")
+    if wanted("fan_in", "fan_out"):
+        out = out.join(metrics.fans(f, uses), "id")
+    if wanted("users"):
+        out = out.join(distinct.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("users")), "id", "left").fillna(0, ["users"])
+    if wanted("first_user_line"):
+        met = distinct.join(place.select(F.col("id").alias("src"), F.col("file").alias("sf"), F.col("line").alias("sl")), "src").join(place.select(F.col("id").alias("dst"), F.col("file").alias("df")), "dst")
+        out = out.join(met.where("sf = df").groupBy(F.col("dst").alias("id")).agg(F.min("sl").alias("first_user_line")), "id", "left")
+    if wanted("untested_reach"):
+        met = distinct.join(place.select(F.col("id").alias("dst"), F.col("test").alias("t")), "dst")
+        out = out.join(met.groupBy(F.col("src").alias("id")).agg(F.count_if(~F.col("t")).alias("untested_reach")), "id", "left").fillna(0, ["untested_reach"])
+    if wanted("envied", "envy_target"):
+        out = out.join(metrics.envy(f, uses).select("id", F.col("target").alias("envy_target"), F.col("members").alias("envied")), "id", "left")
+    if wanted("affinity"):
+        out = out.join(metrics.receiver_affinity(f, uses).select("id", F.col("owner").alias("affinity")), "id", "left")
+    if wanted("gap"):
+        out = out.join(model.siblings(spark, folder).select("id", "gap"), "id", "left")
+    if wanted("split_share"):
+        out = out.join(metrics.split_share(f, uses).select("file", F.col("share").alias("split_share")), "file", "left")
+    if wanted("others"):
+        out = out.join(metrics.homonyms(named.where("visibility = 'public'"), "plain", "module").select("plain", "module", "others"), ["plain", "module"], "left")
+    return out.withColumn("key", T.name_key("name")).withColumn("n_words", F.size(T.words("name")))
+
+
+def test_facts(spark: SparkSession, folder: str, needs: set[str] | None = None) -> DataFrame:
+    return function_facts(spark, folder, needs).where("test")
+
+
+def file_facts(spark: SparkSession, folder: str, needs: set[str] | None = None) -> DataFrame:
+    wanted = lambda *names: needs is None or bool(needs & set(names))
+    out = relation(spark, folder, "files")
     f = relation(spark, folder, "functions")
-    uses = relation(spark, folder, "uses").where("src <> dst").select("src", "dst").distinct()
-    private = uses.join(f.select(F.col("id").alias("src"), F.col("file").alias("path")), "src").join(f.where("visibility = 'private'").select(F.col("id").alias("dst"), F.col("file").alias("df")), "dst").where("path <> df").groupBy("path").agg(F.countDistinct("dst").alias("private_reach"))
-    counts = f.groupBy(F.col("file").alias("path")).agg(F.count("*").alias("functions"), F.count_if(F.col("kind") == "method").alias("methods"))
-    groups = metrics.cohesion(f, relation(spark, folder, "uses")).select(F.col("owner").alias("type_id"), "groups")
-    return files.join(counts, "path", "left").join(private, "path", "left").join(groups, "type_id", "left").fillna(0, ["functions", "methods", "private_reach", "groups"])
-
-
-def module_facts(spark: SparkSession, folder: str) -> DataFrame:
+    uses = relation(spark, folder, "uses")
+    if wanted("functions", "methods"):
+        counts = f.groupBy(F.col("file").alias("path")).agg(F.count("*").alias("functions"), F.count_if(F.col("kind") == "method").alias("methods"))
+        out = out.join(counts, "path", "left").fillna(0, ["functions", "methods"])
+    if wanted("private_reach"):
+        met = uses.where("src <> dst").select("src", "dst").distinct().join(f.select(F.col("id").alias("src"), F.col("file").alias("path")), "src").join(f.where("visibility = 'private'").select(F.col("id").alias("dst"), F.col("file").alias("df")), "dst")
+        out = out.join(met.where("path <> df").groupBy("path").agg(F.countDistinct("dst").alias("private_reach")), "path", "left").fillna(0, ["private_reach"])
+    if wanted("groups"):
+        out = out.join(metrics.cohesion(f, uses).select(F.col("owner").alias("type_id"), "groups"), "type_id", "left").fillna(0, ["groups"])
+    return out
+
+
+def module_facts(spark: SparkSession, folder: str, needs: set[str] | None = None) -> DataFrame:
     stats = model.module_stats(spark, folder)
+    if needs is not None and "cycle_size" not in needs:
+        return stats
     found = graphs.strong_components(relation(spark, folder, "module_edges"))
     size = found.groupBy("component").agg(F.count("*").alias("cycle_size"))
     return stats.join(found.join(size, "component").select(F.col("node").alias("path"), "cycle_size"), "path", "left").fillna(1, ["cycle_size"])
 
 
-def edge_facts(spark: SparkSession, folder: str) -> DataFrame:
+def edge_facts(spark: SparkSession, folder: str, needs: set[str] | None = None) -> DataFrame:
     e = relation(spark, folder, "module_edges")
     return e.select("src", "dst", F.substring_index("src", "/", 1).alias("src_region"), F.substring_index("dst", "/", 1).alias("dst_region"))
 
 
-def event_facts(spark: SparkSession, folder: str) -> DataFrame:
+def event_facts(spark: SparkSession, folder: str, needs: set[str] | None = None) -> DataFrame:
     e = read_table(spark, folder, "events")
     ordinal = F.row_number().over(Window.partitionBy("user_id", "event_type", F.to_date("ts")).orderBy("ts", "event_id")) - 1
     return e.select(F.concat(F.lit("u"), "user_id").alias("owner"), F.col("event_type").alias("kind"), "value", ordinal.cast("long").alias("ordinal"), F.col("event_id").alias("line"))
 
 
-def line_facts(spark: SparkSession, folder: str) -> DataFrame:
+def line_facts(spark: SparkSession, folder: str, needs: set[str] | None = None) -> DataFrame:
     """Lines of every document; what stands after a line is found within its text."""
     d = read_table(spark, folder, "documents").select(F.concat(F.lit("doc/"), "doc_id").alias("owner"), T.lines("text").alias("x"))
     d = d.select("owner", "x", F.posexplode("x").alias("pos", "t"))
@@ -149,7 +175,7 @@ FACTS = {"function": function_facts, "test": test_facts, "file": file_facts, "mo
 
 def _query(d: Decision):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return evaluate(_for_spark(d), FACTS[d.select](spark, folder))
+        return evaluate(_for_spark(d), FACTS[d.select](spark, folder, _needs(d)))
 
     return run
 
@@ -175,7 +201,8 @@ def check_all(spark: SparkSession, folder: str) -> DataFrame:
 
 def check_incomplete(spark: SparkSession, folder: str) -> DataFrame:
     """Functions that a decision on gaps cannot judge, as they have no sibling."""
-    return incomplete(_for_spark(RULES["vertical-distance"]), FACTS["function"](spark, folder))
+    d = RULES["vertical-distance"]
+    return incomplete(_for_spark(d), FACTS[d.select](spark, folder, _needs(d)))
 
 
 QUERIES |= {"decision_" + d.name.replace("-", "_"): _query(d) for d in DECISIONS if d.name != "max-lines"}
@@ -239,9 +266,8 @@ NO_SQL = {"owner-file"}
 
 def _findings_sql(d: Decision) -> str:
     inner = "*" + "".join(f", {_duck(e)} AS {n}" for n, e in d.variables)
-    path = d.path if not d.path.startswith("f.") else d.path
-    return f"""SELECT '{d.name}' AS decision, '{d.severity}' AS severity, {path} AS path, CAST(greatest(1, {d.line}) AS BIGINT) AS line, {d.message} AS message,
-sha256('{d.name}' || chr(0) || ({path}) || chr(0) || trim(regexp_replace({d.identity}, '\\s+', ' ', 'g'))) AS fingerprint
+    return f"""SELECT '{d.name}' AS decision, '{d.severity}' AS severity, {d.path} AS path, CAST(greatest(1, {d.line}) AS BIGINT) AS line, {d.message} AS message,
+sha256('{d.name}' || chr(0) || ({d.path}) || chr(0) || trim(regexp_replace({d.identity}, '\\s+', ' ', 'g'))) AS fingerprint
 FROM (SELECT {inner} FROM {d.select}_facts WHERE {d.scope()}) WHERE {_duck(d.where)}"""
 
 
