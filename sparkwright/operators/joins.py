@@ -14,8 +14,8 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, value: str,
     Among rows at the same place the greatest value counts.
     """
     order = F.col(on)
-    side = F.lit(0 if strict == forward else 1)
-    other = F.lit(1 if strict == forward else 0)
+    side = F.lit(1 if strict == forward else 0)
+    other = F.lit(0 if strict == forward else 1)
     r = right.groupBy(*by, on).agg(F.max(value).alias("_v"))
     both = left.withColumn("_v", F.lit(None).cast(dict(right.dtypes)[value])).withColumn("_left", F.lit(True)).withColumn("_side", side)
     both = both.unionByName(r.withColumn("_left", F.lit(False)).withColumn("_side", other), allowMissingColumns=True).withColumn("_part", width)
