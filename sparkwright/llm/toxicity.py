@@ -269,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _rate(labels: DataFrame, id_col: str, label_col: str) -> float:
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.expr(FOLD.format(f"`{id_col}`") + " > 0"))
     n, toxic = known.agg(F.count("*"), F.sum((F.col(label_col) > 0).cast("int"))).first()
-    return ((toxic or 0) + 0.5) / (n + 1)
+    return ((toxic or 0) + 0.5) / (n + 2)
 
 
 def score_column(model: Model, docs: DataFrame, text_col: str = "text") -> F.Column:
@@ -301,7 +301,10 @@ def score_column(model: Model, docs: DataFrame, text_col: str = "text") -> F.Col
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, evidence) for every row; repeated rows and null ids are scored like any other."""
+    """(doc_id, score, evidence) for every row; repeated rows and null ids are scored like any other.
+
+    Without labels of both classes every row gets the smoothed rate of toxic labels, 0.25 without any.
+    """
     model = fit(docs, labels, id_col, text_col)
     found = docs.select(F.col(id_col).alias("doc_id"), score_column(model, docs, text_col).alias("s"))
     return found.select("doc_id", "s.score", "s.evidence")
