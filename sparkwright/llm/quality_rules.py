@@ -32,7 +32,7 @@ CLASSES = {
 }
 SPACE = r"[\x20\x09-\x0D]+"
 #: Distances beyond which a text is dropped, and the numbers of characters and words from which it is judged by them.
-FAR_CLASSES, FAR_WORDS, LEAST_CHARS, LEAST_WORDS = 0.45, 0.75, 200, 100
+FAR_CLASSES, FAR_WORDS, LEAST_CHARS, LEAST_WORDS = 0.35, 0.27, 200, 100
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
