@@ -28,7 +28,7 @@ WINDOW = 2048
 CLASS = 8
 END = (1).to_bytes(4, "little")
 #: Bounds of a chunk that is packed at once, and of a worker's cache of tokenised words.
-CHUNK_DOCS, CHUNK_BYTES, CACHE_WORDS = 16_384, 64 << 20, 700_000
+CHUNK_DOCS, CHUNK_BYTES, CACHE_WORDS = 16_384, 32 << 20, 450_000
 #: A sequence that would keep more padding than this is taken apart and cut anew.
 SLACK = 16
 #: ASCII marks, which the tokenizer sets apart from letters before them.

@@ -50,7 +50,7 @@ def word_terms(word: bytes) -> list[bytes]:
 class Terms(dict):
     """word -> numbers of its terms, filled as words come; only the numbers of selected terms."""
 
-    LIMIT = 400_000
+    LIMIT = 250_000
 
     def __init__(self, vocabulary: dict[bytes, int]) -> None:
         super().__init__()
