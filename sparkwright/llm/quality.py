@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,6 +104,13 @@ class Rows:
         cat = lambda k, kind: np.concatenate([np.zeros(0, kind), *(np.asarray(f[k], kind) for f in features)])
         return Rows(size, np.repeat(np.arange(len(features)), lengths), cat(0, np.int64), cat(1, float), len(features))
 
+    @staticmethod
+    def of_arrow(where: pa.ChunkedArray, value: pa.ChunkedArray, size: int) -> Rows:
+        """From two list columns, without Python objects for their items."""
+        w, v = (c.combine_chunks() for c in (where, value))
+        lengths = np.diff(w.offsets.to_numpy()) if len(w) else np.zeros(0, np.int64)
+        return Rows(size, np.repeat(np.arange(len(w)), lengths), w.flatten().to_numpy().astype(np.int64), v.flatten().to_numpy(), len(w))
+
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=w[self.where] * self.value, minlength=self.n)
 
@@ -196,7 +204,7 @@ def _stack(rows: Rows, pool: Rows, extra: list[int]) -> Rows:
 
 
 def _features(meta_cols: list[str]):
-    kind = "use int, y int, tw array<int>, tv array<double>, mw array<int>, mv array<double>"
+    kind = "doc_id long, use int, y int, tw array<int>, tv array<double>, mw array<int>, mv array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets()
@@ -204,7 +212,7 @@ def _features(meta_cols: list[str]):
             texts = [text_features(t, buckets) for t in utf8(batch.column("text"))]
             metas = [meta_features(r) for r in batch.select(meta_cols).to_pylist()]
             lists = [pa.array([list(f[k]) for f in fs], pa.list_(t)) for fs in (texts, metas) for k, t in ((0, pa.int32()), (1, pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("use"), batch.column("y"), *lists], names=["use", "y", "tw", "tv", "mw", "mv"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("use"), batch.column("y"), *lists], names=["doc_id", "use", "y", "tw", "tv", "mw", "mv"])
 
     return run, kind
 
@@ -229,17 +237,18 @@ def fit(docs: DataFrame, labels: DataFrame, meta_cols: list[str], id_col: str =
     chosen = _chosen(docs, labels, id_col, label_col, sample, pool)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"m_{c}") for c in meta_cols))
     run, kind = _features([f"m_{c}" for c in meta_cols])
-    table = materialize(rows.join(F.broadcast(chosen), "doc_id").drop("doc_id").mapInArrow(run, kind)).toPandas()
-    if table.empty:
+    table = materialize(rows.join(F.broadcast(chosen), "doc_id").mapInArrow(run, kind)).toArrow().sort_by("doc_id")
+    if not table.num_rows:
         return None
-    table["_order"] = [zlib.crc32(repr((list(a), list(b))).encode()) for a, b in zip(table["tw"], table["tv"], strict=True)]
-    table = table.sort_values(["use", "y", "_order"])
-    view = {use: (part, Rows.of(list(zip(part["tw"], part["tv"], strict=True)), WORDS + SHAPE), Rows.of(list(zip(part["mw"], part["mv"], strict=True)), METADATA)) for use in (0, 1, 2) for part in [table[table["use"] == use]]}
-    y = view[0][0]["y"].to_numpy(float)
+    view = {}
+    for use in (0, 1, 2):
+        part = table.filter(pc.equal(table["use"], use))
+        view[use] = part["y"].to_numpy().astype(float), Rows.of_arrow(part["tw"], part["tv"], WORDS + SHAPE), Rows.of_arrow(part["mw"], part["mv"], METADATA)
+    y = view[0][0]
     if len(set(y)) < 2:
         return None
     wt, wm = co_train(view[0][1], view[0][2], y, view[2][1], view[2][2])
-    yc = view[1][0]["y"].to_numpy(float)
+    yc = view[1][0]
     zt, zm = (r.dot(w[:-1]) + w[-1] for r, w in ((view[1][1], wt), (view[1][2], wm)))
     if len(set(yc)) < 2:
         one = np.array([1.0, 0.0])
