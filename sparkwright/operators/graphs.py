@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from sparkwright.functions.stats import rate, share
 from sparkwright.sources.scratch import checkpoint
 
+#: Steps along edges between two checkpoints.
+HOPS = 2
+
 
 def simple(edges: DataFrame) -> DataFrame:
     """Without self loops, repeated edges and null ends."""
@@ -44,31 +47,43 @@ def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
     every = nodes_of(edges) if nodes is None else nodes.select("node").distinct()
     done = None
     while not left.isEmpty():
+        before = left.count()
         while True:
-            inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-            inner = checkpoint(inner.join(inner.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-            before, after = left.count(), inner.count()
-            left = inner
+            inner = left
+            for _ in range(HOPS):
+                inner = inner.join(inner.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+                inner = inner.join(inner.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+            left = checkpoint(inner)
+            after = left.count()
             if before == after:
                 break
+            before = after
         if not after:
             break
         colour = checkpoint(nodes_of(left).select("node", F.col("node").alias("colour")))
         while True:
-            came = left.join(colour, left["src"] == colour["node"]).select(F.col("dst").alias("node"), "colour")
-            new = checkpoint(colour.union(came).groupBy("node").agg(F.min("colour").alias("colour")))
-            changed = new.join(colour, ["node", "colour"], "left_anti")
-            stable = changed.isEmpty()
+            new = colour
+            for _ in range(HOPS):
+                came = left.join(new.select(F.col("node").alias("src"), "colour"), "src").select(F.col("dst").alias("node"), "colour")
+                new = new.union(came).groupBy("node").agg(F.min("colour").alias("colour"))
+            new = checkpoint(new)
+            stable = new.join(colour, ["node", "colour"], "left_anti").isEmpty()
             colour = new
             if stable:
                 break
         own = left.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c1")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst").where("c1 = c2").select("src", "dst", "c1")
         own = checkpoint(own)
-        found = delta = checkpoint(colour.where("node = colour"))
-        while not delta.isEmpty():
-            back = own.join(delta.select(F.col("node").alias("dst"), F.col("colour").alias("c1")), ["dst", "c1"]).select(F.col("src").alias("node"), F.col("c1").alias("colour")).distinct()
-            delta = checkpoint(back.join(found, "node", "left_anti"))
-            found = checkpoint(found.union(delta))
+        found = checkpoint(colour.where("node = colour"))
+        size = found.count()
+        while True:
+            for _ in range(HOPS):
+                back = own.join(found.select(F.col("node").alias("dst"), F.col("colour").alias("c1")), ["dst", "c1"]).select(F.col("src").alias("node"), F.col("c1").alias("colour"))
+                found = found.union(back).distinct()
+            found = checkpoint(found)
+            grown = found.count()
+            if grown == size:
+                break
+            size = grown
         done = found if done is None else done.union(found)
         gone = found.select("node")
         left = checkpoint(left.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))

@@ -10,14 +10,18 @@ from sparkwright.operators.graphs import closure, strong_components
 
 
 def forwarding(functions: DataFrame, uses: DataFrame) -> DataFrame:
-    """(id, target): private functions that use exactly one other of their module and kind, which doesn't lead back to them."""
+    """(id, target): private functions that use exactly one other of their module and kind, which doesn't lead back to them.
+
+    A user and what it uses lead to each other exactly if they are in one strongly connected component.
+    """
     u = uses.where("src <> dst and resolution <> 'heuristic'").select("src", "dst").distinct()
     one = u.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.min("dst").alias("target")).where("n = 1").select("id", "target")
     f = functions.select("id", "module", "kind", "visibility")
     t = functions.select(F.col("id").alias("target"), F.col("module").alias("tm"), F.col("kind").alias("tk"))
     met = one.join(f, "id").join(t, "target").where("visibility = 'private' and module = tm and kind = tk").select("id", "target")
-    back = closure(u, met.select(F.col("target").alias("node"))).select(F.col("src").alias("target"), F.col("dst").alias("id"))
-    return met.join(back, ["id", "target"], "left_anti")
+    of = strong_components(u)
+    placed = met.join(of.select(F.col("node").alias("id"), F.col("component").alias("a")), "id").join(of.select(F.col("node").alias("target"), F.col("component").alias("b")), "target")
+    return placed.where("a <> b").select("id", "target")
 
 
 def holders(fields: DataFrame) -> DataFrame:
