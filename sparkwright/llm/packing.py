@@ -47,12 +47,15 @@ def _letters(word: bytes) -> str:
     return text if text.isalpha() else ""
 
 
+#: In tokens the printable bytes stand for themselves, and the rest for the characters from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {chr(b): b for b in _SHOWN} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)).difference(_SHOWN)))}
+
+
 def _as_bytes(token: str) -> bytes:
-    """A token of the vocabulary as bytes: characters stand for bytes, and a byte 0 stands for the end of a word."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    """A token of the vocabulary as bytes; a byte 0 stands for the end of a word."""
     whole = token.removesuffix("</w>")
-    return bytes(byte[c] for c in whole) + b"\0" * (whole != token)
+    return bytes(map(_BYTES.__getitem__, whole)) + b"\0" * (whole != token)
 
 
 class WordIds:
