@@ -21,9 +21,8 @@ RELATIONS = {
     "files": """
         SELECT s_suppkey AS fid, m.path || '/s' || CAST(s_suppkey AS STRING) || '.' || substr(m.language, 1, 2) AS path, m.path AS module,
                m.language AS lang, s_suppkey % 11 = 0 AS generated, s_suppkey % 7 = 0 AS test,
-               CAST(floor(abs(s_acctbal)) AS BIGINT) % 1000 AS lines, m.path || '::S' || CAST(s_suppkey AS STRING) || '#type' AS type_id,
-               c.n
-        FROM {supplier} JOIN {modules} m ON s_nationkey = m.mid CROSS JOIN (SELECT count(*) AS n FROM {supplier}) c""",
+               CAST(floor(abs(s_acctbal)) AS BIGINT) % 1000 AS lines, m.path || '::S' || CAST(s_suppkey AS STRING) || '#type' AS type_id
+        FROM {supplier} JOIN {modules} m ON s_nationkey = m.mid""",
     "functions": """
         SELECT p_partkey AS pid, f.module || '::' || CASE WHEN p_partkey % 2 = 0 THEN 'S' || CAST(f.fid AS STRING) || '::' ELSE '' END
                  || replace(p_name, ' ', '_') || CAST(p_partkey AS STRING) || CASE WHEN p_partkey % 2 = 0 THEN '#method' ELSE '#function' END AS id,
@@ -33,7 +32,7 @@ RELATIONS = {
                CAST(p_size % 9 AS BIGINT) AS params, CAST(p_size AS BIGINT) AS statements,
                CAST(row_number() OVER (PARTITION BY f.path ORDER BY p_partkey) * 10 AS BIGINT) AS line,
                CAST(row_number() OVER (PARTITION BY f.path ORDER BY p_partkey) * 10 + p_size % 9 AS BIGINT) AS end_line
-        FROM {part} JOIN {files} f ON p_partkey % f.n = f.fid""",
+        FROM (SELECT x.*, p_partkey % c.n AS pf FROM {part} x CROSS JOIN (SELECT count(*) AS n FROM {supplier}) c) p JOIN {files} f ON p.pf = f.fid""",
     "uses": """
         SELECT DISTINCT a.id AS src, b.id AS dst,
                CASE x.l_returnflag WHEN 'A' THEN 'semantic' WHEN 'N' THEN 'syntactic' ELSE 'heuristic' END AS resolution
