@@ -1,13 +1,19 @@
-"""Language-model scores by a weighted backoff automaton.
+"""Language-model scores by a weighted backoff automaton over all words and all n-grams that occur twice or more.
 
-Words of the training rows are counted exactly; the most frequent form the vocabulary of bigrams and trigrams, which are
-counted over all training rows too. The most frequent n-grams become arcs. States are contexts; an arc carries the discounted
+Words, bigrams and trigrams of the training rows are all counted; those bigrams and trigrams that occur at least ``LEAST``
+times, a threshold that is the same at every size, become arcs, so the model grows with the corpus. States are contexts; an arc carries the discounted
 log-probability of a word after its context and leads to the longest known context that follows; a failure arc carries the
 context's backoff weight and leads to the context without its oldest word. Backoff weights are computed from the arcs that are
-kept, so probabilities after any context add up to one. A text is scored by one traversal from left to right.
+kept, so probabilities after any context add up to one.
 
-Sizes: ``vocabulary``, ``arcs`` and ``known`` (words whose counts travel with the automaton) bound what is broadcast. Words
-beyond ``known`` are no special case of the result: their exact counts are joined by an equality shuffle.
+The automaton is a table and never in one place. The weights along a text's path add up, so each n-gram has one addend: an
+arc's weight less those of the failure arc and the lower arc that it spares, plus, as a context, its own failure weight. Texts
+ask for the addends of their n-grams by an equality shuffle, one row an n-gram and chunk of texts, so frequent n-grams gather
+in no task. N-grams are known by 64 bits of hash (at 5 thousand million distinct ones, about one pair is expected to collide).
+``known``, the words whose counts are broadcast, is no special case of the result: others come by the same shuffle.
+
+A caller that names ``vocabulary`` or ``arcs`` asks for the small automaton of that size instead, which is broadcast and
+traversed from left to right; with sizes that hold everything the scores are the same.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +36,8 @@ from sparkwright.sources.scratch import materialize
 VOCABULARY, ARCS, KNOWN = 4095, 250_000, 300_000
 SHIFT = 13
 DISCOUNT = 0.75
+#: From how many occurrences in training rows an n-gram is an arc.
+LEAST = 2
 #: Ends a text and, as a context, begins one. No word has a line end in it.
 END = b"\n"
 HELD_OUT = "pmod(crc32(cast(coalesce(cast({0} as string), '') as binary)), 5) = 1"
@@ -242,12 +251,197 @@ def _scored(shared):
     return run
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
+class Hashes(dict):
+    """word -> 60 bits of its MD5, as WORD_HASH has them in Spark."""
+
+    LIMIT = 400_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        found = self[word] = int.from_bytes(md5(word, usedforsecurity=False).digest()[:8]) >> 4
+        return found
+
+
+WORD_HASH = "cast(conv(substring(md5(token), 1, 15), 16, 10) as long)"
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def hashed(*columns: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of long columns."""
+    turn = lambda x, k: x << np.uint64(k) | x >> np.uint64(64 - k)
+    seed = np.full(len(columns[0]), 42, dtype=np.uint64)
+    for c in columns:
+        h = seed + _P5 + np.uint64(8) ^ turn(c.view(np.uint64) * _P2, 31) * _P1
+        h = turn(h, 27) * _P1 + _P4
+        h = (h ^ h >> np.uint64(33)) * _P2
+        h = (h ^ h >> np.uint64(29)) * _P3
+        seed = h ^ h >> np.uint64(32)
+    return seed.view(np.int64)
+
+
+def _all_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts (a, b, c, n) of all bigrams (a is -1) and trigrams of word hashes within texts, summed up where they are."""
+    codes = Hashes()
+    end = codes[END]
+    parts: list[tuple[np.ndarray, ...]] = []
+    stream: list[int] = [end]
+
+    def count() -> None:
+        s = np.array(stream, dtype=np.int64)
+        inner = s[1:-1] != end
+        none = np.full(len(s) - 1, -1)
+        columns = [np.concatenate([two, three[inner]]) for two, three in ((none, s[:-2]), (s[:-1], s[1:-1]), (s[1:], s[2:]))]
+        _, first, n = np.unique(hashed(*columns), return_index=True, return_counts=True)
+        parts.append((*(c[first] for c in columns), n))
+        stream[:] = [end]
+
+    def out() -> Iterator[pa.RecordBatch]:
+        a, b, c, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        _, first, where = np.unique(hashed(a, b, c), return_index=True, return_inverse=True)
+        columns = (a[first], b[first], c[first], np.bincount(where, weights=n).astype(np.int64))
+        for at in range(0, len(first), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 200_000]) for x in columns], names=["a", "b", "c", "n"])
+
+    for batch in batches:
+        for text in utf8(batch.column(0)):
+            stream.extend(map(codes.__getitem__, spaced_words(text)))
+            stream.append(end)
+            if len(stream) > 500_000:
+                count()
+                if sum(len(p[0]) for p in parts) > 2_000_000:
+                    yield from out()
+    if len(stream) > 1:
+        count()
+    if parts:
+        yield from out()
+
+
+def model_table(texts: DataFrame, counts: DataFrame, total: int, types: int) -> tuple[DataFrame, DataFrame]:
+    """The automaton of all ``texts`` as tables: (h, token, c, back) of words, and (key, add) of n-grams."""
+    grams = materialize(texts.mapInArrow(_all_ngrams, "a long, b long, c long, n long").groupBy("a", "b", "c").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST))
+    left = lambda taken, lower: F.log10(F.greatest(F.lit(1e-9), 1 - F.sum(taken)) / F.greatest(F.lit(1e-9), 1 - F.sum(lower)))
+    words = counts.select(F.expr(WORD_HASH).alias("h"), "token", "c")
+    first = words.select(F.col("h").alias("b"), F.col("c").alias("of"))
+    last = words.select(F.col("h").alias("c"), ((F.col("c") + 0.5) / F.lit(total + 0.5 * (types + 1))).alias("p1"))
+    two = grams.where("a = -1").join(first, "b").join(last, "c").select(F.xxhash64(F.lit(-1).cast("long"), "b", "c").alias("key"), "b", "n", "p1", ((F.col("n") - DISCOUNT) / F.col("of")).alias("p2"))
+    two = materialize(two)
+    back2 = two.groupBy("b").agg(left("p2", "p1").alias("back"))
+    words = words.join(back2.withColumnRenamed("b", "h"), "h", "left").select("h", "token", "c", F.coalesce("back", F.lit(0.0)).alias("back"))
+    key = lambda *c: F.xxhash64(F.lit(-1).cast("long"), *c)
+    three = grams.where("a <> -1").select(F.xxhash64("a", "b", "c").alias("key"), key("a", "b").alias("context"), key("b", "c").alias("lower"), "n")
+    three = three.join(two.select(F.col("key").alias("context"), F.col("n").alias("of")), "context").join(two.select(F.col("key").alias("lower"), F.col("p2").alias("low")), "lower")
+    three = materialize(three.select("key", "context", "low", ((F.col("n") - DISCOUNT) / F.col("of")).alias("p3")))
+    back3 = three.groupBy("context").agg(left("p3", "low").alias("back3"))
+    adds3 = three.join(back3, "context").select("key", (F.log10("p3") - F.log10("low") - F.col("back3")).alias("add"))
+    adds2 = two.join(back2, "b").join(back3.withColumnRenamed("context", "key"), "key", "left").select("key", (F.log10("p2") - F.log10("p1") - F.col("back") + F.coalesce("back3", F.lit(0.0))).alias("add"))
+    return materialize(words), adds2.union(adds3)
+
+
+ASKED = "key long, word boolean, origin long, texts array<int>, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+
+
+def _asked(shared):
+    """Rows of texts, with what the broadcast words give, and the words and n-grams that texts of this task ask for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, tuple[float, float]] = shared.value
+        codes, origin, at = Hashes(), TaskContext.get().partitionId() << 33, 0
+        end = codes[END]
+        kinds = {"key": pa.int64(), "word": pa.bool_(), "origin": pa.int64(), "texts": pa.list_(pa.int32()), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
+        schema = pa.schema(list(kinds.items()))
+        stream, of, unknown, unknown_of, rows = [end], [], [], [], []
+
+        def batch_of(n: int, **columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns[k] if k in columns else pa.nulls(n, t) for k, t in kinds.items()], schema=schema)
+
+        def asks(keys: np.ndarray, texts: np.ndarray, word: bool) -> Iterator[pa.RecordBatch]:
+            order = np.argsort(keys, kind="stable")
+            keys, texts = keys[order], texts[order]
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
+            stops = np.r_[first, len(keys)].astype(np.int32)
+            for a in range(0, len(first), 100_000):
+                stop = stops[a : a + 100_001]
+                n = len(stop) - 1
+                lists = pa.ListArray.from_arrays(pa.array(stop - stop[0]), pa.array(texts[stop[0] : stop[-1]]))
+                yield batch_of(n, key=pa.array(keys[first[a : a + 100_000]]), word=pa.array(np.full(n, word)), origin=pa.array(np.full(n, origin)), texts=lists)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            s, t = np.array(stream, dtype=np.int64), np.repeat(np.array([r[0] for r in rows], dtype=np.int32), of)
+            inner = s[1:-1] != end
+            none = np.full(len(s) - 1, -1)
+            keys = np.concatenate([hashed(none, s[:-1], s[1:]), hashed(s[:-2][inner], s[1:-1][inner], s[2:][inner])])
+            yield from asks(keys, np.concatenate([t, t[1:][inner]]), False)
+            yield from asks(np.array(unknown, dtype=np.int64), np.array(unknown_of, dtype=np.int32), True)
+            i, doc, held, n, m, base, score = zip(*rows, strict=True)
+            yield batch_of(
+                len(i), key=pa.array(hashed(np.array(i, dtype=np.int64) + origin)), word=pa.array([False] * len(i)), origin=pa.array([origin] * len(i)), texts=pa.array([[x] for x in i], kinds["texts"]),
+                doc_id=pa.array(doc, pa.int64()), held_out=pa.array(held, pa.bool_()), n_tokens=pa.array(n, pa.int64()), n_known=pa.array(m, pa.int64()), base=pa.array(base, pa.float64()), score=pa.array(score, pa.float64()),
+            )
+            stream[:] = [end]
+            for x in (of, unknown, unknown_of, rows):
+                x.clear()
+
+        for batch in (whole.slice(a, 1000) for whole in batches for a in range(0, whole.num_rows, 1000)):
+            ids, held = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for doc, out_of, text in zip(ids, held, utf8(batch.column(2)), strict=True):
+                words = [*spaced_words(text), END]
+                found = [known.get(w) for w in words]
+                other = [codes[w] for w, f in zip(words, found, strict=True) if f is None]
+                unknown.extend(other)
+                unknown_of.extend([at] * len(other))
+                base, back = math.fsum(f[0] for f in found if f), math.fsum(f[1] for f in found if f)
+                rows.append((at, doc, out_of, len(words), len(words) - len(other), base, base + back))
+                stream.extend(map(codes.__getitem__, words))
+                of.append(len(words))
+                at += 1
+                if len(stream) > 500_000:
+                    yield from flush()
+        if rows:
+            yield from flush()
+
+    return run
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: int = KNOWN, **sizes: int) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     A null or empty text is one token, its end. Repeated rows are scored each for itself; null ids train. With no training
-    row every token is unknown. Words outside the vocabulary are scored by their own smoothed frequency.
+    row every token is unknown. Words that never train are scored by a smoothed frequency of none.
     """
+    if sizes:
+        return score_by_automaton(docs, id_col, text_col, known=known, **sizes)
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.expr(HELD_OUT.format(f"`{id_col}`")).alias("held_out"), F.col(text_col).alias("text"))
+    texts = rows.where("not held_out").select("text")
+    counts = materialize(texts.mapInArrow(_word_counts, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")))
+    total, types = counts.agg(F.sum("c"), F.count("*")).first()
+    total = total or 0
+    words, adds = model_table(texts, counts, total, types)
+    one = lambda c: F.log10((c + 0.5) / F.lit(total + 0.5 * (types + 1)))
+    table = at_most(words, "c", known).select("token", one(F.col("c")).alias("base"), "back").toArrow()
+    shared = spark.sparkContext.broadcast({bytes(t): (b, k) for t, b, k in zip(*(table[c].to_pylist() for c in ("token", "base", "back")), strict=True)})
+    adds = adds.select("key", F.lit(False).alias("word"), F.lit(0.0).alias("one"), "add")
+    adds = adds.union(words.select("h", F.lit(True), one(F.col("c")), one(F.col("c")) + F.col("back")))
+    asked = rows.mapInArrow(_asked(shared), ASKED).join(adds, ["key", "word"], "left").where("word or n_tokens is not null or add is not null")
+    none = one(F.lit(0))
+    of_text, is_known = F.col("n_tokens").isNotNull(), F.col("add").isNotNull()
+    parts = asked.select(
+        "origin", F.explode("texts").alias("text"), "doc_id", "held_out", "n_tokens",
+        F.when(of_text, F.col("n_known")).when(F.col("word") & is_known, 1).otherwise(0).alias("n_known"),
+        F.when(of_text, F.col("base")).when(F.col("word"), F.coalesce("one", none)).otherwise(0.0).alias("base"),
+        F.when(of_text, F.col("score")).when(F.col("word"), F.coalesce("add", none)).otherwise(F.col("add")).alias("score"),
+    )
+    return (
+        parts.groupBy("origin", "text")
+        .agg(*(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")), *(F.sum(c).alias(c) for c in ("n_known", "base", "score")))
+        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    )
+
+
+def score_by_automaton(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
+    """The same columns by the automaton of a given size: words outside its vocabulary are scored by their own frequency."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.expr(HELD_OUT.format(f"`{id_col}`")).alias("held_out"), F.col(text_col).alias("text"))
     model, counts = train(rows.where("not held_out"), "text", **sizes)
     shared = docs.sparkSession.sparkContext.broadcast(model)

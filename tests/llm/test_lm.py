@@ -86,3 +86,43 @@ def test_at_most(spark):
     t = spark.range(1000).selectExpr("id", "id % 37 + 1 as n")
     kept = lm.at_most(t, "n", 300)
     assert 0 < kept.count() <= 300 and kept.agg({"n": "min"}).first()[0] > 20
+
+
+def test_the_model_holds_every_word_and_repeated_ngram(spark):
+    """Twelve thousand words in repeated texts: more than the 4095 that once were the whole vocabulary."""
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(12_000)]
+    texts = [" ".join(rnd.choice(words) if rnd.random() < 0.8 else "the" for _ in range(rnd.randint(0, 60))) for _ in range(700)]
+    rows = [(i, texts[i % len(texts)] if i < 1400 else "w1 never w2 the") for i in range(1500)]
+    counts, grams = Counter(), Counter()
+    for i, t in rows:
+        if not held(i):
+            s = [b"\n", *split(t), b"\n"]
+            counts.update(s[1:])
+            grams.update(zip(s, s[1:], strict=False))
+            grams.update(zip(s, s[1:], s[2:], strict=False))
+    assert len(counts) > 5000
+    total, types = sum(counts.values()), len(counts)
+    p1 = lambda w: (counts[w] + 0.5) / (total + 0.5 * (types + 1))
+    kept = {g: n for g, n in grams.items() if n > 1}
+    of = lambda g: counts[g[0]] if len(g) == 2 else grams[g[:-1]]
+    arc = {g: (n - lm.DISCOUNT) / of(g) for g, n in kept.items()}
+    taken, lower = Counter(), Counter()
+    for g, p in arc.items():
+        taken[g[:-1]] += p
+        lower[g[:-1]] += arc[g[1:]] if len(g) == 3 else p1(g[1])
+    back = {c: max(1e-9, 1 - taken[c]) / max(1e-9, 1 - lower[c]) for c in taken}
+
+    def p(context, w):
+        if not context:
+            return p1(w)
+        return arc[*context, w] if (*context, w) in arc else back.get(context, 1.0) * p(context[1:], w)
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for known in (lm.KNOWN, 100):
+        got = {r.doc_id: r for r in lm.score_documents(docs, known=known).collect()}
+        compare(got.values(), rows)
+        for i, t in rows:
+            s = [b"\n", *split(t), b"\n"]
+            want = sum(math.log10(p(tuple(s[max(0, k - 2) : k]), s[k])) for k in range(1, len(s)))
+            assert math.isclose(got[i].score, want, rel_tol=1e-9, abs_tol=1e-9)
