@@ -36,19 +36,19 @@ RELATIONS = {
     "uses": """
         SELECT DISTINCT a.id AS src, b.id AS dst,
                CASE x.l_returnflag WHEN 'A' THEN 'semantic' WHEN 'N' THEN 'syntactic' ELSE 'heuristic' END AS resolution
-        FROM (SELECT l_partkey, l_returnflag, l_quantity,
+        FROM (SELECT l_partkey, l_returnflag,
                      lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS before FROM {lineitem}) x
         JOIN {functions} a ON a.pid = x.before JOIN {functions} b ON b.pid = x.l_partkey
-        WHERE x.before <> x.l_partkey AND x.l_quantity <= 4""",
+        WHERE x.before <> x.l_partkey""",
     "flow": """
         SELECT f.id AS symbol, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS at,
                CASE l_linenumber WHEN 1 THEN 'if' WHEN 2 THEN 'else-if' WHEN 3 THEN 'else' WHEN 4 THEN 'switch'
                                  WHEN 5 THEN 'loop' WHEN 6 THEN 'catch' ELSE 'logic' END AS kind,
                CAST(l_suppkey % 4 AS BIGINT) AS nesting, CAST(floor(l_quantity) AS BIGINT) % 5 AS arms, CAST(l_orderkey % 3 AS BIGINT) AS operators
-        FROM {lineitem} JOIN {functions} f ON f.pid = l_partkey WHERE l_quantity >= 45""",
+        FROM {lineitem} JOIN {functions} f ON f.pid = l_partkey""",
     "module_edges": """
         SELECT DISTINCT a.module AS src, b.module AS dst FROM {uses} u JOIN {functions} a ON a.id = u.src JOIN {functions} b ON b.id = u.dst
-        WHERE a.module <> b.module AND u.resolution = 'semantic' AND a.pid % 5 = 1 AND b.pid % 7 < 3""",
+        WHERE a.module <> b.module AND u.resolution = 'semantic'""",
 }
 TABLES = ("region", "nation", "supplier", "part", "lineitem")
 
