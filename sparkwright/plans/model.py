@@ -98,6 +98,13 @@ def interface_satisfaction(spark, folder):
     return joins.provides_all(need, have, "o_orderkey", "l_suppkey", "p_brand")
 
 
+def all_interface_satisfaction(spark, folder):
+    """interface_satisfaction over all orders."""
+    sold = read_table(spark, folder, "lineitem").join(read_table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    need = sold.join(read_table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "p_brand")
+    return joins.provides_all(need, sold.select("l_suppkey", "p_brand"), "o_orderkey", "l_suppkey", "p_brand")
+
+
 def test_credit(spark, folder):
     """Tests named after functions, or after them and a variant, credited to the longest name."""
     f = relation(spark, folder, "functions")
@@ -116,7 +123,7 @@ def siblings(spark, folder):
     return f.select("id", F.lag("id").over(w).alias("prev"), F.lead("id").over(w).alias("next"), F.when(F.col("owner").isNotNull(), F.col("line") - F.lag("end_line").over(o)).alias("gap"))
 
 
-NAMED = (function_metrics, fan_in_out, feature_envy, receiver_affinity, cohesion_lcom4, unit_rollup, split_share, module_stats, homonyms, users_index, resolve_edges, dedup_edges, duplicate_ids, interface_satisfaction, test_credit, siblings)
+NAMED = (function_metrics, fan_in_out, feature_envy, receiver_affinity, cohesion_lcom4, unit_rollup, split_share, module_stats, homonyms, users_index, resolve_edges, dedup_edges, duplicate_ids, interface_satisfaction, all_interface_satisfaction, test_credit, siblings)
 QUERIES |= {f.__name__: f for f in NAMED}
 
 USED = ", u AS (SELECT DISTINCT src, dst FROM uses WHERE resolution <> 'heuristic' AND src <> dst)\n"

@@ -1,9 +1,11 @@
-"""The adapter's relations hold what all lines say, by brute force over the smallest tables."""
+"""Relations and queries on whole tables hold what all lines say, by brute force over the smallest tables."""
 
 from collections import defaultdict
+from itertools import chain, combinations
 
 import pytest
 
+from sparkwright.plans import catalog
 from sparkwright.sources.scratch import read_table
 from sparkwright.sources.tables import relation
 
@@ -45,3 +47,46 @@ def test_uses_and_module_edges_hold_all_lines(spark, lines, functions):
 def test_flow_holds_all_lines(spark, lines, functions):
     got = relation(spark, FOLDER, "flow").collect()
     assert sorted((r.symbol, r.at) for r in got) == sorted((functions[x.l_partkey].id, x.l_orderkey * 8 + x.l_linenumber) for x in lines if x.l_partkey in functions)
+
+
+def items(spark, name):
+    return sorted(r["items"] for r in catalog.queries()[name](spark, FOLDER).collect())
+
+
+def test_conflicts_of_all_orders(spark, lines):
+    of = defaultdict(set)
+    for x in lines:
+        of[x.l_orderkey].add(x.l_partkey % 9)
+    sets = {frozenset(s) for s in of.values()}
+    text = lambda found: sorted(",".join(map(str, sorted(s))) for s in found)
+    least = lambda found: [s for s in found if not any(x < s for x in found)]
+    assert items(spark, "all_minimal_conflicts") == text(least(sets))
+    tried = [frozenset(s) for s in chain.from_iterable(combinations(range(9), k) for k in range(1, 10))]
+    assert items(spark, "all_hitting_sets") == text(least([h for h in tried if all(h & s for s in sets)]))
+
+
+def test_interfaces_of_all_orders(spark, lines):
+    brand = {r.p_partkey: r.p_brand for r in read_table(spark, FOLDER, "part").collect()}
+    orders = {r.o_orderkey for r in read_table(spark, FOLDER, "orders").select("o_orderkey").collect()}
+    need, have = defaultdict(set), defaultdict(set)
+    for x in lines:
+        if x.l_partkey in brand:
+            have[x.l_suppkey].add(brand[x.l_partkey])
+            if x.l_orderkey in orders:
+                need[x.l_orderkey].add(brand[x.l_partkey])
+    want = sorted((o, s) for o, n in need.items() for s, h in have.items() if n <= h)
+    got = catalog.queries()["all_interface_satisfaction"](spark, FOLDER).collect()
+    assert sorted((r.o_orderkey, r.l_suppkey) for r in got) == want and max(o for o, _ in want) >= 40
+
+
+def test_holders_of_all_lines(spark, lines, functions):
+    types = {r.fid: r.type_id for r in relation(spark, FOLDER, "files").collect()}
+    holds = {(types[x.l_suppkey], functions[x.l_partkey].owner) for x in lines if x.l_suppkey in types and x.l_partkey in functions}
+    holds = {(a, b) for a, b in holds if b is not None}
+    reach, grown = set(holds), None
+    while grown != len(reach):
+        grown = len(reach)
+        reach |= {(a, d) for a, b in reach for c, d in holds if b == c}
+    want = sorted((b, sum(x == b and a != b for a, x in holds), (b, b) in reach) for b in {b for _, b in holds})
+    got = catalog.queries()["all_holding_types"](spark, FOLDER).collect()
+    assert sorted((r.held, r.holders, r.cyclic) for r in got) == want
