@@ -3,7 +3,8 @@
 Every rolling pair of words of every text is joined by its hash to the positions that pair has in the templates (a fixed,
 small table, broadcast). A match votes for the diagonal text position - template position. Votes are counted by text, template
 and diagonal; the words compared must be equal, so each vote is verified. Neighbouring diagonals of a template are merged,
-which allows for a few inserted or missing words, and a merged span is reported if it covers enough of the template, or all
+which allows for a few inserted or missing words, but one with all votes stays a span of its own, however often a template is
+repeated in a row, and a merged span is reported if it covers enough of the template, or all
 of it consecutively for the short phrases.
 
 A text is exploded and joined within its task; what is shuffled is one row per text and one per matching pair.
@@ -91,7 +92,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
         F.max(F.when(F.col("hit"), F.col("at"))).alias("high"),
     )
     near = Window.partitionBy("uid", "template").orderBy("diagonal")
-    apart = F.coalesce(F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(near) > DRIFT), F.lit(True))
+    whole = F.col("votes") == F.col("size") - (GRAM - 1)
+    apart = F.coalesce(F.col("exact") | whole | F.lag(whole).over(near) | (F.col("diagonal") - F.lag("diagonal").over(near) > DRIFT), F.lit(True))
     merged = lines.withColumn("part", F.sum(apart.cast("int")).over(near)).groupBy("uid", "template", "part").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("n_words").alias("n_words"),

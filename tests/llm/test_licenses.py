@@ -45,3 +45,11 @@ def test_neighbouring_diagonals_merge(spark):
 def test_main_path_has_no_python(edge_docs):
     plan = licenses.scan(edge_docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan.replace("CreateDataFrame", "")) or "Scan ExistingRDD" in plan
+
+
+def test_a_template_repeated_in_a_row_is_found_each_time(spark):
+    texts = [(n, "x " + "All rights reserved. " * n) for n in (1, 2, 3, 4, 8)] + [(9, "all rights all rights all rights reserved")]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.label == "all-rights-reserved"] for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for n in (1, 2, 3, 4, 8):
+        assert got[n] == [(1 + 3 * i, 4 + 3 * i) for i in range(n)]
+    assert (4, 7) in got[9]
