@@ -1,14 +1,17 @@
 """Toxicity by the nearest labelled examples in exact TF-IDF cosine, found in a block-max inverted index.
 
-Terms are words and word beginnings. Those that stand out in toxic examples span the space (selected on a bounded, labelled
-sample; their document frequencies come from all documents). Labelled examples with such terms are indexed: each term has a
-postings list, cut into blocks of examples, and every block knows its largest weight. For a document the blocks are visited
-in the order of their upper bounds until no further block can hold a nearer example, so the nearest examples are exact.
+Terms are all words and word beginnings of the labelled examples; none is left out. A term weighs log frequency in the text times inverse
+document frequency over all documents times the root of 1 + chi-square, which is how far it stands out in one class of the
+examples, so telling terms count for more and chance ones for less. Terms that no example has are no dimension of the space.
+
+Every example is indexed. Examples that resemble each other lie in the same blocks of BLOCK. Short postings lists are added up
+first; of long ones a block knows its largest weight. Both give an upper bound for each block, blocks are visited in the order
+of their bounds, and the search ends where no further block can hold a nearer example, so the nearest examples are exact.
 Votes weighted by closeness, shrunk towards the rate among labelled documents, go through a calibration fitted on labelled
 rows that are not in the index.
 
-Bounds, all parameters: ``examples`` labelled rows of each class and as many for the calibration, ``terms`` dimensions.
-The index of these (some MB) is broadcast; documents are scored where they are, without a shuffle.
+Bounds, a parameter: ``examples`` labelled rows of each class are indexed, and as many of each calibrate. The index of these is
+broadcast (some MB for thousands of examples); documents are scored where they are, without a shuffle.
 """
 
 from __future__ import annotations
@@ -16,25 +19,26 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwright.llm.text import plain_words, unused, utf8
 from sparkwright.sources.scratch import materialize
 
-EXAMPLES, TERMS, NEAREST = 4096, 4096, 15
-BLOCK = 256
+EXAMPLES, NEAREST = 4096, 15
+BLOCK = 32
+#: Lists with more than one in so many of the examples are long: they are held by blocks.
+LONG = 16
 #: Beginnings of words that are terms besides whole words, in characters.
 BEGINNINGS = (4, 5, 6)
-#: Chi-square with one degree of freedom from which a term counts as standing out, and its least number of examples.
-STANDS_OUT, LEAST = 30.0, 3
-#: How many times as frequent a term must be among toxic examples as among the others.
-LIFT = 10.0
-SHRINK = 0.5
+#: Exponent of a cosine in its vote, and the weight of the rate among all votes.
+CLOSENESS, SHRINK = 4, 0.5
 #: Rows whose crc32(id as text) mod 5 is 0 are held out; 1 calibrates; 2, 3 and 4 are indexed.
 FOLD = "pmod(crc32(cast(cast({0} as string) as binary)), 5)"
 
@@ -48,107 +52,138 @@ def word_terms(word: bytes) -> list[bytes]:
 
 
 class Terms(dict):
-    """word -> numbers of its terms, filled as words come; only the numbers of selected terms."""
+    """word -> numbers of its terms that the index has, filled as words come."""
 
     LIMIT = 250_000
 
-    def __init__(self, vocabulary: dict[bytes, int]) -> None:
+    def __init__(self, terms: list[bytes]) -> None:
         super().__init__()
-        self.vocabulary = vocabulary
+        self.number = {t: i for i, t in enumerate(terms)}
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= self.LIMIT:
             self.clear()
-        got = self.vocabulary.get
+        got = self.number.get
         found = self[word] = tuple(i for t in word_terms(word) if (i := got(t)) is not None)
         return found
 
-    def counts(self, text: bytes) -> Counter[int]:
-        out: Counter[int] = Counter()
-        for found in filter(None, map(self.__getitem__, plain_words(text))):
-            out.update(found)
-        return out
+    def counts(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, frequencies) of a text, terms ascending."""
+        found = np.fromiter(chain.from_iterable(map(self.__getitem__, plain_words(text))), np.int64)
+        return np.unique(found, return_counts=True)
 
 
-@dataclass
-class Index:
-    """Postings of unit TF-IDF vectors, in blocks of BLOCK examples with their largest weights."""
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after another."""
+    return np.repeat(start - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum()) if len(start) else np.zeros(0, np.int64)
 
-    idf: np.ndarray
-    ids: list[int]
-    toxic: np.ndarray
-    postings: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
-    blocks: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
-
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        raw = {t: (1 + math.log(n)) * float(self.idf[t]) for t, n in sorted(counts.items())}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {t: w / norm for t, w in raw.items()} if norm else {}
-
-    def fill(self, examples: list[dict[int, int]]) -> Index:
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for i, counts in enumerate(examples):
-            for t, w in self.vector(counts).items():
-                lists.setdefault(t, []).append((i, w))
-        for t, entries in lists.items():
-            where = np.array([i for i, _ in entries])
-            weight = np.array([w for _, w in entries])
-            block, first = np.unique(where // BLOCK, return_index=True)
-            self.postings[t] = where, weight
-            self.blocks[t] = block, np.maximum.reduceat(weight, first), np.r_[first, len(where)]
-        return self
-
-    def nearest(self, query: dict[int, float], k: int) -> list[tuple[int, float]]:
-        """The k examples of largest cosine above 0 as (number, cosine); ties go to the smaller number."""
-        terms = [(t, w) for t, w in query.items() if t in self.postings]
-        if not terms:
-            return []
-        n = len(self.ids) // BLOCK + 1
-        bound = np.zeros(n)
-        for t, w in terms:
-            block, most, _ = self.blocks[t]
-            bound[block] += w * most
+
+class Index:
+    """Postings of n examples as (offset by term, example, weight), and the long ones of them by blocks as well."""
+
+    def __init__(self, n: int, offset: np.ndarray, example: np.ndarray, value: np.ndarray, block: int = BLOCK) -> None:
+        self.n, self.offset, self.example, self.value, self.block = n, offset, example, value, block
+        self.length = np.diff(offset)
+        self.blocks = -(-n // block)
+        long = np.flatnonzero(self.length > max(block, n // LONG))
+        self.row = np.full(len(self.length), -1, np.int64)
+        self.row[long] = np.arange(len(long))
+        held = _ranges(offset[long], self.length[long])
+        dense = np.zeros((self.blocks, len(long), block), np.float32)
+        dense[example[held] // block, np.repeat(self.row[long], self.length[long]), example[held] % block] = value[held]
+        self.most = np.ascontiguousarray(dense.max(axis=2, initial=0).T)
+        self.dense, self.long = dense.reshape(-1, block), len(long)
+
+    @staticmethod
+    def of(examples: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK) -> Index:
+        """From the examples' unit vectors (terms, weights)."""
+        of = np.repeat(np.arange(len(examples)), [len(t) for t, _ in examples])
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in examples)])
+        value = np.concatenate([np.zeros(0), *(w for _, w in examples)])
+        order = np.argsort(term, kind="stable")
+        offset = np.r_[0, np.cumsum(np.bincount(term, minlength=terms))]
+        return Index(len(examples), offset, of[order].astype(np.int32), value[order].astype(np.float32), block)
+
+    def added(self, terms: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """What the lists of these terms add to each example, blocks filled up with zeros."""
+        length = self.length[terms]
+        at = _ranges(self.offset[terms], length)
+        return np.bincount(self.example[at], weights=self.value[at] * np.repeat(q, length), minlength=self.blocks * self.block)
+
+    def nearest(self, terms: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the k largest cosines above 0, nearest first; ties go to the smaller number."""
+        row = self.row[terms]
+        long = row >= 0
+        exact = self.added(terms[~long], q[~long]).reshape(self.blocks, self.block)
+        row, w = row[long], q[long].astype(np.float32)
+        bound = exact.max(axis=1, initial=0) + w @ self.most[row] if len(row) else exact.max(axis=1, initial=0)
         order = np.argsort(-bound, kind="stable")
-        best: list[tuple[float, int]] = []
-        for b in order:
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
+        where, score, least, at, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 8
+        while at < len(order) and bound[order[at]] > 0:
+            part = order[at : at + step]
+            part = part[(bound[part] >= least - 1e-5) & (bound[part] > 0)]
+            if not len(part):
                 break
-            score = np.zeros(BLOCK)
-            for t, w in terms:
-                block, _, first = self.blocks[t]
-                j = int(np.searchsorted(block, b))
-                if j < len(block) and block[j] == b:
-                    where, weight = self.postings[t]
-                    part = slice(first[j], first[j + 1])
-                    score[where[part] - b * BLOCK] += w * weight[part]
-            hit = np.flatnonzero(score > 0)
-            best = sorted(best + [(-round(float(score[i]), 12), int(b) * BLOCK + int(i)) for i in hit])[:k]
-        return [(i, -s) for s, i in best]
+            found = exact[part]
+            if len(row):
+                found = found + np.matmul(w, self.dense[part[:, None] * self.long + row])
+            found = np.round(found, 6)
+            b, i = np.nonzero((found > 0) & (found >= least))
+            where, score = np.r_[where, part[b] * self.block + i], np.r_[score, found[b, i]]
+            best = np.lexsort((where, -score))[:k]
+            where, score = where[best], score[best]
+            least = score[-1] if len(score) == k else 0.0
+            at, step = at + step, 2 * step
+        return where, score
 
 
 @dataclass
 class Model:
-    vocabulary: dict[bytes, int]
-    index: Index
+    """What is broadcast: terms with their weights, postings, and the examples' ids and classes."""
+
+    terms: bytes
+    weight: np.ndarray
+    n: int
+    offset: np.ndarray
+    example: np.ndarray
+    value: np.ndarray
+    ids: np.ndarray
+    toxic: np.ndarray
     rate: float
     slope: float = 1.0
     shift: float = 0.0
     nearest: int = NEAREST
 
-    def vote(self, counts: dict[int, int]) -> tuple[float, list[int]]:
+    def ready(self) -> tuple[Terms, Index]:
+        """The tables that a worker builds once."""
+        if not hasattr(self, "_ready"):
+            self._ready = Terms(self.terms.split(b"\n") if self.terms else []), Index(self.n, self.offset, self.example, self.value)
+        return self._ready
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_ready"}
+
+    def vote(self, text: bytes) -> tuple[float, list[int]]:
         """Log odds of the weighted vote, and the ids of the nearest examples."""
-        near = self.index.nearest(self.index.vector(counts), self.nearest) if counts else []
-        weight = [c * c for _, c in near]
-        for_toxic = sum(w for w, (i, _) in zip(weight, near, strict=True) if self.index.toxic[i])
-        p = (for_toxic + SHRINK * self.rate) / (sum(weight) + SHRINK)
+        terms, index = self.ready()
+        at, count = terms.counts(text)
+        near, cosine = index.nearest(at, unit(count, self.weight[at]), self.nearest) if len(at) else (np.zeros(0, np.int64), np.zeros(0))
+        w = cosine**CLOSENESS
+        p = float(((w * self.toxic[near]).sum() + SHRINK * self.rate) / (w.sum() + SHRINK))
         p = min(max(p, 1e-6), 1 - 1e-6)
-        return math.log(p / (1 - p)), [self.index.ids[i] for i, _ in near]
+        return math.log(p / (1 - p)), self.ids[near].tolist()
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
-        z, near = self.vote(counts)
+    def score(self, text: bytes) -> tuple[float, list[int]]:
+        z, near = self.vote(text)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * z + self.shift)))), near
 
 
+def unit(count: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights of a text's terms at unit length."""
+    raw = (1 + np.log(count)) * weight
+    return raw / math.sqrt(float((raw * raw).sum()) or 1.0)
+
+
 def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope (at least 0) and shift of a logistic calibration with the usual smoothed targets."""
     pos, neg = y.sum(), len(y) - y.sum()
@@ -183,30 +218,51 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _vectors(vocabulary: dict[bytes, int], with_frequency: bool):
-    """Examples to their term counts, or documents to this task's document frequencies."""
+def _frequencies(terms: bytes):
+    """Documents to (term, df) of this task; term -1 counts the documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, n = Terms(terms.split(b"\n")), 0
+        df = np.zeros(len(known.number), np.int64)
+        for batch in batches:
+            n += batch.num_rows
+            for text in utf8(batch.column(0)):
+                df[known.counts(text)[0]] += 1
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some].astype(np.int32)), pa.array(np.r_[n, df[some]])], names=["term", "df"])
+
+    return run
+
+
+def _vectors(terms: bytes):
+    """Examples to their term counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, frequency, n = Terms(vocabulary), Counter(), 0
+        known = Terms(terms.split(b"\n"))
         for batch in batches:
-            found = [terms.counts(t) for t in utf8(batch.column("text"))]
-            if with_frequency:
-                n += len(found)
-                for counts in found:
-                    frequency.update(counts.keys())
-            else:
-                pairs = [sorted(c.items()) for c in found]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("fold"), batch.column("toxic"), pa.array([[t for t, _ in p] for p in pairs], pa.list_(pa.int32())), pa.array([[c for _, c in p] for p in pairs], pa.list_(pa.int32()))],
-                    names=["doc_id", "fold", "toxic", "terms", "counts"],
-                )
-        if with_frequency:
-            items = [(-1, n), *frequency.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in items], pa.int32()), pa.array([c for _, c in items], pa.int64())], names=["term", "df"])
+            pairs = [known.counts(t) for t in utf8(batch.column("text"))]
+            lists = [pa.array([p[k] for p in pairs], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *lists], names=["doc_id", "toxic", "terms", "counts"])
 
     return run
 
 
+def _votes(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = [shared.value.vote(t)[0] for t in utf8(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array(z, pa.float64()), batch.column("toxic")], names=["z", "toxic"])
+
+    return run
+
+
+def resembling(index: Index, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """An order of the examples in which those nearest to the same of about sqrt(n) seeds stand together."""
+    seeds = np.unique(np.linspace(0, index.n - 1, math.isqrt(index.n)).astype(int))
+    cosine = np.stack([index.added(*vectors[i])[: index.n] for i in seeds])
+    return np.lexsort((np.arange(index.n), -cosine.max(axis=0).round(6), cosine.round(6).argmax(axis=0)))
+
+
 def labelled(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", examples: int = EXAMPLES) -> DataFrame:
     """(doc_id, toxic, fold): at most ``examples`` rows of each class and use, those with the smallest hash of the id.
 
@@ -226,8 +282,8 @@ def labelled(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic"
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS, nearest: int = NEAREST) -> Model:
-    """Select terms and index examples from a bounded labelled sample, with document frequencies from all of ``docs``."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, nearest: int = NEAREST) -> Model:
+    """Index a bounded labelled sample by all its terms, with document frequencies from all of ``docs``."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     chosen = materialize(labelled(labels, id_col, label_col, examples))
     sample = materialize(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "fold", "toxic", "text"))
@@ -236,33 +292,36 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     totals = {r.toxic: r.n for r in sample.where("fold > 1").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     rate = _rate(labels, id_col, label_col)
+    none = np.zeros(0)
     if not n1 or not n0:
-        return Model({}, Index(np.zeros(0), [], np.zeros(0)), rate, nearest=nearest)
-    counted = (
+        return Model(b"", none, 0, np.zeros(1, np.int64), none.astype(int), none, none, none, rate, nearest=nearest)
+    found = (
         sample.where("fold > 1").select("text", "toxic").mapInArrow(_term_counts, "term binary, n_toxic long, n_clean long")
-        .groupBy("term").agg(F.sum("n_toxic").cast("double").alias("a"), F.sum("n_clean").cast("double").alias("b"))
+        .groupBy("term").agg(F.sum("n_toxic").alias("a"), F.sum("n_clean").alias("b")).toArrow().sort_by("term")
     )
+    terms = b"\n".join(found["term"].to_pylist())
+    a, b = (found[c].to_numpy().astype(float) for c in ("a", "b"))
     n = n1 + n0
-    chi = F.pow(F.col("a") * (n0 - F.col("b")) - F.col("b") * (n1 - F.col("a")), 2) * n / ((F.col("a") + F.col("b")) * (n - F.col("a") - F.col("b")) * float(n1) * float(n0))
-    standing = (
-        counted.where((F.col("a") >= LEAST) & (F.col("a") * n0 > LIFT * F.col("b") * n1) & (F.col("a") + F.col("b") < n))
-        .select("term", chi.alias("chi")).where(F.col("chi") >= STANDS_OUT).orderBy(F.desc("chi"), "term").limit(terms)
-    )
-    vocabulary = {bytes(r.term): i for i, r in enumerate(standing.collect())}
-    frequency = {
-        r.term: r.df
-        for r in texts.select("text").mapInArrow(_vectors(vocabulary, True), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
-    }
-    total = frequency.pop(-1, 0)
-    idf = np.array([math.log((1 + total) / (1 + frequency.get(i, 0))) + 1 for i in range(len(vocabulary))])
-    rows = sample.mapInArrow(_vectors(vocabulary, False), "doc_id long, fold int, toxic int, terms array<int>, counts array<int>").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.terms, r.counts))
-    held = [r for r in rows if r.fold > 1 and r.terms]
-    index = Index(idf, [r.doc_id for r in held], np.array([r.toxic for r in held])).fill([dict(zip(r.terms, r.counts, strict=True)) for r in held])
-    model = Model(vocabulary, index, rate, nearest=nearest)
-    check = [r for r in rows if r.fold == 1]
-    z = np.array([model.vote(dict(zip(r.terms, r.counts, strict=True)))[0] for r in check])
-    model.slope, model.shift = platt(z, np.array([r.toxic for r in check]))
+    every = a + b
+    chi = np.where(every < n, (a * (n0 - b) - b * (n1 - a)) ** 2 * n / (every * np.maximum(n - every, 1) * n1 * n0), 0.0)
+    counted = texts.select("text").mapInArrow(_frequencies(terms), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(len(a) + 1)
+    df[counted["term"].to_numpy()] = counted["df"].to_numpy()  # the last place, -1, is the number of documents
+    weight = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * np.sqrt(1 + chi)
+    rows = sample.where("fold > 1").mapInArrow(_vectors(terms), "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow()
+    rows = rows.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    vectors = []
+    for t, c in zip(rows["terms"], rows["counts"], strict=True):
+        at = t.values.to_numpy().astype(np.int64)
+        vectors.append((at, unit(c.values.to_numpy(), weight[at])))
+    order = resembling(Index.of(vectors, len(a)), vectors)
+    index = Index.of([vectors[i] for i in order], len(a))
+    model = Model(terms, weight, index.n, index.offset, index.example, index.value, rows["doc_id"].to_numpy()[order], rows["toxic"].to_numpy()[order], rate, nearest=nearest)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    checked = sample.where("fold = 1").select("text", "toxic").mapInArrow(_votes(shared), "z double, toxic int").toArrow()
+    z, y = checked["z"].to_numpy(), checked["toxic"].to_numpy()
+    by = np.lexsort((y, z))
+    model.slope, model.shift = platt(z[by], y[by])
     return model
 
 
@@ -275,24 +334,23 @@ def _rate(labels: DataFrame, id_col: str, label_col: str) -> float:
 def score_column(model: Model, docs: DataFrame, text_col: str = "text") -> F.Column:
     """struct (score, evidence) for a text column: the calibrated probability and the ids of the nearest examples.
 
-    A null, empty or wholly unknown text has no neighbours and gets the calibrated rate.
+    A null or empty text, and one without any word of the examples, has no neighbours and gets the calibrated rate. A very long text is one
+    vector like any other; equal texts get equal scores.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<score:double,evidence:array<long>>")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m = shared.value
-        terms, known = Terms(m.vocabulary), {}
+        m, known = shared.value, {}
         kind = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.int64()))])
         for batch in batches:
             out = []
             for text in utf8(batch):
-                counts = terms.counts(text)
-                key = tuple(sorted(counts.items()))
+                key = xxhash.xxh3_128_digest(text)
                 if key not in known:
-                    if len(known) > 50_000:
+                    if len(known) > 20_000:
                         known.clear()
-                    p, near = m.score(counts)
+                    p, near = m.score(text)
                     known[key] = {"score": p, "evidence": near}
                 out.append(known[key])
             yield pa.array(out, type=kind)
@@ -303,7 +361,8 @@ def score_column(model: Model, docs: DataFrame, text_col: str = "text") -> F.Col
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, evidence) for every row; repeated rows and null ids are scored like any other.
 
-    Without labels of both classes every row gets the smoothed rate of toxic labels, 0.25 without any.
+    Without labels of both classes every row gets the smoothed rate of toxic labels, 0.25 without any. An empty table gives an
+    empty result. Other columns are not read, whatever their names.
     """
     model = fit(docs, labels, id_col, text_col)
     found = docs.select(F.col(id_col).alias("doc_id"), score_column(model, docs, text_col).alias("s"))
@@ -311,7 +370,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", at: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is below ``at``."""
+    """The rows of ``docs``, all columns, whose score is below ``at``.
+
+    Null texts, null ids and repeated rows are judged by their text like any other. Without labels of both classes all rows
+    stay, as the rate is below ``at`` unless most labels are toxic; an empty table stays empty.
+    """
     model = fit(docs, labels, text_col=text_col)
     name = unused(docs, "score")
     scored = docs.select("*", score_column(model, docs, text_col)["score"].alias(name))
