@@ -24,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,26 +52,44 @@ def word_terms(word: bytes) -> list[bytes]:
     return out
 
 
-class Terms(dict):
-    """word -> numbers of its terms that the index has, filled as words come."""
-
-    LIMIT = 250_000
+class Terms:
+    """The numbers of the terms that the index has, looked up for many texts at once."""
 
     def __init__(self, terms: list[bytes]) -> None:
-        super().__init__()
-        self.number = {t: i for i, t in enumerate(terms)}
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        got = self.number.get
-        found = self[word] = tuple(i for t in word_terms(word) if (i := got(t)) is not None)
-        return found
-
-    def counts(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, frequencies) of a text, terms ascending."""
-        found = np.fromiter(chain.from_iterable(map(self.__getitem__, plain_words(text))), np.int64)
-        return np.unique(found, return_counts=True)
+        self.known = pa.array(terms, pa.binary())
+
+    def counts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, frequency) of all texts, ascending by text and term."""
+        words = [plain_words(t) for t in texts]
+        of = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+        coded = pa.array(list(chain.from_iterable(words)), pa.binary()).dictionary_encode()
+        try:
+            unique = coded.dictionary.cast(pa.string())
+        except pa.ArrowInvalid:
+            unique = pa.array([w.decode("utf-8", "replace") for w in coded.dictionary.to_pylist()], pa.string())
+        size = pc.utf8_length(unique)
+        spelt = [coded.dictionary]
+        for n in BEGINNINGS:
+            longer = pc.if_else(pc.greater(size, n), pc.utf8_slice_codeunits(unique, 0, n), None)
+            spelt.append(pc.binary_join_element_wise(longer, "*", "").cast(pa.binary()))
+        found = pc.index_in(pa.chunked_array(spelt), value_set=self.known, skip_nulls=True).combine_chunks()
+        number = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).reshape(len(spelt), -1)[:, coded.indices.to_numpy()]
+        has = number >= 0
+        key, count = np.unique((of << 32 | number)[has], return_counts=True)
+        return key >> 32, key & 0xFFFFFFFF, count
+
+
+def parts(texts: list[bytes], most: int = 4 << 20) -> Iterator[list[bytes]]:
+    """The texts in lists of about ``most`` bytes, at most 2048 each."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t)
+        if size >= most or len(some) == 2048:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
 
 def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -89,52 +108,55 @@ class Index:
         self.row = np.full(len(self.length), -1, np.int64)
         self.row[long] = np.arange(len(long))
         held = _ranges(offset[long], self.length[long])
-        dense = np.zeros((self.blocks, len(long), block), np.float32)
-        dense[example[held] // block, np.repeat(self.row[long], self.length[long]), example[held] % block] = value[held]
-        self.most = np.ascontiguousarray(dense.max(axis=2, initial=0).T)
-        self.dense, self.long = dense.reshape(-1, block), len(long)
-
-    @staticmethod
-    def of(examples: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK) -> Index:
-        """From the examples' unit vectors (terms, weights)."""
-        of = np.repeat(np.arange(len(examples)), [len(t) for t, _ in examples])
-        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in examples)])
-        value = np.concatenate([np.zeros(0), *(w for _, w in examples)])
-        order = np.argsort(term, kind="stable")
-        offset = np.r_[0, np.cumsum(np.bincount(term, minlength=terms))]
-        return Index(len(examples), offset, of[order].astype(np.int32), value[order].astype(np.float32), block)
-
-    def added(self, terms: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """What the lists of these terms add to each example, blocks filled up with zeros."""
-        length = self.length[terms]
-        at = _ranges(self.offset[terms], length)
-        return np.bincount(self.example[at], weights=self.value[at] * np.repeat(q, length), minlength=self.blocks * self.block)
-
-    def nearest(self, terms: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k largest cosines above 0, nearest first; ties go to the smaller number."""
+        self.dense = np.zeros((self.blocks, len(long), block), np.float32)
+        self.dense[example[held] // block, np.repeat(self.row[long], self.length[long]), example[held] % block] = value[held]
+        self.most = np.ascontiguousarray(self.dense.max(axis=2, initial=0).T)
+
+    def nearest(self, of: np.ndarray, terms: np.ndarray, q: np.ndarray, queries: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (examples, cosines) of the k largest cosines above 0, nearest first; ties go to the smaller number.
+
+        ``of``, ``terms`` and ``q`` are the queries' terms and weights.
+        """
+        width = self.blocks * self.block
         row = self.row[terms]
         long = row >= 0
-        exact = self.added(terms[~long], q[~long]).reshape(self.blocks, self.block)
-        row, w = row[long], q[long].astype(np.float32)
-        bound = exact.max(axis=1, initial=0) + w @ self.most[row] if len(row) else exact.max(axis=1, initial=0)
-        order = np.argsort(-bound, kind="stable")
-        where, score, least, at, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 8
-        while at < len(order) and bound[order[at]] > 0:
-            part = order[at : at + step]
-            part = part[(bound[part] >= least - 1e-5) & (bound[part] > 0)]
-            if not len(part):
-                break
-            found = exact[part]
-            if len(row):
-                found = found + np.matmul(w, self.dense[part[:, None] * self.long + row])
-            found = np.round(found, 6)
-            b, i = np.nonzero((found > 0) & (found >= least))
-            where, score = np.r_[where, part[b] * self.block + i], np.r_[score, found[b, i]]
-            best = np.lexsort((where, -score))[:k]
-            where, score = where[best], score[best]
-            least = score[-1] if len(score) == k else 0.0
-            at, step = at + step, 2 * step
-        return where, score
+        length = self.length[terms[~long]]
+        at = _ranges(self.offset[terms[~long]], length)
+        exact = np.bincount(np.repeat(of[~long] * width, length) + self.example[at], weights=self.value[at] * np.repeat(q[~long], length), minlength=queries * width).astype(float)
+        score = exact.reshape(queries, self.blocks, self.block)
+        dense = np.zeros((queries, len(self.most)), np.float32)
+        dense[of[long], row[long]] = q[long]
+        bound = score.max(axis=2, initial=0) + dense @ self.most + 1e-5
+        k = min(k, width)
+        seen = np.zeros((queries, self.blocks), bool)
+        first = np.argsort(-bound, axis=1, kind="stable")[:, : -(-2 * k // self.block) + 1]
+        np.put_along_axis(seen, first, True, axis=1)
+        self._add(score, dense, seen)
+        least = np.partition(np.where(seen[:, :, None], score, 0.0).reshape(queries, width), width - k, axis=1)[:, width - k]
+        more = (bound >= least[:, None]) & ~seen
+        self._add(score, dense, more)
+        score = np.where((seen | more)[:, :, None], np.round(score, 6), 0.0).reshape(queries, width)
+        some = np.argpartition(-score, k - 1, axis=1)[:, :k]
+        least = np.take_along_axis(score, some, axis=1).min(axis=1, initial=np.inf)
+        out = []
+        for s, low in zip(score, least, strict=True):
+            where = np.flatnonzero((s >= low) & (s > 0))
+            best = where[np.lexsort((where, -s[where]))[:k]]
+            out.append((best, s[best]))
+        return out
+
+    def _add(self, score: np.ndarray, dense: np.ndarray, wanted: np.ndarray) -> None:
+        """Add what long lists give to the wanted blocks of each query."""
+        for b in np.flatnonzero(wanted.any(axis=0)):
+            some = np.flatnonzero(wanted[:, b])
+            score[some, b] += dense[some] @ self.dense[b]
+
+
+def postings(examples: int, of: np.ndarray, terms: np.ndarray, value: np.ndarray, n_terms: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """What an Index is made of: (n, offset, example, value), from the unit vectors of examples."""
+    order = np.argsort(terms, kind="stable")
+    offset = np.r_[0, np.cumsum(np.bincount(terms, minlength=n_terms))]
+    return examples, offset, of[order].astype(np.int32), value[order].astype(np.float32)
 
 
 @dataclass
@@ -160,28 +182,32 @@ class Model:
             self._ready = Terms(self.terms.split(b"\n") if self.terms else []), Index(self.n, self.offset, self.example, self.value)
         return self._ready
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_ready"}
-
-    def vote(self, text: bytes) -> tuple[float, list[int]]:
-        """Log odds of the weighted vote, and the ids of the nearest examples."""
+    def votes(self, texts: list[bytes]) -> list[tuple[float, list[int]]]:
+        """Log odds of the weighted vote, and the ids of the nearest examples, for each text."""
         terms, index = self.ready()
-        at, count = terms.counts(text)
-        near, cosine = index.nearest(at, unit(count, self.weight[at]), self.nearest) if len(at) else (np.zeros(0, np.int64), np.zeros(0))
-        w = cosine**CLOSENESS
-        p = float(((w * self.toxic[near]).sum() + SHRINK * self.rate) / (w.sum() + SHRINK))
-        p = min(max(p, 1e-6), 1 - 1e-6)
-        return math.log(p / (1 - p)), self.ids[near].tolist()
-
-    def score(self, text: bytes) -> tuple[float, list[int]]:
-        z, near = self.vote(text)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * z + self.shift)))), near
-
-
-def unit(count: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Weights of a text's terms at unit length."""
+        out = []
+        for some in parts(texts) if self.n else ():
+            of, at, count = terms.counts(some)
+            q = unit(of, count, self.weight[at])
+            for a in range(0, len(some), 64):
+                part = slice(*np.searchsorted(of, (a, a + 64)))
+                for near, cosine in index.nearest(of[part] - a, at[part], q[part], min(64, len(some) - a), self.nearest):
+                    w = cosine**CLOSENESS
+                    out.append((self.odds(float((w * self.toxic[near]).sum()), float(w.sum())), self.ids[near].tolist()))
+        return out if self.n else [(self.odds(0.0, 0.0), [])] * len(texts)
+
+    def odds(self, toxic: float, every: float) -> float:
+        p = min(max((toxic + SHRINK * self.rate) / (every + SHRINK), 1e-6), 1 - 1e-6)
+        return math.log(p / (1 - p))
+
+    def scores(self, texts: list[bytes]) -> list[tuple[float, list[int]]]:
+        return [(1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * z + self.shift)))), near) for z, near in self.votes(texts)]
+
+
+def unit(of: np.ndarray, count: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights of texts' terms, each text at unit length."""
     raw = (1 + np.log(count)) * weight
-    return raw / math.sqrt(float((raw * raw).sum()) or 1.0)
+    return raw / np.sqrt(np.bincount(of, weights=raw * raw))[of] if len(of) else raw
 
 
 def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -223,11 +249,11 @@ def _frequencies(terms: bytes):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, n = Terms(terms.split(b"\n")), 0
-        df = np.zeros(len(known.number), np.int64)
+        df = np.zeros(len(known.known), np.int64)
         for batch in batches:
             n += batch.num_rows
-            for text in utf8(batch.column(0)):
-                df[known.counts(text)[0]] += 1
+            for texts in parts(utf8(batch.column(0))):
+                df += np.bincount(known.counts(texts)[1], minlength=len(df))
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some].astype(np.int32)), pa.array(np.r_[n, df[some]])], names=["term", "df"])
 
@@ -240,9 +266,13 @@ def _vectors(terms: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Terms(terms.split(b"\n"))
         for batch in batches:
-            pairs = [known.counts(t) for t in utf8(batch.column("text"))]
-            lists = [pa.array([p[k] for p in pairs], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *lists], names=["doc_id", "toxic", "terms", "counts"])
+            at = 0
+            for texts in parts(utf8(batch.column("text"))):
+                of, term, count = known.counts(texts)
+                stop = pa.array(np.searchsorted(of, np.arange(len(texts) + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(stop, pa.array(x.astype(np.int32))) for x in (term, count)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), batch.column("toxic").slice(at, len(texts)), *lists], names=["doc_id", "toxic", "terms", "counts"])
+                at += len(texts)
 
     return run
 
@@ -250,17 +280,27 @@ def _vectors(terms: bytes):
 def _votes(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = [shared.value.vote(t)[0] for t in utf8(batch.column("text"))]
+            z = [z for z, _ in shared.value.votes(utf8(batch.column("text")))]
             yield pa.RecordBatch.from_arrays([pa.array(z, pa.float64()), batch.column("toxic")], names=["z", "toxic"])
 
     return run
 
 
-def resembling(index: Index, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """An order of the examples in which those nearest to the same of about sqrt(n) seeds stand together."""
-    seeds = np.unique(np.linspace(0, index.n - 1, math.isqrt(index.n)).astype(int))
-    cosine = np.stack([index.added(*vectors[i])[: index.n] for i in seeds])
-    return np.lexsort((np.arange(index.n), -cosine.max(axis=0).round(6), cosine.round(6).argmax(axis=0)))
+def resembling(n: int, of: np.ndarray, terms: np.ndarray, value: np.ndarray, n_terms: int) -> np.ndarray:
+    """A place for each example, such that those nearest to the same of about sqrt(n) seeds stand together."""
+    seeds = np.unique(np.linspace(0, n - 1, math.isqrt(n)).astype(int))
+    stop = np.searchsorted(of, np.arange(n + 1))
+    nearest, cosine = np.zeros(n, np.int64), np.full(n, -1.0)
+    for s in seeds:
+        part = slice(stop[s], stop[s + 1])
+        seed = np.zeros(n_terms)
+        seed[terms[part]] = value[part]
+        c = np.bincount(of, weights=value * seed[terms], minlength=n).round(6)
+        nearer = c > cosine
+        nearest[nearer], cosine[nearer] = s, c[nearer]
+    place = np.empty(n, np.int64)
+    place[np.lexsort((np.arange(n), -cosine, nearest))] = np.arange(n)
+    return place
 
 
 def labelled(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", examples: int = EXAMPLES) -> DataFrame:
@@ -309,14 +349,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     df[counted["term"].to_numpy()] = counted["df"].to_numpy()  # the last place, -1, is the number of documents
     weight = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * np.sqrt(1 + chi)
     rows = sample.where("fold > 1").mapInArrow(_vectors(terms), "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-    vectors = []
-    for t, c in zip(rows["terms"], rows["counts"], strict=True):
-        at = t.values.to_numpy().astype(np.int64)
-        vectors.append((at, unit(c.values.to_numpy(), weight[at])))
-    order = resembling(Index.of(vectors, len(a)), vectors)
-    index = Index.of([vectors[i] for i in order], len(a))
-    model = Model(terms, weight, index.n, index.offset, index.example, index.value, rows["doc_id"].to_numpy()[order], rows["toxic"].to_numpy()[order], rate, nearest=nearest)
+    rows = rows.sort_by([("doc_id", "ascending"), ("toxic", "ascending")]).combine_chunks()
+    at, count = (pc.list_flatten(rows[c]).to_numpy() for c in ("terms", "counts"))
+    of = np.repeat(np.arange(len(rows), dtype=np.int32), pc.list_value_length(rows["terms"]).to_numpy())
+    value = unit(of, count, weight[at]).astype(np.float32)
+    place = resembling(len(rows), of, at, value, len(a))
+    model = Model(terms, weight, *postings(len(rows), place[of], at, value, len(a)), *(rows[c].to_numpy()[np.argsort(place)] for c in ("doc_id", "toxic")), rate, nearest=nearest)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     checked = sample.where("fold = 1").select("text", "toxic").mapInArrow(_votes(shared), "z double, toxic int").toArrow()
     z, y = checked["z"].to_numpy(), checked["toxic"].to_numpy()
@@ -344,16 +382,14 @@ def score_column(model: Model, docs: DataFrame, text_col: str = "text") -> F.Col
         m, known = shared.value, {}
         kind = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.int64()))])
         for batch in batches:
-            out = []
-            for text in utf8(batch):
-                key = xxhash.xxh3_128_digest(text)
-                if key not in known:
-                    if len(known) > 20_000:
-                        known.clear()
-                    p, near = m.score(text)
-                    known[key] = {"score": p, "evidence": near}
-                out.append(known[key])
-            yield pa.array(out, type=kind)
+            texts = utf8(batch)
+            keys = [xxhash.xxh3_128_digest(t) for t in texts]
+            new = {k: t for k, t in zip(keys, texts, strict=True) if k not in known}
+            fresh = {k: {"score": p, "evidence": near} for k, (p, near) in zip(new, m.scores(list(new.values())), strict=True)}
+            yield pa.array([fresh.get(k) or known[k] for k in keys], type=kind)
+            if len(known) + len(fresh) > 20_000:
+                known.clear()
+            known |= fresh
 
     return score(F.col(text_col))
 

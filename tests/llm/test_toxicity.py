@@ -24,16 +24,30 @@ def test_nearest_equals_exact_cosine():
     dense = np.zeros((700, 2000))
     for i, (at, w) in enumerate(vectors):
         dense[i, at] = w
+    of = np.repeat(np.arange(700), [len(at) for at, _ in vectors])
+    flat = [np.concatenate([v[k] for v in vectors]) for k in (0, 1)]
+    asked = [*vectors[:60], (np.array([1999]), np.array([1.0])), (np.zeros(0, int), np.zeros(0))]
     for block in (4, 32):
-        index = toxicity.Index.of(vectors, 2000, block)
-        assert index.long
-        for at, w in [*vectors[:60], (np.array([1999]), np.array([1.0]))]:
+        index = toxicity.Index(*toxicity.postings(700, of, *flat, 2000), block)
+        assert len(index.most)
+        got = index.nearest(np.repeat(np.arange(62), [len(at) for at, _ in asked]), *(np.concatenate([v[k] for v in asked]) for k in (0, 1)), 62, 10)
+        for (at, w), (where, score) in zip(asked, got, strict=True):
             cosine = dense[:, at] @ w
-            where, score = index.nearest(at, w, 10)
             want = sorted((-round(c, 5), i) for i, c in enumerate(cosine) if c > 1e-6)[:10]
             assert np.allclose(score, [-c for c, _ in want], atol=2e-5)
             assert np.allclose(cosine[where], score, atol=2e-6) and (np.diff(score) <= 0).all()
             assert all(a < b for a, b, s, t in zip(where, where[1:], score, score[1:], strict=False) if s == t)
+    place = toxicity.resembling(700, of, *flat, 2000)
+    assert sorted(place) == list(range(700)) and np.ptp(place[300:340]) == 39
+
+
+def test_terms_of_texts_equal_word_by_word():
+    texts = [b"Alpha alphabet ALPHA", b"", "\u00c4pfelchen \u00e4pfel alphabetical".encode(), b"bro\xffken word", b"a " * 300]
+    every = sorted({x for t in texts for w in plain_words(t) for x in toxicity.word_terms(w)} - {b"alpha"})
+    of, term, count = toxicity.Terms(every).counts(texts)
+    got = [{every[t]: n for t, n in zip(term[of == i], count[of == i], strict=True)} for i in range(len(texts))]
+    assert got == [{x: n for x, n in Counter(x for w in plain_words(t) for x in toxicity.word_terms(w)).items() if x != b"alpha"} for t in texts]
+    assert [len(p) for p in toxicity.parts([b"x" * 10] * 7, 25)] == [3, 3, 1]
 
 
 def fold(i):
