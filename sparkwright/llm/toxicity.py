@@ -36,6 +36,8 @@ EXAMPLES, NEAREST = 4096, 15
 BLOCK = 32
 #: Lists with more than one in so many of the examples are long: they are held by blocks.
 LONG = 16
+#: How many blocks of the largest bounds are searched before the others are weighed against what they gave.
+FIRST = 4
 #: Beginnings of words that are terms besides whole words, in characters.
 BEGINNINGS = (4, 5, 6)
 #: Exponent of a cosine in its vote, and the weight of the rate among all votes.
@@ -79,13 +81,13 @@ class Terms:
         return key >> 32, key & 0xFFFFFFFF, count
 
 
-def parts(texts: list[bytes], most: int = 4 << 20) -> Iterator[list[bytes]]:
-    """The texts in lists of about ``most`` bytes, at most 2048 each."""
+def parts(texts: list[bytes], most: int = 2 << 20) -> Iterator[list[bytes]]:
+    """The texts in lists of about ``most`` bytes, at most 1024 each."""
     some, size = [], 0
     for t in texts:
         some.append(t)
         size += len(t)
-        if size >= most or len(some) == 2048:
+        if size >= most or len(some) == 1024:
             yield some
             some, size = [], 0
     if some:
@@ -127,23 +129,21 @@ class Index:
         dense = np.zeros((queries, len(self.most)), np.float32)
         dense[of[long], row[long]] = q[long]
         bound = score.max(axis=2, initial=0) + dense @ self.most + 1e-5
-        k = min(k, width)
+        first = np.argsort(-bound, axis=1, kind="stable")[:, : FIRST + k // self.block]
         seen = np.zeros((queries, self.blocks), bool)
-        first = np.argsort(-bound, axis=1, kind="stable")[:, : -(-2 * k // self.block) + 1]
         np.put_along_axis(seen, first, True, axis=1)
         self._add(score, dense, seen)
-        least = np.partition(np.where(seen[:, :, None], score, 0.0).reshape(queries, width), width - k, axis=1)[:, width - k]
+        tried = np.take_along_axis(score, first[:, :, None], axis=1).reshape(queries, -1)
+        last = max(0, tried.shape[1] - k)
+        least = np.partition(tried, last, axis=1)[:, last] if last else np.zeros(queries)
         more = (bound >= least[:, None]) & ~seen
         self._add(score, dense, more)
-        score = np.where((seen | more)[:, :, None], np.round(score, 6), 0.0).reshape(queries, width)
-        some = np.argpartition(-score, k - 1, axis=1)[:, :k]
-        least = np.take_along_axis(score, some, axis=1).min(axis=1, initial=np.inf)
-        out = []
-        for s, low in zip(score, least, strict=True):
-            where = np.flatnonzero((s >= low) & (s > 0))
-            best = where[np.lexsort((where, -s[where]))[:k]]
-            out.append((best, s[best]))
-        return out
+        score[~(seen | more)] = 0
+        query, where = np.nonzero(exact.reshape(queries, width) >= np.maximum(least - 2e-6, 1e-6)[:, None])
+        found = np.round(exact[query * width + where], 6)
+        best = np.lexsort((where, -found, query))
+        start = np.searchsorted(query, np.arange(queries + 1))
+        return [(where[best[a:b][:k]], found[best[a:b][:k]]) for a, b in zip(start, start[1:], strict=False)]
 
     def _add(self, score: np.ndarray, dense: np.ndarray, wanted: np.ndarray) -> None:
         """Add what long lists give to the wanted blocks of each query."""
