@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwright.functions.components import connected_components
-from sparkwright.llm.text import spaced_words, utf8
+from sparkwright.llm.text import spaced_words, unused, utf8
 from sparkwright.sources.scratch import materialize
 
 SEED = 42
@@ -47,8 +47,8 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): the signed 64-bit fingerprint of every row. A null text counts as empty and has fingerprint 0."""
+def fingerprint_column(text: F.Column, shingle: int = 3) -> F.Column:
+    """The signed 64-bit fingerprint of a text column. A null text counts as empty and has fingerprint 0."""
 
     @F.arrow_udf("long")
     def fp(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -56,7 +56,12 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             values = np.array([fingerprint(t, shingle) for t in utf8(batch)], dtype=np.uint64)
             yield pa.array(values.view(np.int64))
 
-    return docs.select(F.col(id_col).alias("doc_id"), fp(F.col(text_col)).alias("fp"))
+    return fp(text)
+
+
+def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """(doc_id, fp) of every row."""
+    return docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), shingle).alias("fp"))
 
 
 def indexed(fps: DataFrame) -> DataFrame:
@@ -196,29 +201,39 @@ def links(fps: DataFrame, block: int = 4096) -> DataFrame:
     return found.where("hot is null").select("src", "dst").union(crossed.select("src", "dst"))
 
 
+def components(fps: DataFrame, block: int = 4096) -> DataFrame:
+    """(fp, root) of distinct fingerprints: those of one component have the same root."""
+    roots = connected_components(links(fps, block))
+    return fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 4096) -> DataFrame:
     """One row per row of ``docs``: (doc_id, fp, component_id).
 
     component_id is the smallest id that links reach, the row's own included. Repeated rows are rows of their own in one
     component. A null or empty text has fingerprint 0 and is linked like any other; null ids never become a component_id
-    unless all ids of the component are null. Other columns of ``docs`` are not read, whatever their names.
+    unless all ids of the component are null. A very long text is one fingerprint like any other. Other columns of ``docs``
+    are not read, whatever their names; an empty table gives an empty result.
     """
     rows = materialize(with_fingerprints(docs, id_col, text_col))
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(distinct.select("fp"), block))
-    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("root")
-    )
+    placed = distinct.join(components(distinct.select("fp"), block), "fp")
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(ids, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without near-duplicates: of each component the row with the smallest id stays.
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 4096) -> DataFrame:
+    """``docs``, all columns, without near-duplicates: of each component one row stays.
 
-    An id names one document: of rows that repeat it, one stays. Rows without an id stay, as nothing names them.
+    It is the row with the smallest id, null last; among rows that repeat an id, the one with the smallest hash of its text,
+    then the first. A row stays if nothing in another row resembles it, whatever ids repeat. Texts are written once with their row numbers
+    and never shuffled unless the numbers of the rows that stay are too many to be broadcast by Spark's own limit of size.
     """
-    kept = near_duplicates(docs, id_col, text_col).select("component_id").distinct()
-    named = docs.join(kept, docs[id_col] == kept["component_id"], "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(docs[id_col].isNull()))
+    uid, fp = unused(docs, "uid"), unused(docs, "fp")
+    rows = materialize(docs.select("*", F.monotonically_increasing_id().alias(uid), fingerprint_column(F.col(text_col)).alias(fp)))
+    known = rows.select(F.col(fp).alias("fp"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(uid).alias("uid")).alias("row"))
+    firsts = materialize(known.groupBy("fp").agg(F.min("row").alias("row")))
+    stay = firsts.join(components(firsts.select("fp"), block), "fp").groupBy("root").agg(F.min("row").alias("row"))
+    stay = materialize(stay.select(F.col("row.uid").alias(uid)))
+    return rows.join(stay, uid, "left_semi").select(*docs.columns)

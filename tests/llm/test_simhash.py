@@ -87,6 +87,16 @@ def test_one_of_each_stays(edge_docs, empty_docs):
     assert simhash.keep_one_of_each(empty_docs).count() == 0
 
 
+def test_ids_that_repeat_lose_no_text(spark):
+    a, b, c = ("north south east west " * 9, "some other words than these stand here " * 7, "alone " * 3)
+    rows = [(1, a), (1, b), (2, b), (2, c), (None, c), (None, "nobody's copy without an id"), (None, None), (3, a), (3, a), (1, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one_of_each(docs).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, a), (1, b), (2, c), (None, "nobody's copy without an id"), (None, None)], key=repr)
+    plan = simhash.keep_one_of_each(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     got = simhash.near_duplicates(docs).collect()
