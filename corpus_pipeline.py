@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkwright.llm import decontaminate, packing, pii, simhash, toxicity
-from sparkwright.sources.scratch import materialize, read_table
+from sparkwright.sources.scratch import discard, materialize, read_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +15,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near-duplicates one document stays, that of the smallest id."""
     return simhash.keep_one_of_each(docs)
 
 
@@ -46,10 +46,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again before the next stage."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result is written and read again before the next stage, and its input goes."""
+    docs = given = read_table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = materialize(docs)
+            out = materialize(out)
+            if docs is not given:
+                discard(docs)
+        docs = out
     return docs
