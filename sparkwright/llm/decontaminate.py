@@ -5,8 +5,9 @@ length m are searched together: blocks are two adjacent words, a shift table say
 block (m - 1 words for a block in no pattern), and a block that ends patterns leads to the bucket of those patterns, which
 are compared with the text. Most positions are skipped unread, and no pair of document and item is ever made.
 
-The patterns go to the tasks as a broadcast of at most ``bound`` bytes of benchmark text; a larger benchmark is searched in
-that many parts, whose hits are united, so none is left out.
+The patterns go to the tasks as a broadcast of about ``bound`` bytes of benchmark text, compiled once in a worker. A larger
+benchmark is searched in that many parts, one after another: each part's hits are written, and then united by an equality
+join on the rows' numbers. So neither driver nor task ever holds more than a part, and none is left out.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwright.llm.text import plain_words, unused, utf8
+from sparkwright.sources.scratch import materialize
 
 WINDOW = 13
-#: Bytes of benchmark text whose patterns are held at once; the patterns take some fifty times as much.
+#: Bytes of benchmark text whose patterns are held at once, a larger item aside; the patterns take some fifty times as much.
 BOUND = 4 << 20
 
 
@@ -88,69 +90,93 @@ def united(runs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 FOUND = "struct<n_words:long,runs:array<struct<s:int,e:int>>,items:array<long>>"
+RUNS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+KIND = pa.struct([("n_words", pa.int64()), ("runs", RUNS), ("items", pa.list_(pa.int64()))])
 
 
-def _found(benchmark: list[list[tuple[int, str | None]]], window: int, spark) -> list:
-    """For each part of the benchmark a function from a text column to FOUND."""
-    kind = pa.struct([("n_words", pa.int64()), ("runs", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), ("items", pa.list_(pa.int64()))])
+class Part:
+    """A part of the benchmark; its patterns are compiled where they are first used and stay there."""
 
-    def of(part):
-        shared = spark.sparkContext.broadcast(part)
+    def __init__(self, items: list[tuple[int, str | None]], window: int) -> None:
+        self.items, self.window = items, window
 
-        @F.arrow_udf(FOUND)
-        def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            patterns = compiled(shared.value, window)
-            for batch in batches:
-                rows = []
-                for text in utf8(batch):
-                    words = plain_words(text)
-                    runs, items = hits(words, patterns)
-                    rows.append({"n_words": len(words), "runs": [{"s": s, "e": e} for s, e in runs], "items": sorted(items)})
-                yield pa.array(rows, type=kind)
+    def patterns(self) -> list[Patterns]:
+        if not hasattr(self, "_patterns"):
+            self._patterns = compiled(self.items, self.window)
+        return self._patterns
 
-        return search
+    def __getstate__(self) -> dict:
+        return {"items": self.items, "window": self.window}
 
-    return [of(part) for part in benchmark]
 
+def _search(spark: SparkSession, items: list[tuple[int, str | None]], window: int):
+    """A function from a text column to FOUND for these items, and what to free when it is done."""
+    shared = spark.sparkContext.broadcast(Part(items, window))
 
-def _parts(benchmark: DataFrame, item_col: str, text_col: str, bound: int) -> list[list[tuple[int, str | None]]]:
-    parts: list[list] = [[]]
-    size = 0
-    for row in benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        if row.i is None:
-            continue
-        if size + len(row.t or "") > bound and parts[-1]:
-            parts.append([])
-            size = 0
-        parts[-1].append((row.i, row.t))
-        size += len(row.t or "")
-    return parts
+    @F.arrow_udf(FOUND)
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        patterns = shared.value.patterns()
+        for batch in batches:
+            rows = []
+            for text in utf8(batch):
+                words = plain_words(text)
+                runs, found = hits(words, patterns)
+                rows.append({"n_words": len(words), "runs": [{"s": s, "e": e} for s, e in runs], "items": sorted(found)})
+            yield pa.array(rows, type=KIND)
+
+    return search, shared
 
 
 def _united(runs: F.Column) -> F.Column:
     @F.arrow_udf("array<struct<s:int,e:int>>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
         for batch in batches:
-            yield pa.array([[{"s": s, "e": e} for s, e in united((r["s"], r["e"]) for r in runs)] for runs in batch.to_pylist()], type=kind)
+            yield pa.array([[{"s": s, "e": e} for s, e in united((r["s"], r["e"]) for r in runs)] for runs in batch.to_pylist()], type=RUNS)
 
     return of(runs)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, bound: int = BOUND) -> F.Column:
-    """A column of ``docs``: struct (n_words, runs, items) with the hit runs of words and the items that occur.
+def _counted(text: F.Column) -> F.Column:
+    @F.arrow_udf("long")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([len(plain_words(t)) for t in utf8(batch)], pa.int64())
+
+    return of(text)
 
-    A null or empty text has no words and no hits. Repeated items count once; items without an id are left out, items
-    without words have no window. An empty benchmark hits nothing.
+
+def with_contamination(docs: DataFrame, benchmark: DataFrame, name: str = "found", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, bound: int = BOUND) -> DataFrame:
+    """``docs`` with one more column: struct (n_words, runs, items) with the hit runs of words and the items that occur.
+
+    A null or empty text has no words and no hits; a very long text is searched whole. Repeated items count once; items without an id are left out, items
+    without words have no window. Repeated rows and null ids stay rows of their own. An empty benchmark hits nothing, an empty
+    table gives an empty result. ``name`` must be no column of ``docs``; other names don't matter.
     """
-    parts = [search(F.col(text_col)) for search in _found(_parts(benchmark, item_col, item_text_col, bound), window, docs.sparkSession)]
-    if len(parts) == 1:
-        return parts[0]
-    return F.struct(
-        parts[0]["n_words"].alias("n_words"),
-        _united(F.concat(*(p["runs"] for p in parts))).alias("runs"),
-        F.array_sort(F.array_distinct(F.concat(*(p["items"] for p in parts)))).alias("items"),
-    )
+    spark = docs.sparkSession
+    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t"))
+    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    n = max(1, -(-size // bound))
+    if n == 1:
+        search, _ = _search(spark, sorted((r.i, r.t or "") for r in items.collect()), window)
+        return docs.select("*", search(F.col(text_col)).alias(name))
+    items = materialize(items.select("i", "t", F.pmod(F.xxhash64("i", "t"), F.lit(n)).cast("int").alias("part")))
+    uid = unused(docs, "uid")
+    rows = materialize(docs.select("*", F.monotonically_increasing_id().alias(uid)))
+    hit = []
+    for part in range(n):
+        search, shared = _search(spark, sorted((r.i, r.t or "") for r in items.where(F.col("part") == part).collect()), window)
+        found = rows.select(F.col(uid).alias("uid"), search(F.col(text_col)).alias("f")).where(F.size("f.items") > 0)
+        hit.append(materialize(found.select("uid", "f.runs", "f.items")))
+        shared.unpersist()
+    every = hit[0]
+    for h in hit[1:]:
+        every = every.union(h)
+    one = every.groupBy("uid").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    one = one.select(F.col("uid").alias(uid), F.struct(_united(F.col("runs")).alias("runs"), "items").alias(name))
+    of = lambda field, kind: F.coalesce(F.col(name)[field], F.array().cast(kind)).alias(field)
+    joined = rows.join(one, uid, "left")
+    found = F.struct(_counted(F.col(text_col)).alias("n_words"), of("runs", "array<struct<s:int,e:int>>"), of("items", "array<bigint>"))
+    return joined.select(*docs.columns, found.alias(name))
 
 
 def n_hit(found: F.Column) -> F.Column:
@@ -164,9 +190,12 @@ def is_contaminated(found: F.Column) -> F.Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that are not contaminated."""
+    """The rows of ``docs``, all columns, that are not contaminated.
+
+    Null and empty texts stay, repeated rows are judged each for itself; with an empty benchmark all rows stay.
+    """
     name = unused(docs, "found")
-    found = docs.select("*", contamination(docs, benchmark, text_col).alias(name))
+    found = with_contamination(docs, benchmark, name, text_col)
     return found.where(~is_contaminated(F.col(name))).drop(name)
 
 

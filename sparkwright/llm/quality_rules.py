@@ -1,11 +1,14 @@
 """Quality rules by distribution divergence, with DataFrame operations only.
 
 Every text's histogram of character classes and of its language's common words is compared with the language's reference by
-Jensen-Shannon distance (base 2, so between 0 and 1). References are the sums over all documents of a language; texts under a
-minimum length are not judged by a histogram. Simple counts stand beside it: words, symbols, repeated lines, and words within
-three-word windows that the text has twice or more.
+Jensen-Shannon distance (base 2, so between 0 and 1). References are learnt from all documents of a language: its common words
+are those that make up at least a share of all its words, case and punctuation folded. A text is compared with the others
+only: its own counts are taken off the reference first. Texts under a minimum length, and languages with too few other words,
+are not judged by a histogram. Simple counts stand beside it: words, symbols, repeated lines, and words within three-word
+windows that the text has twice or more.
 
-All counts of a text are made within its row; only figures leave the task.
+Counts of a text are made within its row, each class from one rewritten text by differences of length; only figures leave the
+task. References have at most 1 / COMMON words a language and are joined by language.
 """
 
 from __future__ import annotations
@@ -15,102 +18,131 @@ from pyspark.sql import functions as F
 
 from sparkwright.sources.scratch import materialize
 
-#: Common words by language: fixed values. Other languages are compared by the words of all of them.
-COMMON = {
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "it", "for"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "que", "est"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "ist"],
-}
-#: Character classes of words: pattern of a character. What is left of the words' characters is a class of its own.
+#: Share of a language's words from which a word is common, and the words of other texts that a reference needs at least.
+COMMON, LEAST_REFERENCE = 0.002, 10_000
+#: Characters of each class, and the letter that stands for them. What is left is no ASCII.
 CLASSES = {
-    "upper": "[A-Z]",
-    "digit": "[0-9]",
-    "mark": r"[!\"'(),.:;?-]",
-    "symbol": "[#*$%&|<>]",
-    "other": r"[^\x00-\x7F]",
+    "U": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "l": "abcdefghijklmnopqrstuvwxyz",
+    "D": "0123456789",
+    "M": "!\"'(),.:;?-",
+    "S": "#*$%&|<>",
+    " ": "\t\n\x0b\x0c\r ",
 }
+#: All other ASCII characters.
+CLASSES["o"] = "".join(c for c in map(chr, range(128)) if not any(c in of for of in CLASSES.values()))
+#: Most common words of all languages that a plan names.
+FEW = 4000
 SPACE = r"[\x20\x09-\x0D]+"
+NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Distances beyond which a text is dropped, and the numbers of characters and words from which it is judged by them.
-FAR_CLASSES, FAR_WORDS, LEAST_CHARS, LEAST_WORDS = 0.35, 0.27, 200, 100
+FAR_CLASSES, FAR_WORDS, LEAST_CHARS, LEAST_WORDS = 0.25, 0.33, 200, 100
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Per row: the counts of the rules, and both histograms. Null texts count as empty, null languages as a language."""
+def _rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), text.alias("text"))
-    trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), text.alias("text"))
+
+
+def common_words(rows: DataFrame, least: int = LEAST_REFERENCE) -> DataFrame:
+    """(lang, common, ref_n): the common words with their counts, by word, and the number of words of each language."""
+    words = rows.select("lang", F.explode(F.split(F.lower("text"), NO_WORD)).alias("word")).where("word <> ''")
+    counted = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    # words too rare to be common in any language that is large enough become one row a language
+    counted = counted.groupBy("lang", F.when(F.col("n") >= least * COMMON, F.col("word")).alias("word")).agg(F.sum("n").alias("n"))
+    counted = materialize(counted)
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("ref_n")).where(F.col("ref_n") >= least)
+    often = counted.join(totals, "lang").where(F.col("word").isNotNull() & (F.col("n") >= COMMON * F.col("ref_n")))
+    return often.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("word", "n"))).alias("common"), F.max("ref_n").alias("ref_n"))
+
+
+def features(rows: DataFrame, common: DataFrame) -> DataFrame:
+    """Counts of every row, of its classes and of its language's common words (null without a reference).
+
+    Other words are put aside first if the common ones of all languages are few enough to stand in the plan; the counts are
+    the same without that.
+    """
+    found = common.select(F.explode("common.word").alias("word")).distinct().limit(FEW + 1).collect()
+    among = sorted(r.word for r in found) if len(found) <= FEW else None
+    rows = rows.join(common.select("lang", F.col("common.word").alias("common")), "lang", "left")
+    trimmed = F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))
     rows = rows.withColumn("w", F.when(F.length(trimmed) > 0, F.split(trimmed, SPACE)).otherwise(F.array().cast("array<string>")))
     rows = rows.withColumn("n", F.size("w"))
-    # windows as (hash, position), sorted: equal ones are neighbours
-    rows = rows.withColumn(
-        "s",
-        F.expr("array_sort(transform(if(n >= 3, sequence(0, n - 3), array()), i -> struct(xxhash64(w[i], w[i + 1], w[i + 2]) as h, i as i)))"),
-    )
-    twice = "(k > 0 and s[k - 1].h = x.h) or (k < size(s) - 1 and s[k + 1].h = x.h)"
-    rows = rows.withColumn("again", F.expr(f"array_sort(transform(filter(s, (x, k) -> {twice}), x -> x.i))"))
+    # hashes that occur twice, then windows with such a hash as (hash, position), sorted: equal ones are neighbours, whose words are compared
+    rows = rows.withColumn("h", F.expr("transform(if(n >= 3, sequence(0, n - 3), array()), i -> xxhash64(w[i], w[i + 1], w[i + 2]))"))
+    rows = rows.withColumn("sorted", F.sort_array("h"))
+    rows = rows.withColumn("twice", F.expr("array_distinct(filter(sorted, (x, k) -> k > 0 and sorted[k - 1] = x))"))
+    places = "if(size(twice) = 0, array(), filter(sequence(0, n - 3), i -> size(twice) > 64 or array_contains(twice, h[i])))"
+    rows = rows.withColumn("s", F.expr(f"sort_array(transform({places}, i -> struct(h[i] as h, i as i)))"))
+    same = "s[{0}].h = x.h and w[s[{0}].i] = w[x.i] and w[s[{0}].i + 1] = w[x.i + 1] and w[s[{0}].i + 2] = w[x.i + 2]".format
+    twice = f"(k > 0 and {same('k - 1')}) or (k < size(s) - 1 and {same('k + 1')})"
+    rows = rows.withColumn("again", F.expr(f"sort_array(transform(filter(s, (x, k) -> {twice}), x -> x.i))"))
     covered = "aggregate(again, struct(0 as n, -1 as last), (a, i) -> struct(a.n + i + 3 - greatest(i, a.last) as n, i + 3 as last)).n"
-    lines = "filter(split(text, '\\n'), l -> l rlike r'[^\\x20\\x09-\\x0D]')"
-    rows = rows.withColumn("l", F.expr(lines))
-    common = "case " + " ".join(f"when lang = '{lang}' then array({', '.join(map(repr, words))})" for lang, words in COMMON.items())
-    every = sorted({w for words in COMMON.values() for w in words})
-    common += f" else array({', '.join(map(repr, every))}) end"
-    rows = rows.withColumn("common", F.expr(common))
-    rows = rows.withColumn("known", F.expr(f"filter(w, x -> x in ({', '.join(map(repr, every))}))"))
-    own = "transform(common, c -> size(filter(known, x -> x = c)))"
+    rows = rows.withColumn("l", F.expr("filter(split(text, '\\n'), l -> l rlike r'[^\\x20\\x09-\\x0D]')"))
+    letters, stand_ins = "".join(CLASSES.values()), "".join(k * len(v) for k, v in CLASSES.items())
+    rows = rows.withColumn("t", F.translate("text", letters, stand_ins))
+    of = lambda name, part: F.octet_length(name) - F.octet_length(F.replace(F.col(name), part))
+    for i, letter in enumerate(CLASSES):
+        rows = rows.withColumn(f"c{i}", of("t", F.lit(letter)))
+    # common words with a space on either side, so that taking one out shows by the length how often it stood there
+    words = rows.withColumn("v", F.split(F.lower("text"), NO_WORD))
+    some = F.col("v") if among is None else F.filter("v", lambda x: x.isin(among))
+    rows = words.withColumn("f", F.concat(F.lit(" "), F.array_join(some, "  "), F.lit(" ")))
+    rows = rows.withColumn("n_folded", F.size("v") - F.expr("if(v[0] = '', 1, 0) + if(size(v) > 1 and v[size(v) - 1] = '', 1, 0)"))
+    own = F.transform("common", lambda c: ((F.octet_length("f") - F.octet_length(F.replace(F.col("f"), F.concat(F.lit(" "), c, F.lit(" "))))) / (F.octet_length(c) + 2)).cast("long"))
+    ascii_chars = sum((F.col(f"c{i}") for i in range(len(CLASSES))), F.lit(0))
+    spaces, symbols = (list(CLASSES).index(k) for k in (" ", "S"))
+    counts = [F.col(f"c{i}").cast("long") for i in range(len(CLASSES)) if i != spaces]
     return rows.select(
         "doc_id",
         "lang",
         F.col("n").cast("long").alias("n_words"),
-        F.char_length(F.regexp_replace("text", SPACE, "")).cast("long").alias("word_chars"),
-        F.regexp_count("text", F.lit(CLASSES["symbol"])).cast("long").alias("n_symbols"),
+        (F.char_length("text") - F.col(f"c{spaces}")).cast("long").alias("word_chars"),
+        F.col(f"c{symbols}").cast("long").alias("n_symbols"),
         F.expr("size(l) - size(array_distinct(l))").cast("long").alias("n_dup_lines"),
         F.expr(covered).cast("long").alias("n_repeat_words"),
-        F.array(*(F.regexp_count("text", F.lit(p)) for p in CLASSES.values())).alias("classes"),
-        F.expr(own).alias("common_counts"),
-    ).select(
-        "*",
-        F.expr("concat(classes, array(greatest(0, cast(word_chars as int) - aggregate(classes, 0, (a, x) -> a + x))))").alias("class_counts"),
-        F.expr("concat(common_counts, array(greatest(0, cast(n_words as int) - aggregate(common_counts, 0, (a, x) -> a + x))))").alias("word_counts"),
-    ).drop("classes", "common_counts")
+        F.array(*counts, (F.char_length("text") - ascii_chars).cast("long")).alias("class_counts"),
+        own.alias("own"),
+        F.col("n_folded").cast("long").alias("n_folded"),
+    )
 
 
 def _distance(p: str, q: str) -> str:
     """SQL for the Jensen-Shannon distance of two arrays of counts; null if one of them is empty."""
     total = lambda a: f"aggregate({a}, 0d, (a, x) -> a + x)"
     term = lambda a, b: f"if({a} > 0, {a} * log2(2 * {a} / ({a} + {b})), 0d)"
-    shares = f"zip_with(transform({p}, x -> x / nullif({total(p)}, 0)), transform({q}, x -> x / nullif({total(q)}, 0)), (a, b) -> struct(a as a, b as b))"
+    shares = f"zip_with(transform({p}, x -> x / nullif(p_total, 0)), transform({q}, x -> x / nullif(q_total, 0)), (a, b) -> struct(a as a, b as b))"
     summed = f"aggregate({shares}, 0d, (t, s) -> t + ({term('s.a', 's.b')} + {term('s.b', 's.a')}) / 2)"
-    return f"if({total(p)} > 0 and {total(q)} > 0, sqrt(greatest(0d, {summed})), null)"
-
-
-def references(rows: DataFrame) -> DataFrame:
-    """(lang, ref_classes, ref_words): the sums over all documents of each language."""
-    n_classes = len(CLASSES) + 1
-    n_words = len({w for words in COMMON.values() for w in words}) + 1
-    sums = [F.sum(F.get("class_counts", F.lit(i)).cast("long")).alias(f"c{i}") for i in range(n_classes)]
-    sums += [F.sum(F.get("word_counts", F.lit(i)).cast("long")).alias(f"w{i}") for i in range(n_words)]
-    return (
-        rows.groupBy("lang").agg(*sums)
-        .select(
-            "lang",
-            F.array(*(F.col(f"c{i}") for i in range(n_classes))).alias("ref_classes"),
-            F.filter(F.array(*(F.col(f"w{i}") for i in range(n_words))), lambda x: x.isNotNull()).alias("ref_words"),
-        )
-    )
+    value = f"if(p_total > 0 and q_total > 0, sqrt(greatest(0d, {summed})), null)"
+    for name, of in (("p_total", p), ("q_total", q)):
+        value = f"element_at(transform(array({total(of)}), {name} -> {value}), 1)"
+    return value
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", far_classes: float = FAR_CLASSES, far_words: float = FAR_WORDS) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", far_classes: float = FAR_CLASSES, far_words: float = FAR_WORDS, least_reference: int = LEAST_REFERENCE) -> DataFrame:
     """Per row: counts, distances, base_failed and kept.
 
     base_failed: under 50 words, or over half of the words repeat. A distance is null, and judges nothing, for texts under
-    the minimum length. Repeated rows and null ids stay rows of their own; an empty table gives an empty result.
+    the minimum length, and where the other texts of the language have fewer than ``least_reference`` words or characters.
+    A null language is a language of its own. Ties: a word on the very share is common, a text at the very distance is kept.
+    Repeated rows and null ids stay rows of their own, and copies are part of each other's reference. A very long text is
+    counted whole. Only three columns are read, whatever other columns are called; an empty table gives an empty result.
+    Windows are found by 64 bits of hash and then compared, so a chance collision in a text could at most hide a repeat.
     """
-    rows = materialize(features(docs, id_col, text_col, lang_col))
-    joined = rows.join(references(rows), "lang")
+    rows = _rows(docs, id_col, text_col, lang_col)
+    common = materialize(common_words(rows, least_reference))
+    counted = materialize(features(rows, common))
+    sums = [F.sum(F.get("class_counts", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))]
+    classes = counted.groupBy("lang").agg(*sums).select("lang", F.array(*(f"c{i}" for i in range(len(CLASSES)))).alias("every"))
+    joined = counted.join(classes, "lang").join(common.select("lang", F.col("common.n").alias("often"), "ref_n"), "lang", "left")
+    less = "zip_with({0}, {1}, (a, b) -> a - b)".format
+    rest = "concat({0}, array({1} - aggregate({0}, 0L, (a, x) -> a + x)))".format
+    joined = joined.withColumn("p_classes", F.col("class_counts")).withColumn("q_classes", F.expr(less("every", "class_counts")))
+    joined = joined.withColumn("p_words", F.expr(rest("own", "n_folded"))).withColumn("q_words", F.expr(less(rest("often", "ref_n"), "p_words")))
+    size = "aggregate({0}, 0L, (a, x) -> a + x)".format
+    by_class = F.when((F.col("word_chars") >= LEAST_CHARS) & (F.expr(size("q_classes")) >= least_reference), F.expr(_distance("p_classes", "q_classes")))
+    by_word = F.when((F.col("n_words") >= LEAST_WORDS) & (F.col("ref_n") - F.col("n_folded") >= least_reference), F.expr(_distance("p_words", "q_words")))
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    by_class = F.when(F.col("word_chars") >= LEAST_CHARS, F.expr(_distance("class_counts", "ref_classes")))
-    by_word = F.when(F.col("n_words") >= LEAST_WORDS, F.expr(_distance("word_counts", "ref_words")))
     out = joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), by_class.alias("class_distance"), by_word.alias("word_distance")
     )

@@ -45,8 +45,8 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    docs = read_table(spark, folder, "documents")
-    found = docs.select("doc_id", decontaminate.contamination(docs, read_table(spark, folder, "benchmark")).alias("f"))
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.with_contamination(docs, read_table(spark, folder, "benchmark"), "f")
     ids = F.array_sort(F.transform("f.items", lambda i: i.cast("string")))
     return found.select(
         "doc_id",

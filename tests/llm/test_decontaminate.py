@@ -38,9 +38,14 @@ def words_b(text):
 
 def test_parts_give_what_the_whole_gives(spark, edge_docs):
     items = [(i, f"the of tree and pot licence mit license filler{i} two three") for i in range(12)] + [(50, "mit license"), (51, None), (None, "two words"), (52, "same text"), (52, "same text")]
+    assert sum(len(t or "") for _, t in items) > 700  # eight parts
     bench = spark.createDataFrame(items, "item_id long, text string")
-    whole = edge_docs.select("doc_id", decontaminate.contamination(edge_docs, bench).alias("f")).collect()
-    parts = edge_docs.select("doc_id", decontaminate.contamination(edge_docs, bench, bound=100).alias("f")).collect()
+    whole = decontaminate.with_contamination(edge_docs, bench, "f")
+    parts = decontaminate.with_contamination(edge_docs, bench, "f", bound=100)
+    assert whole.columns == parts.columns == [*edge_docs.columns, "f"]
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") <= 3  # the parts were searched before, one at a time
+    whole, parts = whole.collect(), parts.collect()
     assert sorted(map(repr, whole)) == sorted(map(repr, parts))
     by_id = {r.doc_id: r.f for r in whole}
     assert 50 in by_id[6]["items"] and by_id[1]["n_words"] == 0 and by_id[10]["items"] == [52]
