@@ -1,7 +1,6 @@
 """Quality classification by co-training of two views.
 
-The text view sees hashed words and the shape of the text; the metadata view sees language, source, stated length and what
-the page table says of it. Each is a logistic regression on a bounded, labelled sample. In every round each view scores a
+The text view sees hashed words and the shape of the text; the metadata view sees language, source and stated length. Each is a logistic regression on a bounded, labelled sample. In every round each view scores a
 pool of unlabelled documents and hands its most confident pseudo-labels to the other view's training set. At the end each
 view is calibrated on labelled rows that trained neither, the calibrated log odds are combined with weights fitted there too,
 and every document is scored where it is, without a shuffle.
@@ -260,8 +259,9 @@ def fit(docs: DataFrame, labels: DataFrame, meta_cols: list[str], id_col: str =
 def score_documents(docs: DataFrame, labels: DataFrame, meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, pool: int = POOL) -> DataFrame:
     """(doc_id, text_score, meta_score, score) for every row: probabilities of good quality by view and combined.
 
-    Null or empty texts and null metadata are values like others; repeated rows are scored each for itself. Without labels
-    of both classes all scores are 0.5. An empty table gives an empty result.
+    Null or empty texts and null metadata are values like others; repeated rows are scored each for itself, a very long text as
+    a whole. Ties: equal odds of unlabelled documents are ordered by their ids, an id with two labels counts as bad. Without
+    labels of both classes all scores are 0.5. An empty table gives an empty result; other columns are not read.
     """
     meta = [c for c in meta_cols if c in docs.columns]
     model = fit(docs, labels, meta, id_col, text_col, label_col, sample, pool)
