@@ -38,7 +38,7 @@ class Decision:
             parts.append("lang in (" + ", ".join(f"'{x}'" for x in self.languages) + ")")
         if not self.tests:
             parts.append("not test")
-        if not self.generated and self.select in ("function", "test", "file"):
+        if not self.generated and self.select in ("function", "test", "file", "symbol"):
             parts.append("not generated")
         return " and ".join(parts) or "true"
 

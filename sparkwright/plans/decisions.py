@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkwright.functions import text as T
-from sparkwright.operators import graphs, metrics
+from sparkwright.operators import graphs, metrics, relations
 from sparkwright.operators.decisions import Decision, check, evaluate, incomplete
 from sparkwright.plans import model
 from sparkwright.sources.scratch import read_table
@@ -25,23 +25,23 @@ DECISIONS = [
     Decision("complexity", "info", "function", "cyclomatic > 12 or cognitive > 15 or unit > 20", "'complexity ' || cyclomatic || ', with helpers ' || unit", tests=False),
     Decision("coupling", "warn", "function", "fan_in >= 2 and fan_out >= 3 and statements > 10", "'hub: ' || fan_in || ' in, ' || fan_out || ' out'", (("coordinator", "fan_out > 2 * statements"),), tests=False),
     Decision("signature-size", "warn", "function", "params > most", "params || ' parameters, at most ' || most", (("most", "CASE WHEN visibility = 'public' THEN 5 ELSE 7 END"),)),
-    Decision("max-name-words", "warn", "function", "n_words > 2", "name || ' has ' || n_words || ' words'"),
+    Decision("max-name-words", "warn", "symbol", "n_words > most", "name || ' has ' || n_words || ' words'", (("most", "CASE WHEN kind = 'method' THEN 2 ELSE 3 END"),)),
     Decision("no-unused-symbol", "error", "function", "visibility = 'private' and users = 0", "name || ' is never used'", tests=False),
     Decision("feature-envy", "info", "function", "envied >= 2", "name || ' uses ' || envied || ' members of ' || envy_target"),
     Decision("prefer-method", "warn", "function", "affinity is not null", "name || ' serves ' || affinity || ' only'"),
-    Decision("vertical-distance", "warn", "function", "gap > 15", "name || ' stands ' || gap || ' lines below its sibling'"),
+    Decision("vertical-distance", "warn", "function", "gap > 8", "name || ' stands ' || gap || ' lines below its sibling'"),
     Decision("no-redundant-symbol", "warn", "function", "visibility = 'private' and users = 1 and fan_out = 1 and statements <= 12", "name || ' only wraps'"),
     Decision("reserved-verbs", "warn", "function", "MATCH(name, '^(new|get|is|has)_') and params = 1", "name || ' promises an action'"),
     Decision("no-type-encoding", "warn", "function", "MATCH(name, '(ring|widget)[0-9]+$')", "name || ' encodes a type'", (("suffix", "right(name, 4)"),)),
     Decision("abbreviations", "warn", "function", "MATCH(key, '(^|_)(gear|bolt)[0-9]*(_|$)')", "name || ' spells an initialism'"),
-    Decision("short-names", "warn", "function", "length(key) < 8", "name || ' is short'"),
-    Decision("exported-doc", "warn", "function", "visibility = 'public' and statements > 40 and not MATCH(name, '^(new|get)_')", "name || ' has no doc'", tests=False),
+    Decision("short-names", "warn", "symbol", "length(name) = 1 and kind <> 'field'", "name || ' is one letter'"),
+    Decision("exported-doc", "warn", "symbol", "visibility = 'public' and doc is null and kind <> 'field' and not MATCH(name, '^(new|get)_')", "name || ' has no doc'", tests=False),
     Decision("consistent-terms", "warn", "function", "others >= 5", "plain || ' is exported in ' || others || ' other modules'", (), identity="plain"),
     Decision("top-down-order", "warn", "function", "first_user_line > line", "name || ' stands above its first user'", (), tests=False),
     Decision("no-single-line-bodies", "error", "function", "end_line = line", "name || ' has its body on one line'"),
     Decision("no-private-types", "warn", "function", "visibility = 'public' and owner is not null and owner_private", "name || ' names a private type'"),
     Decision("dispatcher", "info", "function", "dispatcher and statements < 30", "name || ' only dispatches'"),
-    Decision("context-first", "warn", "function", "params >= 6 and statements % 3 = 1", "name || ' takes its context late'", languages=("go",)),
+    Decision("context-first", "warn", "symbol", "kind in ('function', 'method') and MATCH(parameters, ',context[.]Context(,|$)') and not MATCH(parameters, '^context[.]Context(,|$)')", "name || ' takes its context late'", languages=("go",)),
     Decision("owner-file", "info", "function", "owner is not null and split_share < 0.45", "name || ' stands away from its type'"),
     Decision("max-case-depth", "warn", "test", "depth > 2", "name || ' nests ' || depth || ' deep'"),
     Decision("no-hidden-target", "warn", "test", "fan_out > 0 and untested_reach = 0", "name || ' reaches code through helpers only'"),
@@ -53,15 +53,24 @@ DECISIONS = [
     Decision("module-layout", "warn", "module", "declares > 0 and files > 5", "path || ' mixes ' || declares || ' declarations'", identity="path", path="path", line="1"),
     Decision("meaningful-separation", "info", "module", "dependents = 1 and lines < 3000", "path || ' serves one module'", identity="path", path="path", line="1"),
     Decision("module-cycle", "warn", "module", "cycle_size > 1", "path || ' is in a cycle of ' || cycle_size", identity="path", path="path", line="1"),
-    Decision("no-conjoined-modules", "info", "module", "dependents > 0 and files = 0", "path || ' is used and has no file'", identity="path", path="path", line="1"),
+    Decision("no-conjoined-modules", "info", "edge", "mutual and src < dst", "src || ' and ' || dst || ' use each other'", identity="src || '>' || dst", path="src", line="1"),
     Decision("layers", "error", "edge", "src_region > dst_region and src_region <> 'europe'", "src || ' may not use ' || dst", identity="src || '>' || dst", path="src", line="1"),
+    Decision("no-mutable-globals", "warn", "symbol", "kind = 'variable' and visibility = 'public' and owner is null", "name || ' is a variable that all may change'"),
+    Decision("no-stored-context", "warn", "symbol", "kind = 'field' and type = 'context.Context'", "name || ' keeps a context'", languages=("go",)),
+    Decision("no-redundant-qualifier", "warn", "symbol", "left(name, length(module_name) + 1) = module_name || '_'", "name || ' repeats ' || module_name"),
+    Decision("missing-owner", "warn", "symbol", "visibility = 'public' and kind in ('function', 'method') and module_tested and not touched", "name || ' is in a tested module and no test uses it'", tests=False),
+    Decision("test-file", "error", "function", "test and home is not null and home <> file", "name || ' belongs to ' || home"),
+    Decision("allow-reason", "error", "annotation", "trim(reason) = '' and ordinal = 0", "'a directive for ' || rule || ' gives no reason'", identity="CAST(claim AS STRING)", path="owner"),
+    Decision("decision-naming", "warn", "decision", "not MATCH(name, '^[a-z][a-z0-9]*(-[a-z0-9]+)*$') or n_words > 3 or MATCH(name, '(^|-)(check|rule|lint)(-|$)') or MATCH(name, '(^|-)' || pack || '(-|$)')", "name || ' is no good name in ' || pack", identity="CAST(rid AS STRING)", path="pack", line="1"),
+    Decision("no-conflicting-decisions", "warn", "decision", "other is not null and not superseded and not proven", "name || ' may conflict with ' || other", identity="CAST(rid AS STRING)", path="pack", line="1"),
+    Decision("no-contradictory-decisions", "error", "decision", "other is not null and not superseded and proven", "name || ' contradicts ' || other", identity="CAST(rid AS STRING)", path="pack", line="1"),
     Decision("independence", "error", "edge", "src_region = dst_region and src_region in ('asia', 'africa')", "src || ' and ' || dst || ' are to be independent'", identity="src || '>' || dst", path="src", line="1"),
     Decision("no-panic", "warn", "event", "kind = 'error' and value > 60", "'panic ' || ordinal || ' of ' || owner", identity="kind || ordinal", path="owner"),
     Decision("error-identity", "warn", "event", "kind = 'click' and ordinal >= 3 and value < 5", "'compared ' || ordinal", identity="kind || ordinal", path="owner"),
     Decision("max-len", "warn", "line", "width > 400 and not exempt", "'line is ' || width || ' wide'", identity="CAST(line AS STRING)", path="owner"),
     Decision("no-todo", "info", "line", "MATCH(trimmed, '^(TODO|FIXME|XXX|All rights)')", "'note: ' || substr(trimmed, 1, 20)", identity="trimmed", path="owner"),
     Decision("no-noise-comment", "warn", "line", "MATCH(trimmed, '[|] [^|]+ [|] [^|]+ [|]') or MATCH(trimmed, '^[=*-]+$')", "'banner of ' || width", identity="CAST(line AS STRING)", path="owner"),
-    Decision("no-detached-comment", "warn", "line", "blank and next_width > 300", "'blank before a long line'", identity="CAST(line AS STRING)", path="owner"),
+    Decision("no-detached-comment", "warn", "line", "MATCH(trimmed, '^(TODO|Licensed|Released|All rights|Copyright)') and next_blank", "'comment stands apart'", identity="CAST(line AS STRING)", path="owner"),
 ]
 RULES = {d.name: d for d in DECISIONS}
 
@@ -113,6 +122,8 @@ def function_facts(spark: SparkSession, folder: str, needs: set[str] | None = No
         out = out.join(metrics.envy(f, uses).select("id", F.col("target").alias("envy_target"), F.col("members").alias("envied")), "id", "left")
     if wanted("affinity"):
         out = out.join(metrics.receiver_affinity(f, uses).select("id", F.col("owner").alias("affinity")), "id", "left")
+    if wanted("home"):
+        out = out.join(relations.home_files(f, uses), "file", "left")
     if wanted("gap"):
         out = out.join(model.siblings(spark, folder).select("id", "gap"), "id", "left")
     if wanted("split_share"):
@@ -153,7 +164,28 @@ def module_facts(spark: SparkSession, folder: str, needs: set[str] | None = None
 
 def edge_facts(spark: SparkSession, folder: str, needs: set[str] | None = None) -> DataFrame:
     e = relation(spark, folder, "module_edges")
-    return e.select("src", "dst", F.substring_index("src", "/", 1).alias("src_region"), F.substring_index("dst", "/", 1).alias("dst_region"))
+    out = e.select("src", "dst", F.substring_index("src", "/", 1).alias("src_region"), F.substring_index("dst", "/", 1).alias("dst_region"))
+    if needs is None or "mutual" in needs:
+        back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("mutual"))
+        out = out.join(back, ["src", "dst"], "left").fillna(False, ["mutual"])
+    return out
+
+
+def symbol_facts(spark: SparkSession, folder: str, needs: set[str] | None = None) -> DataFrame:
+    """All declarations, with whether tests use them."""
+    out = relation(spark, folder, "symbols").withColumn("n_words", F.length("name") - F.length(F.replace(F.col("name"), F.lit("_"))) + 1)
+    if needs is None or needs & {"touched", "module_tested"}:
+        out = out.join(relations.tested(relation(spark, folder, "functions"), relation(spark, folder, "uses")), "id", "left").fillna(False, ["touched", "module_tested"])
+    return out
+
+
+def annotation_facts(spark: SparkSession, folder: str, needs: set[str] | None = None) -> DataFrame:
+    return relation(spark, folder, "annotations")
+
+
+def decision_facts(spark: SparkSession, folder: str, needs: set[str] | None = None) -> DataFrame:
+    r = relation(spark, folder, "rules")
+    return r.withColumn("n_words", F.length("name") - F.length(F.replace(F.col("name"), F.lit("-"))) + 1)
 
 
 def event_facts(spark: SparkSession, folder: str, needs: set[str] | None = None) -> DataFrame:
@@ -167,10 +199,10 @@ def line_facts(spark: SparkSession, folder: str, needs: set[str] | None = None)
     d = read_table(spark, folder, "documents").select(F.concat(F.lit("doc/"), "doc_id").alias("owner"), T.lines("text").alias("x"))
     d = d.select("owner", "x", F.posexplode("x").alias("pos", "t"))
     trimmed = F.trim("t")
-    return d.select("owner", (F.col("pos") + 1).cast("long").alias("line"), trimmed.alias("trimmed"), F.char_length("t").cast("long").alias("width"), T.unbreakable(trimmed).alias("exempt"), (trimmed == "").alias("blank"), F.coalesce(F.char_length(F.get("x", F.col("pos") + 1)), F.lit(0)).cast("long").alias("next_width"))
+    return d.select("owner", (F.col("pos") + 1).cast("long").alias("line"), trimmed.alias("trimmed"), F.char_length("t").cast("long").alias("width"), T.unbreakable(trimmed).alias("exempt"), (trimmed == "").alias("blank"), F.coalesce(F.char_length(F.get("x", F.col("pos") + 1)), F.lit(0)).cast("long").alias("next_width"), (F.trim(F.coalesce(F.get("x", F.col("pos") + 1), F.lit(""))) == "").alias("next_blank"))
 
 
-FACTS = {"function": function_facts, "test": test_facts, "file": file_facts, "module": module_facts, "edge": edge_facts, "event": event_facts, "line": line_facts}
+FACTS = {"function": function_facts, "test": test_facts, "file": file_facts, "module": module_facts, "edge": edge_facts, "event": event_facts, "line": line_facts, "symbol": symbol_facts, "annotation": annotation_facts, "decision": decision_facts}
 
 
 def _query(d: Decision):
@@ -226,12 +258,14 @@ en AS (SELECT id, target, members FROM ec WHERE members >= 2 QUALIFY row_number(
 ra AS (SELECT d.id, min(s.owner) AS owner FROM u JOIN functions s ON s.id = u.src JOIN functions d ON d.id = u.dst WHERE d.kind = 'function' AND d.visibility = 'private' GROUP BY d.id HAVING count(*) = count(s.owner) AND count(DISTINCT s.owner) = 1),
 ga AS (SELECT id, CASE WHEN owner IS NOT NULL THEN line - lag(end_line) OVER (PARTITION BY file, owner ORDER BY line) END AS gap FROM functions),
 pl AS (SELECT DISTINCT regexp_replace(name, '[0-9]+$', '') AS plain, module FROM functions WHERE visibility = 'public'),
+hn AS (SELECT t.file, f.file AS home, count(DISTINCT (x.src, x.dst)) AS n FROM uses x JOIN functions t ON t.id = x.src JOIN functions f ON f.id = x.dst WHERE t.test AND NOT f.test AND x.src <> x.dst GROUP BY ALL),
+hf AS (SELECT file, home FROM hn QUALIFY row_number() OVER (PARTITION BY file ORDER BY n DESC, home) = 1),
 te AS (SELECT plain, module, count(*) OVER (PARTITION BY plain) - 1 AS others FROM pl QUALIFY others > 0),
 function_facts AS (SELECT f.*, regexp_replace(f.name, '[0-9]+$', '') AS plain, fl.lang, fl.generated, fl.fid % 3 = 0 AS owner_private, m.m AS cyclomatic, mm.cognitive, mm.depth, mm.dispatcher, unit.unit,
- coalesce(fi.n, 0) AS fan_in, coalesce(fo.n, 0) AS fan_out, coalesce(us.n, 0) AS users, fu.l AS first_user_line, coalesce(ur.n, 0) AS untested_reach, en.target AS envy_target, en.members AS envied, ra.owner AS affinity, ga.gap,
+ coalesce(fi.n, 0) AS fan_in, coalesce(fo.n, 0) AS fan_out, coalesce(us.n, 0) AS users, fu.l AS first_user_line, coalesce(ur.n, 0) AS untested_reach, en.target AS envy_target, en.members AS envied, ra.owner AS affinity, ga.gap, hf.home,
  te.others, array_to_string(list_filter(string_split_regex(lower(f.name), '[_-]+'), lambda x: x <> ''), '_') AS key, len(list_filter(string_split_regex(lower(f.name), '[_-]+'), lambda x: x <> '')) AS n_words
  FROM functions f JOIN files fl ON fl.path = f.file JOIN m ON m.id = f.id JOIN mm ON mm.id = f.id JOIN unit ON unit.id = f.id LEFT JOIN fi ON fi.id = f.id LEFT JOIN fo ON fo.id = f.id LEFT JOIN us ON us.id = f.id
- LEFT JOIN fu ON fu.id = f.id LEFT JOIN ur ON ur.id = f.id LEFT JOIN en ON en.id = f.id LEFT JOIN ra ON ra.id = f.id LEFT JOIN ga ON ga.id = f.id LEFT JOIN te ON te.plain = regexp_replace(f.name, '[0-9]+$', '') AND te.module = f.module)
+ LEFT JOIN fu ON fu.id = f.id LEFT JOIN ur ON ur.id = f.id LEFT JOIN en ON en.id = f.id LEFT JOIN ra ON ra.id = f.id LEFT JOIN ga ON ga.id = f.id LEFT JOIN hf ON hf.file = f.file LEFT JOIN te ON te.plain = regexp_replace(f.name, '[0-9]+$', '') AND te.module = f.module)
 """
 SQL_FACTS = {
     "function": FUNCTION_SQL,
@@ -250,14 +284,20 @@ rm AS (SELECT src, dst FROM module_edges UNION SELECT rm.src, e.dst FROM rm JOIN
 cy AS (SELECT a.src AS node, count(DISTINCT a.dst) AS n FROM rm a JOIN rm b ON a.dst = b.src AND a.src = b.dst GROUP BY 1),
 module_facts AS (SELECT st.*, greatest(1, coalesce(cy.n, 1)) AS cycle_size FROM st LEFT JOIN cy ON cy.node = st.path)
 """,
-    "edge": with_sql("module_edges") + ", edge_facts AS (SELECT src, dst, split_part(src, '/', 1) AS src_region, split_part(dst, '/', 1) AS dst_region FROM module_edges)\n",
+    "edge": with_sql("module_edges") + ", edge_facts AS (SELECT src, dst, split_part(src, '/', 1) AS src_region, split_part(dst, '/', 1) AS dst_region, EXISTS (SELECT 1 FROM module_edges r WHERE r.src = e.dst AND r.dst = e.src) AS mutual FROM module_edges e)\n",
+    "symbol": with_sql("symbols", "functions", "uses") + """,
+symbol_facts AS (SELECT s.*, length(name) - length(replace(name, '_', '')) + 1 AS n_words, s.id IN (SELECT u.dst FROM uses u JOIN functions t ON t.id = u.src WHERE t.test AND u.src <> u.dst) AND NOT (SELECT test FROM functions f WHERE f.id = s.id) AS touched,
+ s.module IN (SELECT module FROM functions WHERE test) AND NOT (SELECT test FROM functions f WHERE f.id = s.id) AS module_tested FROM symbols s)
+""",
+    "annotation": with_sql("annotations") + ", annotation_facts AS (SELECT * FROM annotations)\n",
+    "decision": with_sql("rules") + ", decision_facts AS (SELECT *, length(name) - length(replace(name, '-', '')) + 1 AS n_words FROM rules)\n",
     "event": "WITH event_facts AS (SELECT 'u' || user_id AS owner, event_type AS kind, value, row_number() OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS ordinal, event_id AS line FROM events)\n",
     "line": r"""WITH x AS (SELECT 'doc/' || doc_id AS owner, CASE WHEN text LIKE '%' || chr(10) THEN string_split(text, chr(10))[1:-2] ELSE string_split(text, chr(10)) END AS x FROM documents),
 y AS (SELECT owner, unnest(x) AS t, generate_subscripts(x, 1) AS line FROM x),
 z AS (SELECT owner, line, regexp_replace(t, '\r$', '') AS t, lead(regexp_replace(t, '\r$', '')) OVER (PARTITION BY owner ORDER BY line) AS nt FROM y),
 line_facts AS (SELECT owner, line, trim(t) AS trimmed, length(t) AS width, regexp_matches(trim(t), '^(import |import\(|use |from )')
  OR CASE WHEN regexp_matches(trim(t), '^(///|//!|//|/\*|\*/|\*|#|--)') THEN regexp_matches(trim(regexp_replace(trim(regexp_replace(trim(t), '^(///|//!|//|/\*|\*/|\*|#|--)', '')), '(\*/)+$', '')), '^\S*://\S+$') ELSE regexp_matches(trim(t), '^("[^"]*"|`[^`]*`)[,;]?$') END AS exempt,
- trim(t) = '' AS blank, coalesce(length(nt), 0) AS next_width FROM z)
+ trim(t) = '' AS blank, coalesce(length(nt), 0) AS next_width, trim(coalesce(nt, '')) = '' AS next_blank FROM z)
 """,
 }
 #: Facts that a greatest fixpoint gives, which a monotone recursion cannot.

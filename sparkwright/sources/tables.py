@@ -49,18 +49,41 @@ RELATIONS = {
     "module_edges": """
         SELECT DISTINCT a.module AS src, b.module AS dst FROM {uses} u JOIN {functions} a ON a.id = u.src JOIN {functions} b ON b.id = u.dst
         WHERE a.module <> b.module AND u.resolution = 'semantic'""",
+    "symbols": """
+        SELECT f.pid AS pid, f.id AS id, f.name AS plain_name, replace(p.p_name, ' ', '_') AS plain,
+               CASE WHEN f.pid % 29 = 0 THEN substr(f.name, 1, 1) WHEN f.pid % 13 = 0 THEN m.name || '_' || f.name ELSE f.name END AS name,
+               CASE f.pid % 5 WHEN 0 THEN 'function' WHEN 1 THEN 'variable' WHEN 2 THEN 'method' WHEN 3 THEN 'type' ELSE 'field' END AS kind,
+               f.visibility AS visibility, f.owner AS owner, f.file AS file, f.module AS module, m.name AS module_name, f.line AS line, f.end_line AS end_line,
+               x.lang AS lang, x.generated AS generated, f.test OR m.test_of IS NOT NULL AS test, m.example AS example,
+               CASE WHEN p.p_size % 3 = 0 THEN 'context.Context' ELSE lower(p.p_type) END AS type,
+               CASE WHEN p.p_size % 4 > 0 THEN 'says ' || lower(p.p_brand) END AS doc,
+               CASE p.p_size % 6 WHEN 0 THEN 'context.Context,string' WHEN 1 THEN 'string,context.Context' WHEN 2 THEN 'int,context.Context,string' ELSE 'string,int' END AS parameters
+        FROM {functions} f JOIN {part} p ON p.p_partkey = f.pid JOIN {files} x ON x.path = f.file JOIN {modules} m ON m.path = f.module""",
+    "annotations": """
+        SELECT event_id AS claim, 'u' || CAST(user_id AS STRING) AS owner, event_id AS line, CASE WHEN event_id % 3 = 0 THEN 'error' ELSE 'click' END AS rule,
+               CASE WHEN event_id % 7 > 0 THEN 'known' ELSE ' ' END AS reason, event_id % 2 AS ordinal
+        FROM {events} WHERE event_type = 'view'""",
+    "rules": """
+        SELECT p_partkey AS rid, lower(p_type) AS pack, CASE p_size % 3 WHEN 0 THEN 'error' WHEN 1 THEN 'warn' ELSE 'info' END AS severity,
+               replace(p_name, ' ', '-') || CASE WHEN p_partkey % 5 = 0 THEN '-Check' WHEN p_partkey % 7 = 0 THEN '-' || lower(p_type) WHEN p_partkey % 11 = 0 THEN '-rule' ELSE '' END AS name,
+               lag(p_partkey) OVER (PARTITION BY p_type, p_brand ORDER BY p_partkey) AS other, p_size % 4 = 0 AS proven, p_size % 5 = 0 AS superseded
+        FROM {part}""",
 }
-TABLES = ("region", "nation", "supplier", "part", "lineitem")
+TABLES = ("region", "nation", "supplier", "part", "lineitem", "events")
 
 
 def relation(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One relation of the derived model as a DataFrame."""
-    frames = {t: read_table(spark, folder, t) for t in TABLES}
-    for other, sql in RELATIONS.items():
-        frames[other] = spark.sql(sql, **{k: v for k, v in frames.items() if "{" + k + "}" in sql})
-        if other == name:
-            return frames[other]
-    raise KeyError(name)
+    """One relation of the derived model as a DataFrame; only the tables that it needs are opened."""
+    frames: dict[str, DataFrame] = {}
+
+    def frame(of: str) -> DataFrame:
+        if of not in frames:
+            sql = RELATIONS.get(of)
+            needs = {} if sql is None else {k: frame(k) for k in (*TABLES, *RELATIONS) if "{" + k + "}" in sql}
+            frames[of] = read_table(spark, folder, of) if sql is None else spark.sql(sql, **needs)
+        return frames[of]
+
+    return frame(name)
 
 
 def with_sql(*names: str) -> str:
