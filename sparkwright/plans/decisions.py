@@ -48,7 +48,7 @@ DECISIONS = [
     Decision("standard-assertions", "warn", "test", "statements > 20 and fan_out = 0", "name || ' asserts by hand'"),
     Decision("max-lines", "info", "file", "lines > 500", "path || ' has ' || lines || ' lines'", identity="path", path="path", line="1"),
     Decision("public-boundary", "error", "file", "test and private_reach > 0", "path || ' reaches ' || private_reach || ' private symbols'", identity="path", path="path", line="1"),
-    Decision("declaration-blocks", "warn", "file", "functions > 2 and methods = 0", "path || ' declares loose functions'", identity="path", path="path", line="1"),
+    Decision("declaration-blocks", "warn", "file", "functions > 2 and methods * 3 <= functions", "path || ' declares loose functions'", identity="path", path="path", line="1"),
     Decision("single-responsibility", "info", "file", "groups > 3", "path || ' falls into ' || groups || ' groups'", identity="path", path="path", line="1"),
     Decision("module-layout", "warn", "module", "declares > 0 and files > 5", "path || ' mixes ' || declares || ' declarations'", identity="path", path="path", line="1"),
     Decision("meaningful-separation", "info", "module", "dependents = 1 and lines < 3000", "path || ' serves one module'", identity="path", path="path", line="1"),

@@ -122,9 +122,10 @@ FROM (SELECT count(*) AS n FROM nodes)""",
 reach AS (SELECT src, dst FROM module_edges UNION SELECT reach.src, e.dst FROM reach JOIN module_edges e ON reach.dst = e.src),
 comp AS (SELECT node, least(node, (SELECT min(a.dst) FROM reach a JOIN reach b ON a.dst = b.src AND b.dst = node WHERE a.src = node)) AS component FROM nodes)
 SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM comp""",
-    "weak_components": with_sql("uses") + """, p AS (SELECT src AS a, dst AS b FROM uses WHERE resolution = 'semantic' UNION SELECT dst, src FROM uses WHERE resolution = 'semantic'),
-r AS (SELECT a, a AS b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b)
-SELECT a AS node, min(b) AS component FROM r GROUP BY a""",
+    "weak_components": with_sql("uses") + """, p AS MATERIALIZED (SELECT src AS a, dst AS b FROM uses WHERE resolution = 'semantic' UNION SELECT dst, src FROM uses WHERE resolution = 'semantic'),
+cc(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM p UNION
+ SELECT p.a, min(cc.component) FROM cc JOIN p ON p.b = cc.node JOIN recurring.cc AS old ON old.node = p.a WHERE cc.component < old.component GROUP BY p.a)
+SELECT node, component FROM cc""",
     "event_transitions": """WITH RECURSIVE t AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events),
 w AS (SELECT src, dst, count(*) AS n FROM t WHERE dst IS NOT NULL GROUP BY ALL),
 reach AS (SELECT src, dst FROM w WHERE src <> dst UNION SELECT reach.src, w.dst FROM reach JOIN w ON reach.dst = w.src AND w.src <> w.dst)

@@ -93,8 +93,9 @@ def ask_once(spark, folder):
 
 
 def sighting_cleanup(spark, folder):
-    """Customers (sightings) without an order (finding): these go."""
-    return read_table(spark, folder, "customer").join(read_table(spark, folder, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers (sightings) without an order that is still open (finding): these go."""
+    left = read_table(spark, folder, "orders").where("o_orderstatus = 'O' and o_orderpriority = '1-URGENT'")
+    return read_table(spark, folder, "customer").join(left, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 def sighting_findings(spark, folder):
@@ -149,7 +150,7 @@ b AS (SELECT year(o_orderdate) AS kind, o_orderkey AS id, bytes, sum(bytes) OVER
  sum(bytes) OVER (PARTITION BY year(o_orderdate) ORDER BY CAST(o_orderstatus = 'F' AS INT), bytes / (cost + 1) DESC, o_orderdate, o_orderkey) - bytes AS before FROM orders JOIN l ON l_orderkey = o_orderkey)
 SELECT kind, id, CAST(before AS BIGINT) AS before FROM b WHERE before < every - 50000""",
     "ask_once": "SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE) ORDER BY ts, event_id) = 1 AS asks FROM events",
-    "sighting_cleanup": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "sighting_cleanup": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O' AND o_orderpriority = '1-URGENT')",
     "sighting_findings": "SELECT c_custkey, strftime(max(o_orderdate), '%Y-%m-%d') AS latest, count(*) AS sightings FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1",
     "model_review": "WITH " + JUDGED + " SELECT doc_id, CASE WHEN p >= 0.9 THEN 'fail' ELSE 'review' END AS verdict, CASE WHEN p >= 0.9 THEN floor(greatest(p, 1 - p) * 10000 + 0.5) / 10000 END AS confidence FROM j LEFT JOIN k USING (lang, marked)",
     "selector_quality": "WITH " + JUDGED + """ SELECT count(*) AS subjects, count(*) FILTER (marked) AS selected, floor(count(*) FILTER (marked AND bad) / nullif(count(*) FILTER (marked), 0) * 10000 + 0.5) / 10000 AS precision,

@@ -1,7 +1,8 @@
 """Adapter: the sample tables read as a relational code model.
 
 Nations are modules, suppliers are files with one type each, parts are functions or methods, consecutive lines of an order
-are uses, and the lines of a part are its control flow. The mapping is plain SQL that both engines understand, so that the
+are uses, and the lines of a part are its control flow. Customers are handlers, functions and methods of few uses: each uses
+the one before it among those of its segment and balance, and has one branch. The mapping is plain SQL that both engines understand, so that the
 operators under test differ between them and the input doesn't.
 """
 
@@ -32,20 +33,36 @@ RELATIONS = {
                CAST(p_size % 9 AS BIGINT) AS params, CAST(p_size AS BIGINT) AS statements,
                CAST(row_number() OVER (PARTITION BY f.path ORDER BY p_partkey) * 10 AS BIGINT) AS line,
                CAST(row_number() OVER (PARTITION BY f.path ORDER BY p_partkey) * 10 + p_size % 9 AS BIGINT) AS end_line
-        FROM (SELECT x.*, p_partkey % c.n AS pf FROM {part} x CROSS JOIN (SELECT count(*) AS n FROM {supplier}) c) p JOIN {files} f ON p.pf = f.fid""",
+        FROM (SELECT x.*, p_partkey % c.n AS pf FROM {part} x CROSS JOIN (SELECT count(*) AS n FROM {supplier}) c) p JOIN {files} f ON p.pf = f.fid
+        UNION ALL
+        SELECT c_custkey + 1000000000000, f.module || '::' || CASE WHEN c_custkey % 3 = 0 THEN 'S' || CAST(f.fid AS STRING) || '::' ELSE '' END
+                 || 'handle_' || lower(c_mktsegment) || CAST(c_custkey AS STRING) || CASE WHEN c_custkey % 3 = 0 THEN '#method' ELSE '#function' END,
+               'handle_' || lower(c_mktsegment) || CAST(c_custkey AS STRING), CASE WHEN c_custkey % 3 = 0 THEN 'method' ELSE 'function' END,
+               CASE WHEN c_custkey % 4 > 0 THEN 'private' ELSE 'public' END,
+               CASE WHEN c_custkey % 3 = 0 THEN f.type_id END, f.path, f.module, f.test,
+               CAST(c_custkey % 4 AS BIGINT), CAST(c_custkey % 31 AS BIGINT), CAST(1000000 + c_custkey * 10 AS BIGINT), CAST(1000000 + c_custkey * 10 + c_custkey % 7 AS BIGINT)
+        FROM (SELECT x.*, (c_custkey * 7) % c.n AS cf FROM {customer} x CROSS JOIN (SELECT count(*) AS n FROM {supplier}) c) p JOIN {files} f ON p.cf = f.fid""",
     "uses": """
         SELECT DISTINCT a.id AS src, b.id AS dst,
                CASE x.l_returnflag WHEN 'A' THEN 'semantic' WHEN 'N' THEN 'syntactic' ELSE 'heuristic' END AS resolution
         FROM (SELECT l_partkey, l_returnflag,
                      lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS before FROM {lineitem}) x
         JOIN {functions} a ON a.pid = x.before JOIN {functions} b ON b.pid = x.l_partkey
-        WHERE x.before <> x.l_partkey""",
+        WHERE x.before <> x.l_partkey
+        UNION ALL
+        SELECT a.id, b.id, CASE x.c_custkey % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'syntactic' ELSE 'heuristic' END
+        FROM (SELECT c_custkey, lag(c_custkey) OVER (PARTITION BY c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey ELSE c_custkey % 8 END, floor(c_acctbal / 500) ORDER BY c_custkey) AS before
+              FROM {customer}) x
+        JOIN {functions} a ON a.pid = x.c_custkey + 1000000000000 JOIN {functions} b ON b.pid = x.before + 1000000000000""",
     "flow": """
         SELECT f.id AS symbol, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS at,
                CASE l_linenumber WHEN 1 THEN 'if' WHEN 2 THEN 'else-if' WHEN 3 THEN 'else' WHEN 4 THEN 'switch'
                                  WHEN 5 THEN 'loop' WHEN 6 THEN 'catch' ELSE 'logic' END AS kind,
                CAST(l_suppkey % 4 AS BIGINT) AS nesting, CAST(floor(l_quantity) AS BIGINT) % 5 AS arms, CAST(l_orderkey % 3 AS BIGINT) AS operators
-        FROM {lineitem} JOIN {functions} f ON f.pid = l_partkey""",
+        FROM {lineitem} JOIN {functions} f ON f.pid = l_partkey
+        UNION ALL
+        SELECT f.id, c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'if' WHEN 1 THEN 'switch' WHEN 2 THEN 'logic' ELSE 'loop' END, CAST(c_custkey % 3 AS BIGINT), CAST(c_custkey % 5 AS BIGINT), CAST(c_custkey % 3 AS BIGINT)
+        FROM {customer} JOIN {functions} f ON f.pid = c_custkey + 1000000000000""",
     "module_edges": """
         SELECT DISTINCT a.module AS src, b.module AS dst FROM {uses} u JOIN {functions} a ON a.id = u.src JOIN {functions} b ON b.id = u.dst
         WHERE a.module <> b.module AND u.resolution = 'semantic'""",
@@ -69,7 +86,7 @@ RELATIONS = {
                lag(p_partkey) OVER (PARTITION BY p_type, p_brand ORDER BY p_partkey) AS other, p_size % 4 = 0 AS proven, p_size % 5 = 0 AS superseded
         FROM {part}""",
 }
-TABLES = ("region", "nation", "supplier", "part", "lineitem", "events")
+TABLES = ("region", "nation", "supplier", "part", "lineitem", "customer", "events")
 
 
 def relation(spark: SparkSession, folder: str, name: str) -> DataFrame:

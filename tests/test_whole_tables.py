@@ -17,11 +17,31 @@ def lines(spark):
     return read_table(spark, FOLDER, "lineitem").collect()
 
 
+HANDLERS = 10**12
+
+
 @pytest.fixture(scope="module")
 def functions(spark):
     return {r.pid: r for r in relation(spark, FOLDER, "functions").collect()}
 
 
+@pytest.fixture(scope="module")
+def customers(spark):
+    return sorted(read_table(spark, FOLDER, "customer").collect(), key=lambda c: c.c_custkey)
+
+
+def handler_uses(customers):
+    """Each handler uses the one before it in its group."""
+    last, out = {}, set()
+    for c in customers:
+        k = c.c_custkey
+        group = c.c_mktsegment, c.c_nationkey if k % 2 == 0 else k % 8, c.c_acctbal // 500
+        if group in last:
+            out.add((k + HANDLERS, last[group] + HANDLERS, ("semantic", "syntactic", "heuristic")[k % 3]))
+        last[group] = k
+    return out
+
+
 def all_uses(lines, functions):
     orders = defaultdict(list)
     for x in lines:
@@ -35,8 +55,8 @@ def all_uses(lines, functions):
     return out
 
 
-def test_uses_and_module_edges_hold_all_lines(spark, lines, functions):
-    want = all_uses(lines, functions)
+def test_uses_and_module_edges_hold_all_lines(spark, lines, functions, customers):
+    want = all_uses(lines, functions) | handler_uses(customers)
     got = relation(spark, FOLDER, "uses").collect()
     assert sorted((r.src, r.dst, r.resolution) for r in got) == sorted((functions[a].id, functions[b].id, r) for a, b, r in want)
     edges = {(functions[a].module, functions[b].module) for a, b, r in want if r == "semantic"}
@@ -44,9 +64,11 @@ def test_uses_and_module_edges_hold_all_lines(spark, lines, functions):
     assert sorted((r.src, r.dst) for r in got) == sorted(e for e in edges if e[0] != e[1])
 
 
-def test_flow_holds_all_lines(spark, lines, functions):
+def test_flow_holds_all_lines(spark, lines, functions, customers):
     got = relation(spark, FOLDER, "flow").collect()
-    assert sorted((r.symbol, r.at) for r in got) == sorted((functions[x.l_partkey].id, x.l_orderkey * 8 + x.l_linenumber) for x in lines if x.l_partkey in functions)
+    want = [(functions[x.l_partkey].id, x.l_orderkey * 8 + x.l_linenumber) for x in lines if x.l_partkey in functions]
+    want += [(functions[c.c_custkey + HANDLERS].id, c.c_custkey) for c in customers]
+    assert sorted((r.symbol, r.at) for r in got) == sorted(want)
 
 
 def items(spark, name):
