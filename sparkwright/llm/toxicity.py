@@ -20,7 +20,6 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -62,9 +61,14 @@ class Terms:
 
     def counts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term, frequency) of all texts, ascending by text and term."""
-        words = [plain_words(t) for t in texts]
-        of = np.repeat(np.arange(len(texts)), [len(w) for w in words])
-        coded = pa.array(list(chain.from_iterable(words)), pa.binary()).dictionary_encode()
+        words, sizes = [], []
+        for text in texts:
+            before = len(words)
+            words += plain_words(text)
+            sizes.append(len(words) - before)
+        of = np.repeat(np.arange(len(texts)), sizes)
+        coded = pa.array(words, pa.binary()).dictionary_encode()
+        words.clear()
         try:
             unique = coded.dictionary.cast(pa.string())
         except pa.ArrowInvalid:
@@ -74,10 +78,13 @@ class Terms:
         for n in BEGINNINGS:
             longer = pc.if_else(pc.greater(size, n), pc.utf8_slice_codeunits(unique, 0, n), None)
             spelt.append(pc.binary_join_element_wise(longer, "*", "").cast(pa.binary()))
+        codes, keys = coded.indices.to_numpy(), []
         found = pc.index_in(pa.chunked_array(spelt), value_set=self.known, skip_nulls=True).combine_chunks()
-        number = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).reshape(len(spelt), -1)[:, coded.indices.to_numpy()]
-        has = number >= 0
-        key, count = np.unique((of << 32 | number)[has], return_counts=True)
+        for row in pc.fill_null(found, -1).to_numpy(zero_copy_only=False).reshape(len(spelt), -1):
+            number = row[codes]
+            has = np.flatnonzero(number >= 0)
+            keys.append(of[has] << 32 | number[has])
+        key, count = np.unique(np.concatenate(keys), return_counts=True)
         return key >> 32, key & 0xFFFFFFFF, count
 
 
@@ -114,6 +121,18 @@ class Index:
         self.dense[example[held] // block, np.repeat(self.row[long], self.length[long]), example[held] % block] = value[held]
         self.most = np.ascontiguousarray(self.dense.max(axis=2, initial=0).T)
 
+    def groups(self, start: np.ndarray, terms: np.ndarray, queries: int = 64, postings: int = 1 << 20) -> Iterator[tuple[int, int]]:
+        """Runs of queries (from, to) for one call of ``nearest`` each: so many, with about so many short postings.
+
+        ``start`` has where the terms of each query begin, and where the last ends.
+        """
+        read = np.r_[0, np.cumsum(np.where(self.row[terms] < 0, self.length[terms], 0))][start]
+        a, n = 0, len(start) - 1
+        while a < n:
+            b = min(n, a + queries, max(a + 1, int(np.searchsorted(read, read[a] + postings, side="right")) - 1))
+            yield a, b
+            a = b
+
     def nearest(self, of: np.ndarray, terms: np.ndarray, q: np.ndarray, queries: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query (examples, cosines) of the k largest cosines above 0, nearest first; ties go to the smaller number.
 
@@ -189,9 +208,10 @@ class Model:
         for some in parts(texts) if self.n else ():
             of, at, count = terms.counts(some)
             q = unit(of, count, self.weight[at])
-            for a in range(0, len(some), 64):
-                part = slice(*np.searchsorted(of, (a, a + 64)))
-                for near, cosine in index.nearest(of[part] - a, at[part], q[part], min(64, len(some) - a), self.nearest):
+            start = np.searchsorted(of, np.arange(len(some) + 1))
+            for a, b in index.groups(start, at):
+                part = slice(start[a], start[b])
+                for near, cosine in index.nearest(of[part] - a, at[part], q[part], b - a, self.nearest):
                     w = cosine**CLOSENESS
                     out.append((self.odds(float((w * self.toxic[near]).sum()), float(w.sum())), self.ids[near].tolist()))
         return out if self.n else [(self.odds(0.0, 0.0), [])] * len(texts)
@@ -382,14 +402,17 @@ def score_column(model: Model, docs: DataFrame, text_col: str = "text") -> F.Col
         m, known = shared.value, {}
         kind = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.int64()))])
         for batch in batches:
-            texts = utf8(batch)
-            keys = [xxhash.xxh3_128_digest(t) for t in texts]
-            new = {k: t for k, t in zip(keys, texts, strict=True) if k not in known}
-            fresh = {k: {"score": p, "evidence": near} for k, (p, near) in zip(new, m.scores(list(new.values())), strict=True)}
-            yield pa.array([fresh.get(k) or known[k] for k in keys], type=kind)
-            if len(known) + len(fresh) > 20_000:
-                known.clear()
-            known |= fresh
+            found = []
+            for at in range(0, len(batch), 1024):
+                texts = utf8(batch.slice(at, 1024))
+                keys = [xxhash.xxh3_128_digest(t) for t in texts]
+                new = {k: t for k, t in zip(keys, texts, strict=True) if k not in known}
+                fresh = {k: {"score": p, "evidence": near} for k, (p, near) in zip(new, m.scores(list(new.values())), strict=True)}
+                found.append(pa.array([fresh.get(k) or known[k] for k in keys], type=kind))
+                if len(known) + len(fresh) > 20_000:
+                    known.clear()
+                known |= fresh
+            yield pa.concat_arrays(found) if found else pa.array([], kind)
 
     return score(F.col(text_col))
 

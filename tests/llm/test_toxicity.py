@@ -37,6 +37,14 @@ def test_nearest_equals_exact_cosine():
             assert np.allclose(score, [-c for c, _ in want], atol=2e-5)
             assert np.allclose(cosine[where], score, atol=2e-6) and (np.diff(score) <= 0).all()
             assert all(a < b for a, b, s, t in zip(where, where[1:], score, score[1:], strict=False) if s == t)
+        start = np.r_[0, np.cumsum([len(at) for at, _ in asked])]
+        terms = np.concatenate([v[0] for v in asked])
+        for queries_, postings in ((64, 1 << 20), (7, 1 << 20), (64, 50), (1, 1)):
+            runs = list(index.groups(start, terms, queries_, postings))
+            assert [x for a, b in runs for x in range(a, b)] == list(range(62)) and max(b - a for a, b in runs) <= queries_
+            read = [index.length[t := terms[start[a] : start[b]]][index.row[t] < 0].sum() for a, b in runs]
+            assert all(n <= postings or b - a == 1 for n, (a, b) in zip(read, runs, strict=True))
+        assert not list(index.groups(np.zeros(1, int), np.zeros(0, int)))
     place = toxicity.resembling(700, of, *flat, 2000)
     assert sorted(place) == list(range(700)) and np.ptp(place[300:340]) == 39
 
