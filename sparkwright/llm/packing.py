@@ -15,6 +15,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ CLASS = 8
 END = (1).to_bytes(4, "little")
 #: Bounds of a chunk that is packed at once, and of a worker's cache of tokenised words.
 CHUNK_DOCS, CHUNK_BYTES, CACHE_WORDS = 16_384, 32 << 20, 450_000
+#: How many words a worker keeps for its next task.
+KEPT_WORDS = 100_000
 #: A sequence that would keep more padding than this is taken apart and cut anew.
 SLACK = 16
 #: ASCII marks, which the tokenizer sets apart from letters before them.
@@ -82,6 +85,11 @@ class WordIds:
         self.cache: dict[bytes, bytes] = {b"": b""}
         self.older: dict[bytes, bytes] = {}
 
+    def trim(self, words: int = KEPT_WORDS) -> None:
+        """Keep the words that were met first, which are mostly the frequent ones; a worker outlives its task."""
+        self.cache = dict(islice(self.cache.items(), words))
+        self.older = {}
+
     def _encode_letters(self, words: list[tuple[bytes, str]]) -> None:
         for a in range(0, len(words), 20_000):
             part = words[a : a + 20_000]
@@ -322,5 +330,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                     yield out()
         flush()
         yield out()
+        words.trim()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES + extra)

@@ -76,6 +76,9 @@ def test_cache_generations_keep_ids(monkeypatch):
     texts = [" ".join("".join(rnd.choice("abcdéßΣ1_.,'") for _ in range(rnd.randint(1, 7))) for _ in range(60)) for _ in range(40)]
     got = [np.frombuffer(b, "<u4").tolist() + [1] for a in range(0, 40, 4) for b in words.encode([t.encode() for t in texts[a : a + 4]])]
     assert got == expected_ids(texts)
+    words.trim(10)
+    assert len(words.cache) <= 10 and not words.older
+    assert [np.frombuffer(b, "<u4").tolist() + [1] for b in words.encode([t.encode() for t in texts])] == expected_ids(texts)
 
 
 def test_empty_table(empty_docs):
