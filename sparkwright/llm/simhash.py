@@ -228,12 +228,12 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     It is the row with the smallest id, null last; among rows that repeat an id, the one with the smallest hash of its text,
     then the first. A row stays if nothing in another row resembles it, whatever ids repeat. Texts are written once with their row numbers
-    and never shuffled unless the numbers of the rows that stay are too many to be broadcast by Spark's own limit of size.
+    and never shuffled unless the numbers of the rows that go, the fewer ones, are too many to be broadcast by Spark's own limit of size.
     """
     uid, fp = unused(docs, "uid"), unused(docs, "fp")
     rows = materialize(docs.select("*", F.monotonically_increasing_id().alias(uid), fingerprint_column(F.col(text_col)).alias(fp)))
     known = rows.select(F.col(fp).alias("fp"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(uid).alias("uid")).alias("row"))
     firsts = materialize(known.groupBy("fp").agg(F.min("row").alias("row")))
     stay = firsts.join(components(firsts.select("fp"), block), "fp").groupBy("root").agg(F.min("row").alias("row"))
-    stay = materialize(stay.select(F.col("row.uid").alias(uid)))
-    return rows.join(stay, uid, "left_semi").select(*docs.columns)
+    gone = materialize(rows.select(uid).join(stay.select(F.col("row.uid").alias(uid)), uid, "left_anti"))
+    return rows.join(gone, uid, "left_anti").select(*docs.columns)
