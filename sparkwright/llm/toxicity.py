@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -84,11 +84,21 @@ class Terms:
             number = row[codes]
             has = np.flatnonzero(number >= 0)
             keys.append(of[has] << 32 | number[has])
-        key, count = np.unique(np.concatenate(keys), return_counts=True)
+        key = np.concatenate(keys)
+        keys.clear()
+        key.sort()
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        count, key = np.diff(np.r_[first, len(key)]), key[first]
         return key >> 32, key & 0xFFFFFFFF, count
 
 
-def parts(texts: list[bytes], most: int = 4 << 20) -> Iterator[list[bytes]]:
+def one_by_one(column: pa.Array, rows: int = 1024) -> Iterator[bytes]:
+    """The texts of a column, of which only so many at once are Python objects."""
+    for at in range(0, len(column), rows):
+        yield from utf8(column.slice(at, rows))
+
+
+def parts(texts: Iterable[bytes], most: int = 4 << 20) -> Iterator[list[bytes]]:
     """The texts in lists of about ``most`` bytes, at most 2048 each."""
     some, size = [], 0
     for t in texts:
@@ -116,9 +126,10 @@ class Index:
         long = np.flatnonzero(self.length > max(block, n // LONG))
         self.row = np.full(len(self.length), -1, np.int64)
         self.row[long] = np.arange(len(long))
-        held = _ranges(offset[long], self.length[long])
         self.dense = np.zeros((self.blocks, len(long), block), np.float32)
-        self.dense[example[held] // block, np.repeat(self.row[long], self.length[long]), example[held] % block] = value[held]
+        for i, term in enumerate(long):
+            held = slice(offset[term], offset[term + 1])
+            self.dense[example[held] // block, i, example[held] % block] = value[held]
         self.most = np.ascontiguousarray(self.dense.max(axis=2, initial=0).T)
 
     def groups(self, start: np.ndarray, terms: np.ndarray, queries: int = 64, postings: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -201,7 +212,7 @@ class Model:
             self._ready = Terms(self.terms.split(b"\n") if self.terms else []), Index(self.n, self.offset, self.example, self.value)
         return self._ready
 
-    def votes(self, texts: list[bytes]) -> list[tuple[float, list[int]]]:
+    def votes(self, texts: Iterable[bytes]) -> list[tuple[float, list[int]]]:
         """Log odds of the weighted vote, and the ids of the nearest examples, for each text."""
         terms, index = self.ready()
         out = []
@@ -214,7 +225,7 @@ class Model:
                 for near, cosine in index.nearest(of[part] - a, at[part], q[part], b - a, self.nearest):
                     w = cosine**CLOSENESS
                     out.append((self.odds(float((w * self.toxic[near]).sum()), float(w.sum())), self.ids[near].tolist()))
-        return out if self.n else [(self.odds(0.0, 0.0), [])] * len(texts)
+        return out if self.n else [(self.odds(0.0, 0.0), []) for _ in texts]
 
     def odds(self, toxic: float, every: float) -> float:
         p = min(max((toxic + SHRINK * self.rate) / (every + SHRINK), 1e-6), 1 - 1e-6)
@@ -253,7 +264,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, toxic) rows to (term, n_toxic, n_clean) of this task."""
     counts = (Counter(), Counter())
     for batch in batches:
-        for text, toxic in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+        for text, toxic in zip(one_by_one(batch.column(0)), batch.column(1).to_pylist(), strict=True):
             counts[toxic].update({t for w in set(plain_words(text)) for t in word_terms(w)})
     terms = list(counts[0].keys() | counts[1].keys())
     for a in range(0, len(terms), 50_000):
@@ -272,7 +283,7 @@ def _frequencies(terms: bytes):
         df = np.zeros(len(known.known), np.int64)
         for batch in batches:
             n += batch.num_rows
-            for texts in parts(utf8(batch.column(0))):
+            for texts in parts(one_by_one(batch.column(0))):
                 df += np.bincount(known.counts(texts)[1], minlength=len(df))
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some].astype(np.int32)), pa.array(np.r_[n, df[some]])], names=["term", "df"])
@@ -287,7 +298,7 @@ def _vectors(terms: bytes):
         known = Terms(terms.split(b"\n"))
         for batch in batches:
             at = 0
-            for texts in parts(utf8(batch.column("text"))):
+            for texts in parts(one_by_one(batch.column("text"))):
                 of, term, count = known.counts(texts)
                 stop = pa.array(np.searchsorted(of, np.arange(len(texts) + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(stop, pa.array(x.astype(np.int32))) for x in (term, count)]
@@ -300,7 +311,7 @@ def _vectors(terms: bytes):
 def _votes(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = [z for z, _ in shared.value.votes(utf8(batch.column("text")))]
+            z = [z for z, _ in shared.value.votes(one_by_one(batch.column("text")))]
             yield pa.RecordBatch.from_arrays([pa.array(z, pa.float64()), batch.column("toxic")], names=["z", "toxic"])
 
     return run
@@ -412,6 +423,7 @@ def score_column(model: Model, docs: DataFrame, text_col: str = "text") -> F.Col
                 if len(known) + len(fresh) > 20_000:
                     known.clear()
                 known |= fresh
+            pa.default_memory_pool().release_unused()
             yield pa.concat_arrays(found) if found else pa.array([], kind)
 
     return score(F.col(text_col))
