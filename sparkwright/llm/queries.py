@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwright.llm import decontaminate, licenses, lm, packing, pii, quality, quality_rules, secrets, simhash, toxicity
+from sparkwright.llm import conversations, decontaminate, licenses, lm, packing, pii, quality, quality_rules, secrets, simhash, toxicity
 from sparkwright.sources.scratch import read_table
 
 HELD_OUT = "pmod(crc32(cast(cast({0} as string) as binary)), 5)"
@@ -104,6 +104,10 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.rebuilt_trie(read_table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
@@ -115,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_secrets": op10_secrets,
+    "op11_conversations": op11_conversations,
 }
 
 ORACLE: dict[str, str] = {
@@ -138,6 +143,40 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS B
        CAST(coalesce(k.n, 0) AS BIGINT) AS n_items, sha256(coalesce(k.s, '')) AS items_sha256,
        coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+""",
+    # CRC-32 of a decimal id bit by bit: a byte (0 or more) is mixed in, each of the eight -1 after it shifts once.
+    "op11_conversations": r"""
+WITH t AS (
+  SELECT conv_id, list(x ORDER BY turn NULLS FIRST, x.role, x.h[:32]) AS turns
+  FROM (SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, {'role': coalesce(role, ''), 'n': length(coalesce(text, '')),
+               'h': sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))} AS x
+        FROM conversations WHERE conv_id IS NOT NULL)
+  GROUP BY conv_id),
+c AS (
+  SELECT conv_id, turns, conv_id - conv_id % 100 AS base,
+         xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(
+               range(1, length(CAST(conv_id AS VARCHAR)) + 1),
+               lambda i: [CAST(ascii(CAST(conv_id AS VARCHAR)[i]) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+             lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a // 2, (a % 2) * 3988292384) END), 4294967295) % 6 AS h
+  FROM t),
+r AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns[:c.h], []), c.turns[c.h + 1:]) AS turns
+  FROM c LEFT JOIN t AS b ON b.conv_id = c.base),
+p AS (
+  SELECT conv_id, len(turns) AS size, d AS depth, list_transform(turns[:d], lambda x: x.h) AS path, CASE WHEN d > 0 THEN turns[d].n ELSE 0 END AS n
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+v AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(n) AS own,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256
+  FROM p GROUP BY path, depth),
+k AS (SELECT path[:depth - 1] AS path, count(*) AS n FROM v WHERE depth > 0 GROUP BY path[:depth - 1]),
+u AS (
+  SELECT top, CAST(sum(own) AS BIGINT) AS saved, count(*) FILTER (NOT inner_node) AS leaves
+  FROM (SELECT v.path[:unnest(range(0, v.depth + 1))] AS top, v.own, k.path IS NOT NULL AS inner_node FROM v LEFT JOIN k ON k.path = v.path)
+  GROUP BY top)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, a.conv_id AS parent_conv_id, v.n_convs, coalesce(k.n, 0) AS n_children,
+       u.leaves AS n_leaves, u.saved AS saved_tokens, v.ends_sha256
+FROM v JOIN u ON u.top = v.path LEFT JOIN k ON k.path = v.path LEFT JOIN v AS a ON v.depth > 0 AND a.path = v.path[:v.depth - 1]
 """,
 }
 
