@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwright.llm import conversations, decontaminate, licenses, lm, packing, pii, quality, quality_rules, secrets, simhash, toxicity
+from sparkwright.llm import byte_bpe, conversations, decontaminate, licenses, lm, packing, pii, quality, quality_rules, search, secrets, simhash, toxicity
 from sparkwright.sources.scratch import read_table
 
 HELD_OUT = "pmod(crc32(cast(cast({0} as string) as binary)), 5)"
@@ -108,6 +108,21 @@ def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.rebuilt_trie(read_table(spark, folder, "conversations"))
 
 
+def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = byte_bpe.encode_documents(read_table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+    return found.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(byte_bpe.decoded("ids", path), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.search(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
@@ -120,6 +135,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_secrets": op10_secrets,
     "op11_conversations": op11_conversations,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_search": op13_search,
 }
 
 ORACLE: dict[str, str] = {
@@ -143,6 +160,24 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS B
        CAST(coalesce(k.n, 0) AS BIGINT) AS n_items, sha256(coalesce(k.s, '')) AS items_sha256,
        coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+""",
+    "op13_search": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT CAST(count(*) FILTER (len(w) > 0) AS BIGINT) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d),
+f AS (SELECT doc_id, t, CAST(any_value(n) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS tf
+      FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY doc_id, t),
+k AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(s.n) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY t),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+r AS (
+  SELECT item_id, doc_id, CAST(sum(k.w * ((1000000000 * f.tf) // (1000 * f.tf + 20 * (50 + (50 * f.n * s.n) // s.l)))) AS BIGINT) AS score
+  FROM q JOIN k USING (t) JOIN f USING (t), s GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0)
+WHERE rank <= 50
 """,
     # CRC-32 of a decimal id bit by bit: a byte (0 or more) is mixed in, each of the eight -1 after it shifts once.
     "op11_conversations": r"""
