@@ -1,269 +1,59 @@
 """Language-model scores by a weighted backoff automaton over all words and all n-grams that occur twice or more.
 
 Words, bigrams and trigrams of the training rows are all counted; those bigrams and trigrams that occur at least ``LEAST``
-times, a threshold that is the same at every size, become arcs, so the model grows with the corpus. States are contexts; an arc carries the discounted
-log-probability of a word after its context and leads to the longest known context that follows; a failure arc carries the
-context's backoff weight and leads to the context without its oldest word. Backoff weights are computed from the arcs that are
-kept, so probabilities after any context add up to one.
-
-The automaton is a table and never in one place. The weights along a text's path add up, so each n-gram has one addend: an
-arc's weight less those of the failure arc and the lower arc that it spares, plus, as a context, its own failure weight. Texts
-ask for the addends of their n-grams by an equality shuffle, one row an n-gram and chunk of texts, so frequent n-grams gather
-in no task. N-grams are known by 64 bits of hash (at 5 thousand million distinct ones, about one pair is expected to collide).
-``known``, the words whose counts are broadcast, is no special case of the result: others come by the same shuffle.
-
-A caller that names ``vocabulary`` or ``arcs`` asks for the small automaton of that size instead, which is broadcast and
-traversed from left to right; with sizes that hold everything the scores are the same.
+times, a threshold that is the same at every size, are arcs, so the model grows with the corpus. States are contexts; an arc
+carries the discounted log-probability of a word after its context and leads to the longest known context that follows; a
+failure arc carries the context's backoff weight and leads to the context without its oldest word. Backoff weights come from
+the arcs that are kept, so probabilities after any context add up to one.
+
+The automaton is never whole in one place. Texts are cut into chunks of about ``CHUNK`` tokens, one row each. A chunk asks for
+the counts of its distinct words and bigrams, then of those trigrams whose two bigrams are kept (no other can occur twice),
+then for the backoff weights of its contexts. Keys are 64 bits of hash, sorted and packed in ranges, and an ask carries the
+chunk's own training counts: the task that gets a range adds them up over all chunks and answers each of them, so counting
+and looking up are one exchange. One of the chunks that hold a kept n-gram, its owner, adds its probability to the sums of its
+context. In the end each chunk builds the states and arcs that its texts can reach and walks each text once from left to
+right. At 5 thousand million distinct n-grams, about one pair of hashes is expected to collide.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwright.llm.text import spaced_words, utf8
-from sparkwright.sources.scratch import materialize
+from sparkwright.sources.scratch import discard, materialize
 
-VOCABULARY, ARCS, KNOWN = 4095, 250_000, 300_000
-SHIFT = 13
+#: Tokens of a chunk, and distinct keys of a range.
+CHUNK, RANGE = 1_000_000, 500_000
 DISCOUNT = 0.75
 #: From how many occurrences in training rows an n-gram is an arc.
 LEAST = 2
 #: Ends a text and, as a context, begins one. No word has a line end in it.
 END = b"\n"
 HELD_OUT = "pmod(crc32(cast(coalesce(cast({0} as string), '') as binary)), 5) = 1"
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
-
-    def out() -> Iterator[pa.RecordBatch]:
-        words = list(counts)
-        for a in range(0, len(words), 100_000):
-            part = words[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([counts[w] for w in part], pa.int64())], names=["token", "c"])
-        counts.clear()
-
-    for batch in batches:
-        for text in utf8(batch.column(0)):
-            counts.update(spaced_words(text))
-            counts[END] += 1
-            if len(counts) > 400_000:
-                yield from out()
-    yield from out()
-
-
-class Codes(dict):
-    """word -> rank from 1, 0 for words that have none."""
-
-    def __missing__(self, word: bytes) -> int:
-        return 0
-
-
-def _ngram_counts(words: list[bytes]):
-    """Counts of bigrams and trigrams of vocabulary words within texts, as packed longs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes({w: i + 1 for i, w in enumerate(words)})
-        end = codes[END]
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        stream: list[int] = [end]
-
-        def count() -> None:
-            s = np.array(stream, dtype=np.int64)
-            two = (s[:-1] << SHIFT | s[1:])[(s[:-1] > 0) & (s[1:] > 0)]
-            inner = (s[:-2] > 0) & (s[1:-1] > 0) & (s[2:] > 0) & (s[1:-1] != end)
-            three = (s[:-2] << 2 * SHIFT | s[1:-1] << SHIFT | s[2:])[inner]
-            parts.append(np.unique(np.concatenate([two, three]), return_counts=True))
-            stream[:] = [end]
-
-        def out() -> Iterator[pa.RecordBatch]:
-            if not parts:
-                return
-            keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            sums = np.bincount(where, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
-            parts.clear()
-            for a in range(0, len(keys), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 200_000]), pa.array(sums[a : a + 200_000])], names=["key", "n"])
-
-        for batch in batches:
-            for text in utf8(batch.column(0)):
-                stream.extend(map(codes.__getitem__, spaced_words(text)))
-                stream.append(end)
-                if len(stream) > 500_000:
-                    count()
-                    if sum(len(k) for k, _ in parts) > 1_500_000:
-                        yield from out()
-        if len(stream) > 1:
-            count()
-        yield from out()
-
-    return run
-
-
-def at_most(counts: DataFrame, column: str, limit: int) -> DataFrame:
-    """The most frequent rows, at most ``limit``: all from a count on, found from a histogram of counts."""
-    low = F.floor(F.log2(F.col(column).cast("double")) * 16).cast("int")
-    levels = sorted(((r.level, r.rows) for r in counts.groupBy(low.alias("level")).agg(F.count("*").alias("rows")).collect()), reverse=True)
-    total, least = 0, math.inf
-    for level, rows in levels:
-        if total + rows > limit:
-            break
-        total, least = total + rows, level
-    return counts.where(low >= least) if total else counts.where("false")
-
-
-@dataclass
-class Automaton:
-    """Arcs by state << SHIFT | word: (next state, weight). State 0 is the empty context; fail and weight are failure arcs."""
-
-    ranks: Codes
-    base: np.ndarray
-    counts: np.ndarray
-    vocabulary: int
-    arcs: dict[int, tuple[int, float]]
-    fail: list[int]
-    weight: list[float]
-    start: int
-    total: int
-    types: int
-
-    def log_base(self, count: float) -> float:
-        return math.log10((count + 0.5) / (self.total + 0.5 * (self.types + 1)))
-
-    def traverse(self, codes: list[int]) -> float:
-        """Sum of arcs and failure weights for a text's ranks, its end included; words without arcs only fall to state 0."""
-        arcs, fail, weight, most = self.arcs, self.fail, self.weight, self.vocabulary
-        state, score = self.start, 0.0
-        for c in codes:
-            if not c or c > most:
-                while state:
-                    score += weight[state]
-                    state = fail[state]
-                continue
-            arc = arcs.get(state << SHIFT | c)
-            while arc is None:
-                score += weight[state]
-                state = fail[state]
-                arc = arcs.get(state << SHIFT | c)
-            state = arc[0]
-            score += arc[1]
-        return score
-
-
-def automaton(known: list[tuple[bytes, int]], vocabulary: int, ngrams: dict[int, int], total: int, types: int) -> Automaton:
-    """Build states and arcs from the known words, most frequent first, and the kept n-grams."""
-    ranks = Codes({w: i + 1 for i, (w, _) in enumerate(known)})
-    counts = np.array([0, *(n for _, n in known)], dtype=np.int64)
-    base = np.log10((counts + 0.5) / (total + 0.5 * (types + 1)))
-    base[0] = 0.0  # words without a rank are added where their count is known
-    vocabulary = min(vocabulary, len(known))
-    mask = (1 << SHIFT) - 1
-    end = ranks.get(END, 0)
-    two = {k: n for k, n in ngrams.items() if k >> 2 * SHIFT == 0}
-    three = {k: n for k, n in ngrams.items() if k >> 2 * SHIFT and k >> SHIFT in two}
-    contexts = {k >> SHIFT for k in two} | ({end} if end else set())
-    state = {c: i + 1 for i, c in enumerate(sorted(contexts))}
-    state |= {c: len(state) + 1 + i for i, c in enumerate(sorted({k >> SHIFT for k in three}))}
-    follow = lambda context: state.get(context, state.get(context & mask, 0))
-    p1 = 10.0**base
-    p2 = {k: (n - DISCOUNT) / counts[k >> SHIFT] for k, n in two.items()}
-    p3 = {k: (n - DISCOUNT) / two[k >> SHIFT] for k, n in three.items()}
-    bigram_mass, unigram_mass = Counter(), Counter()
-    for k, p in p2.items():
-        bigram_mass[k >> SHIFT] += p
-        unigram_mass[k >> SHIFT] += p1[k & mask]
-    back2 = {c: max(1e-9, 1 - bigram_mass[c]) / max(1e-9, 1 - unigram_mass[c]) for c in contexts}
-    lower = lambda v, w: p2.get(v << SHIFT | w) or back2.get(v, 1.0) * p1[w]
-    trigram_mass, lower_mass = Counter(), Counter()
-    for k, p in p3.items():
-        trigram_mass[k >> SHIFT] += p
-        lower_mass[k >> SHIFT] += lower(k >> SHIFT & mask, k & mask)
-    back3 = {c: max(1e-9, 1 - trigram_mass[c]) / max(1e-9, 1 - lower_mass[c]) for c in trigram_mass}
-    fail, weight = [0] * (len(state) + 1), [0.0] * (len(state) + 1)
-    for c, s in state.items():
-        two_words = c > mask
-        fail[s] = state.get(c & mask, 0) if two_words else 0
-        weight[s] = math.log10(back3[c] if two_words else back2[c])
-        if two_words and not fail[s]:
-            weight[s] += math.log10(back2.get(c & mask, 1.0))
-    arcs = {w: (follow(w), float(base[w])) for w in range(1, vocabulary + 1)}
-    arcs |= {state[k >> SHIFT] << SHIFT | k & mask: (follow(k), math.log10(p)) for k, p in p2.items()}
-    arcs |= {state[k >> SHIFT] << SHIFT | k & mask: (follow(k & (1 << 2 * SHIFT) - 1), math.log10(p)) for k, p in p3.items()}
-    return Automaton(ranks, base, counts, vocabulary, arcs, fail, weight, state.get(end, 0), total, types)
-
-
-def train(docs: DataFrame, text_col: str = "text", vocabulary: int = VOCABULARY, arcs: int = ARCS, known: int = KNOWN) -> tuple[Automaton, DataFrame]:
-    """The automaton of all rows of ``docs``, and the table (token, c) of all exact word counts."""
-    texts = docs.select(F.col(text_col).alias("text"))
-    counts = materialize(texts.mapInArrow(_word_counts, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")))
-    total, types = counts.agg(F.sum("c"), F.count("*")).first()
-    table = at_most(counts, "c", known).toArrow()
-    words = sorted(zip((bytes(t) for t in table["token"].to_pylist()), table["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
-    vocabulary = min(vocabulary, (1 << SHIFT) - 1, len(words))
-    found = texts.mapInArrow(_ngram_counts([w for w, _ in words[:vocabulary]]), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
-    kept = at_most(materialize(found), "n", arcs).toArrow()
-    ngrams = dict(sorted(zip(kept["key"].to_pylist(), kept["n"].to_pylist(), strict=True)))
-    return automaton(words, vocabulary, ngrams, total or 0, types), counts
-
-
-ROWS = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, token binary, n long"
-
-
-def _scored(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Automaton = shared.value
-        codes = model.ranks
-        uid = TaskContext.get().partitionId() << 33
-        end = codes[END]
-        schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("token", pa.binary()), ("n", pa.int64())])
-        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
-            out: list[list] = [[] for _ in schema]
-            ids, held = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for doc, out_of, text in zip(ids, held, utf8(batch.column(2)), strict=True):
-                words = spaced_words(text)
-                ranks = [*map(codes.__getitem__, words), end]
-                at = np.array(ranks)
-                base = float(model.base[at].sum())
-                rest = at > model.vocabulary
-                score = model.traverse(ranks) + float(model.base[at[rest]].sum())
-                unknown = Counter([w for w, c in zip(words, ranks, strict=False) if not c]) if not at.all() else {}
-                if not end:
-                    unknown = Counter(unknown) + Counter([END])
-                row = (uid, doc, out_of, len(ranks), int((at > 0).sum()), base, score, END + str(uid).encode(), 0)
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-                for word, n in unknown.items():
-                    for column, value in zip(out, (uid, None, None, 0, 0, 0.0, 0.0, word, n), strict=True):
-                        column.append(value)
-                uid += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
-
-    return run
+WORDS, PAIRS, TRIPLES = 1, 2, 3
 
 
 class Hashes(dict):
-    """word -> 60 bits of its MD5, as WORD_HASH has them in Spark."""
+    """word -> 64 bits of hash; forgets all when it is full."""
 
     LIMIT = 400_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
             self.clear()
-        found = self[word] = int.from_bytes(md5(word, usedforsecurity=False).digest()[:8]) >> 4
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
 
 
-WORD_HASH = "cast(conv(substring(md5(token), 1, 15), 16, 10) as long)"
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
@@ -280,182 +70,318 @@ def hashed(*columns: np.ndarray) -> np.ndarray:
     return seed.view(np.int64)
 
 
-def _all_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts (a, b, c, n) of all bigrams (a is -1) and trigrams of word hashes within texts, summed up where they are."""
-    codes = Hashes()
-    end = codes[END]
-    parts: list[tuple[np.ndarray, ...]] = []
-    stream: list[int] = [end]
-
-    def count() -> None:
-        s = np.array(stream, dtype=np.int64)
-        inner = s[1:-1] != end
-        none = np.full(len(s) - 1, -1)
-        columns = [np.concatenate([two, three[inner]]) for two, three in ((none, s[:-2]), (s[:-1], s[1:-1]), (s[1:], s[2:]))]
-        _, first, n = np.unique(hashed(*columns), return_index=True, return_counts=True)
-        parts.append((*(c[first] for c in columns), n))
-        stream[:] = [end]
-
-    def out() -> Iterator[pa.RecordBatch]:
-        a, b, c, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        parts.clear()
-        _, first, where = np.unique(hashed(a, b, c), return_index=True, return_inverse=True)
-        columns = (a[first], b[first], c[first], np.bincount(where, weights=n).astype(np.int64))
-        for at in range(0, len(first), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 200_000]) for x in columns], names=["a", "b", "c", "n"])
-
-    for batch in batches:
-        for text in utf8(batch.column(0)):
-            stream.extend(map(codes.__getitem__, spaced_words(text)))
-            stream.append(end)
-            if len(stream) > 500_000:
-                count()
-                if sum(len(p[0]) for p in parts) > 2_000_000:
-                    yield from out()
-    if len(stream) > 1:
-        count()
-    if parts:
-        yield from out()
-
-
-def model_table(texts: DataFrame, counts: DataFrame, total: int, types: int) -> tuple[DataFrame, DataFrame]:
-    """The automaton of all ``texts`` as tables: (h, token, c, back) of words, and (key, add) of n-grams."""
-    grams = materialize(texts.mapInArrow(_all_ngrams, "a long, b long, c long, n long").groupBy("a", "b", "c").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST))
-    left = lambda taken, lower: F.log10(F.greatest(F.lit(1e-9), 1 - F.sum(taken)) / F.greatest(F.lit(1e-9), 1 - F.sum(lower)))
-    words = counts.select(F.expr(WORD_HASH).alias("h"), "token", "c")
-    first = words.select(F.col("h").alias("b"), F.col("c").alias("of"))
-    last = words.select(F.col("h").alias("c"), ((F.col("c") + 0.5) / F.lit(total + 0.5 * (types + 1))).alias("p1"))
-    two = grams.where("a = -1").join(first, "b").join(last, "c").select(F.xxhash64(F.lit(-1).cast("long"), "b", "c").alias("key"), "b", "n", "p1", ((F.col("n") - DISCOUNT) / F.col("of")).alias("p2"))
-    two = materialize(two)
-    back2 = two.groupBy("b").agg(left("p2", "p1").alias("back"))
-    words = words.join(back2.withColumnRenamed("b", "h"), "h", "left").select("h", "token", "c", F.coalesce("back", F.lit(0.0)).alias("back"))
-    key = lambda *c: F.xxhash64(F.lit(-1).cast("long"), *c)
-    three = grams.where("a <> -1").select(F.xxhash64("a", "b", "c").alias("key"), key("a", "b").alias("context"), key("b", "c").alias("lower"), "n")
-    three = three.join(two.select(F.col("key").alias("context"), F.col("n").alias("of")), "context").join(two.select(F.col("key").alias("lower"), F.col("p2").alias("low")), "lower")
-    three = materialize(three.select("key", "context", "low", ((F.col("n") - DISCOUNT) / F.col("of")).alias("p3")))
-    back3 = three.groupBy("context").agg(left("p3", "low").alias("back3"))
-    adds3 = three.join(back3, "context").select("key", (F.log10("p3") - F.log10("low") - F.col("back3")).alias("add"))
-    adds2 = two.join(back2, "b").join(back3.withColumnRenamed("context", "key"), "key", "left").select("key", (F.log10("p2") - F.log10("p1") - F.col("back") + F.coalesce("back3", F.lit(0.0))).alias("add"))
-    return materialize(words), adds2.union(adds3)
-
-
-ASKED = "key long, word boolean, origin long, texts array<int>, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
-
-
-def _asked(shared):
-    """Rows of texts, with what the broadcast words give, and the words and n-grams that texts of this task ask for."""
+def pack(values: np.ndarray) -> bytes:
+    """Byte by byte of all values, so that sorted and small ones compress well."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def unpack(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+
+
+CHUNKS = "origin long, doc_ids array<long>, held array<boolean>, sizes binary, vocabulary binary, stream binary, trained long, tokens long"
+_CHUNK_KINDS = pa.schema([("origin", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), *((n, pa.binary()) for n in ("sizes", "vocabulary", "stream")), ("trained", pa.int64()), ("tokens", pa.int64())])
+
+
+def _chunks(limit: int):
+    """Rows of texts as one row a chunk: each text's size, the chunk's distinct words and their numbers in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, tuple[float, float]] = shared.value
-        codes, origin, at = Hashes(), TaskContext.get().partitionId() << 33, 0
-        end = codes[END]
-        kinds = {"key": pa.int64(), "word": pa.bool_(), "origin": pa.int64(), "texts": pa.list_(pa.int32()), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
-        schema = pa.schema(list(kinds.items()))
-        stream, of, unknown, unknown_of, rows = [end], [], [], [], []
-
-        def batch_of(n: int, **columns) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([columns[k] if k in columns else pa.nulls(n, t) for k, t in kinds.items()], schema=schema)
-
-        def asks(keys: np.ndarray, texts: np.ndarray, word: bool) -> Iterator[pa.RecordBatch]:
-            order = np.argsort(keys, kind="stable")
-            keys, texts = keys[order], texts[order]
-            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
-            stops = np.r_[first, len(keys)].astype(np.int32)
-            for a in range(0, len(first), 100_000):
-                stop = stops[a : a + 100_001]
-                n = len(stop) - 1
-                lists = pa.ListArray.from_arrays(pa.array(stop - stop[0]), pa.array(texts[stop[0] : stop[-1]]))
-                yield batch_of(n, key=pa.array(keys[first[a : a + 100_000]]), word=pa.array(np.full(n, word)), origin=pa.array(np.full(n, origin)), texts=lists)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            s, t = np.array(stream, dtype=np.int64), np.repeat(np.array([r[0] for r in rows], dtype=np.int32), of)
-            inner = s[1:-1] != end
-            none = np.full(len(s) - 1, -1)
-            keys = np.concatenate([hashed(none, s[:-1], s[1:]), hashed(s[:-2][inner], s[1:-1][inner], s[2:][inner])])
-            yield from asks(keys, np.concatenate([t, t[1:][inner]]), False)
-            yield from asks(np.array(unknown, dtype=np.int64), np.array(unknown_of, dtype=np.int32), True)
-            i, doc, held, n, m, base, score = zip(*rows, strict=True)
-            yield batch_of(
-                len(i), key=pa.array(hashed(np.array(i, dtype=np.int64) + origin)), word=pa.array([False] * len(i)), origin=pa.array([origin] * len(i)), texts=pa.array([[x] for x in i], kinds["texts"]),
-                doc_id=pa.array(doc, pa.int64()), held_out=pa.array(held, pa.bool_()), n_tokens=pa.array(n, pa.int64()), n_known=pa.array(m, pa.int64()), base=pa.array(base, pa.float64()), score=pa.array(score, pa.float64()),
-            )
-            stream[:] = [end]
-            for x in (of, unknown, unknown_of, rows):
+        codes, origin = Hashes(), TaskContext.get().partitionId() << 33
+        ids: list[int | None] = []
+        held: list[bool] = []
+        sizes: list[int] = []
+        stream: list[int] = []
+
+        def flush() -> pa.RecordBatch:
+            nonlocal origin
+            vocabulary, numbers = np.unique(np.array(stream, dtype=np.uint64), return_inverse=True)
+            trained = sum(n for n, h in zip(sizes, held, strict=True) if not h)
+            row = (origin, list(ids), list(held), pack(np.array(sizes, np.uint32)), pack(vocabulary), pack(numbers.astype(np.uint32)), trained, len(stream))
+            origin += 1
+            for x in (ids, held, sizes, stream):
                 x.clear()
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _CHUNK_KINDS.types, strict=True)], schema=_CHUNK_KINDS)
 
         for batch in (whole.slice(a, 1000) for whole in batches for a in range(0, whole.num_rows, 1000)):
-            ids, held = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for doc, out_of, text in zip(ids, held, utf8(batch.column(2)), strict=True):
-                words = [*spaced_words(text), END]
-                found = [known.get(w) for w in words]
-                other = [codes[w] for w, f in zip(words, found, strict=True) if f is None]
-                unknown.extend(other)
-                unknown_of.extend([at] * len(other))
-                base, back = math.fsum(f[0] for f in found if f), math.fsum(f[1] for f in found if f)
-                rows.append((at, doc, out_of, len(words), len(words) - len(other), base, base + back))
+            for doc, out_of, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
+                words = spaced_words(text)
+                ids.append(doc)
+                held.append(out_of)
+                sizes.append(len(words) + 1)
                 stream.extend(map(codes.__getitem__, words))
-                of.append(len(words))
-                at += 1
-                if len(stream) > 500_000:
-                    yield from flush()
-        if rows:
-            yield from flush()
+                stream.append(codes[END])
+                if len(stream) >= limit:
+                    yield flush()
+        if ids:
+            yield flush()
+
+    return run
+
+
+class Chunk:
+    """A chunk's texts as arrays. Position t of the stream is a token; before the first one stands an end."""
+
+    def __init__(self, row: dict) -> None:
+        self.ids, self.held = row["doc_ids"], np.array(row["held"], bool)
+        self.sizes, self.vocabulary = unpack(row["sizes"], "<u4").astype(np.int64), unpack(row["vocabulary"], "<u8")
+        self.stream = unpack(row["stream"], "<u4").astype(np.int64)
+        self.end = int(np.searchsorted(self.vocabulary, np.uint64(xxhash.xxh3_64_intdigest(END))))
+        self.trains = np.repeat(~self.held, self.sizes)
+        self.before = np.r_[self.end, self.stream[:-1]]
+        h = self.vocabulary.view(np.int64)
+        pairs = hashed(h[self.before], h[self.stream]).view(np.uint64)
+        self.pairs = np.unique(pairs)
+        self.pair = np.searchsorted(self.pairs, pairs)
+
+    def pair_words(self) -> tuple[np.ndarray, np.ndarray]:
+        """The two words of each distinct pair."""
+        first, second = np.zeros(len(self.pairs), np.int64), np.zeros(len(self.pairs), np.int64)
+        first[self.pair], second[self.pair] = self.before, self.stream
+        return first, second
+
+    def triples(self, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct keys, positions, number of the key at each): triples within texts, both of whose pairs are kept."""
+        inner = self.before != self.end
+        inner[:1] = False
+        at = np.flatnonzero(inner & kept[self.pair] & kept[np.r_[0, self.pair[:-1]]])
+        keys = hashed(self.pairs.view(np.int64)[self.pair[at - 1]], self.vocabulary.view(np.int64)[self.stream[at]], np.full(len(at), TRIPLES)).view(np.uint64)
+        distinct = np.unique(keys)
+        return distinct, at, np.searchsorted(distinct, keys)
+
+
+ASKS = "kind int, range long, origin long, keys binary, counts binary, taken binary, lower binary"
+_ASK_KINDS = pa.schema([("kind", pa.int32()), ("range", pa.int64()), ("origin", pa.int64()), *((n, pa.binary()) for n in ("keys", "counts", "taken", "lower"))])
+ANSWERS = "kind int, range long, origin long, counts binary, owned binary, back binary, words long"
+_ANSWER_KINDS = pa.schema([("kind", pa.int32()), ("range", pa.int64()), ("origin", pa.int64()), *((n, pa.binary()) for n in ("counts", "owned", "back")), ("words", pa.int64())])
+
+
+def _asks(kind: int, origin: int, keys: np.ndarray, ranges: int, **values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sorted keys by ranges of the key space, with what goes along."""
+    of = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+    stops = np.r_[starts[1:], len(of)]
+    for a in range(0, len(starts), 256):
+        parts = [*zip(starts[a : a + 256], stops[a : a + 256], strict=True)]
+        packed = {n: [pack(v[i:j]) for i, j in parts] for n, v in ({"keys": keys} | values).items()}
+        columns = {"kind": [kind] * len(parts), "range": of[starts[a : a + 256]].astype(np.int64), "origin": [origin] * len(parts)} | packed
+        yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(parts), f.type) for f in _ASK_KINDS], schema=_ASK_KINDS)
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """Counts of a range over all chunks, for each chunk in the order of its keys, and the kept ones that it owns."""
+    rows = table.to_pylist()
+    kind = rows[0]["kind"]
+    keys = [unpack(r["keys"], "<u8") for r in rows]
+    _, first, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    n = np.bincount(where, np.concatenate([unpack(r["counts"], "<u4") for r in rows])).astype(np.int64)
+    words = int((n > 0).sum()) if kind == WORDS else 0
+    if kind != WORDS:
+        n[n < LEAST] = 0
+    owned = np.zeros(len(where), np.uint8)
+    owned[first[n > 0]] = 1
+    answers, stops = n[where], np.cumsum([len(k) for k in keys])
+    parts = [slice(z - len(k), z) for k, z in zip(keys, stops, strict=True)]
+    columns = [[r[c] for r in rows] for c in ("kind", "range", "origin")]
+    columns += [[pack(answers[p].astype("<i8")) for p in parts], [pack(owned[p]) for p in parts], [None] * len(rows), [words, *[0] * (len(rows) - 1)]]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _ANSWER_KINDS.types, strict=True)], schema=_ANSWER_KINDS)
+
+
+def _weighed(table: pa.Table) -> pa.Table:
+    """Backoff weights of a range's contexts for the chunks that ask; nan where no n-gram follows a context."""
+    rows = table.to_pylist()
+    sums = [r for r in rows if r["taken"] is not None]
+    asked = [r for r in rows if r["taken"] is None]
+    keys, where = np.unique(np.concatenate([unpack(r["keys"], "<u8") for r in sums]), return_inverse=True) if sums else (np.zeros(0, np.uint64), None)
+    weights = np.zeros(0)
+    if sums:
+        taken, lower = (np.bincount(where, np.concatenate([unpack(r[c], "<f8") for r in sums])) for c in ("taken", "lower"))
+        weights = np.log10(np.maximum(1e-9, 1 - taken) / np.maximum(1e-9, 1 - lower))
+    backs = []
+    for r in asked:
+        wanted = unpack(r["keys"], "<u8")
+        at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+        backs.append(pack(np.where(keys[at] == wanted, weights[at], np.nan) if len(keys) else np.full(len(wanted), np.nan)))
+    columns = [[r[c] for r in asked] for c in ("kind", "range", "origin")] + [[None] * len(asked)] * 2 + [backs, [0] * len(asked)]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _ANSWER_KINDS.types, strict=True)], schema=_ANSWER_KINDS)
+
+
+class Answers:
+    """What a chunk was told, in the order of its keys."""
+
+    def __init__(self, rows: list[dict]) -> None:
+        self.rows = sorted(rows, key=lambda r: (r["kind"], r["range"]))
+
+    def _of(self, kind: int, column: str, dtype: str) -> np.ndarray:
+        found = [unpack(r[column], dtype) for r in self.rows if r["kind"] == kind and r[column] is not None]
+        return np.concatenate(found) if found else np.zeros(0, dtype)
+
+    def counts(self, kind: int) -> np.ndarray:
+        return self._of(kind, "counts", "<i8")
+
+    def owned(self, kind: int) -> np.ndarray:
+        return self._of(kind, "owned", "u1") > 0
+
+    def back(self, kind: int) -> np.ndarray:
+        return self._of(kind, "back", "<f8")
+
+
+def _with_chunks(step):
+    """A step on (chunk, origin, answers) as a function of batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(i, 1) for whole in batches for i in range(whole.num_rows)):
+            row = batch.to_pylist()[0]
+            yield from step(Chunk(row), row["origin"], Answers(row.get("answers") or []))
 
     return run
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: int = KNOWN, **sizes: int) -> DataFrame:
+def _ask_counts(ranges: int):
+    def step(chunk: Chunk, origin: int, _: Answers) -> Iterator[pa.RecordBatch]:
+        words = np.bincount(chunk.stream[chunk.trains], minlength=len(chunk.vocabulary)).astype(np.uint32)
+        pairs = np.bincount(chunk.pair[chunk.trains], minlength=len(chunk.pairs)).astype(np.uint32)
+        yield from _asks(WORDS, origin, chunk.vocabulary, ranges, counts=words)
+        yield from _asks(PAIRS, origin, chunk.pairs, ranges, counts=pairs)
+
+    return _with_chunks(step)
+
+
+def _ask_triples(ranges: int):
+    def step(chunk: Chunk, origin: int, answers: Answers) -> Iterator[pa.RecordBatch]:
+        keys, at, number = chunk.triples(answers.counts(PAIRS) > 0)
+        counts = np.bincount(number[chunk.trains[at]], minlength=len(keys)).astype(np.uint32)
+        yield from _asks(TRIPLES, origin, keys, ranges, counts=counts)
+
+    return _with_chunks(step)
+
+
+def _triple_parts(chunk: Chunk, keys: np.ndarray, at: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The context and the lower pair of each distinct triple."""
+    context, lower = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+    context[number], lower[number] = chunk.pair[at - 1], chunk.pair[at]
+    return context, lower
+
+
+def _ask_weights(ranges: int, total: int, types: int):
+    def step(chunk: Chunk, origin: int, answers: Answers) -> Iterator[pa.RecordBatch]:
+        words, pairs, triples = (answers.counts(k) for k in (WORDS, PAIRS, TRIPLES))
+        first, second = chunk.pair_words()
+        p1 = (words + 0.5) / (total + 0.5 * (types + 1))
+        p2 = np.where(pairs > 0, (pairs - DISCOUNT) / np.maximum(1, words[first]), 0.0)
+        mine = answers.owned(PAIRS)
+        sums = [np.bincount(first[mine], v[mine], minlength=len(words)) for v in (p2, p1[second])]
+        some = np.flatnonzero(np.bincount(first[mine], minlength=len(words)))
+        yield from _asks(WORDS, origin, chunk.vocabulary[some], ranges, taken=sums[0][some], lower=sums[1][some])
+        keys, at, number = chunk.triples(pairs > 0)
+        context, lower = _triple_parts(chunk, keys, at, number)
+        mine = answers.owned(TRIPLES)
+        p3 = (triples - DISCOUNT) / np.maximum(1, pairs[context])
+        sums = [np.bincount(context[mine], v[mine], minlength=len(pairs)) for v in (p3, p2[lower])]
+        some = np.flatnonzero(np.bincount(context[mine], minlength=len(pairs)))
+        yield from _asks(PAIRS, origin, chunk.pairs[some], ranges, taken=sums[0][some], lower=sums[1][some])
+        yield from _asks(WORDS, origin, chunk.vocabulary, ranges)
+        yield from _asks(PAIRS, origin, chunk.pairs[pairs > 0], ranges)
+
+    return _with_chunks(step)
+
+
+@dataclass
+class Automaton:
+    """Arcs by state << 32 | word: (next state, weight); ``root`` has those of state 0, the empty context, by word."""
+
+    root: list[tuple[int, float]]
+    arcs: dict[int, tuple[int, float]]
+    fail: list[int]
+    weight: list[float]
+    start: int
+
+    def traverse(self, words: list[int]) -> float:
+        """The log-probability of a text's words, its end included: one walk that carries the state."""
+        get, root, fail, weight = self.arcs.get, self.root, self.fail, self.weight
+        state, score = self.start, 0.0
+        for word in words:
+            arc = get(state << 32 | word) if state else root[word]
+            while arc is None:
+                score += weight[state]
+                state = fail[state]
+                arc = get(state << 32 | word) if state else root[word]
+            state = arc[0]
+            score += arc[1]
+        return score
+
+
+def automaton(chunk: Chunk, answers: Answers, total: int, types: int) -> Automaton:
+    """The states and arcs that a chunk's texts can reach.
+
+    State w + 1 is the context of one word w, those after them are contexts of two words. A context that no kept n-gram
+    follows is no state: what leads there leads to the context without its oldest word.
+    """
+    words, pairs, triples = (answers.counts(k) for k in (WORDS, PAIRS, TRIPLES))
+    base = np.log10((words + 0.5) / (total + 0.5 * (types + 1)))
+    first, second = chunk.pair_words()
+    back_word, back_pair = answers.back(WORDS), np.full(len(pairs), np.nan)
+    back_pair[pairs > 0] = answers.back(PAIRS)
+    word_state = np.where(np.isnan(back_word), 0, np.arange(len(words)) + 1)
+    pair_state = word_state[second]
+    contexts = np.flatnonzero(~np.isnan(back_pair))
+    pair_state[contexts] = len(words) + 1 + np.arange(len(contexts))
+    fail = [0] * (len(words) + 1) + word_state[second[contexts]].tolist()
+    weight = [0.0, *np.nan_to_num(back_word).tolist(), *back_pair[contexts].tolist()]
+    kept = np.flatnonzero(pairs)
+    arcs = dict(zip(((first[kept] + 1) << 32 | second[kept]).tolist(), zip(pair_state[kept].tolist(), np.log10((pairs[kept] - DISCOUNT) / words[first[kept]]).tolist(), strict=True), strict=True))
+    keys, at, number = chunk.triples(pairs > 0)
+    context, lower = _triple_parts(chunk, keys, at, number)
+    kept = np.flatnonzero(triples)
+    context, lower = context[kept], lower[kept]
+    arcs.update(zip((pair_state[context] << 32 | second[lower]).tolist(), zip(pair_state[lower].tolist(), np.log10((triples[kept] - DISCOUNT) / pairs[context]).tolist(), strict=True), strict=True))
+    return Automaton([*zip(word_state.tolist(), base.tolist(), strict=True)], arcs, fail, weight, int(word_state[chunk.end]))
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _walked(total: int, types: int):
+    def step(chunk: Chunk, _: int, answers: Answers) -> Iterator[pa.RecordBatch]:
+        model = automaton(chunk, answers, total, types)
+        words = answers.counts(WORDS)
+        starts = np.cumsum(chunk.sizes) - chunk.sizes
+        base = np.add.reduceat(np.array([p for _, p in model.root])[chunk.stream], starts)
+        known = np.add.reduceat((words > 0)[chunk.stream].astype(np.int64), starts)
+        scores = [model.traverse(chunk.stream[a : a + n].tolist()) for a, n in zip(starts, chunk.sizes, strict=True)]
+        columns = (pa.array(chunk.ids, pa.int64()), pa.array(chunk.held), pa.array(chunk.sizes), pa.array(known), pa.array(np.full(len(starts), total)), pa.array(base), pa.array(scores, pa.float64()))
+        yield pa.RecordBatch.from_arrays(list(columns), names=[part.split()[0] for part in SCORES.split(", ")])
+
+    return _with_chunks(step)
+
+
+def _answered(chunks: DataFrame, *answers: DataFrame) -> DataFrame:
+    """Chunks with all that they were told."""
+    found = answers[0]
+    for more in answers[1:]:
+        found = found.union(more)
+    lists = found.groupBy("origin").agg(F.collect_list(F.struct("kind", "range", "counts", "owned", "back")).alias("answers"))
+    return chunks.join(lists.hint("shuffle_merge"), "origin", "left")
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, ranges: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
-    A null or empty text is one token, its end. Repeated rows are scored each for itself; null ids train. With no training
-    row every token is unknown. Words that never train are scored by a smoothed frequency of none.
+    A null or empty text is one token, its end. Repeated rows are scored each for itself, and ties can't matter; null ids
+    train. With no training row every token is unknown; an empty table gives no row. A very long text is a chunk of its own.
+    Other columns, whatever their names, are left alone. Words that never train are scored by a smoothed frequency of none.
     """
-    if sizes:
-        return score_by_automaton(docs, id_col, text_col, known=known, **sizes)
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.expr(HELD_OUT.format(f"`{id_col}`")).alias("held_out"), F.col(text_col).alias("text"))
-    texts = rows.where("not held_out").select("text")
-    counts = materialize(texts.mapInArrow(_word_counts, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")))
-    total, types = counts.agg(F.sum("c"), F.count("*")).first()
-    total = total or 0
-    words, adds = model_table(texts, counts, total, types)
-    one = lambda c: F.log10((c + 0.5) / F.lit(total + 0.5 * (types + 1)))
-    table = at_most(words, "c", known).select("token", one(F.col("c")).alias("base"), "back").toArrow()
-    shared = spark.sparkContext.broadcast({bytes(t): (b, k) for t, b, k in zip(*(table[c].to_pylist() for c in ("token", "base", "back")), strict=True)})
-    adds = adds.select("key", F.lit(False).alias("word"), F.lit(0.0).alias("one"), "add")
-    adds = adds.union(words.select("h", F.lit(True), one(F.col("c")), one(F.col("c")) + F.col("back")))
-    asked = rows.mapInArrow(_asked(shared), ASKED).join(adds, ["key", "word"], "left").where("word or n_tokens is not null or add is not null")
-    none = one(F.lit(0))
-    of_text, is_known = F.col("n_tokens").isNotNull(), F.col("add").isNotNull()
-    parts = asked.select(
-        "origin", F.explode("texts").alias("text"), "doc_id", "held_out", "n_tokens",
-        F.when(of_text, F.col("n_known")).when(F.col("word") & is_known, 1).otherwise(0).alias("n_known"),
-        F.when(of_text, F.col("base")).when(F.col("word"), F.coalesce("one", none)).otherwise(0.0).alias("base"),
-        F.when(of_text, F.col("score")).when(F.col("word"), F.coalesce("add", none)).otherwise(F.col("add")).alias("score"),
-    )
-    return (
-        parts.groupBy("origin", "text")
-        .agg(*(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")), *(F.sum(c).alias(c) for c in ("n_known", "base", "score")))
-        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
-    )
-
-
-def score_by_automaton(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
-    """The same columns by the automaton of a given size: words outside its vocabulary are scored by their own frequency."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.expr(HELD_OUT.format(f"`{id_col}`")).alias("held_out"), F.col(text_col).alias("text"))
-    model, counts = train(rows.where("not held_out"), "text", **sizes)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    found = rows.mapInArrow(_scored(shared), ROWS).join(counts, "token", "left")
-    rare = F.when(F.col("n") > 0, F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(model.total + 0.5 * (model.types + 1)))).otherwise(0.0)
-    return (
-        found.groupBy("uid")
-        .agg(
-            F.max("doc_id").alias("doc_id"),
-            F.max("held_out").alias("held_out"),
-            F.sum("n_tokens").alias("n_tokens"),
-            F.sum(F.col("n_known") + F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
-            F.sum(F.col("base") + rare).alias("base_score"),
-            F.sum(F.col("score") + rare).alias("score"),
-        )
-        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
-    )
+    chunks = materialize(rows.mapInArrow(_chunks(chunk), CHUNKS))
+    total, tokens = chunks.agg(F.sum("trained"), F.sum("tokens")).first()
+    total, ranges = total or 0, ranges or 1 + (tokens or 0) // RANGE
+    exchange = lambda asks, answer: materialize(asks.groupBy("kind", "range").applyInArrow(answer, ANSWERS))
+    counts = exchange(chunks.mapInArrow(_ask_counts(ranges), ASKS), _counted)
+    types = counts.agg(F.sum("words")).first()[0] or 0
+    triples = exchange(_answered(chunks, counts).mapInArrow(_ask_triples(ranges), ASKS), _counted)
+    weights = exchange(_answered(chunks, counts, triples).mapInArrow(_ask_weights(ranges, total, types), ASKS), _weighed)
+    scored = materialize(_answered(chunks, counts, triples, weights).mapInArrow(_walked(total, types), SCORES))
+    for table in (chunks, counts, triples, weights):
+        discard(table)
+    return scored

@@ -3,6 +3,10 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from sparkwright.llm import lm, queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -39,8 +43,7 @@ def test_base_on_a_whole_table_and_better_than_base(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     compare(queries.op7_lm(spark, SMALL).collect(), rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    few = lm.score_documents(docs, vocabulary=300, arcs=1000, known=500).collect()
-    compare(few, rows)  # words beyond the broadcast ones come by the join
+    compare(lm.score_documents(docs, chunk=300, ranges=7).collect(), rows)  # counts that come from many chunks by many ranges
     out = [r for r in queries.op7_lm(spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
@@ -52,26 +55,37 @@ def test_edges(spark, edge_docs, edge_texts, empty_docs):
     compare(lm.score_documents(only).collect(), [(r.doc_id, r.text) for r in only.collect()])
 
 
+def one_chunk(texts):
+    """The automaton of texts that all train, through the same exchanges without Spark."""
+    stream = [lm.xxhash.xxh3_64_intdigest(w) for t in texts for w in [*split(t), lm.END]]
+    vocabulary, numbers = np.unique(np.array(stream, np.uint64), return_inverse=True)
+    sizes = np.array([len(split(t)) + 1 for t in texts], np.uint32)
+    row = {"origin": 0, "doc_ids": list(range(len(texts))), "held": [False] * len(texts), "sizes": lm.pack(sizes), "vocabulary": lm.pack(vocabulary), "stream": lm.pack(numbers.astype(np.uint32))}
+    answers = []
+
+    def exchange(step, answer):
+        asks = pa.Table.from_batches(step(iter([pa.RecordBatch.from_pylist([row | {"answers": answers}])])), lm._ASK_KINDS)
+        for kind in (lm.WORDS, lm.PAIRS, lm.TRIPLES):
+            part = asks.filter(pc.equal(asks["kind"], kind))
+            answers.extend(answer(part).to_pylist() if part.num_rows else [])
+
+    total, types = len(stream), len(vocabulary)
+    exchange(lm._ask_counts(1), lm._counted)
+    exchange(lm._ask_triples(1), lm._counted)
+    exchange(lm._ask_weights(1, total, types), lm._weighed)
+    return lm.automaton(lm.Chunk(row), lm.Answers(answers), total, types), total, types
+
+
 def test_probabilities_after_every_context_add_up_to_one():
     rnd = random.Random(8)
-    texts = [[rnd.choice("aabbcde") for _ in range(rnd.randint(1, 9))] for _ in range(200)]
-    counts = Counter(w for t in texts for w in [*t, "\n"])
-    known = sorted(((w.encode(), n) for w, n in counts.items()), key=lambda x: (-x[1], x[0]))
-    ranks = {w: i + 1 for i, (w, _) in enumerate(known)}
-    grams = Counter()
-    for t in texts:
-        s = [ranks[w.encode()] for w in ["\n", *t, "\n"]]
-        grams.update(a << lm.SHIFT | b for a, b in zip(s, s[1:], strict=False))
-        grams.update(a << 2 * lm.SHIFT | b << lm.SHIFT | c for a, b, c in zip(s, s[1:], s[2:], strict=False))
-    total, types = sum(counts.values()), len(counts)
-    kept = {k: n for k, n in grams.items() if n > 3}
-    model = lm.automaton(known, len(known), kept, total, types)
+    model, total, types = one_chunk([" ".join(rnd.choice("aabbcde") for _ in range(rnd.randint(1, 9))) for _ in range(200)])
+    assert len(model.fail) > types + 10
     unseen = 0.5 / (total + 0.5 * (types + 1))
     for state in range(len(model.fail)):
         mass = 0.0
-        for w in range(1, len(known) + 1):
+        for w in range(types):
             s, p = state, 0.0
-            while (arc := model.arcs.get(s << lm.SHIFT | w)) is None:
+            while (arc := model.arcs.get(s << 32 | w) if s else model.root[w]) is None:
                 p += model.weight[s]
                 s = model.fail[s]
             mass += 10 ** (p + arc[1])
@@ -82,12 +96,6 @@ def test_probabilities_after_every_context_add_up_to_one():
         assert math.isclose(mass + 10**p * unseen, 1.0, rel_tol=1e-6)
 
 
-def test_at_most(spark):
-    t = spark.range(1000).selectExpr("id", "id % 37 + 1 as n")
-    kept = lm.at_most(t, "n", 300)
-    assert 0 < kept.count() <= 300 and kept.agg({"n": "min"}).first()[0] > 20
-
-
 def test_the_model_holds_every_word_and_repeated_ngram(spark):
     """Twelve thousand words in repeated texts: more than the 4095 that once were the whole vocabulary."""
     rnd = random.Random(5)
@@ -119,8 +127,8 @@ def test_the_model_holds_every_word_and_repeated_ngram(spark):
         return arc[*context, w] if (*context, w) in arc else back.get(context, 1.0) * p(context[1:], w)
 
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for known in (lm.KNOWN, 100):
-        got = {r.doc_id: r for r in lm.score_documents(docs, known=known).collect()}
+    for sizes in ({}, {"chunk": 500, "ranges": 5}):
+        got = {r.doc_id: r for r in lm.score_documents(docs, **sizes).collect()}
         compare(got.values(), rows)
         for i, t in rows:
             s = [b"\n", *split(t), b"\n"]
