@@ -31,12 +31,24 @@ WORDS = {
 }
 _NEAR = {kind: re.compile(words, re.I) for kind, words in WORDS.items()}
 
+#: Characters of an IBAN by country, of ISO 13616's registry.
+IBAN_LENGTHS = dict(
+    pair.split(":") for pair in (
+        "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BI:27 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DJ:27 DK:18 DO:28 EE:20 EG:29 ES:24 FI:18 FO:18 FR:27 "
+        "GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 LY:25 MC:27 MD:24 ME:22 "
+        "MK:19 MN:20 MR:27 MT:31 MU:30 NI:28 NL:18 NO:15 OM:23 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 RU:33 SA:24 SC:31 SD:18 SE:24 SI:19 SK:24 SM:27 SO:23 ST:25 "
+        "SV:28 TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20"
+    ).split()
+)
+#: By length: groups of four, each after at most one space, that no letter or digit follows.
+_IBAN_OF = {n: re.compile(rf"[A-Z0-9]{{4}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + r"(?![A-Za-z0-9])") for n in map(int, IBAN_LENGTHS.values())}
+
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 
@@ -60,6 +72,25 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def small(part: str) -> bool:
+    """Whether a run of digits is at most 255, whatever zeros it begins with."""
+    digits = part.lstrip("0") or "0"
+    return len(digits) <= 3 and int(digits) <= 255
+
+
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost candidates of their own country's length, so what stands behind them is no part of them."""
+    at = 0
+    while begin := _IBAN.search(text, at):
+        length = IBAN_LENGTHS.get(begin[0][:2])
+        found = _IBAN_OF[int(length)].match(text, begin.start()) if length else None
+        if found and mod97(found[0].replace(" ", "")):
+            yield found.span()
+            at = found.end()
+        else:
+            at = begin.start() + 1
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches of local@domain: an at sign decides its own match, so only the text around it is read."""
     last, at = 0, text.find("@")
@@ -79,16 +110,15 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int, bool]]:
     for start, end in _emails(text):
         yield "email", start, end, True
     for m in _IP.finditer(text):
-        yield "ip", m.start(), m.end(), all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups())
+        yield "ip", m.start(), m.end(), all(map(small, m.groups()))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         yield "card", m.start(), m.end(), 13 <= len(digits) <= 19 and luhn(digits)
     if "+" in text:
         for m in _PHONE.finditer(text):
             yield "phone", m.start(), m.end(), 9 <= sum(c.isdigit() for c in m[0]) <= 15
-    for m in _IBAN.finditer(text):
-        plain = m[0].replace(" ", "")
-        yield "iban", m.start(), m.end(), 15 <= len(plain) <= 34 and mod97(plain)
+    for start, end in _ibans(text):
+        yield "iban", start, end, True
     for m in _NATIONAL.finditer(text):
         area, group, serial = m[0].split("-")
         yield "national_id", m.start(), m.end(), area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
@@ -133,14 +163,21 @@ def spans_column(text: F.Column | str) -> F.Column:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, spans) for every row. Nulls and empty texts have no spans; repeated rows and null ids stay rows of their own."""
+    """(doc_id, spans) for every row.
+
+    Nulls and empty texts have no spans; repeated rows and null ids stay rows of their own; an empty table gives no rows. Texts
+    of any length are read whole, in time that grows with the length. Spans of different kinds may overlap or be equal; all
+    are reported, in order of kind and start. Other columns, whatever their names, are left alone.
+    """
     return docs.select(F.col(id_col).alias("doc_id"), spans_column(text_col).alias("spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """``docs`` with every span in the text replaced by its kind, and its length where there is a column for it.
 
-    A null text stays null; other columns are kept.
+    A null text stays null and an empty one empty; its length stays as given where the text is null. Repeated rows are cleaned
+    each for itself, an empty table gives none, and texts of any length are read whole. Where spans overlap, the first, of two
+    that begin together the longer, names what is taken out. Other columns, whatever their names, are kept.
     """
 
     @F.arrow_udf("string")
