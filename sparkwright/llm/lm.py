@@ -7,17 +7,18 @@ failure arc carries the context's backoff weight and leads to the context withou
 the arcs that are kept, so probabilities after any context add up to one.
 
 The automaton is never whole in one place. Texts are cut into chunks of about ``CHUNK`` tokens, one row each. A chunk asks for
-the counts of its distinct words and bigrams, then of those trigrams whose two bigrams are kept (no other can occur twice),
-then for the backoff weights of its contexts. Keys are 64 bits of hash, sorted and packed in ranges, and an ask carries the
-chunk's own training counts: the task that gets a range adds them up over all chunks and answers each of them, so counting
-and looking up are one exchange. One of the chunks that hold a kept n-gram, its owner, adds its probability to the sums of its
-context. In the end each chunk builds the states and arcs that its texts can reach and walks each text once from left to
-right. At 5 thousand million distinct n-grams, about one pair of hashes is expected to collide.
+the counts of its distinct words and bigrams, then of those trigrams whose two bigrams are kept (no other can occur twice).
+Keys are 64 bits of hash, sorted and packed in ranges, and an ask carries the chunk's own training counts: the task that gets
+a range adds them up over all chunks and answers each of them, so counting and looking up are one exchange. Sums of the
+probabilities after each context, of a bigram by the one chunk that owns it, of a trigram by the task that counts it, give
+backoff weights, which go to the chunks that were told of the context. In the end each chunk builds the states and arcs that
+its texts can reach and walks each text once from left to right. At 5 thousand million distinct n-grams, about one pair of
+hashes is expected to collide.
 """
 
 from __future__ import annotations
 
-import math
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +34,8 @@ from sparkwright.sources.scratch import discard, materialize
 
 #: Tokens of a chunk, and distinct keys of a range.
 CHUNK, RANGE = 1_000_000, 500_000
+#: Parts of the keys that are shuffled one after another, which bounds the disk that a shuffle takes.
+SLICES = 4
 DISCOUNT = 0.75
 #: From how many occurrences in training rows an n-gram is an arc.
 LEAST = 2
@@ -96,7 +99,9 @@ def _chunks(limit: int):
 
         def flush() -> pa.RecordBatch:
             nonlocal origin
-            vocabulary, numbers = np.unique(np.array(stream, dtype=np.uint64), return_inverse=True)
+            vocabulary, numbers, often = np.unique(np.array(stream, dtype=np.uint64), return_inverse=True, return_counts=True)
+            ranked = np.argsort(-often, kind="stable")  # frequent words get small numbers, which pack well
+            vocabulary, numbers = vocabulary[ranked], np.argsort(ranked)[numbers]
             trained = sum(n for n, h in zip(sizes, held, strict=True) if not h)
             row = (origin, list(ids), list(held), pack(np.array(sizes, np.uint32)), pack(vocabulary), pack(numbers.astype(np.uint32)), trained, len(stream))
             origin += 1
@@ -127,37 +132,63 @@ class Chunk:
         self.ids, self.held = row["doc_ids"], np.array(row["held"], bool)
         self.sizes, self.vocabulary = unpack(row["sizes"], "<u4").astype(np.int64), unpack(row["vocabulary"], "<u8")
         self.stream = unpack(row["stream"], "<u4").astype(np.int64)
-        self.end = int(np.searchsorted(self.vocabulary, np.uint64(xxhash.xxh3_64_intdigest(END))))
+        self.end = int(np.flatnonzero(self.vocabulary == np.uint64(xxhash.xxh3_64_intdigest(END)))[0])
         self.trains = np.repeat(~self.held, self.sizes)
         self.before = np.r_[self.end, self.stream[:-1]]
         h = self.vocabulary.view(np.int64)
-        pairs = hashed(h[self.before], h[self.stream]).view(np.uint64)
-        self.pairs = np.unique(pairs)
-        self.pair = np.searchsorted(self.pairs, pairs)
+        self.pairs = hashed(h[self.before], h[self.stream]).view(np.uint64)
+        #: Words in order of their keys.
+        self.order = np.argsort(self.vocabulary)
+
+    def with_counts(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys at the positions of the stream, and how many of these train."""
+        distinct, counts = np.unique(keys, return_counts=True)
+        if self.held.any():
+            trained, n = np.unique(keys[self.trains], return_counts=True)
+            counts = np.zeros(len(distinct), np.int64)
+            counts[np.searchsorted(distinct, trained)] = n
+        return distinct, counts.astype(np.uint32)
+
+    def place(self, answers: Answers) -> Placed:
+        """The kept pairs: their keys, counts and words, and which one stands at each position, -1 for none."""
+        keys, counts = answers.of(PAIRS, "keys", "<u8"), answers.of(PAIRS, "counts", "<i8")
+        at = np.minimum(np.searchsorted(keys, self.pairs), max(0, len(keys) - 1))
+        at = np.where(keys[at] == self.pairs, at, -1) if len(keys) else np.full(len(self.pairs), -1)
+        here = np.flatnonzero(at >= 0)
+        first, second = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        first[at[here]], second[at[here]] = self.before[here], self.stream[here]
+        words = np.zeros(len(self.vocabulary), np.int64)
+        words[self.order] = answers.of(WORDS, "counts", "<i8")
+        return Placed(keys, counts, first, second, at, words)
+
+    def triples(self, placed: Placed) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, keys): triples within texts, both of whose pairs are kept."""
+        at = np.flatnonzero((self.before[1:] != self.end) & (placed.at[1:] >= 0) & (placed.at[:-1] >= 0)) + 1
+        keys = hashed(self.pairs.view(np.int64)[at - 1], self.vocabulary.view(np.int64)[self.stream[at]], np.full(len(at), TRIPLES)).view(np.uint64)
+        return at, keys
 
-    def pair_words(self) -> tuple[np.ndarray, np.ndarray]:
-        """The two words of each distinct pair."""
-        first, second = np.zeros(len(self.pairs), np.int64), np.zeros(len(self.pairs), np.int64)
-        first[self.pair], second[self.pair] = self.before, self.stream
-        return first, second
 
-    def triples(self, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct keys, positions, number of the key at each): triples within texts, both of whose pairs are kept."""
-        inner = self.before != self.end
-        inner[:1] = False
-        at = np.flatnonzero(inner & kept[self.pair] & kept[np.r_[0, self.pair[:-1]]])
-        keys = hashed(self.pairs.view(np.int64)[self.pair[at - 1]], self.vocabulary.view(np.int64)[self.stream[at]], np.full(len(at), TRIPLES)).view(np.uint64)
-        distinct = np.unique(keys)
-        return distinct, at, np.searchsorted(distinct, keys)
+@dataclass
+class Placed:
+    keys: np.ndarray
+    counts: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    at: np.ndarray
+    words: np.ndarray
+
+
+#: What chunks and ranges tell each other: asks, answers, and sums over the n-grams that follow a context.
+_PACKED = ("keys", "counts", "owned", "context", "of_context", "lower_n", "lower_of", "taken", "lower", "back")
+_ROW_KINDS = pa.schema([("what", pa.string()), ("kind", pa.int32()), ("range", pa.int64()), ("origin", pa.int64()), *((n, pa.binary()) for n in _PACKED), ("words", pa.int64())])
+ROWS = "what string, kind int, range long, origin long, " + ", ".join(f"{n} binary" for n in _PACKED) + ", words long"
 
 
-ASKS = "kind int, range long, origin long, keys binary, counts binary, taken binary, lower binary"
-_ASK_KINDS = pa.schema([("kind", pa.int32()), ("range", pa.int64()), ("origin", pa.int64()), *((n, pa.binary()) for n in ("keys", "counts", "taken", "lower"))])
-ANSWERS = "kind int, range long, origin long, counts binary, owned binary, back binary, words long"
-_ANSWER_KINDS = pa.schema([("kind", pa.int32()), ("range", pa.int64()), ("origin", pa.int64()), *((n, pa.binary()) for n in ("counts", "owned", "back")), ("words", pa.int64())])
+def _batch(n: int, columns: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _ROW_KINDS], schema=_ROW_KINDS)
 
 
-def _asks(kind: int, origin: int, keys: np.ndarray, ranges: int, **values: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _by_range(what: str, kind: int, origin: int | None, keys: np.ndarray, ranges: int, **values: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Sorted keys by ranges of the key space, with what goes along."""
     of = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
     starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
@@ -165,37 +196,69 @@ def _asks(kind: int, origin: int, keys: np.ndarray, ranges: int, **values: np.nd
     for a in range(0, len(starts), 256):
         parts = [*zip(starts[a : a + 256], stops[a : a + 256], strict=True)]
         packed = {n: [pack(v[i:j]) for i, j in parts] for n, v in ({"keys": keys} | values).items()}
-        columns = {"kind": [kind] * len(parts), "range": of[starts[a : a + 256]].astype(np.int64), "origin": [origin] * len(parts)} | packed
-        yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(parts), f.type) for f in _ASK_KINDS], schema=_ASK_KINDS)
+        yield _batch(len(parts), {"what": [what] * len(parts), "kind": [kind] * len(parts), "range": of[starts[a : a + 256]].astype(np.int64), "origin": [origin] * len(parts)} | packed)
 
 
 def _counted(table: pa.Table) -> pa.Table:
-    """Counts of a range over all chunks, for each chunk in the order of its keys, and the kept ones that it owns."""
+    """Counts of a range's words or pairs over all chunks, and what each chunk is told of its own.
+
+    Of words all counts in the order of the keys that were asked, and the keys of those that can be contexts; of pairs the
+    kept ones, and which of these the chunk owns.
+    """
     rows = table.to_pylist()
-    kind = rows[0]["kind"]
+    kind, least = rows[0]["kind"], LEAST
     keys = [unpack(r["keys"], "<u8") for r in rows]
-    _, first, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    distinct, first, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     n = np.bincount(where, np.concatenate([unpack(r["counts"], "<u4") for r in rows])).astype(np.int64)
-    words = int((n > 0).sum()) if kind == WORDS else 0
-    if kind != WORDS:
-        n[n < LEAST] = 0
-    owned = np.zeros(len(where), np.uint8)
-    owned[first[n > 0]] = 1
-    answers, stops = n[where], np.cumsum([len(k) for k in keys])
-    parts = [slice(z - len(k), z) for k, z in zip(keys, stops, strict=True)]
-    columns = [[r[c] for r in rows] for c in ("kind", "range", "origin")]
-    columns += [[pack(answers[p].astype("<i8")) for p in parts], [pack(owned[p]) for p in parts], [None] * len(rows), [words, *[0] * (len(rows) - 1)]]
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _ANSWER_KINDS.types, strict=True)], schema=_ANSWER_KINDS)
+    owner = np.zeros(len(where), np.uint8)
+    owner[first] = 1
+    out, at = [], 0
+    for r, k in zip(rows, keys, strict=True):
+        mine, part = n[where[at : at + len(k)]], owner[at : at + len(k)]
+        kept = mine >= least
+        told = mine if kind == WORDS else mine[kept]
+        out.append((r["origin"], pack(k[kept]), pack(told.astype("<i8")), pack(part[kept])))
+        at += len(k)
+    origins, kept_keys, counts, owned = zip(*out, strict=True)
+    words = [int((n > 0).sum()) if kind == WORDS else 0, *[0] * (len(rows) - 1)]
+    columns = {"what": ["answer"] * len(rows), "kind": [kind] * len(rows), "range": [r["range"] for r in rows], "origin": origins, "keys": kept_keys, "counts": counts, "owned": owned, "words": words}
+    return pa.Table.from_batches([_batch(len(rows), columns)])
+
+
+def _counted_triples(ranges: int):
+    """Counts of a range's triples, the kept ones told to each chunk; their sums by context, as ranges of contexts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        keys = [unpack(r["keys"], "<u8") for r in rows]
+        _, first, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        column = lambda name, kind: np.concatenate([unpack(r[name], kind) for r in rows])
+        n = np.bincount(where, column("counts", "<u4")).astype(np.int64)
+        kept = np.flatnonzero(n >= LEAST)
+        one = first[kept]
+        taken = (n[kept] - DISCOUNT) / column("of_context", "<u4")[one]
+        lower = (column("lower_n", "<u4")[one] - DISCOUNT) / column("lower_of", "<u4")[one]
+        contexts, group = np.unique(column("context", "<u8")[one], return_inverse=True)
+        masses = _by_range("mass", PAIRS, None, contexts, ranges, taken=np.bincount(group, taken, len(contexts)), lower=np.bincount(group, lower, len(contexts)))
+        out, at = [], 0
+        for r, k in zip(rows, keys, strict=True):
+            mine = n[where[at : at + len(k)]]
+            out.append((r["origin"], pack(k[mine >= LEAST]), pack(mine[mine >= LEAST].astype("<i8"))))
+            at += len(k)
+        origins, kept_keys, counts = zip(*out, strict=True)
+        columns = {"what": ["answer"] * len(rows), "kind": [TRIPLES] * len(rows), "range": [r["range"] for r in rows], "origin": origins, "keys": kept_keys, "counts": counts}
+        return pa.Table.from_batches([_batch(len(rows), columns), *masses])
+
+    return run
 
 
 def _weighed(table: pa.Table) -> pa.Table:
-    """Backoff weights of a range's contexts for the chunks that ask; nan where no n-gram follows a context."""
+    """Backoff weights of a range's contexts for the chunks that were told of them; nan where no kept n-gram follows."""
     rows = table.to_pylist()
-    sums = [r for r in rows if r["taken"] is not None]
-    asked = [r for r in rows if r["taken"] is None]
-    keys, where = np.unique(np.concatenate([unpack(r["keys"], "<u8") for r in sums]), return_inverse=True) if sums else (np.zeros(0, np.uint64), None)
-    weights = np.zeros(0)
+    sums, asked = [r for r in rows if r["what"] == "mass"], [r for r in rows if r["what"] != "mass"]
+    keys, weights = np.zeros(0, np.uint64), np.zeros(0)
     if sums:
+        keys, where = np.unique(np.concatenate([unpack(r["keys"], "<u8") for r in sums]), return_inverse=True)
         taken, lower = (np.bincount(where, np.concatenate([unpack(r[c], "<f8") for r in sums])) for c in ("taken", "lower"))
         weights = np.log10(np.maximum(1e-9, 1 - taken) / np.maximum(1e-9, 1 - lower))
     backs = []
@@ -203,8 +266,8 @@ def _weighed(table: pa.Table) -> pa.Table:
         wanted = unpack(r["keys"], "<u8")
         at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
         backs.append(pack(np.where(keys[at] == wanted, weights[at], np.nan) if len(keys) else np.full(len(wanted), np.nan)))
-    columns = [[r[c] for r in asked] for c in ("kind", "range", "origin")] + [[None] * len(asked)] * 2 + [backs, [0] * len(asked)]
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _ANSWER_KINDS.types, strict=True)], schema=_ANSWER_KINDS)
+    columns = {"what": ["weight"] * len(asked), "back": backs} | {c: [r[c] for r in asked] for c in ("kind", "range", "origin")}
+    return pa.Table.from_batches([_batch(len(asked), columns)], _ROW_KINDS)
 
 
 class Answers:
@@ -213,19 +276,10 @@ class Answers:
     def __init__(self, rows: list[dict]) -> None:
         self.rows = sorted(rows, key=lambda r: (r["kind"], r["range"]))
 
-    def _of(self, kind: int, column: str, dtype: str) -> np.ndarray:
+    def of(self, kind: int, column: str, dtype: str) -> np.ndarray:
         found = [unpack(r[column], dtype) for r in self.rows if r["kind"] == kind and r[column] is not None]
         return np.concatenate(found) if found else np.zeros(0, dtype)
 
-    def counts(self, kind: int) -> np.ndarray:
-        return self._of(kind, "counts", "<i8")
-
-    def owned(self, kind: int) -> np.ndarray:
-        return self._of(kind, "owned", "u1") > 0
-
-    def back(self, kind: int) -> np.ndarray:
-        return self._of(kind, "back", "<f8")
-
 
 def _with_chunks(step):
     """A step on (chunk, origin, answers) as a function of batches."""
@@ -241,48 +295,31 @@ def _with_chunks(step):
 def _ask_counts(ranges: int):
     def step(chunk: Chunk, origin: int, _: Answers) -> Iterator[pa.RecordBatch]:
         words = np.bincount(chunk.stream[chunk.trains], minlength=len(chunk.vocabulary)).astype(np.uint32)
-        pairs = np.bincount(chunk.pair[chunk.trains], minlength=len(chunk.pairs)).astype(np.uint32)
-        yield from _asks(WORDS, origin, chunk.vocabulary, ranges, counts=words)
-        yield from _asks(PAIRS, origin, chunk.pairs, ranges, counts=pairs)
-
-    return _with_chunks(step)
-
-
-def _ask_triples(ranges: int):
-    def step(chunk: Chunk, origin: int, answers: Answers) -> Iterator[pa.RecordBatch]:
-        keys, at, number = chunk.triples(answers.counts(PAIRS) > 0)
-        counts = np.bincount(number[chunk.trains[at]], minlength=len(keys)).astype(np.uint32)
-        yield from _asks(TRIPLES, origin, keys, ranges, counts=counts)
+        yield from _by_range("ask", WORDS, origin, chunk.vocabulary[chunk.order], ranges, counts=words[chunk.order])
+        keys, counts = chunk.with_counts(chunk.pairs)
+        yield from _by_range("ask", PAIRS, origin, keys, ranges, counts=counts)
 
     return _with_chunks(step)
 
 
-def _triple_parts(chunk: Chunk, keys: np.ndarray, at: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The context and the lower pair of each distinct triple."""
-    context, lower = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-    context[number], lower[number] = chunk.pair[at - 1], chunk.pair[at]
-    return context, lower
-
+def _ask_triples(ranges: int, total: int, types: int):
+    """Asks for triples, with what a range needs to add them up by context; the sums of the pairs that the chunk owns."""
 
-def _ask_weights(ranges: int, total: int, types: int):
     def step(chunk: Chunk, origin: int, answers: Answers) -> Iterator[pa.RecordBatch]:
-        words, pairs, triples = (answers.counts(k) for k in (WORDS, PAIRS, TRIPLES))
-        first, second = chunk.pair_words()
-        p1 = (words + 0.5) / (total + 0.5 * (types + 1))
-        p2 = np.where(pairs > 0, (pairs - DISCOUNT) / np.maximum(1, words[first]), 0.0)
-        mine = answers.owned(PAIRS)
-        sums = [np.bincount(first[mine], v[mine], minlength=len(words)) for v in (p2, p1[second])]
-        some = np.flatnonzero(np.bincount(first[mine], minlength=len(words)))
-        yield from _asks(WORDS, origin, chunk.vocabulary[some], ranges, taken=sums[0][some], lower=sums[1][some])
-        keys, at, number = chunk.triples(pairs > 0)
-        context, lower = _triple_parts(chunk, keys, at, number)
-        mine = answers.owned(TRIPLES)
-        p3 = (triples - DISCOUNT) / np.maximum(1, pairs[context])
-        sums = [np.bincount(context[mine], v[mine], minlength=len(pairs)) for v in (p3, p2[lower])]
-        some = np.flatnonzero(np.bincount(context[mine], minlength=len(pairs)))
-        yield from _asks(PAIRS, origin, chunk.pairs[some], ranges, taken=sums[0][some], lower=sums[1][some])
-        yield from _asks(WORDS, origin, chunk.vocabulary, ranges)
-        yield from _asks(PAIRS, origin, chunk.pairs[pairs > 0], ranges)
+        placed = chunk.place(answers)
+        mine = answers.of(PAIRS, "owned", "u1") > 0
+        first = placed.first[mine]
+        taken = (placed.counts[mine] - DISCOUNT) / placed.words[first]
+        lower = (placed.words[placed.second[mine]] + 0.5) / (total + 0.5 * (types + 1))
+        sums = [np.bincount(first, v, len(chunk.vocabulary)) for v in (taken, lower)]
+        some = chunk.order[np.bincount(first, minlength=len(chunk.vocabulary))[chunk.order] > 0]
+        yield from _by_range("mass", WORDS, origin, chunk.vocabulary[some], ranges, taken=sums[0][some], lower=sums[1][some])
+        at, keys = chunk.triples(placed)
+        distinct, one, where = np.unique(keys, return_index=True, return_inverse=True)
+        counts = np.bincount(where, chunk.trains[at], len(distinct)).astype(np.uint32)
+        context, below = placed.at[at[one] - 1], placed.at[at[one]]
+        values = {"context": placed.keys[context], "of_context": placed.counts[context].astype(np.uint32), "lower_n": placed.counts[below].astype(np.uint32), "lower_of": placed.words[placed.first[below]].astype(np.uint32)}
+        yield from _by_range("ask", TRIPLES, origin, distinct, ranges, counts=counts, **values)
 
     return _with_chunks(step)
 
@@ -318,24 +355,26 @@ def automaton(chunk: Chunk, answers: Answers, total: int, types: int) -> Automat
     State w + 1 is the context of one word w, those after them are contexts of two words. A context that no kept n-gram
     follows is no state: what leads there leads to the context without its oldest word.
     """
-    words, pairs, triples = (answers.counts(k) for k in (WORDS, PAIRS, TRIPLES))
+    placed = chunk.place(answers)
+    words, first, second = placed.words, placed.first, placed.second
     base = np.log10((words + 0.5) / (total + 0.5 * (types + 1)))
-    first, second = chunk.pair_words()
-    back_word, back_pair = answers.back(WORDS), np.full(len(pairs), np.nan)
-    back_pair[pairs > 0] = answers.back(PAIRS)
+    back_word, back_pair = np.full(len(words), np.nan), answers.of(PAIRS, "back", "<f8")
+    back_word[chunk.order[words[chunk.order] >= LEAST]] = answers.of(WORDS, "back", "<f8")
     word_state = np.where(np.isnan(back_word), 0, np.arange(len(words)) + 1)
     pair_state = word_state[second]
     contexts = np.flatnonzero(~np.isnan(back_pair))
     pair_state[contexts] = len(words) + 1 + np.arange(len(contexts))
     fail = [0] * (len(words) + 1) + word_state[second[contexts]].tolist()
     weight = [0.0, *np.nan_to_num(back_word).tolist(), *back_pair[contexts].tolist()]
-    kept = np.flatnonzero(pairs)
-    arcs = dict(zip(((first[kept] + 1) << 32 | second[kept]).tolist(), zip(pair_state[kept].tolist(), np.log10((pairs[kept] - DISCOUNT) / words[first[kept]]).tolist(), strict=True), strict=True))
-    keys, at, number = chunk.triples(pairs > 0)
-    context, lower = _triple_parts(chunk, keys, at, number)
-    kept = np.flatnonzero(triples)
-    context, lower = context[kept], lower[kept]
-    arcs.update(zip((pair_state[context] << 32 | second[lower]).tolist(), zip(pair_state[lower].tolist(), np.log10((triples[kept] - DISCOUNT) / pairs[context]).tolist(), strict=True), strict=True))
+    arcs = dict(zip(((first + 1) << 32 | second).tolist(), zip(pair_state.tolist(), np.log10((placed.counts - DISCOUNT) / words[first]).tolist(), strict=True), strict=True))
+    at, keys = chunk.triples(placed)
+    kept, counts = answers.of(TRIPLES, "keys", "<u8"), answers.of(TRIPLES, "counts", "<i8")
+    where = np.minimum(np.searchsorted(kept, keys), max(0, len(kept) - 1))
+    here = np.flatnonzero(kept[where] == keys) if len(kept) else np.zeros(0, np.int64)
+    _, one = np.unique(where[here], return_index=True)
+    at, n = at[here][one], counts[where[here][one]]
+    context, lower = placed.at[at - 1], placed.at[at]
+    arcs.update(zip((pair_state[context] << 32 | second[lower]).tolist(), zip(pair_state[lower].tolist(), np.log10((n - DISCOUNT) / placed.counts[context]).tolist(), strict=True), strict=True))
     return Automaton([*zip(word_state.tolist(), base.tolist(), strict=True)], arcs, fail, weight, int(word_state[chunk.end]))
 
 
@@ -345,7 +384,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def _walked(total: int, types: int):
     def step(chunk: Chunk, _: int, answers: Answers) -> Iterator[pa.RecordBatch]:
         model = automaton(chunk, answers, total, types)
-        words = answers.counts(WORDS)
+        words = chunk.place(answers).words
         starts = np.cumsum(chunk.sizes) - chunk.sizes
         base = np.add.reduceat(np.array([p for _, p in model.root])[chunk.stream], starts)
         known = np.add.reduceat((words > 0)[chunk.stream].astype(np.int64), starts)
@@ -356,13 +395,24 @@ def _walked(total: int, types: int):
     return _with_chunks(step)
 
 
-def _answered(chunks: DataFrame, *answers: DataFrame) -> DataFrame:
-    """Chunks with all that they were told."""
-    found = answers[0]
-    for more in answers[1:]:
-        found = found.union(more)
-    lists = found.groupBy("origin").agg(F.collect_list(F.struct("kind", "range", "counts", "owned", "back")).alias("answers"))
-    return chunks.join(lists.hint("shuffle_merge"), "origin", "left")
+def _in_slices(make) -> DataFrame:
+    """The union of ``make(condition)`` over the parts of a column's values, each written before the next is shuffled."""
+    return functools.reduce(DataFrame.union, (materialize(make(lambda column, i=i: F.pmod(F.hash(column), F.lit(SLICES)) == i)) for i in range(SLICES)))
+
+
+def _exchanged(asks: DataFrame, answer) -> DataFrame:
+    return _in_slices(lambda part: asks.where(part("range")).groupBy("kind", "range").applyInArrow(answer, ROWS))
+
+
+def _visited(chunks: DataFrame, answers: DataFrame, step, kinds: str) -> DataFrame:
+    """A step on all chunks, each with all that it was told."""
+    told = answers.where("what <> 'mass'").select("origin", F.struct("kind", "range", "keys", "counts", "owned", "back").alias("answer"))
+
+    def visit(part) -> DataFrame:
+        lists = told.where(part("origin")).groupBy("origin").agg(F.collect_list("answer").alias("answers"))
+        return chunks.where(part("origin")).join(lists, "origin", "left").mapInArrow(step, kinds)
+
+    return _in_slices(visit)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, ranges: int | None = None) -> DataFrame:
@@ -376,12 +426,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chunks = materialize(rows.mapInArrow(_chunks(chunk), CHUNKS))
     total, tokens = chunks.agg(F.sum("trained"), F.sum("tokens")).first()
     total, ranges = total or 0, ranges or 1 + (tokens or 0) // RANGE
-    exchange = lambda asks, answer: materialize(asks.groupBy("kind", "range").applyInArrow(answer, ANSWERS))
-    counts = exchange(chunks.mapInArrow(_ask_counts(ranges), ASKS), _counted)
+    counts = materialize(chunks.mapInArrow(_ask_counts(ranges), ROWS).groupBy("kind", "range").applyInArrow(_counted, ROWS))
     types = counts.agg(F.sum("words")).first()[0] or 0
-    triples = exchange(_answered(chunks, counts).mapInArrow(_ask_triples(ranges), ASKS), _counted)
-    weights = exchange(_answered(chunks, counts, triples).mapInArrow(_ask_weights(ranges, total, types), ASKS), _weighed)
-    scored = materialize(_answered(chunks, counts, triples, weights).mapInArrow(_walked(total, types), SCORES))
-    for table in (chunks, counts, triples, weights):
+    asked = _visited(chunks, counts, _ask_triples(ranges, total, types), ROWS)
+    triples = _exchanged(asked.where("what = 'ask'"), _counted_triples(ranges))
+    weights = _exchanged(asked.union(triples).where("what = 'mass'").union(counts), _weighed)
+    scored = _visited(chunks, counts.union(triples).union(weights), _walked(total, types), SCORES)
+    for table in (chunks, counts, asked, triples, weights):
         discard(table)
     return scored

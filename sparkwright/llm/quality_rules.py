@@ -8,7 +8,8 @@ are not judged by a histogram. Simple counts stand beside it: words, symbols, re
 windows that the text has twice or more.
 
 Counts of a text are made within its row, each class from one rewritten text by differences of length; only figures leave the
-task. References have at most 1 / COMMON words a language and are joined by language.
+task. References have at most 1 / COMMON words a language. They are broadcast once their size is known to be small; else each
+language's rows are dealt by salt, so a language that holds most rows is the work of many tasks.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ CLASSES = {
 }
 #: All other ASCII characters.
 CLASSES["o"] = "".join(c for c in map(chr, range(128)) if not any(c in of for of in CLASSES.values()))
+#: Bytes of all references up to which they are broadcast, and the parts that a language's rows are dealt to beyond that.
+BROADCAST, SALTS = 32 << 20, 64
 #: Most common words of all languages that a plan names.
 FEW = 4000
 SPACE = r"[\x20\x09-\x0D]+"
@@ -56,7 +59,22 @@ def common_words(rows: DataFrame, least: int = LEAST_REFERENCE) -> DataFrame:
     return often.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("word", "n"))).alias("common"), F.max("ref_n").alias("ref_n"))
 
 
-def features(rows: DataFrame, common: DataFrame) -> DataFrame:
+def is_small(common: DataFrame, most: int = BROADCAST) -> bool:
+    """Whether the references, with some room for each language and word, have at most ``most`` bytes."""
+    size = common.agg(F.sum(F.expr("aggregate(common, 200L, (a, c) -> a + octet_length(c.word) + 32)"))).first()[0] or 0
+    return size <= most
+
+
+def beside(rows: DataFrame, reference: DataFrame, small: bool) -> DataFrame:
+    """Rows with what their language has in ``reference``, null without; no row is lost and no language meets in one task."""
+    if small:
+        return rows.join(F.broadcast(reference), "lang", "left")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+    parts = reference.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(parts, ["lang", "salt"], "left").drop("salt")
+
+
+def features(rows: DataFrame, common: DataFrame, small: bool = True) -> DataFrame:
     """Counts of every row, of its classes and of its language's common words (null without a reference).
 
     Other words are put aside first if the common ones of all languages are few enough to stand in the plan; the counts are
@@ -64,7 +82,7 @@ def features(rows: DataFrame, common: DataFrame) -> DataFrame:
     """
     found = common.select(F.explode("common.word").alias("word")).distinct().limit(FEW + 1).collect()
     among = sorted(r.word for r in found) if len(found) <= FEW else None
-    rows = rows.join(common.select("lang", F.col("common.word").alias("common")), "lang", "left")
+    rows = beside(rows, common.select("lang", F.col("common.word").alias("common")), small)
     trimmed = F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))
     rows = rows.withColumn("w", F.when(F.length(trimmed) > 0, F.split(trimmed, SPACE)).otherwise(F.array().cast("array<string>")))
     rows = rows.withColumn("n", F.size("w"))
@@ -119,7 +137,7 @@ def _distance(p: str, q: str) -> str:
     return value
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", far_classes: float = FAR_CLASSES, far_words: float = FAR_WORDS, least_reference: int = LEAST_REFERENCE) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", far_classes: float = FAR_CLASSES, far_words: float = FAR_WORDS, least_reference: int = LEAST_REFERENCE, most: int = BROADCAST) -> DataFrame:
     """Per row: counts, distances, base_failed and kept.
 
     base_failed: under 50 words, or over half of the words repeat. A distance is null, and judges nothing, for texts under
@@ -131,10 +149,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     rows = _rows(docs, id_col, text_col, lang_col)
     common = materialize(common_words(rows, least_reference))
-    counted = materialize(features(rows, common))
+    small = is_small(common, most)
+    counted = materialize(features(rows, common, small))
     sums = [F.sum(F.get("class_counts", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))]
     classes = counted.groupBy("lang").agg(*sums).select("lang", F.array(*(f"c{i}" for i in range(len(CLASSES)))).alias("every"))
-    joined = counted.join(classes, "lang").join(common.select("lang", F.col("common.n").alias("often"), "ref_n"), "lang", "left")
+    joined = beside(beside(counted, materialize(classes), small), common.select("lang", F.col("common.n").alias("often"), "ref_n"), small)
     less = "zip_with({0}, {1}, (a, b) -> a - b)".format
     rest = "concat({0}, array({1} - aggregate({0}, 0L, (a, x) -> a + x)))".format
     joined = joined.withColumn("p_classes", F.col("class_counts")).withColumn("q_classes", F.expr(less("every", "class_counts")))

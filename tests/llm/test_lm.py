@@ -5,7 +5,6 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 from sparkwright.llm import lm, queries
 
@@ -61,19 +60,15 @@ def one_chunk(texts):
     vocabulary, numbers = np.unique(np.array(stream, np.uint64), return_inverse=True)
     sizes = np.array([len(split(t)) + 1 for t in texts], np.uint32)
     row = {"origin": 0, "doc_ids": list(range(len(texts))), "held": [False] * len(texts), "sizes": lm.pack(sizes), "vocabulary": lm.pack(vocabulary), "stream": lm.pack(numbers.astype(np.uint32))}
-    answers = []
-
-    def exchange(step, answer):
-        asks = pa.Table.from_batches(step(iter([pa.RecordBatch.from_pylist([row | {"answers": answers}])])), lm._ASK_KINDS)
-        for kind in (lm.WORDS, lm.PAIRS, lm.TRIPLES):
-            part = asks.filter(pc.equal(asks["kind"], kind))
-            answers.extend(answer(part).to_pylist() if part.num_rows else [])
-
     total, types = len(stream), len(vocabulary)
-    exchange(lm._ask_counts(1), lm._counted)
-    exchange(lm._ask_triples(1), lm._counted)
-    exchange(lm._ask_weights(1, total, types), lm._weighed)
-    return lm.automaton(lm.Chunk(row), lm.Answers(answers), total, types), total, types
+    visit = lambda step, told: [r for b in step(iter([pa.RecordBatch.from_pylist([row | {"answers": told}])])) for r in b.to_pylist()]
+    by_kind = lambda rows, answer: [r for k in (1, 2, 3) if (part := [r for r in rows if r["kind"] == k]) for r in answer(pa.Table.from_pylist(part, lm._ROW_KINDS)).to_pylist()]
+    counts = by_kind(visit(lm._ask_counts(1), []), lm._counted)
+    asked = visit(lm._ask_triples(1, total, types), counts)
+    triples = by_kind([r for r in asked if r["what"] == "ask"], lm._counted_triples(1))
+    weights = by_kind([r for r in asked + triples if r["what"] == "mass"] + counts, lm._weighed)
+    told = counts + [r for r in triples if r["what"] != "mass"] + weights
+    return lm.automaton(lm.Chunk(row), lm.Answers(told), total, types), total, types
 
 
 def test_probabilities_after_every_context_add_up_to_one():
