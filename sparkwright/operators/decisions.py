@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwright.functions.text import fingerprint
+from sparkwright.operators.conditions import Condition, sql
 
 
 @dataclass(frozen=True)
@@ -21,7 +22,8 @@ class Decision:
     name: str
     severity: str
     select: str
-    where: str
+    #: SQL, or a condition as data, which is read as SQL too.
+    where: str | Condition
     message: str
     variables: tuple[tuple[str, str], ...] = ()
     identity: str = "id"
@@ -30,6 +32,20 @@ class Decision:
     languages: tuple[str, ...] = ()
     tests: bool = True
     generated: bool = False
+    #: What the decision's fix does, if it orders code: move or reorder.
+    fix: str = ""
+
+    @property
+    def condition(self) -> str:
+        return self.where if isinstance(self.where, str) else sql(self.where)
+
+    def tier(self) -> tuple[str, str]:
+        """How far a decision can be reasoned about without running it, and why: F, a formal condition; O, its fix orders code; T, the rest."""
+        if self.fix:
+            return "O", f"fix:{self.fix}"
+        if isinstance(self.where, str):
+            return "T", "outside-fragment"
+        return ("T", "two-stage") if self.select == "annotation" else ("F", "formal")
 
     def scope(self) -> str:
         """Condition of applicability: language, tests, generated files."""
@@ -53,7 +69,7 @@ def subjects(decision: Decision, facts: DataFrame) -> DataFrame:
 
 def evaluate(decision: Decision, facts: DataFrame) -> DataFrame:
     """Findings (decision, severity, path, line, message, fingerprint) of one decision."""
-    rows = subjects(decision, facts).where(decision.where)
+    rows = subjects(decision, facts).where(decision.condition)
     path = F.expr(decision.path)
     return rows.select(
         F.lit(decision.name).alias("decision"),
@@ -68,7 +84,7 @@ def evaluate(decision: Decision, facts: DataFrame) -> DataFrame:
 def incomplete(decision: Decision, facts: DataFrame) -> DataFrame:
     """One row: how many subjects in scope the condition could not judge."""
     rows = subjects(decision, facts)
-    return rows.agg(F.lit(decision.name).alias("decision"), F.count_if(F.expr(decision.where).isNull()).alias("incomplete"))
+    return rows.agg(F.lit(decision.name).alias("decision"), F.count_if(F.expr(decision.condition).isNull()).alias("incomplete"))
 
 
 def check(decisions: list[Decision], facts: dict[str, DataFrame]) -> DataFrame:

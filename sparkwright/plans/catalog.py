@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwright.plans import decisions, evaluation, findings, graphs, model, placement, relations, streams, text
+from sparkwright.plans import conditions, decisions, evaluation, findings, graphs, model, placement, relations, streams, text
 
-MODULES = (decisions, evaluation, findings, graphs, model, placement, relations, streams, text)
+MODULES = (conditions, decisions, evaluation, findings, graphs, model, placement, relations, streams, text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from sparkwright.functions import text as T
 from sparkwright.operators import graphs, metrics, relations
+from sparkwright.operators.conditions import condition as when
 from sparkwright.operators.decisions import Decision, check, evaluate, incomplete
-from sparkwright.plans import model
+from sparkwright.plans import conditions, model
 from sparkwright.sources.scratch import read_table
 from sparkwright.sources.tables import relation, with_sql
 
@@ -22,51 +23,51 @@ QUERIES = {}
 ORACLE = {}
 
 DECISIONS = [
-    Decision("complexity", "info", "function", "cyclomatic > 12 or cognitive > 15 or unit > 20", "'complexity ' || cyclomatic || ', with helpers ' || unit", tests=False),
-    Decision("coupling", "warn", "function", "fan_in >= 2 and fan_out >= 3 and statements > 10", "'hub: ' || fan_in || ' in, ' || fan_out || ' out'", (("coordinator", "fan_out > 2 * statements"),), tests=False),
+    Decision("complexity", "info", "function", when((("cyclomatic", ">", 12),), (("cognitive", ">", 15),), (("unit", ">", 20),)), "'complexity ' || cyclomatic || ', with helpers ' || unit", tests=False),
+    Decision("coupling", "warn", "function", when((("fan_in", ">=", 2), ("fan_out", ">=", 3), ("statements", ">", 10))), "'hub: ' || fan_in || ' in, ' || fan_out || ' out'", (("coordinator", "fan_out > 2 * statements"),), tests=False),
     Decision("signature-size", "warn", "function", "params > most", "params || ' parameters, at most ' || most", (("most", "CASE WHEN visibility = 'public' THEN 5 ELSE 7 END"),)),
     Decision("max-name-words", "warn", "symbol", "n_words > most", "name || ' has ' || n_words || ' words'", (("most", "CASE WHEN kind = 'method' THEN 2 ELSE 3 END"),)),
-    Decision("no-unused-symbol", "error", "function", "visibility = 'private' and users = 0", "name || ' is never used'", tests=False),
-    Decision("feature-envy", "info", "function", "envied >= 2", "name || ' uses ' || envied || ' members of ' || envy_target"),
+    Decision("no-unused-symbol", "error", "function", when((("visibility", "=", "private"), ("users", "=", 0))), "name || ' is never used'", tests=False),
+    Decision("feature-envy", "info", "function", when((("envied", ">=", 2),)), "name || ' uses ' || envied || ' members of ' || envy_target"),
     Decision("prefer-method", "warn", "function", "affinity is not null", "name || ' serves ' || affinity || ' only'"),
-    Decision("vertical-distance", "warn", "function", "gap > 8", "name || ' stands ' || gap || ' lines below its sibling'"),
-    Decision("no-redundant-symbol", "warn", "function", "visibility = 'private' and users = 1 and fan_out = 1 and statements <= 12", "name || ' only wraps'"),
+    Decision("vertical-distance", "warn", "function", when((("gap", ">", 8),)), "name || ' stands ' || gap || ' lines below its sibling'"),
+    Decision("no-redundant-symbol", "warn", "function", when((("visibility", "=", "private"), ("users", "=", 1), ("fan_out", "=", 1), ("statements", "<=", 12))), "name || ' only wraps'"),
     Decision("reserved-verbs", "warn", "function", "MATCH(name, '^(new|get|is|has)_') and params = 1", "name || ' promises an action'"),
     Decision("no-type-encoding", "warn", "function", "MATCH(name, '(ring|widget)[0-9]+$')", "name || ' encodes a type'", (("suffix", "right(name, 4)"),)),
     Decision("abbreviations", "warn", "function", "MATCH(key, '(^|_)(gear|bolt)[0-9]*(_|$)')", "name || ' spells an initialism'"),
     Decision("short-names", "warn", "symbol", "length(name) = 1 and kind <> 'field'", "name || ' is one letter'"),
     Decision("exported-doc", "warn", "symbol", "visibility = 'public' and doc is null and kind <> 'field' and not MATCH(name, '^(new|get)_')", "name || ' has no doc'", tests=False),
-    Decision("consistent-terms", "warn", "function", "others >= 5", "plain || ' is exported in ' || others || ' other modules'", (), identity="plain"),
-    Decision("top-down-order", "warn", "function", "first_user_line > line", "name || ' stands above its first user'", (), tests=False),
+    Decision("consistent-terms", "warn", "function", when((("others", ">=", 5),)), "plain || ' is exported in ' || others || ' other modules'", (), identity="plain"),
+    Decision("top-down-order", "warn", "function", "first_user_line > line", "name || ' stands above its first user'", (), tests=False, fix="reorder"),
     Decision("no-single-line-bodies", "error", "function", "end_line = line", "name || ' has its body on one line'"),
     Decision("no-private-types", "warn", "function", "visibility = 'public' and owner is not null and owner_private", "name || ' names a private type'"),
-    Decision("dispatcher", "info", "function", "dispatcher and statements < 30", "name || ' only dispatches'"),
+    Decision("dispatcher", "info", "function", when((("dispatcher", "=", True), ("statements", "<", 30))), "name || ' only dispatches'"),
     Decision("context-first", "warn", "symbol", "kind in ('function', 'method') and MATCH(parameters, ',context[.]Context(,|$)') and not MATCH(parameters, '^context[.]Context(,|$)')", "name || ' takes its context late'", languages=("go",)),
     Decision("owner-file", "info", "function", "owner is not null and split_share < 0.45", "name || ' stands away from its type'"),
-    Decision("max-case-depth", "warn", "test", "depth > 2", "name || ' nests ' || depth || ' deep'"),
-    Decision("no-hidden-target", "warn", "test", "fan_out > 0 and untested_reach = 0", "name || ' reaches code through helpers only'"),
-    Decision("standard-assertions", "warn", "test", "statements > 20 and fan_out = 0", "name || ' asserts by hand'"),
-    Decision("max-lines", "info", "file", "lines > 500", "path || ' has ' || lines || ' lines'", identity="path", path="path", line="1"),
-    Decision("public-boundary", "error", "file", "test and private_reach > 0", "path || ' reaches ' || private_reach || ' private symbols'", identity="path", path="path", line="1"),
+    Decision("max-case-depth", "warn", "test", when((("depth", ">", 2),)), "name || ' nests ' || depth || ' deep'"),
+    Decision("no-hidden-target", "warn", "test", when((("fan_out", ">", 0), ("untested_reach", "=", 0))), "name || ' reaches code through helpers only'"),
+    Decision("standard-assertions", "warn", "test", when((("statements", ">", 20), ("fan_out", "=", 0))), "name || ' asserts by hand'"),
+    Decision("max-lines", "info", "file", when((("lines", ">", 500),)), "path || ' has ' || lines || ' lines'", identity="path", path="path", line="1"),
+    Decision("public-boundary", "error", "file", when((("test", "=", True), ("private_reach", ">", 0))), "path || ' reaches ' || private_reach || ' private symbols'", identity="path", path="path", line="1"),
     Decision("declaration-blocks", "warn", "file", "functions > 2 and methods * 3 <= functions", "path || ' declares loose functions'", identity="path", path="path", line="1"),
-    Decision("single-responsibility", "info", "file", "groups > 3", "path || ' falls into ' || groups || ' groups'", identity="path", path="path", line="1"),
-    Decision("module-layout", "warn", "module", "declares > 0 and files > 5", "path || ' mixes ' || declares || ' declarations'", identity="path", path="path", line="1"),
-    Decision("meaningful-separation", "info", "module", "dependents = 1 and lines < 3000", "path || ' serves one module'", identity="path", path="path", line="1"),
-    Decision("module-cycle", "warn", "module", "cycle_size > 1", "path || ' is in a cycle of ' || cycle_size", identity="path", path="path", line="1"),
+    Decision("single-responsibility", "info", "file", when((("groups", ">", 3),)), "path || ' falls into ' || groups || ' groups'", identity="path", path="path", line="1"),
+    Decision("module-layout", "warn", "module", when((("declares", ">", 0), ("files", ">", 5))), "path || ' mixes ' || declares || ' declarations'", identity="path", path="path", line="1"),
+    Decision("meaningful-separation", "info", "module", when((("dependents", "=", 1), ("lines", "<", 3000))), "path || ' serves one module'", identity="path", path="path", line="1"),
+    Decision("module-cycle", "warn", "module", when((("cycle_size", ">", 1),)), "path || ' is in a cycle of ' || cycle_size", identity="path", path="path", line="1"),
     Decision("no-conjoined-modules", "info", "edge", "mutual and src < dst", "src || ' and ' || dst || ' use each other'", identity="src || '>' || dst", path="src", line="1"),
     Decision("layers", "error", "edge", "src_region > dst_region and src_region <> 'europe'", "src || ' may not use ' || dst", identity="src || '>' || dst", path="src", line="1"),
     Decision("no-mutable-globals", "warn", "symbol", "kind = 'variable' and visibility = 'public' and owner is null", "name || ' is a variable that all may change'"),
-    Decision("no-stored-context", "warn", "symbol", "kind = 'field' and type = 'context.Context'", "name || ' keeps a context'", languages=("go",)),
+    Decision("no-stored-context", "warn", "symbol", when((("kind", "=", "field"), ("type", "=", "context.Context"))), "name || ' keeps a context'", languages=("go",)),
     Decision("no-redundant-qualifier", "warn", "symbol", "left(name, length(module_name) + 1) = module_name || '_'", "name || ' repeats ' || module_name"),
     Decision("missing-owner", "warn", "symbol", "visibility = 'public' and kind in ('function', 'method') and module_tested and not touched", "name || ' is in a tested module and no test uses it'", tests=False),
     Decision("test-file", "error", "function", "test and home is not null and home <> file", "name || ' belongs to ' || home"),
     Decision("allow-reason", "error", "annotation", "trim(reason) = '' and ordinal = 0", "'a directive for ' || rule || ' gives no reason'", identity="CAST(claim AS STRING)", path="owner"),
     Decision("decision-naming", "warn", "decision", "not MATCH(name, '^[a-z][a-z0-9]*(-[a-z0-9]+)*$') or n_words > 3 or MATCH(name, '(^|-)(check|rule|lint)(-|$)') or MATCH(name, '(^|-)' || pack || '(-|$)')", "name || ' is no good name in ' || pack", identity="CAST(rid AS STRING)", path="pack", line="1"),
-    Decision("no-conflicting-decisions", "warn", "decision", "other is not null and not superseded and not proven", "name || ' may conflict with ' || other", identity="CAST(rid AS STRING)", path="pack", line="1"),
-    Decision("no-contradictory-decisions", "error", "decision", "other is not null and not superseded and proven", "name || ' contradicts ' || other", identity="CAST(rid AS STRING)", path="pack", line="1"),
+    Decision("no-conflicting-decisions", "warn", "decision", "rival is not null and not superseded", "name || ' may conflict with ' || rival", identity="CAST(rid AS STRING)", path="pack", line="1"),
+    Decision("no-contradictory-decisions", "error", "decision", "contradicts is not null and not superseded", "name || ' contradicts ' || contradicts", identity="CAST(rid AS STRING)", path="pack", line="1"),
     Decision("independence", "error", "edge", "src_region = dst_region and src_region in ('asia', 'africa')", "src || ' and ' || dst || ' are to be independent'", identity="src || '>' || dst", path="src", line="1"),
-    Decision("no-panic", "warn", "event", "kind = 'error' and value > 60", "'panic ' || ordinal || ' of ' || owner", identity="kind || ordinal", path="owner"),
-    Decision("error-identity", "warn", "event", "kind = 'click' and ordinal >= 3 and value < 5", "'compared ' || ordinal", identity="kind || ordinal", path="owner"),
+    Decision("no-panic", "warn", "event", when((("kind", "=", "error"), ("value", ">", 60))), "'panic ' || ordinal || ' of ' || owner", identity="kind || ordinal", path="owner"),
+    Decision("error-identity", "warn", "event", when((("kind", "=", "click"), ("ordinal", ">=", 3), ("value", "<", 5))), "'compared ' || ordinal", identity="kind || ordinal", path="owner"),
     Decision("max-len", "warn", "line", "width > 400 and not exempt", "'line is ' || width || ' wide'", identity="CAST(line AS STRING)", path="owner"),
     Decision("no-todo", "info", "line", "MATCH(trimmed, '^(TODO|FIXME|XXX|All rights)')", "'note: ' || substr(trimmed, 1, 20)", identity="trimmed", path="owner"),
     Decision("no-noise-comment", "warn", "line", "MATCH(trimmed, '[|] [^|]+ [|] [^|]+ [|]') or MATCH(trimmed, '^[=*-]+$')", "'banner of ' || width", identity="CAST(line AS STRING)", path="owner"),
@@ -84,12 +85,12 @@ def _duck(text: str) -> str:
 
 
 def _for_spark(d: Decision) -> Decision:
-    return Decision(**{**vars(d), "where": _spark(d.where), "variables": tuple((n, _spark(e)) for n, e in d.variables)})
+    return Decision(**{**vars(d), "where": _spark(d.condition), "variables": tuple((n, _spark(e)) for n, e in d.variables)})
 
 
 def _needs(d: Decision) -> set[str]:
     """Names that a decision's expressions read; facts that none of them names are not built."""
-    return set(re.findall(r"[a-z_]+", " ".join([d.where, d.message, d.identity, d.path, d.line, d.scope(), *(e for _, e in d.variables)])))
+    return set(re.findall(r"[a-z_]+", " ".join([d.condition, d.message, d.identity, d.path, d.line, d.scope(), *(e for _, e in d.variables)])))
 
 
 def function_facts(spark: SparkSession, folder: str, needs: set[str] | None = None) -> DataFrame:
@@ -184,8 +185,14 @@ def annotation_facts(spark: SparkSession, folder: str, needs: set[str] | None =
 
 
 def decision_facts(spark: SparkSession, folder: str, needs: set[str] | None = None) -> DataFrame:
-    r = relation(spark, folder, "rules")
-    return r.withColumn("n_words", F.length("name") - F.length(F.replace(F.col("name"), F.lit("-"))) + 1)
+    r = relation(spark, folder, "rules").withColumn("n_words", F.length("name") - F.length(F.replace(F.col("name"), F.lit("-"))) + 1)
+    if needs is not None and not needs & {"rival", "contradicts"}:
+        return r
+    pairs = conditions.condition_conflicts(spark, folder)
+    either = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "overlap", "b_in_a", "a_in_b"))
+    proven = F.col("a_in_b") | F.col("b_in_a")
+    met = either.where("overlap").groupBy(F.col("a").alias("rid")).agg(F.min(F.when(~proven, F.col("b"))).alias("rival"), F.min(F.when(proven, F.col("b"))).alias("contradicts"))
+    return r.join(met, "rid", "left")
 
 
 def event_facts(spark: SparkSession, folder: str, needs: set[str] | None = None) -> DataFrame:
@@ -290,7 +297,11 @@ symbol_facts AS (SELECT s.*, length(name) - length(replace(name, '_', '')) + 1 A
  s.module IN (SELECT module FROM functions WHERE test) AND NOT (SELECT test FROM functions f WHERE f.id = s.id) AS module_tested FROM symbols s)
 """,
     "annotation": with_sql("annotations") + ", annotation_facts AS (SELECT * FROM annotations)\n",
-    "decision": with_sql("rules") + ", decision_facts AS (SELECT *, length(name) - length(replace(name, '-', '')) + 1 AS n_words FROM rules)\n",
+    "decision": with_sql("rules") + conditions.PAIRS_SQL + """,
+e AS (SELECT * FROM pairs UNION ALL SELECT b, a, overlap, b_in_a, a_in_b FROM pairs),
+n AS (SELECT a AS rid, min(b) FILTER (NOT (a_in_b OR b_in_a)) AS rival, min(b) FILTER (a_in_b OR b_in_a) AS contradicts FROM e WHERE overlap GROUP BY a),
+decision_facts AS (SELECT r.*, n.rival, n.contradicts, length(name) - length(replace(name, '-', '')) + 1 AS n_words FROM rules r LEFT JOIN n USING (rid))
+""",
     "event": "WITH event_facts AS (SELECT 'u' || user_id AS owner, event_type AS kind, value, row_number() OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS ordinal, event_id AS line FROM events)\n",
     "line": r"""WITH x AS (SELECT 'doc/' || doc_id AS owner, CASE WHEN text LIKE '%' || chr(10) THEN string_split(text, chr(10))[1:-2] ELSE string_split(text, chr(10)) END AS x FROM documents),
 y AS (SELECT owner, unnest(x) AS t, generate_subscripts(x, 1) AS line FROM x),
@@ -308,7 +319,7 @@ def _findings_sql(d: Decision) -> str:
     inner = "*" + "".join(f", {_duck(e)} AS {n}" for n, e in d.variables)
     return f"""SELECT '{d.name}' AS decision, '{d.severity}' AS severity, {d.path} AS path, CAST(greatest(1, {d.line}) AS BIGINT) AS line, {d.message} AS message,
 sha256('{d.name}' || chr(0) || ({d.path}) || chr(0) || trim(regexp_replace({d.identity}, '\\s+', ' ', 'g'))) AS fingerprint
-FROM (SELECT {inner} FROM {d.select}_facts WHERE {d.scope()}) WHERE {_duck(d.where)}"""
+FROM (SELECT {inner} FROM {d.select}_facts WHERE {d.scope()}) WHERE {_duck(d.condition)}"""
 
 
 ORACLE |= {"decision_" + d.name.replace("-", "_"): SQL_FACTS[d.select] + _findings_sql(d) for d in DECISIONS if d.name not in NO_SQL | {"max-lines"}}

@@ -82,8 +82,7 @@ RELATIONS = {
         FROM {events} WHERE event_type = 'view'""",
     "rules": """
         SELECT p_partkey AS rid, lower(p_type) AS pack, CASE p_size % 3 WHEN 0 THEN 'error' WHEN 1 THEN 'warn' ELSE 'info' END AS severity,
-               replace(p_name, ' ', '-') || CASE WHEN p_partkey % 5 = 0 THEN '-Check' WHEN p_partkey % 7 = 0 THEN '-' || lower(p_type) WHEN p_partkey % 11 = 0 THEN '-rule' ELSE '' END AS name,
-               lag(p_partkey) OVER (PARTITION BY p_type, p_brand ORDER BY p_partkey) AS other, p_size % 4 = 0 AS proven, p_size % 5 = 0 AS superseded
+               replace(p_name, ' ', '-') || CASE WHEN p_partkey % 5 = 0 THEN '-Check' WHEN p_partkey % 7 = 0 THEN '-' || lower(p_type) WHEN p_partkey % 11 = 0 THEN '-rule' ELSE '' END AS name, p_size % 5 = 0 AS superseded
         FROM {part}""",
 }
 TABLES = ("region", "nation", "supplier", "part", "lineitem", "customer", "events")
