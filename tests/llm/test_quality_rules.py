@@ -111,3 +111,10 @@ def test_distance(spark):
         frame = spark.createDataFrame([(p, q)], "p array<long>, q array<long>").selectExpr(quality_rules._distance("p", "q") + " as d")
         assert math.isclose(frame.first().d, js(p, q), abs_tol=1e-7)
     assert spark.sql("select " + quality_rules._distance("array(0L)", "array(1L)") + " as d").first().d is None
+
+
+def test_references_beyond_the_bound_are_dealt_by_salt(spark, edge_docs):
+    """The same rows whether references are broadcast or a language's texts are dealt to many tasks."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").union(edge_docs.select("doc_id", "text", "lang"))
+    plain = lambda most: sorted(map(repr, quality_rules.judge(docs, least_reference=500, most=most).collect()))
+    assert plain(quality_rules.BROADCAST) == plain(-1)
