@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwright.llm.text import plain_words, unused, utf8
+from sparkwright.llm.text import give_back, plain_words, unused, utf8
 from sparkwright.sources.scratch import materialize
 
 WINDOW = 13
@@ -115,6 +115,7 @@ def _search(spark: SparkSession, items: list[tuple[int, str | None]], window: in
 
     @F.arrow_udf(FOUND)
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        give_back()
         patterns = shared.value.patterns()
         for batch in batches:
             rows = []

@@ -23,13 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.text import utf8
+from sparkwright.llm.text import give_back, utf8
 
 WINDOW = 2048
 CLASS = 8
 END = (1).to_bytes(4, "little")
 #: Bounds of a chunk that is packed at once, and of a worker's cache of tokenised words.
-CHUNK_DOCS, CHUNK_BYTES, CACHE_WORDS = 16_384, 32 << 20, 450_000
+CHUNK_DOCS, CHUNK_BYTES, CACHE_WORDS = 16_384, 32 << 20, 250_000
 #: How many words a worker keeps for its next task.
 KEPT_WORDS = 100_000
 #: A sequence that would keep more padding than this is taken apart and cut anew.
@@ -281,6 +281,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     extra = ", ids array<int>" if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         words = tokenizer(tokenizer_path)
         task = TaskContext.get().partitionId() << 36
         held: list[tuple[int | None, bytes, int]] = []  # id, ids of the last window, its start
@@ -331,5 +332,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         flush()
         yield out()
         words.trim()
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES + extra)

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkwright.llm.text import give_back
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "national_id")
 #: Base score, and what a validator and a context word add.
@@ -182,6 +184,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars")
 
     @F.arrow_udf("string")
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        give_back()
         for batch in batches:
             yield pa.array([t if t is None else redacted(t, find(t)) for t in batch.to_pylist()], pa.string())
 

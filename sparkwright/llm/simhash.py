@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwright.functions.components import connected_components
-from sparkwright.llm.text import spaced_words, unused, utf8
+from sparkwright.llm.text import give_back, spaced_words, unused, utf8
 from sparkwright.sources.scratch import materialize
 
 SEED = 42
@@ -52,6 +52,7 @@ def fingerprint_column(text: F.Column, shingle: int = 3) -> F.Column:
 
     @F.arrow_udf("long")
     def fp(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        give_back()
         for batch in batches:
             values = np.array([fingerprint(t, shingle) for t in utf8(batch)], dtype=np.uint64)
             yield pa.array(values.view(np.int64))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.text import plain_words, unused, utf8
+from sparkwright.llm.text import give_back, plain_words, unused, utf8
 from sparkwright.sources.scratch import materialize
 
 EXAMPLES, NEAREST = 4096, 15
@@ -423,7 +423,7 @@ def score_column(model: Model, docs: DataFrame, text_col: str = "text") -> F.Col
                 if len(known) + len(fresh) > 20_000:
                     known.clear()
                 known |= fresh
-            pa.default_memory_pool().release_unused()
+            give_back()
             yield pa.concat_arrays(found) if found else pa.array([], kind)
 
     return score(F.col(text_col))
