@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,7 @@ LEAST = 2
 END = b"\n"
 HELD_OUT = "pmod(crc32(cast(coalesce(cast({0} as string), '') as binary)), 5) = 1"
 WORDS, PAIRS, TRIPLES = 1, 2, 3
+_squeeze, _expand = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
 class Hashes(dict):
@@ -75,12 +77,12 @@ def hashed(*columns: np.ndarray) -> np.ndarray:
 
 def pack(values: np.ndarray) -> bytes:
     """Byte by byte of all values, so that sorted and small ones compress well."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    return _squeeze.compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes())
 
 
 def unpack(data: bytes, kind: str) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+    return np.frombuffer(_expand.decompress(data), np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
 
 
 CHUNKS = "origin long, doc_ids array<long>, held array<boolean>, sizes binary, vocabulary binary, stream binary, trained long, tokens long"
@@ -429,9 +431,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = materialize(chunks.mapInArrow(_ask_counts(ranges), ROWS).groupBy("kind", "range").applyInArrow(_counted, ROWS))
     types = counts.agg(F.sum("words")).first()[0] or 0
     asked = _visited(chunks, counts, _ask_triples(ranges, total, types), ROWS)
-    triples = _exchanged(asked.where("what = 'ask'"), _counted_triples(ranges))
-    weights = _exchanged(asked.union(triples).where("what = 'mass'").union(counts), _weighed)
+    counted = _exchanged(asked.where("what = 'ask'"), _counted_triples(ranges))
+    masses = materialize(asked.union(counted).where("what = 'mass'"))
+    discard(asked)
+    triples = materialize(counted.where("what = 'answer'"))
+    discard(counted)
+    weights = _exchanged(masses.union(counts), _weighed)
+    discard(masses)
     scored = _visited(chunks, counts.union(triples).union(weights), _walked(total, types), SCORES)
-    for table in (chunks, counts, asked, triples, weights):
+    for table in (chunks, counts, triples, weights):
         discard(table)
     return scored
