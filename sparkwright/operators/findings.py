@@ -158,18 +158,3 @@ def exit_code(findings: DataFrame, incomplete: DataFrame) -> DataFrame:
     gaps = incomplete.agg(F.count("*").alias("incomplete"))
     return errors.crossJoin(gaps).withColumn("exit_code", F.when(F.col("incomplete") > 0, 3).when(F.col("errors") > 0, 1).otherwise(0))
 
-
-def resolve_overlaps(edits: DataFrame) -> DataFrame:
-    """Edits (file, start, end, priority, ordinal) that can be applied together: in order of priority, then ordinal, an edit
-    that overlaps one taken before is dropped. One file's edits are one group, as large as a file's findings."""
-
-    def choose(key, rows):
-        taken: list[tuple[int, int]] = []
-        keep = []
-        for i, row in rows.sort_values(["priority", "ordinal"]).iterrows():
-            if all(row["end"] <= s or row["start"] >= e for s, e in taken):
-                taken.append((row["start"], row["end"]))
-                keep.append(i)
-        return rows.loc[keep]
-
-    return edits.groupBy("file").applyInPandas(choose, edits.schema)

@@ -112,13 +112,7 @@ def exit_code(spark, folder):
     return O.exit_code(f, f.where("bucket > 1000000"))
 
 
-def overlapping_edits(spark, folder):
-    """Lines of a part as edits on days; of those that overlap, the urgent and then the earlier stays."""
-    e = read_table(spark, folder, "lineitem").where("l_quantity > 30").select(F.concat(F.lit("p"), "l_partkey").alias("file"), F.datediff("l_shipdate", F.lit("1990-01-01")).cast("long").alias("start"), (F.datediff("l_shipdate", F.lit("1990-01-01")) + 120).cast("long").alias("end"), F.col("l_linenumber").cast("long").alias("priority"), (F.col("l_orderkey") * 1000 + F.col("l_suppkey")).alias("ordinal"))
-    return O.resolve_overlaps(e.dropDuplicates(["file", "priority", "ordinal"]))
-
-
-NAMED = (finding_fingerprints, suppression, stale_directives, lifecycle, standing, prune_snapshot, cofiring, report_groups, exit_code, overlapping_edits)
+NAMED = (finding_fingerprints, suppression, stale_directives, lifecycle, standing, prune_snapshot, cofiring, report_groups, exit_code)
 QUERIES |= {f.__name__: f for f in NAMED}
 
 DIRECTIVES = """d AS (SELECT event_id AS claim, 'u' || user_id AS file, CASE WHEN event_id % 3 = 0 THEN 'error' ELSE 'click' END AS rule, event_id % 4 AS kind,
