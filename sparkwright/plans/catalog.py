@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwright.plans import conditions, decisions, edits, evaluation, findings, graphs, model, placement, relations, streams, text, trees
+from sparkwright.plans import conditions, decisions, edits, evaluation, findings, fitting, graphs, model, placement, relations, streams, text, trees
 
-MODULES = (conditions, decisions, edits, evaluation, findings, graphs, model, placement, relations, streams, text, trees)
+MODULES = (conditions, decisions, edits, evaluation, findings, fitting, graphs, model, placement, relations, streams, text, trees)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
