@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.text import give_back, utf8
+from sparkwright.llm.text import give_back, kept, utf8
 
 WINDOW = 2048
 CLASS = 8
@@ -36,7 +36,7 @@ KEPT_WORDS = 100_000
 SLACK = 16
 #: ASCII marks, which the tokenizer sets apart from letters before them.
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_tokenizers: dict[str, WordIds] = {}
+_tokenizers: dict[str, WordIds] = kept("packing")
 
 
 def _letters(word: bytes) -> str:
@@ -281,7 +281,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     extra = ", ids array<int>" if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
+        give_back("packing")
         words = tokenizer(tokenizer_path)
         task = TaskContext.get().partitionId() << 36
         held: list[tuple[int | None, bytes, int]] = []  # id, ids of the last window, its start
@@ -332,6 +332,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         flush()
         yield out()
         words.trim()
-        give_back()
+        give_back("packing")
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES + extra)

@@ -35,8 +35,19 @@ def unused(docs: DataFrame, name: str) -> str:
     return name
 
 
-def give_back() -> None:
-    """Return what earlier tasks of this worker left unused to the system; where its C library can't, what Python freed stays."""
+_kept: dict[str, dict] = {}
+
+
+def kept(operator: str) -> dict:
+    """What a worker keeps for later tasks of one operator, until a task of another one gives it back."""
+    return _kept.setdefault(operator, {})
+
+
+def give_back(keep: str = "") -> None:
+    """Drop what other operators kept in this worker and return unused memory to the system, where its C library can."""
+    for operator, cache in _kept.items():
+        if operator != keep:
+            cache.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -279,6 +279,7 @@ def _frequencies(terms: bytes):
     """Documents to (term, df) of this task; term -1 counts the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         known, n = Terms(terms.split(b"\n")), 0
         df = np.zeros(len(known.known), np.int64)
         for batch in batches:
@@ -410,6 +411,7 @@ def score_column(model: Model, docs: DataFrame, text_col: str = "text") -> F.Col
 
     @F.arrow_udf("struct<score:double,evidence:array<long>>")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        give_back()
         m, known = shared.value, {}
         kind = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.int64()))])
         for batch in batches:
