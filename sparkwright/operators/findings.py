@@ -47,17 +47,42 @@ def prefix_widths(fingerprints: DataFrame, column: str = "fingerprint") -> DataF
     return fingerprints.withColumn("width", F.greatest(F.lit(MIN_PREFIX), near + 1))
 
 
+def close_ranges(directives: DataFrame) -> DataFrame:
+    """Directives (claim, file, rule, form, line, reason, first_code, ...) with kind, line, end and ``closes``.
+
+    A form is line, next-line, disable or enable. ``disable`` opens a range that the next ``enable`` of its rule ends, with
+    every other that is open then; above the file's first code it begins at line 1. Without a reason it opens nothing.
+    ``closes`` is how many ranges an enable ends, null for the other forms. Directives of a line follow each other by claim.
+    """
+    order = Window.partitionBy("file", "rule").orderBy("line", "claim")
+    is_enable = F.col("form") == "enable"
+    opens = (F.col("form") == "disable") & (F.trim(F.coalesce("reason", F.lit(""))) != "")
+    d = directives.withColumn("_end", F.min(F.when(is_enable, F.col("line"))).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    d = d.withColumn("_since", F.count_if(is_enable).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    d = d.withColumn("_open", F.count_if(opens).over(Window.partitionBy("file", "rule", "_since").orderBy("line", "claim").rowsBetween(Window.unboundedPreceding, 0)))
+    kind = F.when(F.col("form") == "disable", "range").otherwise(F.col("form"))
+    begin = F.when((F.col("form") == "disable") & (F.col("line") < F.col("first_code")), F.lit(1)).otherwise(F.col("line"))
+    others = [c for c in directives.columns if c not in ("line", "kind", "end", "closes")]
+    return d.select(*others, kind.alias("kind"), begin.alias("line"), F.when(opens, F.col("_end")).alias("end"), F.when(is_enable, F.col("_open")).alias("closes"))
+
+
 def suppress(findings: DataFrame, directives: DataFrame) -> DataFrame:
     """``findings`` with ``claim``: the directive that takes each, or null.
 
     A directive (claim, file, rule, kind, line, end, reason) reaches its own line (``line``), that and the next
-    (``next-line``), or the lines from its own up to ``end``, not included and open if null (``range``). Without a reason it
-    claims nothing. Each finding is taken by the first directive that reaches it.
+    (``next-line``), or the lines from its own up to ``end``, not included and open if null (``range``); an ``enable`` reaches
+    none. Where both sides have a ``symbol``, a next-line directive also reaches findings about the symbol that its comment
+    documents, wherever that is in the file. Without a reason it claims nothing. Each finding is taken by the first directive
+    that reaches it.
     """
-    d = directives.where("trim(coalesce(reason, '')) <> ''").select("claim", F.col("file").alias("_file"), F.col("rule").alias("_rule"), "kind", F.col("line").alias("_line"), F.col("end").alias("_end"))
+    documents = "symbol" in findings.columns and "symbol" in directives.columns
+    d = directives.where("trim(coalesce(reason, '')) <> '' and kind <> 'enable'").select(
+        "claim", F.col("file").alias("_file"), F.col("rule").alias("_rule"), "kind", F.col("line").alias("_line"), F.col("end").alias("_end"), (F.col("symbol") if documents else F.lit(None).cast("string")).alias("_symbol")
+    )
+    about = F.coalesce(F.col("_symbol") == F.col("symbol"), F.lit(False)) if documents else F.lit(False)
     reach = (
         F.when(F.col("kind") == "line", F.col("line") == F.col("_line"))
-        .when(F.col("kind") == "next-line", F.col("line").isin(F.col("_line"), F.col("_line") + 1))
+        .when(F.col("kind") == "next-line", F.col("line").isin(F.col("_line"), F.col("_line") + 1) | about)
         .otherwise((F.col("line") >= F.col("_line")) & (F.col("_end").isNull() | (F.col("line") < F.col("_end"))))
     )
     met = findings.join(d, (F.col("file") == F.col("_file")) & (F.col("rule") == F.col("_rule")) & reach, "left")
@@ -69,18 +94,51 @@ def stale(suppressed: DataFrame, directives: DataFrame) -> DataFrame:
     return directives.where("trim(coalesce(reason, '')) <> ''").join(suppressed.where("claim is not null").select("claim").distinct(), "claim", "left_anti")
 
 
-def record_run(kept: DataFrame, run: DataFrame, ran: Column, active: Column, now: str) -> DataFrame:
+def ancestors(path: Column) -> Column:
+    """A path and all folders above it, the topmost '' included."""
+    parts = F.split(path, "/")
+    return F.array_distinct(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))))
+
+
+def unchecked(subjects: DataFrame, scope: DataFrame | None, gaps: DataFrame | None) -> DataFrame:
+    """The distinct (decision, path) that a run says nothing of: paths below no folder or file of ``scope`` (path), and what
+    ``gaps`` (decision, path) say wasn't finished, at a folder or file; a null decision there means every one.
+
+    Paths meet scope and gaps by equality with one of their ancestors.
+    """
+    s = subjects.select("decision", "path").distinct()
+    up = s.select("decision", "path", F.explode(ancestors(F.coalesce("path", F.lit("")))).alias("above"))
+    out = s.limit(0)
+    if scope is not None:
+        met = up.join(scope.select(F.col("path").alias("above")).distinct(), "above", "left_semi").select("path").distinct()
+        out = out.union(s.join(met, s["path"].eqNullSafe(met["path"]), "left_anti"))
+    if gaps is not None:
+        g = gaps.select(F.col("decision").alias("_of"), F.coalesce("path", F.lit("")).alias("above")).distinct()
+        out = out.union(up.join(g, "above").where("_of is null or _of = decision").select("decision", "path"))
+    return out.distinct()
+
+
+def record_run(kept: DataFrame, run: DataFrame, ran: Column, active: Column, now: str, scope: DataFrame | None = None, gaps: DataFrame | None = None) -> DataFrame:
     """The snapshot after a run.
 
     ``kept``: (fingerprint, decision, first_seen, last_seen, resolved_at, inactive_at, reopened). ``run``: (fingerprint,
     decision), each counted once. New findings open, those seen again stay or reopen, those that a decision which ``ran`` no
     longer finds are resolved, and those whose decision isn't ``active`` are inactive until it is again. Both are conditions
-    on ``decision``.
+    on ``decision``. With ``scope`` or ``gaps`` (see ``unchecked``), snapshot and run have a path, and what wasn't checked
+    isn't resolved for being absent.
     """
     at = F.lit(now).cast("timestamp_ntz")
-    seen = run.groupBy("fingerprint").agg(F.min("decision").alias("now_decision"))
+    pathed = scope is not None or gaps is not None or "path" in kept.columns
+    places = [F.max("path").alias("now_path")] if pathed else []
+    seen = run.groupBy("fingerprint").agg(F.min("decision").alias("now_decision"), *places)
     both = kept.join(seen, "fingerprint", "full_outer").withColumn("_seen", F.col("now_decision").isNotNull()).withColumn("decision", F.coalesce("now_decision", "decision"))
-    gone = ~F.col("_seen") & F.col("resolved_at").isNull() & ran
+    both = both.withColumn("_checked", F.lit(True))
+    if pathed:
+        both = both.withColumn("path", F.coalesce("now_path", "path"))
+    if scope is not None or gaps is not None:
+        u = unchecked(both, scope, gaps).select(F.col("decision").alias("_d"), F.col("path").alias("_p"), F.lit(False).alias("_no"))
+        both = both.join(u, F.col("decision").eqNullSafe(F.col("_d")) & F.col("path").eqNullSafe(F.col("_p")), "left").withColumn("_checked", F.coalesce("_no", F.lit(True)))
+    gone = ~F.col("_seen") & F.col("resolved_at").isNull() & ran & F.col("_checked")
     resolved = F.when(~F.col("_seen"), F.when(gone, at).otherwise(F.col("resolved_at")))
     out = both.select(
         "fingerprint",
@@ -90,6 +148,7 @@ def record_run(kept: DataFrame, run: DataFrame, ran: Column, active: Column, now
         resolved.alias("resolved_at"),
         F.when(~F.col("_seen"), F.col("inactive_at")).alias("inactive_at"),
         (F.coalesce("reopened", F.lit(0)) + (F.col("_seen") & F.col("resolved_at").isNotNull()).cast("int")).cast("long").alias("reopened"),
+        *(["path"] if pathed else []),
     )
     open_or_marked = F.col("resolved_at").isNull() | F.col("inactive_at").isNotNull()
     marked = F.when(open_or_marked, F.when(active, F.lit(None)).otherwise(F.coalesce("inactive_at", at))).otherwise(F.col("inactive_at"))

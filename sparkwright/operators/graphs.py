@@ -6,6 +6,8 @@ that of an equi join on node ids. Nothing is collected but convergence counts.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,5 +160,13 @@ def system(reach: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def reaches(edges: DataFrame, sources: DataFrame, goals: DataFrame) -> DataFrame:
-    """(node): sources from which a path leads to a goal."""
-    return closure(edges, sources).join(goals.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+    """(node): sources from which a path of one edge or more leads to a goal, sought backwards from the goals by node sets."""
+    step = checkpoint(edges.select("src", "dst").distinct())
+    delta = checkpoint(step.join(goals.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi").select(F.col("src").alias("node")).distinct())
+    parts = [delta]
+    while not delta.isEmpty():
+        known = functools.reduce(DataFrame.union, parts)
+        further = step.join(delta.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+        delta = checkpoint(further.join(known, "node", "left_anti"))
+        parts.append(delta)
+    return functools.reduce(DataFrame.union, parts).join(sources.select("node").distinct(), "node", "left_semi")

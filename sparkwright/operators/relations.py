@@ -46,14 +46,12 @@ def reference_sites(uses: DataFrame, places: DataFrame) -> DataFrame:
 def by_prefix(fingerprints: DataFrame, asked: DataFrame, most: int = 6) -> DataFrame:
     """(prefix, n, fingerprint): how many fingerprints begin with each asked prefix, ``most`` at most, and the one if it is unambiguous.
 
-    Prefixes of one length meet by equality, so that no prefix is compared with all fingerprints.
+    Fingerprints are counted by their beginnings of the lengths that are asked for, at most 64, before they meet a prefix, so
+    no prefix is compared with all of them. Repeated prefixes are answered each; a null one begins nothing; none give none.
     """
-    lengths = [r.n for r in asked.select(F.length("prefix").alias("n")).distinct().collect()]
-    found = None
-    for n in sorted(lengths):
-        part = asked.where(F.length("prefix") == n).join(fingerprints.select("fingerprint", F.left("fingerprint", F.lit(n)).alias("prefix")), "prefix")
-        found = part if found is None else found.unionByName(part)
-    counted = found.groupBy("prefix").agg(F.least(F.count("*"), F.lit(most)).alias("n"), F.min("fingerprint").alias("one"))
+    lengths = asked.where("prefix is not null").agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    begun = fingerprints.select("fingerprint").distinct().join(F.broadcast(lengths)).select("fingerprint", F.explode("lengths").alias("n")).where(F.col("n") <= F.length("fingerprint"))
+    counted = begun.groupBy(F.expr("left(fingerprint, n)").alias("prefix")).agg(F.least(F.count("*"), F.lit(most)).alias("n"), F.min("fingerprint").alias("one"))
     return asked.join(counted, "prefix", "left").select("prefix", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") == 1, F.col("one")).alias("fingerprint"))
 
 

@@ -16,7 +16,7 @@ from sparkwright.operators import graphs, metrics, relations
 from sparkwright.operators.conditions import condition as when
 from sparkwright.operators.decisions import Decision, check, evaluate, incomplete
 from sparkwright.plans import conditions, model
-from sparkwright.sources.scratch import read_table
+from sparkwright.sources.scratch import materialize, read_table
 from sparkwright.sources.tables import relation, with_sql
 
 QUERIES = {}
@@ -74,6 +74,8 @@ DECISIONS = [
     Decision("no-detached-comment", "warn", "line", "MATCH(trimmed, '^(TODO|Licensed|Released|All rights|Copyright)') and next_blank", "'comment stands apart'", identity="CAST(line AS STRING)", path="owner"),
 ]
 RULES = {d.name: d for d in DECISIONS}
+#: Facts that a greatest fixpoint gives, which a monotone recursion cannot.
+NO_SQL = {"owner-file"}
 
 
 def _spark(text: str) -> str:
@@ -232,9 +234,15 @@ def decision_max_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def check_all(spark: SparkSession, folder: str) -> DataFrame:
-    """Findings of all decisions on files, modules, edges, events and lines, counted by decision."""
-    some = [_for_spark(d) for d in DECISIONS if d.select not in ("function", "test")]
-    found = check(some, {name: FACTS[name](spark, folder) for name in {d.select for d in some}})
+    """Findings of all decisions counted by decision, but owner-file's, which SQL can't state and which has a query of its own.
+
+    The facts of each kind of subject are computed once, with what any of its decisions reads, and shared by all of them.
+    """
+    some = [_for_spark(d) for d in DECISIONS if d.name not in NO_SQL]
+    needs = {kind: set().union(*(_needs(d) for d in some if d.select == kind)) for kind in {d.select for d in some}}
+    functions = materialize(function_facts(spark, folder, needs.pop("function") | needs.pop("test", set())))
+    facts = {"function": functions, "test": functions.where("test")} | {kind: materialize(FACTS[kind](spark, folder, of)) for kind, of in needs.items()}
+    found = check(some, facts)
     return found.groupBy("decision", "severity").agg(F.count("*").alias("findings"), F.countDistinct("path").alias("paths"))
 
 
@@ -311,8 +319,6 @@ line_facts AS (SELECT owner, line, trim(t) AS trimmed, length(t) AS width, regex
  trim(t) = '' AS blank, coalesce(length(nt), 0) AS next_width, trim(coalesce(nt, '')) = '' AS next_blank FROM z)
 """,
 }
-#: Facts that a greatest fixpoint gives, which a monotone recursion cannot.
-NO_SQL = {"owner-file"}
 
 
 def _findings_sql(d: Decision) -> str:
@@ -323,7 +329,20 @@ FROM (SELECT {inner} FROM {d.select}_facts WHERE {d.scope()}) WHERE {_duck(d.con
 
 
 ORACLE |= {"decision_" + d.name.replace("-", "_"): SQL_FACTS[d.select] + _findings_sql(d) for d in DECISIONS if d.name not in NO_SQL | {"max-lines"}}
+
+
+def _check_sql() -> str:
+    """All decisions' findings by kind of subject, each kind's facts once."""
+    kinds = {}
+    for d in DECISIONS:
+        if d.name not in NO_SQL:
+            kinds.setdefault(d.select, []).append(f"SELECT decision, severity, path FROM ({_findings_sql(d)})")
+    parts = [f"(SELECT * FROM ({SQL_FACTS[kind]} {' UNION ALL '.join(of)}))" for kind, of in kinds.items()]
+    return f"SELECT decision, severity, count(*) AS findings, count(DISTINCT path) AS paths FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL"
+
+
 ORACLE |= {
+    "check_all": _check_sql(),
     "decision_file_lines": SQL_FACTS["file"] + _findings_sql(RULES["max-lines"]),
     "check_incomplete": SQL_FACTS["function"] + "SELECT 'vertical-distance' AS decision, count(*) FILTER (gap IS NULL) AS incomplete FROM function_facts WHERE NOT generated",
     "decision_max_lines": """SELECT path, n_lines, 'file has ' || n_lines || ' lines; at most 20 are allowed' AS message, sha256('core/max-lines' || chr(0) || path || chr(0)) AS fingerprint

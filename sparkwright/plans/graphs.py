@@ -1,4 +1,4 @@
-"""Queries on graphs: modules of the derived model and nations by trade."""
+"""Queries on graphs: modules of the derived model and suppliers that follow each other."""
 
 from __future__ import annotations
 
@@ -14,45 +14,43 @@ QUERIES = {}
 ORACLE = {}
 TOP = 3
 
-NATIONS = f"""WITH RECURSIVE flow AS (
-  SELECT s_nationkey AS src, c_nationkey AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
-e AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS r FROM flow WHERE src <> dst) WHERE r <= {TOP}),
+SUPPLIERS = f"""WITH RECURSIVE pairs AS (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem),
+flow AS (SELECT src, dst, count(*) AS n FROM pairs WHERE src <> dst GROUP BY ALL),
+e AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS r FROM flow) WHERE r <= {TOP}),
 nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
 reach AS (SELECT src, dst FROM e UNION SELECT reach.src, e.dst FROM reach JOIN e ON reach.dst = e.src),
 comp AS (SELECT node, least(node, (SELECT min(a.dst) FROM reach a JOIN reach b ON a.dst = b.src AND b.dst = node WHERE a.src = node)) AS component FROM nodes)
 """
 
 
-def nation_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """From a supplier's nation to the few nations that order most from it."""
-    t = lambda name: read_table(spark, folder, name)
-    lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    flow = lines.groupBy(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).agg(F.count("*").alias("n")).where("src <> dst")
+def supplier_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """From each supplier to the TOP whose lines most often follow its own in an order; one node a supplier, so it grows."""
+    after = F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    flow = read_table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("src"), after.alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst"))
     return checkpoint(flow.withColumn("r", rank).where(F.col("r") <= TOP).select("src", "dst"))
 
 
 def graph_closure(spark, folder):
-    return graphs.closure(nation_edges(spark, folder))
+    return graphs.closure(supplier_edges(spark, folder))
 
 
 def graph_components(spark, folder):
-    return graphs.strong_components(nation_edges(spark, folder))
+    return graphs.strong_components(supplier_edges(spark, folder))
 
 
 def graph_cycles(spark, folder):
-    found = graphs.cycles(graphs.strong_components(nation_edges(spark, folder)))
+    found = graphs.cycles(graphs.strong_components(supplier_edges(spark, folder)))
     return found.select("component", F.col("size"), F.array_join("members", ",").alias("members"))
 
 
 def graph_degrees(spark, folder):
-    e = nation_edges(spark, folder)
+    e = supplier_edges(spark, folder)
     return graphs.instability(graphs.degrees(e, graphs.nodes_of(e)))
 
 
 def graph_reach(spark, folder):
-    e = nation_edges(spark, folder)
+    e = supplier_edges(spark, folder)
     nodes = graphs.nodes_of(e)
     counted = graphs.reach_counts(graphs.closure(e), nodes)
     n = nodes.count()
@@ -60,19 +58,19 @@ def graph_reach(spark, folder):
 
 
 def graph_heights(spark, folder):
-    e = nation_edges(spark, folder)
+    e = supplier_edges(spark, folder)
     return graphs.heights(e, graphs.strong_components(e))
 
 
 def graph_system(spark, folder):
-    e = nation_edges(spark, folder)
+    e = supplier_edges(spark, folder)
     return graphs.system(graphs.closure(e), graphs.strong_components(e))
 
 
 def graph_reaches(spark, folder):
-    e = nation_edges(spark, folder)
-    nodes = graphs.nodes_of(e)
-    return graphs.reaches(e, nodes.where("node % 3 = 0"), nodes.where("node % 5 = 1"))
+    e = supplier_edges(spark, folder)
+    owing = read_table(spark, folder, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("node"))
+    return graphs.reaches(e, graphs.nodes_of(e), owing)
 
 
 def module_cycle(spark, folder):
@@ -100,24 +98,24 @@ def event_transitions(spark, folder):
 
 QUERIES |= {f.__name__: f for f in (graph_closure, graph_components, graph_cycles, graph_degrees, graph_reach, graph_heights, graph_system, graph_reaches, module_cycle, weak_components, event_transitions)}
 ORACLE |= {
-    "graph_closure": NATIONS + "SELECT src, dst FROM reach",
-    "graph_components": NATIONS + "SELECT node, component FROM comp",
-    "graph_cycles": NATIONS + """SELECT component, count(*) AS size, array_to_string(list_sort(list(node)), ',') AS members
+    "graph_closure": SUPPLIERS + "SELECT src, dst FROM reach",
+    "graph_components": SUPPLIERS + "SELECT node, component FROM comp",
+    "graph_cycles": SUPPLIERS + """SELECT component, count(*) AS size, array_to_string(list_sort(list(node)), ',') AS members
 FROM comp GROUP BY component HAVING count(*) > 1""",
-    "graph_degrees": NATIONS + """SELECT node, ca, ce, floor(ce / nullif(ca + ce, 0) * 10000 + 0.5) / 10000 AS instability FROM (
+    "graph_degrees": SUPPLIERS + """SELECT node, ca, ce, floor(ce / nullif(ca + ce, 0) * 10000 + 0.5) / 10000 AS instability FROM (
 SELECT node, (SELECT count(DISTINCT src) FROM e WHERE dst = node) AS ca, (SELECT count(DISTINCT dst) FROM e WHERE src = node) AS ce FROM nodes)""",
-    "graph_reach": NATIONS + """SELECT node, vfi, vfo, floor(vfi / (SELECT count(*) FROM nodes) * 10000 + 0.5) / 10000 AS in_share,
+    "graph_reach": SUPPLIERS + """SELECT node, vfi, vfo, floor(vfi / (SELECT count(*) FROM nodes) * 10000 + 0.5) / 10000 AS in_share,
 floor(vfo / (SELECT count(*) FROM nodes) * 10000 + 0.5) / 10000 AS out_share FROM (
 SELECT node, (SELECT count(*) FROM reach WHERE dst = node AND src <> node) AS vfi, (SELECT count(*) FROM reach WHERE src = node AND dst <> node) AS vfo FROM nodes)""",
-    "graph_heights": NATIONS + """, dag AS (SELECT DISTINCT x.component AS a, y.component AS b FROM e JOIN comp x ON x.node = src JOIN comp y ON y.node = dst WHERE x.component <> y.component),
+    "graph_heights": SUPPLIERS + """, dag AS (SELECT DISTINCT x.component AS a, y.component AS b FROM e JOIN comp x ON x.node = src JOIN comp y ON y.node = dst WHERE x.component <> y.component),
 h AS (SELECT component, CAST(0 AS BIGINT) AS height FROM comp UNION SELECT dag.a, h.height + 1 FROM h JOIN dag ON dag.b = h.component)
 SELECT node, max(height) AS height FROM comp JOIN h USING (component) GROUP BY node""",
-    "graph_system": NATIONS + """SELECT n, floor(((SELECT count(*) FROM reach WHERE src <> dst) + n) / (n * n) * 10000 + 0.5) / 10000 AS propagation_cost,
+    "graph_system": SUPPLIERS + """SELECT n, floor(((SELECT count(*) FROM reach WHERE src <> dst) + n) / (n * n) * 10000 + 0.5) / 10000 AS propagation_cost,
 (SELECT component FROM comp GROUP BY component HAVING count(*) > 1 ORDER BY count(*) DESC, component LIMIT 1) AS core,
 coalesce((SELECT count(*) FROM comp GROUP BY component HAVING count(*) > 1 ORDER BY count(*) DESC, component LIMIT 1), 0) AS core_size,
 floor(coalesce((SELECT count(*) FROM comp GROUP BY component HAVING count(*) > 1 ORDER BY count(*) DESC, component LIMIT 1), 0) / n * 10000 + 0.5) / 10000 AS core_share
 FROM (SELECT count(*) AS n FROM nodes)""",
-    "graph_reaches": NATIONS + "SELECT DISTINCT src AS node FROM reach WHERE src % 3 = 0 AND dst % 5 = 1",
+    "graph_reaches": SUPPLIERS + "SELECT DISTINCT src AS node FROM reach JOIN supplier ON dst = s_suppkey WHERE s_acctbal < 0",
     "module_cycle": with_sql("module_edges") + """, nodes AS (SELECT src AS node FROM module_edges UNION SELECT dst FROM module_edges),
 reach AS (SELECT src, dst FROM module_edges UNION SELECT reach.src, e.dst FROM reach JOIN module_edges e ON reach.dst = e.src),
 comp AS (SELECT node, least(node, (SELECT min(a.dst) FROM reach a JOIN reach b ON a.dst = b.src AND b.dst = node WHERE a.src = node)) AS component FROM nodes)

@@ -90,19 +90,10 @@ def duplicate_ids(spark, folder):
 
 
 def interface_satisfaction(spark, folder):
-    """Which suppliers provide every part type that some orders of a priority need together."""
+    """Which suppliers sell every part of an order, by themselves."""
     lines = read_table(spark, folder, "lineitem")
-    part = read_table(spark, folder, "part")
-    need = read_table(spark, folder, "orders").where("o_orderkey < 40").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey")).select("o_orderkey", "p_brand")
-    have = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_brand").distinct()
-    return joins.provides_all(need, have, "o_orderkey", "l_suppkey", "p_brand")
-
-
-def all_interface_satisfaction(spark, folder):
-    """interface_satisfaction over all orders."""
-    sold = read_table(spark, folder, "lineitem").join(read_table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    need = sold.join(read_table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "p_brand")
-    return joins.provides_all(need, sold.select("l_suppkey", "p_brand"), "o_orderkey", "l_suppkey", "p_brand")
+    need = lines.join(read_table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "l_partkey")
+    return joins.provides_all(need, lines.select("l_suppkey", "l_partkey"), "o_orderkey", "l_suppkey", "l_partkey")
 
 
 def test_credit(spark, folder):
@@ -123,7 +114,7 @@ def siblings(spark, folder):
     return f.select("id", F.lag("id").over(w).alias("prev"), F.lead("id").over(w).alias("next"), F.when(F.col("owner").isNotNull(), F.col("line") - F.lag("end_line").over(o)).alias("gap"))
 
 
-NAMED = (function_metrics, fan_in_out, feature_envy, receiver_affinity, cohesion_lcom4, unit_rollup, split_share, module_stats, homonyms, users_index, resolve_edges, dedup_edges, duplicate_ids, interface_satisfaction, all_interface_satisfaction, test_credit, siblings)
+NAMED = (function_metrics, fan_in_out, feature_envy, receiver_affinity, cohesion_lcom4, unit_rollup, split_share, module_stats, homonyms, users_index, resolve_edges, dedup_edges, duplicate_ids, interface_satisfaction, test_credit, siblings)
 QUERIES |= {f.__name__: f for f in NAMED}
 
 USED = ", u AS (SELECT DISTINCT src, dst FROM uses WHERE resolution <> 'heuristic' AND src <> dst)\n"
@@ -172,10 +163,9 @@ coalesce(f.id, mo.path, b1.id, n1.id) IS NULL AND (e."to" IN (SELECT name FROM n
 FROM e LEFT JOIN functions f ON f.id = e."to" LEFT JOIN modules mo ON mo.path = e."to" LEFT JOIN b1 ON b1.k = e."to" LEFT JOIN n1 ON n1.k = e."to" """,
     "dedup_edges": """SELECT l_partkey, l_suppkey, substr(CAST(arg_min(l_shipdate, {'a': l_orderkey * 8 + l_linenumber, 'b': l_shipdate}) AS VARCHAR), 1, 10) AS site FROM lineitem GROUP BY ALL""",
     "duplicate_ids": """SELECT p_name, count(*) AS places, array_to_string(list_sort(list(p_brand))[1:3], ',') AS examples FROM (SELECT DISTINCT p_name, p_brand FROM part) GROUP BY p_name HAVING count(*) > 1""",
-    "interface_satisfaction": """WITH need AS (SELECT DISTINCT o_orderkey, p_brand FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE o_orderkey < 40),
-have AS (SELECT DISTINCT l_suppkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey),
-n AS (SELECT o_orderkey, count(*) AS n FROM need GROUP BY 1)
-SELECT o_orderkey, l_suppkey FROM need JOIN have USING (p_brand) JOIN n USING (o_orderkey) GROUP BY o_orderkey, l_suppkey, n.n HAVING count(*) = n.n""",
+    "interface_satisfaction": """WITH need AS (SELECT DISTINCT o_orderkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+have AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), n AS (SELECT o_orderkey, count(*) AS n FROM need GROUP BY 1)
+SELECT o_orderkey, l_suppkey FROM need JOIN have USING (l_partkey) JOIN n USING (o_orderkey) GROUP BY o_orderkey, l_suppkey, n.n HAVING count(*) = n.n""",
     "test_credit": with_sql("functions") + """, t AS (SELECT 'test_' || name || CASE WHEN pid % 4 = 1 THEN '_empty_case' ELSE '' END AS test, file, name || CASE WHEN pid % 4 = 1 THEN '_empty_case' ELSE '' END AS rest FROM functions WHERE NOT test AND pid % 4 < 2)
 SELECT t.test, f.id AS symbol, t.rest = f.name AS exact FROM t JOIN functions f ON f.file = t.file AND NOT f.test AND (t.rest = f.name OR starts_with(t.rest, f.name || '_'))
 QUALIFY row_number() OVER (PARTITION BY t.test, t.file ORDER BY length(f.name) DESC, f.id DESC) = 1""",

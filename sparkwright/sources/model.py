@@ -70,15 +70,19 @@ def relations(fragments: DataFrame) -> dict[str, DataFrame]:
 
 
 def read_decision_log(spark: SparkSession, path: str) -> DataFrame:
-    """Records of an append-only log of JSON lines, each once by id, whose id is the SHA-256 of its body; others are dropped.
+    """Records of append-only logs of JSON lines, each once by id, which is the SHA-256 of its body.
 
-    A torn last line is skipped; any other line that isn't JSON fails the read.
+    A last line that was cut short is skipped. Any other line that is no record, or whose id doesn't match its body, fails the
+    read with its file and text, so that no decision is passed over in silence; blank lines are none.
     """
-    lines = spark.read.text(path).where("trim(value) <> ''")
-    parsed = lines.select("value", F.from_json("value", "id string, body string, kind string, fingerprint string, time string").alias("r"))
-    torn = ~F.rtrim("value").endswith("}")
-    checked = parsed.where(~torn).withColumn("_ok", F.when(F.col("r.id").isNull(), F.raise_error(F.concat(F.lit("not a record: "), "value"))).otherwise(F.lit(True)))
-    return checked.where("_ok").select("r.*").where(F.sha2("body", 256) == F.col("id")).dropDuplicates(["id"])
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), at.alias("at")).where("trim(value) <> ''")
+    ends = lines.groupBy("file").agg(F.max("at").alias("last"))
+    parsed = lines.join(ends, "file").withColumn("r", F.from_json("value", "id string, body string, kind string, fingerprint string, time string"))
+    torn = (F.col("at") == F.col("last")) & F.col("r.id").isNull() & ~F.rtrim("value").endswith("}")
+    sound = F.col("r.id").isNotNull() & F.coalesce(F.sha2("r.body", 256) == F.col("r.id"), F.lit(False))
+    checked = parsed.withColumn("ok", F.when(torn, False).when(sound, True).otherwise(F.raise_error(F.concat(F.lit("not a record of "), "file", F.lit(": "), "value"))))
+    return checked.where("ok").select("r.*").dropDuplicates(["id"])
 
 
 SARIF = (

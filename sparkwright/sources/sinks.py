@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +24,12 @@ def sarif_results(findings: DataFrame) -> DataFrame:
 
 
 def write_sarif(findings: DataFrame, path: str, tool: str) -> None:
-    """A SARIF 2.1.0 log: the results stay distributed as one text file a task between a head and a tail line each."""
+    """A SARIF 2.1.0 log as one run: the results stay distributed as text files of a log each, which readers take together.
+
+    Without any finding there is one log whose run has no results, as a run that found nothing is one too.
+    """
     rows = sarif_results(findings).repartitionByRange("file", "line").sortWithinPartitions("file", "line", "rule")
-    head = '{"version":"2.1.0","runs":[{"tool":{"driver":{"name":"' + tool + '"}},"results":['
+    head = '{"version":"2.1.0","runs":[{"tool":{"driver":{"name":' + json.dumps(tool) + '}},"results":['
 
     def wrap(batches):
         import pyarrow as pa
@@ -38,7 +43,10 @@ def write_sarif(findings: DataFrame, path: str, tool: str) -> None:
         if not first:
             yield pa.RecordBatch.from_arrays([pa.array(["]}]}"])], names=["value"])
 
-    rows.select("result").mapInArrow(wrap, "value string").write.text(path)
+    if rows.isEmpty():
+        findings.sparkSession.createDataFrame([(head + "]}]}",)], "value string").coalesce(1).write.text(path)
+    else:
+        rows.select("result").mapInArrow(wrap, "value string").write.text(path)
 
 
 def training_rows(rows: DataFrame, key: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +86,50 @@ def test_components_on_random_graphs(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {x: root(x) for x in parent}
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def slow_misplaced(keys):
+    length = []
+    for i, k in enumerate(keys):
+        length.append(max((length[j] + 1 for j in range(i) if keys[j] <= k), default=0))
+    stays, at = set(), length.index(max(length)) if keys else None
+    while at is not None:
+        stays.add(at)
+        at = next((j for j in range(at) if length[j] == length[at] - 1 and keys[j] <= keys[at]), None)
+    return [i for i in range(len(keys)) if i not in stays]
+
+
+def slow_users_first(uses):
+    n = len(uses)
+    reach = [{k for k in row if 0 <= k < n} for row in uses]
+    direct = [set(r) for r in reach]
+    for k in range(n):
+        for r in reach:
+            if k in r:
+                r |= reach[k]
+    unit = [min({i} | {j for j in reach[i] if i in reach[j]}) for i in range(n)]
+    ranks, place, left = [0] * n, 0, set(unit)
+    while left:
+        u = min(u for u in left if not any(unit[j] == u and unit[i] != u and unit[i] in left for i in range(n) for j in direct[i]))
+        left.remove(u)
+        for i in range(n):
+            if unit[i] == u:
+                ranks[i], place = place, place + 1
+    return ranks
+
+
+def test_order_functions_equal_slow_ones_and_are_fast():
+    rnd = random.Random(1)
+    for _ in range(400):
+        n = rnd.randint(0, 12)
+        keys = [rnd.randint(0, 6) for _ in range(n)]
+        assert lists.misplaced_places(keys) == slow_misplaced(keys)
+        assert lists.next_smaller(keys) == [next((j for j in range(i + 1, n) if keys[j] < keys[i]), -1) for i in range(n)]
+        uses = [[rnd.randint(-1, n) for _ in range(rnd.choice([0, 0, 1, 1, 2]))] for _ in range(n)]
+        assert lists.users_first_ranks(uses) == slow_users_first(uses)
+    n = 100_000
+    many = [rnd.randrange(n) for _ in range(n)]
+    for run in (lambda: lists.misplaced_places(many), lambda: lists.next_smaller(many), lambda: lists.users_first_ranks([[(i * 7 + 1) % n] if i % 3 else [i + 1] for i in range(n)]), lambda: lists.misplaced_places(list(range(n)))):
+        began = time.perf_counter()
+        run()
+        assert time.perf_counter() - began < 2

@@ -1,8 +1,10 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from sparkwright.operators import findings, graphs, joins, metrics
+from sparkwright.operators import edits, findings, graphs, joins, metrics, relations
 from sparkwright.sources import model
 from sparkwright.sources.scratch import materialize
 
@@ -71,7 +73,7 @@ def test_asof_over_stretches(spark):
 
 def test_overlapping_edits(spark):
     rows = [("f", 0, 10, 1, 1), ("f", 5, 6, 0, 9), ("f", 10, 12, 2, 1), ("f", 11, 13, 2, 2), ("g", 0, 1, 5, 5)]
-    got = findings.resolve_overlaps(spark.createDataFrame(rows, "file string, start long, end long, priority long, ordinal long"))
+    got = edits.together(spark.createDataFrame(rows, "file string, start long, end long, priority long, ordinal long"))
     assert sorted((r.file, r.start, r.end) for r in got.collect()) == [("f", 5, 6), ("f", 10, 12), ("g", 0, 1)]
 
 
@@ -110,14 +112,20 @@ def test_fragments_logs_reports_and_labels(spark, tmp_path):
 
     body = '{"judgment":"fail"}'
     good = json.dumps({"id": hashlib.sha256(body.encode()).hexdigest(), "body": body, "kind": "judgment"})
-    (tmp_path / "log.jsonl").write_text(good + "\n" + good + "\n" + json.dumps({"id": "0", "body": "x"}) + '\n{"id": "torn')
+    (tmp_path / "log.jsonl").write_text(good + "\n\n" + good + '\n{"id": "torn')
     assert model.read_decision_log(spark, str(tmp_path / "log.jsonl")).count() == 1
+    for name, text in (("id", json.dumps({"id": "0", "body": "x"}) + "\n" + good), ("garbage", "garbage line\n" + good), ("middle", good + '\n{"id": "torn\n' + good)):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(Exception, match="not a record"):
+            model.read_decision_log(spark, str(tmp_path / name)).collect()
 
     (tmp_path / "l.tsv").write_text("# reviewed\nfingerprint\trepo\tlocation\tverdict\treason\nab\tr\tx:1\tTP\tyes\n-\tr\tx:2\tFP\tno\ncd\tr\tx:3\tFP\tno\nef\tr\tx:4\t?\t\n")
     assert [(r.fingerprint, r.fails) for r in model.read_labels(spark, str(tmp_path / "l.tsv")).orderBy("fingerprint").collect()] == [("ab", True), ("cd", False)]
 
 
 def test_sarif_round_trip(spark, tmp_path):
+    import json
+
     from sparkwright.sources import sinks
 
     rows = [("r1", "error", "a.go", 3, "bad", "f1", False), ("r2", "info", "b.go", 1, 'say "x"', "f2", True)]
@@ -125,5 +133,30 @@ def test_sarif_round_trip(spark, tmp_path):
     sinks.write_sarif(found, str(tmp_path / "out"), "tool")
     back = model.read_sarif(spark, str(tmp_path / "out" / "*.txt"))
     assert sorted((r.rule, r.severity, r.file, r.line, r.message, r.suppressed) for r in back.collect()) == sorted((a, b, c, d, e, g) for a, b, c, d, e, _, g in rows)
+    sinks.write_sarif(found.limit(0), str(tmp_path / "none"), 'a "tool"')
+    (log,) = (tmp_path / "none").glob("*.txt")
+    assert json.loads(log.read_text())["runs"] == [{"tool": {"driver": {"name": 'a "tool"'}}, "results": []}]
     shas = sinks.training_rows(found, "fingerprint").collect()
     assert [r.key for r in shas] == ["f1", "f2"] and all(len(r.sha256) == 64 for r in shas)
+
+
+def test_ranges_nest_cross_and_stay_open(spark):
+    """Every enable ends all open ranges of its rule; without a reason nothing opens; one that ends nothing says so."""
+    kind = "claim long, file string, rule string, form string, line long, reason string, first_code long, symbol string"
+    rows = [
+        (1, "f", "a", "disable", 2, "r", 5, None), (2, "f", "a", "disable", 10, "r", 5, None), (3, "f", "b", "disable", 12, "r", 5, None), (4, "f", "a", "enable", 20, None, 5, None),
+        (5, "f", "a", "enable", 21, None, 5, None), (6, "f", "a", "disable", 30, " ", 5, None), (7, "f", "a", "enable", 31, None, 5, None), (8, "f", "a", "disable", 40, "r", 5, None), (9, "g", "a", "next-line", 3, "r", 1, "s"),
+    ]
+    directives = findings.close_ranges(spark.createDataFrame(rows, kind))
+    got = {r.claim: (r.kind, r.line, r.end, r.closes) for r in directives.collect()}
+    assert got == {1: ("range", 1, 20, None), 2: ("range", 10, 20, None), 3: ("range", 12, None, None), 4: ("enable", 20, None, 2), 5: ("enable", 21, None, 0), 6: ("range", 30, None, None), 7: ("enable", 31, None, 0), 8: ("range", 40, None, None), 9: ("next-line", 3, None, None)}
+    found = spark.createDataFrame([(1, "f", "a", 1, ""), (2, "f", "a", 19, ""), (3, "f", "a", 20, ""), (4, "f", "b", 99, ""), (5, "f", "a", 30, ""), (6, "f", "a", 50, ""), (7, "g", "a", 90, "s"), (8, "g", "a", 90, "t"), (9, "g", "a", 4, "t")], "id long, file string, rule string, line long, symbol string")
+    assert {r.id: r.claim for r in findings.suppress(found, directives).collect()} == {1: 1, 2: 1, 3: None, 4: 3, 5: None, 6: 8, 7: 9, 8: None, 9: 9}
+
+
+def test_prefixes_empty_null_and_repeated(spark):
+    prints = spark.createDataFrame([("abc1",), ("abd2",), ("x",), ("x",)], "fingerprint string")
+    asked = spark.createDataFrame([("ab",), ("abc",), ("abc",), (None,), ("zz",), ("x",), ("toolong",)], "prefix string")
+    got = sorted(((r.prefix or "", r.n, r.fingerprint) for r in relations.by_prefix(prints, asked).collect()), key=str)
+    assert got == sorted([("", 0, None), ("ab", 2, None), ("abc", 1, "abc1"), ("abc", 1, "abc1"), ("toolong", 0, None), ("x", 1, "x"), ("zz", 0, None)], key=str)
+    assert relations.by_prefix(prints, asked.limit(0)).count() == 0

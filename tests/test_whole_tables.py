@@ -82,23 +82,21 @@ def test_conflicts_of_all_orders(spark, lines):
     sets = {frozenset(s) for s in of.values()}
     text = lambda found: sorted(",".join(map(str, sorted(s))) for s in found)
     least = lambda found: [s for s in found if not any(x < s for x in found)]
-    assert items(spark, "all_minimal_conflicts") == text(least(sets))
+    assert items(spark, "minimal_conflicts") == text(least(sets))
     tried = [frozenset(s) for s in chain.from_iterable(combinations(range(9), k) for k in range(1, 10))]
-    assert items(spark, "all_hitting_sets") == text(least([h for h in tried if all(h & s for s in sets)]))
+    assert items(spark, "hitting_sets") == text(least([h for h in tried if all(h & s for s in sets)]))
 
 
 def test_interfaces_of_all_orders(spark, lines):
-    brand = {r.p_partkey: r.p_brand for r in read_table(spark, FOLDER, "part").collect()}
     orders = {r.o_orderkey for r in read_table(spark, FOLDER, "orders").select("o_orderkey").collect()}
     need, have = defaultdict(set), defaultdict(set)
     for x in lines:
-        if x.l_partkey in brand:
-            have[x.l_suppkey].add(brand[x.l_partkey])
-            if x.l_orderkey in orders:
-                need[x.l_orderkey].add(brand[x.l_partkey])
+        have[x.l_suppkey].add(x.l_partkey)
+        if x.l_orderkey in orders:
+            need[x.l_orderkey].add(x.l_partkey)
     want = sorted((o, s) for o, n in need.items() for s, h in have.items() if n <= h)
-    got = catalog.queries()["all_interface_satisfaction"](spark, FOLDER).collect()
-    assert sorted((r.o_orderkey, r.l_suppkey) for r in got) == want and max(o for o, _ in want) >= 40
+    got = catalog.queries()["interface_satisfaction"](spark, FOLDER).collect()
+    assert sorted((r.o_orderkey, r.l_suppkey) for r in got) == want and 0 < len(want) < len(need) * len(have) * 0.9
 
 
 def test_holders_of_all_lines(spark, lines, functions):
@@ -110,5 +108,5 @@ def test_holders_of_all_lines(spark, lines, functions):
         grown = len(reach)
         reach |= {(a, d) for a, b in reach for c, d in holds if b == c}
     want = sorted((b, sum(x == b and a != b for a, x in holds), (b, b) in reach) for b in {b for _, b in holds})
-    got = catalog.queries()["all_holding_types"](spark, FOLDER).collect()
+    got = catalog.queries()["holding_types"](spark, FOLDER).collect()
     assert sorted((r.held, r.holders, r.cyclic) for r in got) == want
