@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwright.llm.text import spaced_words, utf8
-from sparkwright.sources.scratch import discard, materialize
+from sparkwright.sources.scratch import discard, materialize, sweep
 
 #: Tokens of a chunk, and distinct keys of a range.
 CHUNK, RANGE = 1_000_000, 500_000
@@ -399,7 +399,11 @@ def _walked(total: int, types: int):
 
 def _in_slices(make) -> DataFrame:
     """The union of ``make(condition)`` over the parts of a column's values, each written before the next is shuffled."""
-    return functools.reduce(DataFrame.union, (materialize(make(lambda column, i=i: F.pmod(F.hash(column), F.lit(SLICES)) == i)) for i in range(SLICES)))
+    parts = []
+    for i in range(SLICES):
+        parts.append(materialize(make(lambda column, i=i: F.pmod(F.hash(column), F.lit(SLICES)) == i)))
+        sweep(parts[-1].sparkSession)
+    return functools.reduce(DataFrame.union, parts)
 
 
 def _exchanged(asks: DataFrame, answer) -> DataFrame:
@@ -429,6 +433,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total, tokens = chunks.agg(F.sum("trained"), F.sum("tokens")).first()
     total, ranges = total or 0, ranges or 1 + (tokens or 0) // RANGE
     counts = materialize(chunks.mapInArrow(_ask_counts(ranges), ROWS).groupBy("kind", "range").applyInArrow(_counted, ROWS))
+    sweep(docs.sparkSession)
     types = counts.agg(F.sum("words")).first()[0] or 0
     asked = _visited(chunks, counts, _ask_triples(ranges, total, types), ROWS)
     counted = _exchanged(asked.where("what = 'ask'"), _counted_triples(ranges))
