@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -45,6 +46,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have Spark's cleaner drop, on all executors, the shuffles and broadcasts of plans that nothing refers to any more.
+
+    The cleaner acts when the driver's JVM collects its garbage, which a driver that only plans may not do for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete the tables that ``materialize`` wrote and ``df`` reads, once nothing needs them; other files are left alone."""
     context = df.sparkSession.sparkContext
