@@ -44,3 +44,24 @@ def test_run_packs_what_the_stages_keep(spark):
     assert 0 < len(rows) < 200
     got = corpus_pipeline.run(spark, FOLDER).collect()
     check_pieces(got, list(zip([i for i, _ in rows], expected_ids([t for _, t in rows]), strict=True)))
+
+
+def test_odd_and_empty_tables(spark, tmp_path):
+    """Null and empty texts, null and repeated ids, very long texts and digits, and each of the three tables empty."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rows = [(None, "no id at all, but words enough to stand", "en", "s", 1), (5000, None, None, None, None), (5001, "", "en", "s", 0), (5002, "host " + "0" * 5000 + "7.1.1.1 end", "en", "s", 9)]
+    rows += [(5003, "one text of a repeated id", "en", "s", 1), (5003, "and quite another one, mail a@b.cd", "fr", "s", 1), (5004, "long words " * 20_000, "en", "s", 1), (5005, "9" * 200_000, "en", "s", 1)]
+    odd = docs.limit(60).union(spark.createDataFrame(rows, docs.schema))
+    tables = {"documents": odd, "labels": spark.read.parquet(f"{FOLDER}/labels.parquet"), "benchmark": spark.read.parquet(f"{FOLDER}/benchmark.parquet")}
+    for empty in (None, *tables):
+        at = str(tmp_path / (empty or "none"))
+        for name, table in tables.items():
+            (table.limit(0) if name == empty else table).write.parquet(f"{at}/{name}.parquet")
+        got = corpus_pipeline.run(spark, at).collect()
+        if empty == "documents":
+            assert got == []
+            continue
+        ids = [r.doc_id for r in got]
+        assert None in ids and {5002, 5003, 5004, 5005} <= set(ids) and len({r.doc_tokens for r in got if r.doc_id == 5003}) == 2
+        assert sum(r.length for r in got if r.doc_id == 5004) == next(r.doc_tokens for r in got if r.doc_id == 5004)
+        assert len({5000, 5001} & set(ids)) == 1  # texts without words are near-duplicates of each other
