@@ -49,8 +49,10 @@ def materialize(df: DataFrame) -> DataFrame:
 def sweep(spark: SparkSession) -> None:
     """Have Spark's cleaner drop, on all executors, the shuffles and broadcasts of plans that nothing refers to any more.
 
-    The cleaner acts when the driver's JVM collects its garbage, which a driver that only plans may not do for long.
+    The cleaner acts when the driver's JVM collects its garbage, which a driver that only plans may not do for long. The last
+    query's plan is referred to until another one has run, so a small one does.
     """
+    spark.range(1).count()
     gc.collect()
     spark.sparkContext._jvm.java.lang.System.gc()
 
