@@ -45,6 +45,51 @@ def test_strong_components_on_random_graphs(spark):
         assert {r.node: r.component for r in got.collect()} == want
 
 
+def test_reach_by_components_writes_no_pairs_of_nodes(spark, monkeypatch):
+    """Random graphs against plain reach, with loops, texts and blocks of three; a cycle of 40 nodes never is 1600 checkpointed rows."""
+    rnd = random.Random(11)
+    written, plain = [], graphs.checkpoint
+
+    def counted(df):
+        saved = plain(df)
+        written.append(saved.count())
+        return saved
+
+    monkeypatch.setattr(graphs, "checkpoint", counted)
+    monkeypatch.setattr(graphs, "BLOCK", 3)
+    ring = [(i, (i + 1) % 40) for i in range(40)] + [(40, 0), (3, 41), (41, 41)]
+    for edges in (ring, [(rnd.randrange(12), rnd.randrange(12)) for _ in range(14)]):
+        nodes = sorted({x for e in edges for x in e})
+        reach = {i: {b for a, b in edges if a == i} for i in nodes}
+        for _ in nodes:
+            reach = {i: r | {x for j in r for x in reach[j]} for i, r in reach.items()}
+        e = spark.createDataFrame([(f"n{a:02}", f"n{b:02}") for a, b in edges], "src string, dst string")
+        name = lambda i: f"n{i:02}"
+        pairs = [(r.src, r.dst) for r in graphs.closure(e).collect()]
+        assert sorted(pairs) == sorted((name(i), name(j)) for i in nodes for j in reach[i])
+        if edges is ring:
+            seeds = spark.createDataFrame([("n00",), ("n03",)], "node string")
+            assert sorted((r.src, r.dst) for r in graphs.closure(e, seeds).collect()) == sorted((name(i), name(j)) for i in (0, 3) for j in reach[i])
+            continue
+        found = graphs.condensed(e)
+        counts = {r.node: (r.vfi, r.vfo) for r in graphs.condensed_counts(found, graphs.nodes_of(e)).collect()}
+        assert counts == {name(i): (sum(i in reach[j] for j in nodes if j != i), len(reach[i] - {i})) for i in nodes}
+        assert graphs.condensed_system(found).collect() == graphs.system(graphs.closure(e), graphs.strong_components(e)).collect()
+    assert max(written) < 100
+
+
+def test_load_needs_equal_plain_reach(spark):
+    from sparkwright.operators.placement import load_needs
+
+    rnd = random.Random(7)
+    edges = {(rnd.randrange(14), rnd.randrange(14)) for _ in range(18)}
+    reach = {i: {b for a, b in edges if a == i} for i in range(14)}
+    for _ in range(14):
+        reach = {i: r | {x for j in r for x in reach[j]} for i, r in reach.items()}
+    got = load_needs(spark.createDataFrame(sorted(edges), "src long, dst long"), F.col("src") % 3 == 0)
+    assert {r.src: r.needs for r in got.collect()} == {i: len(reach[i] - {i}) for i in range(0, 14, 3) if reach[i] - {i}}
+
+
 def test_split_share_is_the_greatest_set(spark):
     f = spark.createDataFrame([("m", "f", "method"), ("h1", "f", "function"), ("h2", "f", "function"), ("x", "f", "function"), ("o", "g", "function"), ("c1", "f", "function"), ("c2", "f", "function")], "id string, file string, kind string")
     uses = spark.createDataFrame([("m", "h1", "semantic"), ("h1", "h2", "semantic"), ("o", "x", "semantic"), ("c1", "c2", "semantic"), ("c2", "c1", "semantic")], "src string, dst string, resolution string")
