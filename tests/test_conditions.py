@@ -110,3 +110,14 @@ def test_negation_and_sql(spark):
     given = condition((("x", ">", 2), ("s", "not starts", "a")), (("y", "in", (1, 2)), Atom("x", "=", 1, 1, "calls"), Atom("s", "contains", "b'", 1, "calls")))
     table = spark.sql("SELECT 1 AS x, 2 AS y, 'zz' AS s, array(named_struct('x', 1, 's', 'ab''c')) AS calls UNION ALL SELECT 3, 0, 'ab', array() UNION ALL SELECT 3, 0, 'zz', array()")
     assert [r.x * 10 + r.y for r in table.where(conditions.sql(given)).orderBy("x").collect()] == [12, 30]
+
+
+def test_facts_are_not_broadcast(spark):
+    """Facts that Spark takes for small files would go through the driver."""
+    atoms = spark.createDataFrame(conditions.rows(1, ((Atom("kind", "=", "a"), Atom("size", ">", 2, 1, "calls")),)), ATOMS)
+    value = "map<string,struct<number:bigint,text:string>>"
+    facts = spark.createDataFrame([(1, "", 1, {"kind": (None, "a")}), (1, "calls", 2, {"size": (3, None)}), (2, "", 2, {"kind": (None, "a")})], f"subject long, relation string, element long, fields {value}")
+    found = conditions.holding(atoms, facts)
+    assert [tuple(r) for r in found.collect()] == [(1, 1)]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
