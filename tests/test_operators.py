@@ -205,3 +205,17 @@ def test_prefixes_empty_null_and_repeated(spark):
     got = sorted(((r.prefix or "", r.n, r.fingerprint) for r in relations.by_prefix(prints, asked).collect()), key=str)
     assert got == sorted([("", 0, None), ("ab", 2, None), ("abc", 1, "abc1"), ("abc", 1, "abc1"), ("toolong", 0, None), ("x", 1, "x"), ("zz", 0, None)], key=str)
     assert relations.by_prefix(prints, asked.limit(0)).count() == 0
+
+
+def test_cohesion_joins_only_what_several_methods_use(spark, monkeypatch):
+    joined, plain = [], metrics.connected_components
+
+    def seen(edges):
+        joined.append(edges.count())
+        return plain(edges)
+
+    monkeypatch.setattr(metrics, "connected_components", seen)
+    f = spark.createDataFrame([("a", "T"), ("b", "T"), ("c", "T"), ("d", "T"), ("x", None), ("y", None), ("z", None)], "id string, owner string")
+    uses = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("c", "z"), ("a", "d")], "src string, dst string").withColumn("resolution", F.lit("semantic"))
+    assert [tuple(r) for r in metrics.cohesion(f, uses).collect()] == [("T", 4, 2)]
+    assert joined == [2]
