@@ -219,3 +219,15 @@ def test_cohesion_joins_only_what_several_methods_use(spark, monkeypatch):
     uses = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("c", "z"), ("a", "d")], "src string, dst string").withColumn("resolution", F.lit("semantic"))
     assert [tuple(r) for r in metrics.cohesion(f, uses).collect()] == [("T", 4, 2)]
     assert joined == [2]
+
+
+def test_nearest_in_blocks_with_ties_and_nulls(spark, monkeypatch):
+    from sparkwright.operators import search
+
+    monkeypatch.setattr(search, "VECTORS", 4)
+    rows = [(i, [float(i % 3), 1.0]) for i in range(20)] + [(20, None), (21, [1.0])]
+    v = spark.createDataFrame(rows, "k long, v array<float>")
+    got = search.nearest(v, v.where("k in (0, 21)"), "k", "v", 3).collect()
+    assert sorted((r.query, r["rank"], r.neighbour, r.cosine) for r in got if r.query == 0) == [(0, 1, 3, 1.0), (0, 2, 6, 1.0), (0, 3, 9, 1.0)]
+    assert [(r["rank"], r.neighbour, r.cosine) for r in got if r.query == 21] == [(1, 0, None), (2, 1, None), (3, 2, None)]
+    assert "MapInPandas" in search.nearest(v, v.limit(1), "k", "v", 3)._jdf.queryExecution().toString()
