@@ -221,6 +221,14 @@ def test_cohesion_joins_only_what_several_methods_use(spark, monkeypatch):
     assert joined == [2]
 
 
+def test_division_starts_at_the_rarest_item(spark):
+    """A common item with 60 owners is never joined with the 50 needs that also have a rare one."""
+    r = spark.createDataFrame([(n, i) for n in range(50) for i in (0, 1)] + [(99, 7), (98, 0), (98, 0)], "need long, item long")
+    p = spark.createDataFrame([(o, 0) for o in range(60)] + [(3, 1), (70, 1), (3, 1)], "owner long, item long")
+    got = sorted((x.need, x.owner) for x in joins.provides_all(r, p, "need", "owner", "item").collect())
+    assert got == sorted([(n, 3) for n in range(50)] + [(98, o) for o in range(60)])
+
+
 def test_nearest_in_blocks_with_ties_and_nulls(spark, monkeypatch):
     from sparkwright.operators import search
 
