@@ -4,21 +4,32 @@ An edit (file, start, end, text, rank) replaces a range of a file's text, an emp
 place. Edits of one proposal, known by (priority, ordinal), are made together or not at all. Two ranges collide if they share
 a character, an insert and a range if it lies strictly inside; inserts never collide with each other.
 
-Proposals are taken in order of priority, then ordinal, unless they collide with one taken before. That order is followed by
-rounds: a proposal that comes before all it collides with is taken, what collides with those is dropped, the rest go on, so
-rounds grow with the longest chain of collisions in falling order and not with files or edits. The best of an edit's rivals is
-found without pairs: ranges are covered by nodes of a binary tree over positions, and two ranges meet if a node of one lies on
-or above a node of the other, so least keys by node, looked up along both ends of a range, are enough.
+Proposals are taken in order of priority, then ordinal, unless they collide with one taken before. Edits of a file fall into
+islands, runs of ranges that meet. A proposal that meets others in at most one island is judged there: a task reads an island's
+edits in order and keeps those taken. Islands that a proposal joins with other ones, and very large ones, go by rounds: a
+proposal that comes before all it collides with is taken, what collides with those is dropped, the rest go on, so rounds grow
+with the longest chain of collisions in falling order. The best of an edit's rivals is found there without pairs: ranges are
+covered by nodes of a binary tree over the island's positions, and two ranges meet if a node of one lies on or above a node of
+the other, so least keys by node, looked up along both ends of a range, are enough.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from sparkwright.sources.scratch import discard, materialize
 
 KEY = ("priority", "ordinal")
+ISLAND = ("file", "_island")
+#: Most edits of an island that one task reads in order; larger ones go by rounds.
+LARGE = 1_000_000
 
 
 def _cells(edits: DataFrame) -> DataFrame:
@@ -32,10 +43,11 @@ def _node(level: Column, index: Column) -> Column:
     return F.struct(level.cast("int").alias("level"), index.cast("long").alias("index"))
 
 
-def _nodes(bits: int) -> tuple[Column, Column]:
+def _nodes() -> tuple[Column, Column]:
     """Nodes that cover a range's cells exactly, and all nodes above its first and last cell, these included."""
     none = F.array().cast("array<struct<level:int,index:bigint>>")
-    begin = F.struct(F.col("_s").cast("long").alias("l"), F.col("_e").cast("long").alias("r"), none.alias("out"))
+    s, e = F.col("_s") - F.col("_island"), F.col("_e") - F.col("_island")
+    begin = F.struct(s.cast("long").alias("l"), e.cast("long").alias("r"), none.alias("out"))
 
     def climb(a: Column, level: Column) -> Column:
         left = (a["l"] < a["r"]) & (a["l"] % 2 == 1)
@@ -45,64 +57,143 @@ def _nodes(bits: int) -> tuple[Column, Column]:
         out = F.concat(a["out"], F.when(left, F.array(_node(level, a["l"]))).otherwise(none), F.when(right, F.array(_node(level, a["r"] - 1))).otherwise(none))
         return F.struct(F.shiftright(l, 1).alias("l"), F.shiftright(r, 1).alias("r"), out.alias("out"))
 
-    levels = F.sequence(F.lit(0), F.lit(bits))
+    levels = F.sequence(F.lit(0), F.length(F.bin("_width")))
     cover = F.aggregate(levels, begin, climb, lambda a: a["out"])
-    above = F.flatten(F.transform(levels, lambda k: F.array(_node(k, F.floor(F.col("_s") / F.pow(F.lit(2.0), k))), _node(k, F.floor((F.col("_e") - 1) / F.pow(F.lit(2.0), k))))))
+    above = F.flatten(F.transform(levels, lambda k: F.array(_node(k, F.floor(s / F.pow(F.lit(2.0), k))), _node(k, F.floor((e - 1) / F.pow(F.lit(2.0), k))))))
     return cover, F.array_distinct(above)
 
 
 def _least_rival(targets: DataFrame, sources: DataFrame) -> DataFrame:
-    """(file, priority, ordinal, rival): the least key among ``sources`` that an edit of each target proposal meets, itself
-    included where it is one."""
+    """(file, _island, priority, ordinal, rival): the least key among ``sources`` that an edit of each target proposal meets,
+    itself included where it is one."""
     key = F.struct(*KEY)
     tables = []
     for column, name in (("_cover", "own"), ("_above", "inside")):
-        found = sources.select("file", "_insert", F.explode(column).alias("node"), key.alias("key")).groupBy("file", "_insert", "node").agg(F.min("key").alias("key"))
+        found = sources.select(*ISLAND, "_insert", F.explode(column).alias("node"), key.alias("key")).groupBy(*ISLAND, "_insert", "node").agg(F.min("key").alias("key"))
         tables.append(found.withColumn("at", F.lit(name)))
-    held = tables[0].union(tables[1]).select("file", F.col("_insert").alias("_source_insert"), "node", "at", "key")
+    held = tables[0].union(tables[1]).select(*ISLAND, F.col("_insert").alias("_source_insert"), "node", "at", "key")
     wanted = F.concat(F.transform(F.array_union("_above", "_cover"), lambda n: F.struct(n.alias("node"), F.lit("own").alias("at"))), F.transform("_cover", lambda n: F.struct(n.alias("node"), F.lit("inside").alias("at"))))
-    asked = targets.select("file", "_insert", *KEY, F.explode(wanted).alias("w")).select("file", "_insert", *KEY, "w.node", "w.at")
-    met = asked.join(held, ["file", "node", "at"]).where("not (_insert and _source_insert)")
-    return met.groupBy(*KEY, "file").agg(F.min("key").alias("rival"))
+    asked = targets.select(*ISLAND, "_insert", *KEY, F.explode(wanted).alias("w")).select(*ISLAND, "_insert", *KEY, "w.node", "w.at")
+    met = asked.join(held, [*ISLAND, "node", "at"]).where("not (_insert and _source_insert)")
+    return met.groupBy(*KEY, *ISLAND).agg(F.min("key").alias("rival"))
 
 
-def together(edits: DataFrame) -> DataFrame:
-    """The edits (file, start, end, priority, ordinal, ...) of all proposals that are taken; see the module.
+def _beaten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of the proposals that meet one taken before; rows come by island, then key, and only what is taken is kept."""
+    island, key, mine = None, None, []
+    starts, ends, inserts = [], [], []
 
-    Keys are those of proposals, across files. Repeated rows are one edit. A proposal whose own edits collide is never taken.
-    """
-    columns = edits.columns
-    work = _cells(edits.dropDuplicates())
-    most = work.agg(F.max("_e")).first()[0]
-    if most is None:
-        return edits
-    cover, above = _nodes(int(most).bit_length())
-    work = work.withColumn("_cover", cover).withColumn("_above", above)
-    own = work.select("file", *KEY, "_insert", "_s", "_e")
-    order = Window.partitionBy("file", *KEY).orderBy("_s", "_e")
-    before = F.max(F.when(~F.col("_insert"), F.col("_e"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    ahead = F.lead("_s").over(order)
-    torn = own.withColumn("_hit", (F.col("_s") < before) | (~F.col("_insert") & (ahead < F.col("_e")))).where("_hit").select(*KEY).distinct()
-    left = materialize(work.join(torn, list(KEY), "left_anti"))
-    taken = None
+    def meets(s: int, e: int, insert: bool) -> bool:
+        i = bisect_left(starts, e)
+        if i and ends[i - 1] > s:
+            return True
+        i = bisect_left(inserts, s)
+        return not insert and i < len(inserts) and inserts[i] < e
+
+    def lost() -> bool:
+        if any(meets(*m) for m in mine):
+            return True
+        for s, e, insert in mine:
+            if insert:
+                inserts.insert(bisect_left(inserts, s), s)
+            else:
+                i = bisect_left(starts, s)
+                starts.insert(i, s)
+                ends.insert(i, e)
+        return False
+
+    fields = None
+    for batch in batches:
+        fields, out = [batch.schema.field(k) for k in KEY], []
+        columns = [batch.column(c).to_pylist() for c in (*ISLAND, *KEY, "_s", "_e", "_insert")]
+        for file, start, priority, ordinal, s, e, insert in zip(*columns, strict=True):
+            if key != (priority, ordinal) or island != (file, start):
+                if mine and lost():
+                    out.append(key)
+                mine = []
+                if island != (file, start):
+                    island = file, start
+                    starts, ends, inserts = [], [], []
+                key = priority, ordinal
+            mine.append((s, e, insert))
+        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in out], f.type) for i, f in enumerate(fields)], list(KEY))
+    if mine and lost():
+        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(key, fields, strict=True)], list(KEY))
+
+
+def _beaten_by_rounds(edits: DataFrame) -> DataFrame | None:
+    """Keys of the proposals that meet one taken before."""
+    cover, above = _nodes()
+    left, lost = materialize(edits.withColumn("_cover", cover).withColumn("_above", above)), None
     while not left.isEmpty():
         rivals = _least_rival(left, left)
-        beaten = rivals.where(F.col("rival") < F.struct(*KEY)).select(*KEY).distinct()
-        now = materialize(left.join(beaten, list(KEY), "left_anti"))
-        dropped = _least_rival(left, now).select(*KEY).distinct()
+        ahead = F.col("rival") < F.struct(*KEY)
+        now = materialize(left.join(rivals.where(ahead).select(*KEY).distinct(), list(KEY), "left_anti"))
+        dropped = materialize(_least_rival(left, now).where(ahead).select(*KEY).distinct())
         rest = materialize(left.join(now.select(*KEY).distinct(), list(KEY), "left_anti").join(dropped, list(KEY), "left_anti"))
         discard(left)
-        left, taken = rest, now if taken is None else taken.union(now)
-    return edits.limit(0) if taken is None else taken.select(*columns)
+        discard(now)
+        left, lost = rest, dropped if lost is None else lost.union(dropped)
+    return lost
+
+
+def together(edits: DataFrame) -> DataFrame:
+    """The edits (file, start, end, priority, ordinal, ...) of all proposals that are taken; see the module.
+
+    Keys are those of proposals, across files. Repeated rows are one edit. A proposal whose own edits collide is never taken.
+    """
+    key = F.struct(*KEY)
+    place = Window.partitionBy("file").orderBy("_s", "_e")
+    same = Window.partitionBy("file", *KEY).orderBy("_s", "_e")
+    island = Window.partitionBy(*ISLAND)
+    past = (Window.unboundedPreceding, -1)
+    # one shuffle by file serves the repeats and all windows
+    work = _cells(edits.repartition("file").dropDuplicates()).select("file", "_insert", "_s", "_e", *KEY)
+    begins = F.coalesce(F.col("_s") >= F.max("_e").over(place.rowsBetween(*past)), F.lit(True))
+    work = work.withColumn("_begins", begins).withColumn("_island", F.last(F.when(F.col("_begins"), F.col("_s")), True).over(place.rowsBetween(Window.unboundedPreceding, 0)))
+    before = F.max(F.when(~F.col("_insert"), F.col("_e"))).over(same.rowsBetween(*past))
+    torn = F.coalesce(F.col("_s") < before, F.lit(False)) | (~F.col("_insert") & F.coalesce(F.lead("_s").over(same) < F.col("_e"), F.lit(False)))
+    work = work.withColumn("_torn", torn).withColumn("_met", F.min(key).over(island) < F.max(key).over(island))
+    work = work.withColumn("_width", F.max("_e").over(island) - F.col("_island")).withColumn("_n", F.count("*").over(island)).drop("_begins")
+    met = materialize(work.where("_met or _torn"))
+    lost = materialize(met.where("_torn").select(*KEY).distinct())
+    live = met.where("_met").join(lost, list(KEY), "left_anti").drop("_torn", "_met")
+    spot = F.struct(*ISLAND)
+    wide = materialize(live.groupBy(*KEY).agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select(*KEY))
+    joined = materialize(live.join(wide, list(KEY), "left_semi").select(*ISLAND).union(live.where(F.col("_n") > LARGE).select(*ISLAND)).distinct())
+    apart = live.join(joined, list(ISLAND), "left_anti").select(*ISLAND, *KEY, "_s", "_e", "_insert").repartition("file").sortWithinPartitions(*ISLAND, *KEY)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in live.select(*KEY).schema)
+    gone = [lost, materialize(apart.mapInArrow(_beaten, kinds))]
+    if not joined.isEmpty() and (found := _beaten_by_rounds(live.join(joined, list(ISLAND), "left_semi"))) is not None:
+        gone.append(found)
+    discard(met)
+    out = gone[0]
+    for g in gone[1:]:
+        out = out.union(g)
+    return edits.repartition(*KEY).dropDuplicates().join(out, list(KEY), "left_anti").select(*edits.columns)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _sums(lengths: pd.Series) -> pd.Series:
+    """Running sums of every array."""
+    return lengths.map(lambda x: x.cumsum())
+
+
+_LINE = r"[^\n]*\n|[^\n]+$"
+
+
+def _measured(rows: DataFrame, text: str, pattern: str) -> DataFrame:
+    """The rows with ``_parts``, matches of a pattern that covers the text, and ``_ends``, where each of them ends."""
+    parts = rows.withColumn("_parts", F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    return parts.withColumn("_ends", _sums(F.transform("_parts", lambda p: F.length(p).cast("long"))))
 
 
 def lines(files: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
     """(file, line, start, end, body) of every line, from 1, in characters; the end takes in the line's own end."""
     t = files.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(file).alias("file"), F.col(text).alias("_t"))
-    parts = F.regexp_extract_all("_t", F.lit(r"[^\n]*\n|[^\n]+$"), F.lit(0))
-    t = t.select("file", F.posexplode(parts).alias("pos", "body"))
-    end = F.sum(F.length("body")).over(Window.partitionBy("file").orderBy("pos"))
-    return t.select("file", (F.col("pos") + 1).cast("long").alias("line"), (end - F.length("body")).alias("start"), end.alias("end"), "body")
+    t = _measured(t, "_t", _LINE).select("file", F.posexplode(F.arrays_zip("_parts", "_ends")).alias("pos", "x"))
+    end, body = F.col("x._ends"), F.col("x._parts")
+    return t.select("file", (F.col("pos") + 1).cast("long").alias("line"), (end - F.length(body)).alias("start"), end.alias("end"), body.alias("body"))
 
 
 EDIT = ("file", "start", "end", "text", "rank", *KEY)
@@ -156,10 +247,14 @@ def lowered(operations: DataFrame, files: DataFrame) -> DataFrame:
     changed = F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: ended(F.col("bodies")[i]["body"]) != F.col("_new")[i])
     r = r.withColumn("_changed", changed).where(F.size("_changed") > 0).withColumn("_lo", F.array_min("_changed")).withColumn("_hi", F.array_max("_changed"))
     out = out.union(edit(r, F.col("bodies")[F.col("_lo")]["start"], F.col("bodies")[F.col("_hi")]["end"], F.array_join(F.slice("_new", F.col("_lo") + 1, F.col("_hi") - F.col("_lo") + 1), "")))
-    words = l.select("file", "start", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?U)\w+|\W+"), F.lit(0))).alias("pos", "token"))
-    stop = F.col("start") + F.sum(F.length("token")).over(Window.partitionBy("file", "start").orderBy("pos"))
-    words = words.select("file", F.col("token").alias("word"), (stop - F.length("token")).alias("_a"), stop.alias("_b"))
-    return out.union(edit(operations.where("op = 'rename' and word <> text").join(words, ["file", "word"]), F.col("_a"), F.col("_b"), F.col("text")))
+    # words are looked for where the lines are; only those that are renamed leave them
+    renames = operations.where("op = 'rename' and word <> text")
+    held = l.select("file", "start", "body").join(renames.groupBy("file").agg(F.collect_set("word").alias("_words")), "file")
+    spots = F.filter(F.arrays_zip("_parts", "_ends"), lambda x: F.array_contains("_words", x["_parts"]))
+    words = _measured(held, "body", r"(?U)\w+|\W+").select("file", "start", F.explode(spots).alias("x"))
+    stop = F.col("start") + F.col("x._ends")
+    words = words.select("file", F.col("x._parts").alias("word"), (stop - F.length("x._parts")).alias("_a"), stop.alias("_b"))
+    return out.union(edit(renames.join(words, ["file", "word"]), F.col("_a"), F.col("_b"), F.col("text")))
 
 
 def applied(files: DataFrame, edits: DataFrame, file: str = "file", text: str = "text") -> DataFrame:

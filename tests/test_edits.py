@@ -111,3 +111,25 @@ def test_operations_equal_plain_loops(spark):
     assert chosen == greedy(want)
     after = {r.file: r.text for r in E.applied(table, stand).collect()}
     assert after == {f: naive_apply(t, [r for r in chosen if r[0] == f]) for f, t in files.items()} and after != files
+
+
+def test_edits_of_one_island_need_no_round(spark, monkeypatch):
+    def no_round(_):
+        raise AssertionError("a chain of collisions went by rounds")
+
+    monkeypatch.setattr(E, "_beaten_by_rounds", no_round)
+    # each collides with the next, and the last comes first
+    rows = [("a", 2 * k, 2 * k + 3, "", 0, 1, 1000 - k) for k in range(200)] + [("b", 4, 4, "", 0, 1, 1), ("b", 3, 5, "", 0, 2, 2), ("b", 4, 9, "", 0, 3, 3)]
+    got = sorted(tuple(r) for r in E.together(spark.createDataFrame(rows, EDIT)).collect())
+    assert got == greedy(rows) and len(got) == 102
+
+
+def test_large_islands_go_by_rounds(spark, monkeypatch):
+    monkeypatch.setattr(E, "LARGE", 3)
+    rows = [("a", k, k + 2, "", 0, 1, k * 7 % 11) for k in range(11)] + [("b", 5, 9, "", 0, 1, 20), ("b", 6, 7, "", 0, 1, 21)]
+    assert sorted(tuple(r) for r in E.together(spark.createDataFrame(rows, EDIT)).collect()) == greedy(rows)
+
+
+def test_lines_and_words_stay_where_their_text_is(spark):
+    files = spark.createDataFrame([("f", "a b\na\n")], "file string, text string")
+    assert "Exchange" not in E.lines(files)._jdf.queryExecution().executedPlan().toString()
