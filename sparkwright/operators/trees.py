@@ -1,8 +1,10 @@
-"""Selection in trees: documents as a table of nodes with entry and exit numbers, selectors as structural joins.
+"""Selection in trees: documents as a table of nodes with entry and exit numbers and paths, selectors as conditions on paths.
 
 A node's entry number is the place of its first token in its document's text, its exit that of its last one, so a node lies
 below another if its numbers lie between the other's, and entry numbers are the order of the source. Node rows are
-(tree, entry, exit, parent, key, index, kind, value): key within an object, index within an array, value of scalars.
+(tree, entry, exit, parent, key, index, kind, value, path): key within an object, index within an array, value of scalars,
+and entry, key and index of all nodes from the root down to this one. So a node alone tells whether steps lead to it, and
+only what filters compare has to meet the nodes that they test: one grouping by tree and tested node for each filter.
 
 A selector starts with ``$``, the root. ``.key`` or ``['key']`` is a member of an object, ``[3]`` of an array, ``['a','b',0]``
 several members in the order in which they are listed, ``.*`` all members of objects, ``[*]`` all of arrays, ``..`` a node and
@@ -14,12 +16,15 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKEN = r'"(?:[^"\\\\]|\\\\.)*"|[{}\[\]:,]|[^\s{}\[\]:,"]+'
+TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]:,]|[^\s{}\[\]:,"]+', re.S)
+_NODE = "entry int, exit int, parent int, key string, index int, kind string, value string, path array<struct<entry:int,key:string,index:int>>"
 _STEP = re.compile(
     r"""(?P<descend>\.\.(?=[\w\[?*-]))|\.?(?P<keys>\*)(?=$|[.\[?])|\.?(?P<key>[\w-]+)|(?P<indices>\[\*\])|(?P<filter>\[?\?\()|(?P<members>\[(?:\s*(?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|\d+)\s*,?)+\])"""
 )
@@ -104,87 +109,169 @@ def parse(selector: str) -> tuple[Step, ...]:
     return tuple(steps)
 
 
+def _plain(token: str) -> str | None:
+    if token[0] != '"':
+        return token
+    try:
+        return json.loads(token, strict=False).encode("utf-8", "replace").decode()
+    except ValueError:
+        return None
+
+
+def _kind(token: str) -> str:
+    first = {"{": "object", "[": "array", '"': "string"}.get(token[0])
+    return first or ("boolean" if token in ("true", "false") else "null" if token == "null" else "number")
+
+
+def _read(text: str, put: Callable[..., None]) -> None:
+    """Puts the nodes of one JSON text, containers when they close."""
+    tokens = TOKEN.findall(text)
+    open_: list[list] = []  # entry, parent, key, index, kind, path, members so far
+    key = None
+    for pos, token in enumerate(tokens):
+        if token in ("}", "]"):
+            if open_:
+                entry, parent, name, index, kind, path, _ = open_.pop()
+                put(entry, pos, parent, name, index, kind, None, path)
+        elif tokens[pos + 1 : pos + 2] == [":"]:
+            key = _plain(token)
+        elif token not in (":", ","):
+            kind, parent, name, index, path = _kind(token), None, None, None, ()
+            if open_:
+                around = open_[-1]
+                parent, path = around[0], around[5]
+                name, index = (key, None) if around[4] == "object" else (None, around[6])
+                around[6] += 1
+            path = (*path, (pos, name, index))
+            if kind in ("object", "array"):
+                open_.append([pos, parent, name, index, kind, path, 0])
+            else:
+                put(pos, pos, parent, name, index, kind, None if kind == "null" else _plain(token), path)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Node rows of batches of (tree, text), in pieces of some thousand rows."""
+    for batch in batches:
+        trees, texts = batch.column(0), batch.column(1)
+        columns: list[list] = [[] for _ in range(8)]
+        entries, keys, indexes, ends = [], [], [], [0]
+
+        def put(entry, leave, parent, key, index, kind, value, path):
+            for c, v in zip(columns, (i, entry, leave, parent, key, index, kind, value), strict=True):  # noqa: B023
+                c.append(v)
+            for e, k, x in path:
+                entries.append(e)  # noqa: B023
+                keys.append(k)  # noqa: B023
+                indexes.append(x)  # noqa: B023
+            ends.append(len(entries))  # noqa: B023
+
+        def out() -> pa.RecordBatch:
+            of, kinds = columns[0], (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string())  # noqa: B023
+            path = pa.StructArray.from_arrays([pa.array(entries, pa.int32()), pa.array(keys, pa.string()), pa.array(indexes, pa.int32())], ["entry", "key", "index"])  # noqa: B023
+            found = [trees.take(pa.array(of, pa.int64())), *(pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True))]  # noqa: B023
+            return pa.RecordBatch.from_arrays([*found, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), path)], ["tree", "entry", "exit", "parent", "key", "index", "kind", "value", "path"])  # noqa: B023
+
+        for i, text in enumerate(texts):
+            _read(text.as_py() or "", put)
+            if len(ends) > 20_000:
+                yield out()
+                columns, entries, keys, indexes, ends = [[] for _ in range(8)], [], [], [], [0]
+        yield out()
+
+
 def nodes(trees: DataFrame, tree: str, text: str) -> DataFrame:
-    """Node rows of JSON texts. A null or empty text has no node; of a text that isn't JSON the nodes are undefined.
-
-    Levels come from running sums of brackets, containers from the last bracket that opened a level before: windows of one
-    document each, and no step per level.
-    """
-    whole, level = Window.partitionBy("tree").orderBy("pos"), Window.partitionBy("tree", "level").orderBy("pos")
-    t = trees.select(F.col(tree).alias("tree"), F.posexplode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN.replace("\\\\\\\\", "\\\\")), F.lit(0))).alias("pos", "token"))
-    opens, closes = F.col("token").isin("{", "["), F.col("token").isin("}", "]")
-    after = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(whole)
-    t = t.withColumn("after", after).withColumn("next", F.lead("token").over(whole)).withColumn("before", F.lag("token").over(whole)).withColumn("before2", F.lag("token", 2).over(whole))
-    # an opening bracket is a member of the level around it and the start of the level within
-    t = t.withColumn("opens", opens).withColumn("closes", closes)
-    sides = F.when(opens, F.array(F.struct((F.col("after") - 1).alias("level"), F.lit(False).alias("starts")), F.struct(F.col("after").alias("level"), F.lit(True).alias("starts"))))
-    sides = sides.otherwise(F.array(F.struct((F.col("after") + closes.cast("int")).alias("level"), F.lit(False).alias("starts"))))
-    t = t.select("*", F.explode(sides).alias("side")).select("*", "side.level", "side.starts")
-    t = t.withColumn("parent", F.last(F.when(F.col("starts"), F.col("pos")), True).over(level)).withColumn("around", F.last(F.when(F.col("starts"), F.col("token")), True).over(level))
-    value = ~F.col("starts") & ~F.col("closes") & ~F.col("token").isin(":", ",") & ~F.coalesce(F.col("next") == ":", F.lit(False))
-    ends = t.where("closes").select("tree", F.col("parent").alias("entry"), F.col("pos").alias("exit"))
-    plain = lambda c: F.when(F.startswith(c, F.lit('"')), F.get_json_object(F.concat(F.lit("["), c, F.lit("]")), "$[0]")).otherwise(c)
-    token = F.col("token")
-    kind = F.when(token == "{", "object").when(token == "[", "array").when(F.startswith(token, F.lit('"')), "string").when(token.isin("true", "false"), "boolean").when(token == "null", "null").otherwise("number")
-    found = t.where(value).withColumn("place", F.row_number().over(Window.partitionBy("tree", "parent").orderBy("pos")) - 1)
-    found = found.select(
-        "tree", F.col("pos").alias("entry"), "parent", F.when(F.col("around") == "{", plain(F.col("before2"))).alias("key"),
-        F.when(F.col("around") == "[", F.col("place")).alias("index"), kind.alias("kind"), F.when(~F.col("opens") & (token != "null"), plain(token)).alias("value"),
-    )
-    return found.join(ends, ["tree", "entry"], "left").select("tree", "entry", F.coalesce("exit", "entry").alias("exit"), "parent", "key", "index", "kind", "value")
-
-
-def _step(current: DataFrame, table: DataFrame, step: Step) -> DataFrame:
-    """The nodes that a step leads to; ``rank`` is the order in which they were selected."""
-    below = table.select(*(F.col(c).alias(f"n_{c}") for c in table.columns))
-    carried = [c for c in current.columns if c not in table.columns and c != "rank"]
-
-    def led(met: DataFrame, place: Column) -> DataFrame:
-        return met.select(*carried, *(F.col(f"n_{c}").alias(c) for c in table.columns), F.concat("rank", F.array(place.cast("long"))).alias("rank"))
-
-    child = (F.col("tree") == F.col("n_tree")) & (F.col("entry") == F.col("n_parent"))
-    if step.axis == "descend":
-        return led(current.join(below, (F.col("tree") == F.col("n_tree")) & F.col("n_entry").between(F.col("entry"), F.col("exit"))), F.col("n_entry"))
-    if step.axis in ("keys", "indices"):
-        return led(current.where(F.col("kind") == ("object" if step.axis == "keys" else "array")).join(below, child), F.col("n_entry"))
-    met = F.array_compact(F.array(*(F.when(F.col("n_index" if isinstance(m, int) else "n_key") == m, F.lit(i)) for i, m in enumerate(step.of))))
-    return led(current.join(below, child).withColumn("n_place", F.explode(met)), F.col("n_place"))
-
-
-def _filtered(current: DataFrame, table: DataFrame, step: Step) -> DataFrame:
-    """The nodes of which a clause holds; each comparison's path is followed from the distinct nodes."""
-    clauses = []
-    tested = current.select("tree", "entry").distinct()
-    out = current
-    for i, comparison in enumerate(c for clause in step.of for c in clause):
-        start = tested.select(F.col("tree").alias("of_tree"), F.col("entry").alias("of_entry")).join(table, (F.col("of_tree") == F.col("tree")) & (F.col("of_entry") == F.col("entry")))
-        found = _follow(start.withColumn("rank", F.array().cast("array<long>")), table, comparison.path)
-        same = (F.col("kind") == comparison.kind) & (F.lit(True) if comparison.value is None else F.col("value") == comparison.value)
-        hit = found.where(same).select(F.col("of_tree").alias("tree"), F.col("of_entry").alias("entry"), F.lit(True).alias(f"hit{i}")).distinct()
-        out = out.join(hit, ["tree", "entry"], "left")
-    i = 0
-    for clause in step.of:
-        all_hold = F.lit(True)
-        for comparison in clause:
-            hit = F.coalesce(F.col(f"hit{i}"), F.lit(False))
-            all_hold, i = all_hold & (hit if comparison.equal else ~hit), i + 1
-        clauses.append(all_hold)
-    holds = clauses[0]
-    for c in clauses[1:]:
-        holds = holds | c
-    return out.where(holds).select(*current.columns)
-
-
-def _follow(current: DataFrame, table: DataFrame, steps: tuple[Step, ...]) -> DataFrame:
-    for step in steps:
-        current = _filtered(current, table, step) if step.axis == "filter" else _step(current, table, step)
-    return current
+    """Node rows of JSON texts, each text's where it is. A null or empty text has no node; of a text that isn't JSON the nodes
+    are undefined."""
+    t = trees.select(F.col(tree).alias("tree"), F.col(text).alias("text"))
+    return t.mapInArrow(_rows, f"tree {t.schema['tree'].dataType.simpleString()}, {_NODE}")
+
+
+#: Where steps from some start have come on the way to a node: the place in its path, the order of selection, and the nodes
+#: that filters test on the way.
+_STATE = "array<struct<depth:int,rank:array<bigint>,tests:array<bigint>>>"
+
+
+def _state(depth: Column, rank: Column, tests: Column) -> Column:
+    return F.struct(depth.cast("int").alias("depth"), rank.cast("array<bigint>").alias("rank"), tests.cast("array<bigint>").alias("tests"))
+
+
+def _advance(states: Column, step: Step) -> Column:
+    """The states after one more step; none where it leads elsewhere."""
+    path = F.col("path")
+
+    def one(s: Column) -> Column:
+        if step.axis == "filter":
+            return F.array(_state(s["depth"], s["rank"], F.concat(s["tests"], F.array(F.get(path, s["depth"])["entry"].cast("long")))))
+        if step.axis == "descend":
+            return F.transform(F.sequence(s["depth"], F.size(path) - 1), lambda k: _state(k, F.concat(s["rank"], F.array(F.get(path, k)["entry"].cast("long"))), s["tests"]))
+        child = F.get(path, s["depth"] + 1)
+
+        def to(place: Column) -> Column:
+            return _state(s["depth"] + 1, F.concat(s["rank"], F.array(place.cast("long"))), s["tests"])
+
+        if step.axis in ("keys", "indices"):
+            led = [F.when(child["key" if step.axis == "keys" else "index"].isNotNull(), to(child["entry"]))]
+        else:
+            led = [F.when(child["index" if isinstance(m, int) else "key"] == m, to(F.lit(i))) for i, m in enumerate(step.of)]
+        return F.array_compact(F.array(*led))
+
+    return F.flatten(F.transform(states, one)).cast(_STATE)
+
+
+def _possible(steps: tuple[Step, ...], whole: bool) -> Column:
+    """What a node's own columns say of whether steps may lead to it; ``whole`` if they start at the root."""
+    moves = [step for step in steps if step.axis != "filter"]
+    out = F.lit(True)
+    if whole and all(m.axis != "descend" for m in moves):
+        out = F.size("path") == len(moves) + 1
+    if moves and moves[-1].axis == "member":
+        keys, indexes = [m for m in moves[-1].of if isinstance(m, str)], [m for m in moves[-1].of if isinstance(m, int)]
+        out = out & (F.coalesce(F.col("key").isin(keys), F.lit(False)) | F.coalesce(F.col("index").isin(indexes), F.lit(False)))
+    return out
 
 
 def select(table: DataFrame, selector: str) -> DataFrame:
     """The nodes that a selector selects in every tree, with ``position`` from 1 in order of selection; one that is selected
-    twice comes twice. Joins are of equality on the tree, and on the parent but for ``..``."""
-    root = table.where("parent is null").withColumn("rank", F.array().cast("array<long>"))
-    found = _follow(root, table, parse(selector))
+    twice comes twice. A node takes parts: it is selected, or it is what a comparison of a filter leads to."""
+    parts: list[tuple[Column, Column]] = []
+    filters: list[tuple[int, int, tuple[tuple[tuple[int, bool], ...], ...]]] = []
+
+    def part(steps: tuple[Step, ...], whole: bool, also: Column) -> int:
+        """Number of a part; what its filters compare gets its own parts, and is judged before."""
+        tested = [tuple(tuple((part(c.path, False, _same(c)), c.equal) for c in clause) for clause in step.of) for step in steps if step.axis == "filter"]
+        none = F.array().cast("array<bigint>")
+        states = F.array(_state(F.lit(0), none, none)) if whole else F.transform(F.sequence(F.lit(0), F.size("path") - 1), lambda k: _state(k, F.array(F.get("path", k)["entry"].cast("long")), none))
+        for step in steps:
+            states = _advance(states, step)
+        parts.append((_possible(steps, whole) & also, F.filter(states, lambda s: s["depth"] == F.size("path") - 1)))
+        filters.extend((len(parts) - 1, i, clauses) for i, clauses in enumerate(tested))
+        return len(parts) - 1
+
+    main = part(parse(selector), True, F.lit(True))
+    may = parts[0][0]
+    for of, _ in parts[1:]:
+        may = may | of
+
+    def numbered(i: int, of: Column, states: Column) -> Column:
+        return F.when(of, F.transform(states, lambda s: F.struct(F.lit(i).alias("part"), s.alias("s")))).otherwise(F.array())
+
+    taken = [numbered(i, *p) for i, p in enumerate(parts)]
+    rows = table.where(may).withColumn("_p", F.explode(F.concat(*taken))).select(*(c for c in table.columns if c != "path"), F.col("_p.part").alias("_part"), "_p.s.rank", "_p.s.tests")
+    for of, i, clauses in filters:
+        compared = sorted({c for clause in clauses for c, _ in clause})
+        at = F.when(F.col("_part") == of, F.get("tests", F.lit(i))).when(F.col("_part").isin(compared), F.get("rank", F.lit(0)))
+        met = Window.partitionBy("tree", "_at")
+        rows = rows.withColumn("_at", at).withColumns({f"_hit{c}": F.coalesce(F.max(F.col("_part") == c).over(met), F.lit(False)) for c in compared})
+        holds = F.lit(False)
+        for clause in clauses:
+            every = F.lit(True)
+            for c, equal in clause:
+                every = every & (F.col(f"_hit{c}") if equal else ~F.col(f"_hit{c}"))
+            holds = holds | every
+        rows = rows.where((F.col("_part") != of) | holds).where(~F.col("_part").isin(compared)).drop("_at", *(f"_hit{c}" for c in compared))
     position = F.row_number().over(Window.partitionBy("tree").orderBy("rank"))
-    return found.withColumn("position", position.cast("long")).drop("rank")
+    return rows.where(F.col("_part") == main).withColumn("position", position.cast("long")).drop("rank", "tests", "_part")
+
+
+def _same(comparison: Comparison) -> Column:
+    return (F.col("kind") == comparison.kind) & (F.lit(True) if comparison.value is None else F.coalesce(F.col("value") == comparison.value, F.lit(False)))

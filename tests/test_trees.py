@@ -75,6 +75,14 @@ def test_every_axis_equals_a_walker(spark):
         assert want, selector
 
 
+def test_nodes_stay_where_their_text_is_and_selectors_join_nothing(spark):
+    table = trees.nodes(spark.createDataFrame([(1, '{"a": [{"b": 1}, {"b": 2}]}')], "id long, body string"), "id", "body")
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(table)
+    assert "Join" not in plan(trees.select(table, "$.a[*]?(@.b == 1 && @..b != 2).b"))
+    assert [r.value for r in trees.select(table, "$.a[*]?(@.b == 1 && @..b != 2).b").collect()] == ["1"]
+
+
 @pytest.mark.parametrize("text", ["a", "$a", "$.", "$..", "$[", "$[x]", "$['a", "$?(@.a)", "$?(@.a == )", "$?(@.a == 1", "$[?(@.a == 1)", "$.a b", "$.a*"])
 def test_what_is_no_selector(text):
     with pytest.raises(ValueError):
