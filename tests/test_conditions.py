@@ -121,3 +121,21 @@ def test_facts_are_not_broadcast(spark):
     assert [tuple(r) for r in found.collect()] == [(1, 1)]
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_equal_boxes_are_compared_once(spark, monkeypatch):
+    """Many rules of few boxes: each two boxes are judged once, however many pairs of rules have them."""
+    atoms = [row for rule in range(40) for row in conditions.rows(rule, condition((("home", "in", ("a", "b")), ("size", ">=", rule % 2)), (("home", "=", "c"), ("size", "<", 0))))]
+    found = conditions.boxes(spark.createDataFrame(atoms, ATOMS))
+    pairs = spark.range(40).selectExpr("id a").crossJoin(spark.range(40).selectExpr("id b")).where("a < b")
+    asked, judged = [], conditions._judged
+
+    def counted(met, kinds, holds):
+        asked.append((met.count(), met.select("code_a", "code_b").distinct().count()))
+        return judged(met, kinds, holds)
+
+    monkeypatch.setattr(conditions, "_judged", counted)
+    got = conditions.compare(pairs, found).collect()
+    assert len(got) == 780 and all(r.overlap for r in got)
+    assert all(r.a_in_b == (r.a % 2 >= r.b % 2) and r.b_in_a == (r.b % 2 >= r.a % 2) for r in got)
+    assert all(of <= 36 < many for many, of in asked) and len(asked) == 2
