@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,7 +114,11 @@ def parts(texts: Iterable[bytes], most: int = 4 << 20) -> Iterator[list[bytes]]:
 
 def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The numbers of all ranges, one after another."""
-    return np.repeat(start - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum()) if len(start) else np.zeros(0, np.int64)
+    if not len(start):
+        return np.zeros(0, np.int64)
+    out = np.repeat(start - np.r_[0, np.cumsum(length)[:-1]], length)
+    out += np.arange(len(out))
+    return out
 
 
 class Index:
@@ -132,7 +137,7 @@ class Index:
             self.dense[example[held] // block, i, example[held] % block] = value[held]
         self.most = np.ascontiguousarray(self.dense.max(axis=2, initial=0).T)
 
-    def groups(self, start: np.ndarray, terms: np.ndarray, queries: int = 64, postings: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    def groups(self, start: np.ndarray, terms: np.ndarray, queries: int = 256, postings: int = 1 << 25) -> Iterator[tuple[int, int]]:
         """Runs of queries (from, to) for one call of ``nearest`` each: so many, with about so many short postings.
 
         ``start`` has where the terms of each query begin, and where the last ends.
@@ -144,17 +149,30 @@ class Index:
             yield a, b
             a = b
 
+    def _short(self, of: np.ndarray, terms: np.ndarray, q: np.ndarray, queries: int) -> np.ndarray:
+        """What short lists give to each query (rows) and example; so few queries at once that their postings stay in the cache."""
+        width = self.blocks * self.block
+        out = np.empty((queries, width))
+        start = np.searchsorted(of, np.arange(queries + 1))
+        length = self.length[terms]
+        for a, b in self.groups(start, terms, queries, 1 << 16):
+            some = slice(start[a], start[b])
+            at = _ranges(self.offset[terms[some]], length[some])
+            where = np.repeat((of[some] - a) * width, length[some])
+            where += self.example[at]
+            given = np.repeat(q[some].astype(np.float32), length[some])
+            given *= self.value[at]
+            out[a:b] = np.bincount(where, weights=given, minlength=(b - a) * width).reshape(b - a, width)
+        return out
+
     def nearest(self, of: np.ndarray, terms: np.ndarray, q: np.ndarray, queries: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query (examples, cosines) of the k largest cosines above 0, nearest first; ties go to the smaller number.
 
         ``of``, ``terms`` and ``q`` are the queries' terms and weights.
         """
-        width = self.blocks * self.block
         row = self.row[terms]
         long = row >= 0
-        length = self.length[terms[~long]]
-        at = _ranges(self.offset[terms[~long]], length)
-        exact = np.bincount(np.repeat(of[~long] * width, length) + self.example[at], weights=self.value[at] * np.repeat(q[~long], length), minlength=queries * width).astype(float)
+        exact = self._short(of[~long], terms[~long], q[~long], queries)
         score = exact.reshape(queries, self.blocks, self.block)
         dense = np.zeros((queries, len(self.most)), np.float32)
         dense[of[long], row[long]] = q[long]
@@ -169,8 +187,8 @@ class Index:
         more = (bound >= least[:, None]) & ~seen
         self._add(score, dense, more)
         score[~(seen | more)] = 0
-        query, where = np.nonzero(exact.reshape(queries, width) >= np.maximum(least - 2e-6, 1e-6)[:, None])
-        found = np.round(exact[query * width + where], 6)
+        query, where = np.nonzero(exact >= np.maximum(least - 2e-6, 1e-6)[:, None])
+        found = np.round(exact[query, where], 6)
         best = np.lexsort((where, -found, query))
         start = np.searchsorted(query, np.arange(queries + 1))
         return [(where[best[a:b][:k]], found[best[a:b][:k]]) for a, b in zip(start, start[1:], strict=False)]
@@ -205,6 +223,8 @@ class Model:
     slope: float = 1.0
     shift: float = 0.0
     nearest: int = NEAREST
+    #: The broadcast of this model, once there is one.
+    shared: Broadcast | None = None
 
     def ready(self) -> tuple[Terms, Index]:
         """The tables that a worker builds once."""
@@ -262,6 +282,7 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, toxic) rows to (term, n_toxic, n_clean) of this task."""
+    give_back()
     counts = (Counter(), Counter())
     for batch in batches:
         for text, toxic in zip(one_by_one(batch.column(0)), batch.column(1).to_pylist(), strict=True):
@@ -296,6 +317,7 @@ def _vectors(terms: bytes):
     """Examples to their term counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         known = Terms(terms.split(b"\n"))
         for batch in batches:
             at = 0
@@ -311,6 +333,7 @@ def _vectors(terms: bytes):
 
 def _votes(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             z = [z for z, _ in shared.value.votes(one_by_one(batch.column("text")))]
             yield pa.RecordBatch.from_arrays([pa.array(z, pa.float64()), batch.column("toxic")], names=["z", "toxic"])
@@ -388,6 +411,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     place = resembling(len(rows), of, at, value, len(a))
     model = Model(terms, weight, *postings(len(rows), place[of], at, value, len(a)), *(rows[c].to_numpy()[np.argsort(place)] for c in ("doc_id", "toxic")), rate, nearest=nearest)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    model.shared = shared  # what is fitted below is small and goes beside it, so that no task holds two copies
     checked = sample.where("fold = 1").select("text", "toxic").mapInArrow(_votes(shared), "z double, toxic int").toArrow()
     z, y = checked["z"].to_numpy(), checked["toxic"].to_numpy()
     by = np.lexsort((y, z))
@@ -407,12 +431,14 @@ def score_column(model: Model, docs: DataFrame, text_col: str = "text") -> F.Col
     A null or empty text, and one without any word of the examples, has no neighbours and gets the calibrated rate. A very long text is one
     vector like any other; equal texts get equal scores.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.shared or docs.sparkSession.sparkContext.broadcast(model)
+    slope, shift = model.slope, model.shift
 
     @F.arrow_udf("struct<score:double,evidence:array<long>>")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         give_back()
         m, known = shared.value, {}
+        m.slope, m.shift = slope, shift
         kind = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.int64()))])
         for batch in batches:
             found = []

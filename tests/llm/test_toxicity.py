@@ -152,3 +152,19 @@ def test_platt_keeps_order():
     z = np.linspace(-3, 3, 50)
     a, b = toxicity.platt(z, (z > 0.5).astype(int))
     assert a > 0 and math.isfinite(b)
+
+
+def test_the_fitted_model_is_broadcast_once(spark):
+    docs = [(i, f"some {'vile' if i % 3 == 0 else 'calm'} text number {i % 40}") for i in range(200)]
+    labels = [(i, int(i % 3 == 0)) for i, _ in docs]
+    given = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.fit(given, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    sent = []
+    real, spark.sparkContext.broadcast = spark.sparkContext.broadcast, lambda value: sent.append(value) or real(value)
+    try:
+        got = given.select(toxicity.score_column(model, given)["score"].alias("s"), "doc_id").collect()
+    finally:
+        del spark.sparkContext.broadcast
+    assert not any(isinstance(v, toxicity.Model) for v in sent)
+    want = dict(zip([i for i, _ in docs], [p for p, _ in model.scores([t.encode() for _, t in docs])], strict=True))
+    assert all(math.isclose(r.s, want[r.doc_id], abs_tol=1e-9) for r in got) and model.slope != 1.0
