@@ -139,29 +139,24 @@ class Chunk:
         self.before = np.r_[self.end, self.stream[:-1]]
         h = self.vocabulary.view(np.int64)
         self.pairs = hashed(h[self.before], h[self.stream]).view(np.uint64)
+        #: Distinct pairs, and which one stands at each position.
+        self.distinct, self.pair_at = np.unique(self.pairs, return_inverse=True)
         #: Words in order of their keys.
         self.order = np.argsort(self.vocabulary)
 
-    def with_counts(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys at the positions of the stream, and how many of these train."""
-        distinct, counts = np.unique(keys, return_counts=True)
-        if self.held.any():
-            trained, n = np.unique(keys[self.trains], return_counts=True)
-            counts = np.zeros(len(distinct), np.int64)
-            counts[np.searchsorted(distinct, trained)] = n
-        return distinct, counts.astype(np.uint32)
-
     def place(self, answers: Answers) -> Placed:
         """The kept pairs: their keys, counts and words, and which one stands at each position, -1 for none."""
-        keys, counts = answers.of(PAIRS, "keys", "<u8"), answers.of(PAIRS, "counts", "<i8")
-        at = np.minimum(np.searchsorted(keys, self.pairs), max(0, len(keys) - 1))
-        at = np.where(keys[at] == self.pairs, at, -1) if len(keys) else np.full(len(self.pairs), -1)
+        n = answers.of(PAIRS, "counts", "<i8")
+        kept = np.flatnonzero(n) if len(n) else np.zeros(0, np.int64)
+        number = np.full(len(self.distinct), -1)
+        number[kept] = np.arange(len(kept))
+        at = number[self.pair_at]
         here = np.flatnonzero(at >= 0)
-        first, second = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        first, second = np.zeros(len(kept), np.int64), np.zeros(len(kept), np.int64)
         first[at[here]], second[at[here]] = self.before[here], self.stream[here]
         words = np.zeros(len(self.vocabulary), np.int64)
         words[self.order] = answers.of(WORDS, "counts", "<i8")
-        return Placed(keys, counts, first, second, at, words)
+        return Placed(self.distinct[kept], n[kept], first, second, at, words)
 
     def triples(self, placed: Placed) -> tuple[np.ndarray, np.ndarray]:
         """(positions, keys): triples within texts, both of whose pairs are kept."""
@@ -190,9 +185,14 @@ def _batch(n: int, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _ROW_KINDS], schema=_ROW_KINDS)
 
 
+def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of the key space that a key lies in; ascends with the keys."""
+    return (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+
+
 def _by_range(what: str, kind: int, origin: int | None, keys: np.ndarray, ranges: int, **values: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Sorted keys by ranges of the key space, with what goes along."""
-    of = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    of = _range_of(keys, ranges)
     starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
     stops = np.r_[starts[1:], len(of)]
     for a in range(0, len(starts), 256):
@@ -202,28 +202,23 @@ def _by_range(what: str, kind: int, origin: int | None, keys: np.ndarray, ranges
 
 
 def _counted(table: pa.Table) -> pa.Table:
-    """Counts of a range's words or pairs over all chunks, and what each chunk is told of its own.
+    """Counts of a range's words or pairs over all chunks, told to each chunk in the order of the keys it asked.
 
-    Of words all counts in the order of the keys that were asked, and the keys of those that can be contexts; of pairs the
-    kept ones, and which of these the chunk owns.
+    Of pairs that are not kept the count told is 0; of the kept ones, which of them the chunk owns.
     """
     rows = table.to_pylist()
-    kind, least = rows[0]["kind"], LEAST
+    kind = rows[0]["kind"]
     keys = [unpack(r["keys"], "<u8") for r in rows]
-    distinct, first, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    _, first, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     n = np.bincount(where, np.concatenate([unpack(r["counts"], "<u4") for r in rows])).astype(np.int64)
-    owner = np.zeros(len(where), np.uint8)
-    owner[first] = 1
-    out, at = [], 0
-    for r, k in zip(rows, keys, strict=True):
-        mine, part = n[where[at : at + len(k)]], owner[at : at + len(k)]
-        kept = mine >= least
-        told = mine if kind == WORDS else mine[kept]
-        out.append((r["origin"], pack(k[kept]), pack(told.astype("<i8")), pack(part[kept])))
-        at += len(k)
-    origins, kept_keys, counts, owned = zip(*out, strict=True)
     words = [int((n > 0).sum()) if kind == WORDS else 0, *[0] * (len(rows) - 1)]
-    columns = {"what": ["answer"] * len(rows), "kind": [kind] * len(rows), "range": [r["range"] for r in rows], "origin": origins, "keys": kept_keys, "counts": counts, "owned": owned, "words": words}
+    if kind != WORDS:
+        n[n < LEAST] = 0
+    owner = np.zeros(len(where), np.uint8)
+    owner[first] = n > 0
+    cuts = np.cumsum([len(k) for k in keys])[:-1]
+    counts, owned = ([pack(v) for v in np.split(of, cuts)] for of in (n[where].astype("<i8"), owner))
+    columns = {"what": ["answer"] * len(rows), "kind": [kind] * len(rows), "range": [r["range"] for r in rows], "origin": [r["origin"] for r in rows], "counts": counts, "owned": owned, "words": words}
     return pa.Table.from_batches([_batch(len(rows), columns)])
 
 
@@ -242,22 +237,20 @@ def _counted_triples(ranges: int):
         lower = (column("lower_n", "<u4")[one] - DISCOUNT) / column("lower_of", "<u4")[one]
         contexts, group = np.unique(column("context", "<u8")[one], return_inverse=True)
         masses = _by_range("mass", PAIRS, None, contexts, ranges, taken=np.bincount(group, taken, len(contexts)), lower=np.bincount(group, lower, len(contexts)))
-        out, at = [], 0
-        for r, k in zip(rows, keys, strict=True):
-            mine = n[where[at : at + len(k)]]
-            out.append((r["origin"], pack(k[mine >= LEAST]), pack(mine[mine >= LEAST].astype("<i8"))))
-            at += len(k)
-        origins, kept_keys, counts = zip(*out, strict=True)
-        columns = {"what": ["answer"] * len(rows), "kind": [TRIPLES] * len(rows), "range": [r["range"] for r in rows], "origin": origins, "keys": kept_keys, "counts": counts}
+        counts = [pack(v) for v in np.split(np.where(n >= LEAST, n, 0)[where].astype("<i8"), np.cumsum([len(k) for k in keys])[:-1])]
+        columns = {"what": ["answer"] * len(rows), "kind": [TRIPLES] * len(rows), "range": [r["range"] for r in rows], "origin": [r["origin"] for r in rows], "counts": counts}
         return pa.Table.from_batches([_batch(len(rows), columns), *masses])
 
     return run
 
 
 def _weighed(table: pa.Table) -> pa.Table:
-    """Backoff weights of a range's contexts for the chunks that were told of them; nan where no kept n-gram follows."""
-    rows = table.to_pylist()
-    sums, asked = [r for r in rows if r["what"] == "mass"], [r for r in rows if r["what"] != "mass"]
+    """Backoff weights of a range's contexts for the chunks that want them; nan where no kept n-gram follows.
+
+    Rows of sums name no chunk; those that name one say which contexts it wants.
+    """
+    rows = [r for r in table.to_pylist() if r["what"] == "mass"]
+    sums, asked = [r for r in rows if r["origin"] is None], [r for r in rows if r["origin"] is not None]
     keys, weights = np.zeros(0, np.uint64), np.zeros(0)
     if sums:
         keys, where = np.unique(np.concatenate([unpack(r["keys"], "<u8") for r in sums]), return_inverse=True)
@@ -289,7 +282,7 @@ def _with_chunks(step):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(i, 1) for whole in batches for i in range(whole.num_rows)):
             row = batch.to_pylist()[0]
-            yield from step(Chunk(row), row["origin"], Answers(row.get("answers") or []))
+            yield from step(Chunk(row), row["origin"], Answers([*(row.get("answers") or []), *(row.get("more") or [])]))
 
     return run
 
@@ -298,25 +291,36 @@ def _ask_counts(ranges: int):
     def step(chunk: Chunk, origin: int, _: Answers) -> Iterator[pa.RecordBatch]:
         words = np.bincount(chunk.stream[chunk.trains], minlength=len(chunk.vocabulary)).astype(np.uint32)
         yield from _by_range("ask", WORDS, origin, chunk.vocabulary[chunk.order], ranges, counts=words[chunk.order])
-        keys, counts = chunk.with_counts(chunk.pairs)
-        yield from _by_range("ask", PAIRS, origin, keys, ranges, counts=counts)
+        counts = np.bincount(chunk.pair_at[chunk.trains], minlength=len(chunk.distinct)).astype(np.uint32)
+        yield from _by_range("ask", PAIRS, origin, chunk.distinct, ranges, counts=counts)
 
     return _with_chunks(step)
 
 
-def _ask_triples(ranges: int, total: int, types: int):
-    """Asks for triples, with what a range needs to add them up by context; the sums of the pairs that the chunk owns."""
+def _ask_triples(ranges: int, total: int, types: int, asks: tuple[int, ...] = tuple(range(SLICES)), masses: bool = True):
+    """Asks for the triples of some slices of the ranges, with what a range needs to add them up by context.
+
+    If wanted, the sums of the pairs that the chunk owns, and the contexts whose weights it wants.
+    """
 
     def step(chunk: Chunk, origin: int, answers: Answers) -> Iterator[pa.RecordBatch]:
         placed = chunk.place(answers)
-        mine = answers.of(PAIRS, "owned", "u1") > 0
-        first = placed.first[mine]
-        taken = (placed.counts[mine] - DISCOUNT) / placed.words[first]
-        lower = (placed.words[placed.second[mine]] + 0.5) / (total + 0.5 * (types + 1))
-        sums = [np.bincount(first, v, len(chunk.vocabulary)) for v in (taken, lower)]
-        some = chunk.order[np.bincount(first, minlength=len(chunk.vocabulary))[chunk.order] > 0]
-        yield from _by_range("mass", WORDS, origin, chunk.vocabulary[some], ranges, taken=sums[0][some], lower=sums[1][some])
+        if masses:
+            mine = answers.of(PAIRS, "owned", "u1")[answers.of(PAIRS, "counts", "<i8") > 0] > 0
+            first = placed.first[mine]
+            taken = (placed.counts[mine] - DISCOUNT) / placed.words[first]
+            lower = (placed.words[placed.second[mine]] + 0.5) / (total + 0.5 * (types + 1))
+            sums = [np.bincount(first, v, len(chunk.vocabulary)) for v in (taken, lower)]
+            some = chunk.order[np.bincount(first, minlength=len(chunk.vocabulary))[chunk.order] > 0]
+            yield from _by_range("mass", WORDS, None, chunk.vocabulary[some], ranges, taken=sums[0][some], lower=sums[1][some])
+            yield from _by_range("mass", WORDS, origin, chunk.vocabulary[chunk.order[placed.words[chunk.order] >= LEAST]], ranges)
+            yield from _by_range("mass", PAIRS, origin, placed.keys, ranges)
+        if not asks:
+            return
         at, keys = chunk.triples(placed)
+        if len(asks) < SLICES:
+            some = np.isin(_range_of(keys, ranges) % np.uint64(SLICES), np.array(asks, np.uint64))
+            at, keys = at[some], keys[some]
         distinct, one, where = np.unique(keys, return_index=True, return_inverse=True)
         counts = np.bincount(where, chunk.trains[at], len(distinct)).astype(np.uint32)
         context, below = placed.at[at[one] - 1], placed.at[at[one]]
@@ -328,26 +332,39 @@ def _ask_triples(ranges: int, total: int, types: int):
 
 @dataclass
 class Automaton:
-    """Arcs by state << 32 | word: (next state, weight); ``root`` has those of state 0, the empty context, by word."""
+    """Arcs in order of state << 32 | word (``keys``), each with its next state and weight; the root, state 0, has one a word."""
 
-    root: list[tuple[int, float]]
-    arcs: dict[int, tuple[int, float]]
-    fail: list[int]
-    weight: list[float]
+    base: np.ndarray
+    after: np.ndarray
+    keys: np.ndarray
+    leads: np.ndarray
+    given: np.ndarray
+    fail: np.ndarray
+    weight: np.ndarray
     start: int
 
-    def traverse(self, words: list[int]) -> float:
-        """The log-probability of a text's words, its end included: one walk that carries the state."""
-        get, root, fail, weight = self.arcs.get, self.root, self.fail, self.weight
-        state, score = self.start, 0.0
-        for word in words:
-            arc = get(state << 32 | word) if state else root[word]
-            while arc is None:
-                score += weight[state]
-                state = fail[state]
-                arc = get(state << 32 | word) if state else root[word]
-            state = arc[0]
-            score += arc[1]
+    @property
+    def root(self) -> list[tuple[int, float]]:
+        return [*zip(self.after.tolist(), self.base.tolist(), strict=True)]
+
+    @property
+    def arcs(self) -> dict[int, tuple[int, float]]:
+        return dict(zip(self.keys.tolist(), zip(self.leads.tolist(), self.given.tolist(), strict=True), strict=True))
+
+    def walk(self, state: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The log-probability of each word read in a state: failure arcs are followed until an arc has the word."""
+        score, left, state = np.zeros(len(words)), np.arange(len(words)), state.copy()
+        while len(left):
+            ended = state[left] == 0
+            score[left[ended]] += self.base[words[left[ended]]]
+            left = left[~ended]
+            key = state[left] << 32 | words[left]
+            at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+            found = self.keys[at] == key if len(self.keys) else np.zeros(len(left), bool)
+            score[left[found]] += self.given[at[found]]
+            left = left[~found]
+            score[left] += self.weight[state[left]]
+            state[left] = self.fail[state[left]]
         return score
 
 
@@ -366,18 +383,34 @@ def automaton(chunk: Chunk, answers: Answers, total: int, types: int) -> Automat
     pair_state = word_state[second]
     contexts = np.flatnonzero(~np.isnan(back_pair))
     pair_state[contexts] = len(words) + 1 + np.arange(len(contexts))
-    fail = [0] * (len(words) + 1) + word_state[second[contexts]].tolist()
-    weight = [0.0, *np.nan_to_num(back_word).tolist(), *back_pair[contexts].tolist()]
-    arcs = dict(zip(((first + 1) << 32 | second).tolist(), zip(pair_state.tolist(), np.log10((placed.counts - DISCOUNT) / words[first]).tolist(), strict=True), strict=True))
+    fail = np.r_[np.zeros(len(words) + 1, np.int64), word_state[second[contexts]]]
+    weight = np.r_[0.0, np.nan_to_num(back_word), back_pair[contexts]]
     at, keys = chunk.triples(placed)
-    kept, counts = answers.of(TRIPLES, "keys", "<u8"), answers.of(TRIPLES, "counts", "<i8")
-    where = np.minimum(np.searchsorted(kept, keys), max(0, len(kept) - 1))
-    here = np.flatnonzero(kept[where] == keys) if len(kept) else np.zeros(0, np.int64)
-    _, one = np.unique(where[here], return_index=True)
-    at, n = at[here][one], counts[where[here][one]]
+    _, one = np.unique(keys, return_index=True)
+    n = answers.of(TRIPLES, "counts", "<i8")
+    kept = np.flatnonzero(n) if len(n) else np.zeros(0, np.int64)
+    at, n = at[one[kept]], n[kept]
     context, lower = placed.at[at - 1], placed.at[at]
-    arcs.update(zip((pair_state[context] << 32 | second[lower]).tolist(), zip(pair_state[lower].tolist(), np.log10((n - DISCOUNT) / placed.counts[context]).tolist(), strict=True), strict=True))
-    return Automaton([*zip(word_state.tolist(), base.tolist(), strict=True)], arcs, fail, weight, int(word_state[chunk.end]))
+    keys = np.r_[(first + 1) << 32 | second, pair_state[context] << 32 | second[lower]]
+    leads = np.r_[pair_state, pair_state[lower]]
+    given = np.r_[np.log10((placed.counts - DISCOUNT) / words[first]), np.log10((n - DISCOUNT) / placed.counts[context])]
+    by = np.argsort(keys)
+    return Automaton(base, word_state, keys[by], leads[by], given[by], fail, weight, int(word_state[chunk.end]))
+
+
+def scored(chunk: Chunk, answers: Answers, total: int, types: int) -> np.ndarray:
+    """The log-probability of each token of a chunk, all positions abreast.
+
+    The arcs of a word lead to the longest known context that it ends, whichever of them was taken, so the states of a walk from left to
+    right are known beforehand: a text begins in the start state and reads each word in the state that its words before led to.
+    """
+    model, placed = automaton(chunk, answers, total, types), chunk.place(answers)
+    state = model.after[chunk.before]
+    kept = np.flatnonzero(placed.at[:-1] >= 0)
+    by = (placed.first + 1) << 32 | placed.second
+    state[kept + 1] = model.leads[np.searchsorted(model.keys, by)][placed.at[kept]]
+    state[np.cumsum(chunk.sizes) - chunk.sizes] = model.start
+    return model.walk(state, chunk.stream)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -385,12 +418,11 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def _walked(total: int, types: int):
     def step(chunk: Chunk, _: int, answers: Answers) -> Iterator[pa.RecordBatch]:
-        model = automaton(chunk, answers, total, types)
         words = chunk.place(answers).words
         starts = np.cumsum(chunk.sizes) - chunk.sizes
-        base = np.add.reduceat(np.array([p for _, p in model.root])[chunk.stream], starts)
+        base = np.add.reduceat(np.log10((words + 0.5) / (total + 0.5 * (types + 1)))[chunk.stream], starts)
         known = np.add.reduceat((words > 0)[chunk.stream].astype(np.int64), starts)
-        scores = [model.traverse(chunk.stream[a : a + n].tolist()) for a, n in zip(starts, chunk.sizes, strict=True)]
+        scores = np.add.reduceat(scored(chunk, answers, total, types), starts)
         columns = (pa.array(chunk.ids, pa.int64()), pa.array(chunk.held), pa.array(chunk.sizes), pa.array(known), pa.array(np.full(len(starts), total)), pa.array(base), pa.array(scores, pa.float64()))
         yield pa.RecordBatch.from_arrays(list(columns), names=[part.split()[0] for part in SCORES.split(", ")])
 
@@ -406,19 +438,10 @@ def _in_slices(make) -> DataFrame:
     return functools.reduce(DataFrame.union, parts)
 
 
-def _exchanged(asks: DataFrame, answer) -> DataFrame:
-    return _in_slices(lambda part: asks.where(part("range")).groupBy("kind", "range").applyInArrow(answer, ROWS))
-
-
-def _visited(chunks: DataFrame, answers: DataFrame, step, kinds: str) -> DataFrame:
-    """A step on all chunks, each with all that it was told."""
-    told = answers.where("what <> 'mass'").select("origin", F.struct("kind", "range", "keys", "counts", "owned", "back").alias("answer"))
-
-    def visit(part) -> DataFrame:
-        lists = told.where(part("origin")).groupBy("origin").agg(F.collect_list("answer").alias("answers"))
-        return chunks.where(part("origin")).join(lists, "origin", "left").mapInArrow(step, kinds)
-
-    return _in_slices(visit)
+def _told(chunks: DataFrame, answers: DataFrame, name: str) -> DataFrame:
+    """All chunks, each with all that it was told."""
+    rows = answers.where("what <> 'mass'").select("origin", F.struct("kind", "range", "counts", "owned", "back").alias("answer"))
+    return chunks.join(rows.groupBy("origin").agg(F.collect_list("answer").alias(name)), "origin", "left")
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, ranges: int | None = None) -> DataFrame:
@@ -435,15 +458,22 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = materialize(chunks.mapInArrow(_ask_counts(ranges), ROWS).groupBy("kind", "range").applyInArrow(_counted, ROWS))
     sweep(docs.sparkSession)
     types = counts.agg(F.sum("words")).first()[0] or 0
-    asked = _visited(chunks, counts, _ask_triples(ranges, total, types), ROWS)
-    counted = _exchanged(asked.where("what = 'ask'"), _counted_triples(ranges))
-    masses = materialize(asked.union(counted).where("what = 'mass'"))
-    discard(asked)
-    triples = materialize(counted.where("what = 'answer'"))
-    discard(counted)
-    weights = _exchanged(masses.union(counts), _weighed)
-    discard(masses)
-    scored = _visited(chunks, counts.union(triples).union(weights), _walked(total, types), SCORES)
-    for table in (chunks, counts, triples, weights):
+    placed = materialize(_told(chunks, counts, "answers"))
+    discard(chunks)
+    discard(counts)
+    sweep(docs.sparkSession)
+    counted = []
+    for i in range(SLICES):  # what chunks ask of a slice goes straight into its shuffle and is never written
+        asks = placed.mapInArrow(_ask_triples(ranges, total, types, (i,), False), ROWS)
+        counted.append(materialize(asks.groupBy("kind", "range").applyInArrow(_counted_triples(ranges), ROWS)))
+        sweep(docs.sparkSession)
+    counted = functools.reduce(DataFrame.union, counted)
+    wants = materialize(placed.mapInArrow(_ask_triples(ranges, total, types, (), True), ROWS))
+    masses = wants.union(counted.where("what = 'mass'"))
+    weights = _in_slices(lambda part: masses.where(part("range")).groupBy("kind", "range").applyInArrow(_weighed, ROWS))
+    discard(wants)
+    answers = counted.union(weights)
+    result = _in_slices(lambda part: _told(placed.where(part("origin")), answers.where(part("origin")), "more").mapInArrow(_walked(total, types), SCORES))
+    for table in (placed, counted, weights):
         discard(table)
-    return scored
+    return result
