@@ -30,13 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.text import spaced_words, utf8
+from sparkwright.llm.text import give_back, spaced_words, utf8
 from sparkwright.sources.scratch import discard, materialize, sweep
 
 #: Tokens of a chunk, and distinct keys of a range.
 CHUNK, RANGE = 1_000_000, 500_000
 #: Parts of the keys that are shuffled one after another, which bounds the disk that a shuffle takes.
 SLICES = 4
+#: Positions of a chunk that are walked at once.
+ABREAST = 1 << 16
 DISCOUNT = 0.75
 #: From how many occurrences in training rows an n-gram is an arc.
 LEAST = 2
@@ -280,6 +282,7 @@ def _with_chunks(step):
     """A step on (chunk, origin, answers) as a function of batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in (whole.slice(i, 1) for whole in batches for i in range(whole.num_rows)):
             row = batch.to_pylist()[0]
             yield from step(Chunk(row), row["origin"], Answers([*(row.get("answers") or []), *(row.get("more") or [])]))
@@ -368,13 +371,13 @@ class Automaton:
         return score
 
 
-def automaton(chunk: Chunk, answers: Answers, total: int, types: int) -> Automaton:
+def automaton(chunk: Chunk, answers: Answers, total: int, types: int, placed: Placed | None = None) -> Automaton:
     """The states and arcs that a chunk's texts can reach.
 
     State w + 1 is the context of one word w, those after them are contexts of two words. A context that no kept n-gram
     follows is no state: what leads there leads to the context without its oldest word.
     """
-    placed = chunk.place(answers)
+    placed = placed or chunk.place(answers)
     words, first, second = placed.words, placed.first, placed.second
     base = np.log10((words + 0.5) / (total + 0.5 * (types + 1)))
     back_word, back_pair = np.full(len(words), np.nan), answers.of(PAIRS, "back", "<f8")
@@ -398,19 +401,19 @@ def automaton(chunk: Chunk, answers: Answers, total: int, types: int) -> Automat
     return Automaton(base, word_state, keys[by], leads[by], given[by], fail, weight, int(word_state[chunk.end]))
 
 
-def scored(chunk: Chunk, answers: Answers, total: int, types: int) -> np.ndarray:
-    """The log-probability of each token of a chunk, all positions abreast.
+def scored(chunk: Chunk, answers: Answers, placed: Placed, total: int, types: int) -> np.ndarray:
+    """The log-probability of each token of a chunk, ``ABREAST`` positions at once.
 
     The arcs of a word lead to the longest known context that it ends, whichever of them was taken, so the states of a walk from left to
     right are known beforehand: a text begins in the start state and reads each word in the state that its words before led to.
     """
-    model, placed = automaton(chunk, answers, total, types), chunk.place(answers)
+    model = automaton(chunk, answers, total, types, placed)
     state = model.after[chunk.before]
     kept = np.flatnonzero(placed.at[:-1] >= 0)
     by = (placed.first + 1) << 32 | placed.second
     state[kept + 1] = model.leads[np.searchsorted(model.keys, by)][placed.at[kept]]
     state[np.cumsum(chunk.sizes) - chunk.sizes] = model.start
-    return model.walk(state, chunk.stream)
+    return np.concatenate([model.walk(state[a : a + ABREAST], chunk.stream[a : a + ABREAST]) for a in range(0, len(state), ABREAST)])
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -418,11 +421,12 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def _walked(total: int, types: int):
     def step(chunk: Chunk, _: int, answers: Answers) -> Iterator[pa.RecordBatch]:
-        words = chunk.place(answers).words
+        placed = chunk.place(answers)
+        words = placed.words
         starts = np.cumsum(chunk.sizes) - chunk.sizes
         base = np.add.reduceat(np.log10((words + 0.5) / (total + 0.5 * (types + 1)))[chunk.stream], starts)
         known = np.add.reduceat((words > 0)[chunk.stream].astype(np.int64), starts)
-        scores = np.add.reduceat(scored(chunk, answers, total, types), starts)
+        scores = np.add.reduceat(scored(chunk, answers, placed, total, types), starts)
         columns = (pa.array(chunk.ids, pa.int64()), pa.array(chunk.held), pa.array(chunk.sizes), pa.array(known), pa.array(np.full(len(starts), total)), pa.array(base), pa.array(scores, pa.float64()))
         yield pa.RecordBatch.from_arrays(list(columns), names=[part.split()[0] for part in SCORES.split(", ")])
 

@@ -129,3 +129,18 @@ def test_the_model_holds_every_word_and_repeated_ngram(spark):
             s = [b"\n", *split(t), b"\n"]
             want = sum(math.log10(p(tuple(s[max(0, k - 2) : k]), s[k])) for k in range(1, len(s)))
             assert math.isclose(got[i].score, want, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_asks_come_by_slices_and_answers_carry_no_keys():
+    """What is asked of all slices is what is asked at once, and what is told of pairs is one number each, in order."""
+    texts = ["a b c d a b c", "b c d a b", "a b c"]
+    words = [lm.xxhash.xxh3_64_intdigest(w) for t in texts for w in [*split(t), lm.END]]
+    vocabulary, numbers = np.unique(np.array(words, np.uint64), return_inverse=True)
+    row = {"origin": 0, "doc_ids": [0, 1, 2], "held": [False] * 3, "sizes": lm.pack(np.array([len(split(t)) + 1 for t in texts], np.uint32)), "vocabulary": lm.pack(vocabulary), "stream": lm.pack(numbers.astype(np.uint32))}
+    visit = lambda step, told: [r for b in step(iter([pa.RecordBatch.from_pylist([row | {"answers": told}])])) for r in b.to_pylist()]
+    asked = visit(lm._ask_counts(5), [])
+    told = [r for k in (1, 2) for a in range(5) if (part := [r for r in asked if (r["kind"], r["range"]) == (k, a)]) for r in lm._counted(pa.Table.from_pylist(part, lm._ROW_KINDS)).to_pylist()]
+    assert all(r["keys"] is None for r in told)
+    asks = lambda *slices: [r for r in visit(lm._ask_triples(5, len(words), len(vocabulary), *slices), told) if r["what"] == "ask"]
+    pieces = [r for i in range(lm.SLICES) for r in asks((i,), False)]
+    assert sorted((r["range"], r["keys"], r["counts"]) for r in pieces) == sorted((r["range"], r["keys"], r["counts"]) for r in asks()) != []
