@@ -236,7 +236,7 @@ class Model:
         """Log odds of the weighted vote, and the ids of the nearest examples, for each text."""
         terms, index = self.ready()
         out = []
-        for some in parts(texts) if self.n else ():
+        for some in parts(texts, 2 << 20) if self.n else ():
             of, at, count = terms.counts(some)
             q = unit(of, count, self.weight[at])
             start = np.searchsorted(of, np.arange(len(some) + 1))
