@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -239,3 +240,20 @@ def test_nearest_in_blocks_with_ties_and_nulls(spark, monkeypatch):
     assert sorted((r.query, r["rank"], r.neighbour, r.cosine) for r in got if r.query == 0) == [(0, 1, 3, 1.0), (0, 2, 6, 1.0), (0, 3, 9, 1.0)]
     assert [(r["rank"], r.neighbour, r.cosine) for r in got if r.query == 21] == [(1, 0, None), (2, 1, None), (3, 2, None)]
     assert "MapInPandas" in search.nearest(v, v.limit(1), "k", "v", 3)._jdf.queryExecution().toString()
+
+
+def test_lexical_rank_asks_for_every_item(spark):
+    """Items of any number are ranked, with ties by the smaller document and null texts that count as documents."""
+    from sparkwright.operators import search
+    from sparkwright.plans.evaluation import lexical_rank
+    from sparkwright.sources.scratch import read_table
+
+    folder = "/root/testdata/sf0.001"
+    items = {r.item_id for r in read_table(spark, folder, "benchmark").collect()}
+    assert {r["query"] for r in lexical_rank(spark, folder).select("query").distinct().collect()} == items and any(i % 50 for i in items)
+    docs = spark.createDataFrame([(3, "abcd abcd, x"), (1, "ABCD-abcd"), (2, "zzzz"), (4, None), (5, "ab cd")], "d long, s string")
+    got = search.bm25(docs, spark.createDataFrame([("p", "abcd efgh"), ("q", "yyy"), ("r", "")], "q string, s string"), "d", "q", "s", 1).collect()
+    weight = lambda df: math.log(1 + (5 - df + 0.5) / (df + 0.5))
+    part = lambda tf, length: tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / 2))
+    want = 2 * weight(2) * part(2, 4) / (2 * (weight(2) + weight(0)) * part(1, 4))
+    assert [(r["query"], r.doc, r["rank"]) for r in got] == [("p", 1, 1)] and got[0].similarity == pytest.approx(want, abs=1e-8)
