@@ -257,3 +257,22 @@ def test_lexical_rank_asks_for_every_item(spark):
     part = lambda tf, length: tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / 2))
     want = 2 * weight(2) * part(2, 4) / (2 * (weight(2) + weight(0)) * part(1, 4))
     assert [(r["query"], r.doc, r["rank"]) for r in got] == [("p", 1, 1)] and got[0].similarity == pytest.approx(want, abs=1e-8)
+
+
+def test_every_vector_is_voted_on(spark, monkeypatch):
+    """All vectors are queries; those of several slices and blocks have the same neighbours as by brute force."""
+    from sparkwright.operators import search
+    from sparkwright.plans.evaluation import neighbour_vote
+    from sparkwright.sources.scratch import read_table
+
+    folder = "/root/testdata/sf0.001"
+    rows = {r.vec_id: r.embedding for r in read_table(spark, folder, "embeddings").collect()}
+    assert sorted(r["query"] for r in neighbour_vote(spark, folder).collect()) == sorted(rows)
+    for name, value in (("VECTORS", 200), ("ASKED", 90), ("SLICE", (40, 30))):
+        monkeypatch.setattr(search, name, value)
+    rnd = random.Random(9)
+    small = [(i, [float(rnd.randrange(-1, 2)), float(rnd.randrange(-1, 2)), 0.5 * rnd.randrange(3)]) for i in range(300)]
+    v = spark.createDataFrame(small, "k long, v array<double>")
+    cosine = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b)), 9) if any(a) and any(b) else -9
+    want = {(i, r + 1, j) for i, a in small for r, (_, j) in enumerate(sorted((-cosine(a, b), j) for j, b in small if j != i)[:4])}
+    assert {(r["query"], r["rank"], r.neighbour) for r in search.nearest(v, v, "k", "v", 4).collect()} == want
