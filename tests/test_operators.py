@@ -276,3 +276,26 @@ def test_every_vector_is_voted_on(spark, monkeypatch):
     cosine = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b)), 9) if any(a) and any(b) else -9
     want = {(i, r + 1, j) for i, a in small for r, (_, j) in enumerate(sorted((-cosine(a, b), j) for j, b in small if j != i)[:4])}
     assert {(r["query"], r["rank"], r.neighbour) for r in search.nearest(v, v, "k", "v", 4).collect()} == want
+
+
+def test_load_order_needs_writes_and_joins_no_ids(spark, monkeypatch):
+    """Uses are of numbers when they are written and closed over, and are read from the lines once."""
+    from sparkwright.operators import placement as operator
+    from sparkwright.plans import placement
+
+    closed, written = [], []
+    plain, write = operator.load_needs, placement.materialize
+    monkeypatch.setattr(operator, "load_needs", lambda uses, at_load: closed.append(dict(uses.dtypes)) or plain(uses, at_load))
+    monkeypatch.setattr(placement, "materialize", lambda df: written.append(df.columns) or write(df))
+    found = placement.load_order_needs(spark, "/root/testdata/sf0.001").collect()
+    assert closed[0]["src"] == closed[0]["dst"] == "bigint" and written == [["src", "dst"]]
+    assert found and all(r.src.endswith("7#function") for r in found)
+
+
+def test_neighbours_of_a_hub_are_in_several_rows(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "LISTED", 5)
+    monkeypatch.setattr(graphs, "LARGE", 0)
+    e = spark.createDataFrame([(0, i) for i in range(1, 40)] + [(i, 0) for i in range(1, 30)] + [(50, 0)], "src long, dst long")
+    assert graphs._listed(e, "src", "dst").where("src = 0").count() > 4
+    got = {r.node: r.component for r in graphs.strong_components(e).collect()}
+    assert got == {i: 0 if i < 30 else i for i in [*range(40), 50]}
