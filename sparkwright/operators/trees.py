@@ -4,7 +4,9 @@ A node's entry number is the place of its first token in its document's text, it
 below another if its numbers lie between the other's, and entry numbers are the order of the source. Node rows are
 (tree, entry, exit, parent, key, index, kind, value, path): key within an object, index within an array, value of scalars,
 and entry, key and index of all nodes from the root down to this one. So a node alone tells whether steps lead to it, and
-only what filters compare has to meet the nodes that they test: one grouping by tree and tested node for each filter.
+only what filters compare has to meet the nodes that they test: one grouping by tree and tested node for each filter. Where only
+what selectors find in each tree is asked for, trees are never taken apart: ``found`` follows the steps in many texts at once,
+each where it is.
 
 A selector starts with ``$``, the root. ``.key`` or ``['key']`` is a member of an object, ``[3]`` of an array, ``['a','b',0]``
 several members in the order in which they are listed, ``.*`` all members of objects, ``[*]`` all of arrays, ``..`` a node and
@@ -19,11 +21,15 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]:,]|[^\s{}\[\]:,"]+', re.S)
+TOKEN = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"|[{}\[\]:,]|[^\s{}\[\]:,"]+', re.S)
+#: Characters of the texts that are read at once.
+TEXT = 1 << 20
 _NODE = "entry int, exit int, parent int, key string, index int, kind string, value string, path array<struct<entry:int,key:string,index:int>>"
 _STEP = re.compile(
     r"""(?P<descend>\.\.(?=[\w\[?*-]))|\.?(?P<keys>\*)(?=$|[.\[?])|\.?(?P<key>[\w-]+)|(?P<indices>\[\*\])|(?P<filter>\[?\?\()|(?P<members>\[(?:\s*(?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|\d+)\s*,?)+\])"""
@@ -275,3 +281,124 @@ def select(table: DataFrame, selector: str) -> DataFrame:
 
 def _same(comparison: Comparison) -> Column:
     return (F.col("kind") == comparison.kind) & (F.lit(True) if comparison.value is None else F.coalesce(F.col("value") == comparison.value, F.lit(False)))
+
+
+class _Forest:
+    """The nodes of some texts as arrays, in the order of the source; of a text that isn't JSON they are undefined."""
+
+    def __init__(self, texts: list[str]) -> None:
+        read = [TOKEN.findall(t) for t in texts]
+        of = np.repeat(np.arange(len(texts)), [len(r) for r in read])
+        encoded = pa.array([t for r in read for t in r], pa.string()).dictionary_encode()
+        code, tokens = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), encoded.dictionary.to_pylist()
+        self.kinds = np.array([_kind(t) for t in tokens], object)
+        self.plain = np.array([None if k in ("object", "array", "null") else _plain(t) for t, k in zip(tokens, self.kinds, strict=True)], object)
+        of_class = {t: 1 + (t in "[{") + 2 * (t in "]}") for t in "[]{}:,"}
+        token = np.array([of_class.get(t, 0) for t in tokens], np.int8)[code] if len(code) else np.zeros(0, np.int8)
+        colon = np.array([t == ":" for t in tokens], bool)[code] if len(code) else np.zeros(0, bool)
+        key = np.r_[colon[1:] & (of[1:] == of[:-1]), False][: len(code)] & (token == 0)
+        opens, closes = token == 2, token == 3
+        after = np.cumsum(opens.astype(np.int64) - closes)
+        start = np.searchsorted(of, np.arange(len(texts)))
+        before_text = np.r_[0, after][start]
+        after = np.maximum(after - before_text[of], 0) if len(code) else after
+        depth = after - opens
+        at = np.flatnonzero((token == 0) & ~key | opens)
+        # places of one depth of one text stand together
+        wide, long = int(after.max(initial=0)) + 2, len(code) + 1
+        spot = lambda rows, level: (of[rows] * wide + level) * long + rows
+        self.of, self.code, self.container = of[at], code[at], opens[at]
+        inner = np.flatnonzero(self.container)
+        sites = spot(at[inner], depth[at[inner]])
+        order = np.argsort(sites, kind="stable")
+        sites, inner = sites[order], inner[order]
+        above = np.searchsorted(sites, spot(at, depth[at] - 1)) - 1
+        self.parent = np.where((depth[at] > 0) & (above >= 0), inner[above] if len(inner) else -1, -1)
+        shut = np.flatnonzero(closes)
+        ends = np.sort(spot(shut, after[shut]))
+        until = np.searchsorted(ends, spot(at, depth[at]))
+        ending = np.where(self.container & (until < len(ends)), ends[np.minimum(until, len(ends) - 1)] % long if len(ends) else 0, at)
+        self.end = np.maximum(np.searchsorted(at, ending, "right") - 1, np.arange(len(at)))
+        self.children = np.argsort(self.parent, kind="stable")
+        self.first = np.searchsorted(self.parent[self.children], np.arange(len(at) + 1))
+        of_object = np.where(self.parent >= 0, self.kinds[self.code[self.parent]] == "object", False) if len(at) else np.zeros(0, bool)
+        self.key = np.where(of_object, code[np.maximum(at - 2, 0)] if len(at) else 0, -1)
+        place = np.empty(len(at), np.int64)
+        place[self.children] = np.arange(len(at)) - self.first[self.parent[self.children]]
+        self.index = np.where((self.parent >= 0) & ~of_object, place, -1)
+        self.roots = np.flatnonzero(self.parent < 0)
+
+    def _below(self, at: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each node its run of so many places from ``first``: the places, and which of ``at`` they are of."""
+        return np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count), np.repeat(np.arange(len(at)), count)
+
+    def follow(self, at: np.ndarray, steps: tuple[Step, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes to which steps lead from each of ``at``, in order of selection, and which of ``at`` each comes from."""
+        origin = np.arange(len(at))
+        for step in steps:
+            if step.axis == "filter":
+                keep = np.zeros(len(at), bool)
+                for clause in step.of:
+                    keep |= np.logical_and.reduce([self._holds(at, c) for c in clause])
+                at, origin = at[keep], origin[keep]
+                continue
+            if step.axis == "descend":
+                nodes, of = self._below(at, at, self.end[at] - at + 1)
+            else:
+                places, of = self._below(at, self.first[at], self.first[at + 1] - self.first[at])
+                nodes = self.children[places]
+                if step.axis == "member":
+                    led = [self._is(nodes, m) for m in step.of]
+                    listed = np.repeat(np.arange(len(led)), [len(x) for x in led])
+                    every = np.concatenate(led)
+                    every = every[np.lexsort((every, listed, of[every]))] if len(led) > 1 else every
+                else:
+                    every = np.flatnonzero((self.key if step.axis == "keys" else self.index)[nodes] >= 0)
+                nodes, of = nodes[every], of[every]
+            at, origin = nodes, origin[of]
+        return at, origin
+
+    def _is(self, nodes: np.ndarray, member: str | int) -> np.ndarray:
+        if isinstance(member, int):
+            return np.flatnonzero(self.index[nodes] == member)
+        keys = np.unique(self.key[nodes])
+        return np.flatnonzero(np.isin(self.key[nodes], [k for k in keys if k >= 0 and self.plain[k] == member]))
+
+    def _holds(self, at: np.ndarray, c: Comparison) -> np.ndarray:
+        """Of which nodes a comparison holds."""
+        nodes, of = self.follow(at, c.path)
+        equal = self.kinds == c.kind
+        if c.value is not None:
+            equal &= self.plain == c.value
+        met = np.zeros(len(at), bool)
+        met[of[equal[self.code[nodes]]]] = True
+        return met if c.equal else ~met
+
+
+def found(trees: DataFrame, tree: str, text: str, selectors: dict[str, str]) -> DataFrame:
+    """(selector, tree, n, found): for each named selector and JSON text in which it selects nodes, how many, and the values of
+    scalars among them, but nulls, in order of selection and comma-joined. Texts are read where they are, and only this leaves
+    their tasks."""
+    parsed = {name: parse(selector) for name, selector in selectors.items()}
+    t = trees.select(F.col(tree).alias("tree"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            piece = np.cumsum([len(x) + 1 for x in texts]) // TEXT
+            for rows in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(piece)) + 1):
+                if not len(rows):
+                    continue
+                forest = _Forest(texts[rows[0] : rows[-1] + 1])
+                for name, steps in parsed.items():
+                    nodes, origin = forest.follow(forest.roots, steps)
+                    of = forest.of[forest.roots][origin]
+                    n = np.bincount(of, minlength=len(rows))
+                    some = np.flatnonzero(n)
+                    values = forest.plain[forest.code[nodes]]
+                    known = np.array([v is not None for v in values], bool)
+                    ends = np.cumsum(np.bincount(of[known], minlength=len(rows))[some])
+                    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(values[known], pa.string())), ",")
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), batch.column(0).take(pa.array(some + rows[0])), pa.array(n[some], pa.int64()), joined], ["selector", "tree", "n", "found"])
+
+    return t.mapInArrow(run, f"selector string, tree {t.schema['tree'].dataType.simpleString()}, n long, found string")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwright.operators import trees as T
-from sparkwright.sources.scratch import materialize, read_table
+from sparkwright.sources.scratch import read_table
 
 SELECTORS = {
     "parts": "$.lines[*].part",
@@ -31,14 +29,8 @@ def order_trees(spark: SparkSession, folder: str) -> DataFrame:
 
 def tree_select(spark: SparkSession, folder: str) -> DataFrame:
     """Per selector and order: how many nodes it selects, and their values in order."""
-    table = materialize(T.nodes(order_trees(spark, folder), "o_orderkey", "body"))
-
-    def found(name: str, selector: str) -> DataFrame:
-        values = F.array_sort(F.collect_list(F.struct("position", "value")))
-        some = T.select(table, selector).groupBy("tree").agg(F.count("*").alias("n"), F.array_join(F.transform(values, lambda v: v["value"]), ",").alias("found"))
-        return some.select(F.lit(name).alias("selector"), F.col("tree").alias("o_orderkey"), "n", "found")
-
-    return functools.reduce(DataFrame.union, (found(*s) for s in SELECTORS.items()))
+    found = T.found(order_trees(spark, folder), "o_orderkey", "body", SELECTORS)
+    return found.withColumnRenamed("tree", "o_orderkey")
 
 
 QUERIES = {"tree_select": tree_select}

@@ -87,3 +87,40 @@ def test_nodes_stay_where_their_text_is_and_selectors_join_nothing(spark):
 def test_what_is_no_selector(text):
     with pytest.raises(ValueError):
         parse(text)
+
+
+def test_found_in_whole_texts_equals_a_walker(spark, monkeypatch):
+    """Many texts at once, in small pieces, among texts that are no JSON."""
+    rnd = random.Random(8)
+
+    def value(depth):
+        kind = rnd.random()
+        if depth and kind < 0.4:
+            return {k: value(depth - 1) for k in rnd.sample(["a", "b", "k y", "c\"[{"], rnd.randint(0, 3))}
+        if depth and kind < 0.65:
+            return [value(depth - 1) for _ in range(rnd.randint(0, 3))]
+        return rnd.choice([1, 2, -1.5, True, False, None, "x", "it's (so)", 'q"\\{[,:', "", "é"])
+
+    documents = [value(4) for _ in range(200)] + [{"a": {"a": {"b": 1, "a": 2}}, "b": [1, [2], {"a": 2}]}, [[{"a": {"b": None}}]], [], {}, "x", 7]
+    rows = [(i, json.dumps(d, indent=rnd.choice([None, 1]), ensure_ascii=rnd.random() < 0.5)) for i, d in enumerate(documents)]
+    rows = [x for i, row in enumerate(rows) for x in (row, (1000 + i, rnd.choice(["", None, "{[", "]}}", ": 1", '{"a": [1}', "1 2"])))]
+    monkeypatch.setattr(trees, "TEXT", 300)
+    found = trees.found(spark.createDataFrame(rows, "id long, body string").repartition(2), "id", "body", {s: s for s in SELECTORS})
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    got = {(r.selector, r.tree): (r.n, r.found) for r in found.collect() if r.tree < 1000}
+    plain = lambda v: None if v is None or isinstance(v, (list, dict)) else v if isinstance(v, str) else json.dumps(v)
+    want = {}
+    for s in SELECTORS:
+        for i, d in enumerate(documents):
+            if met := follow([d], parse(s)):
+                want[s, i] = len(met), ",".join(x for v in met if (x := plain(v)) is not None)
+    assert got == want
+
+
+def test_tree_select_writes_no_nodes(spark, tmp_path):
+    """Orders are shuffled to become texts, and nothing after it."""
+    from sparkwright.plans.trees import tree_select
+
+    plan = tree_select(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("MapInArrow")
+    assert len(above) == 2 and "Exchange" not in above[0] and "lineitem" in above[1]
