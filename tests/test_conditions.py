@@ -3,6 +3,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from sparkwright.operators import conditions
 from sparkwright.operators.conditions import ATOMS, Atom, condition
 
@@ -139,3 +141,30 @@ def test_equal_boxes_are_compared_once(spark, monkeypatch):
     assert len(got) == 780 and all(r.overlap for r in got)
     assert all(r.a_in_b == (r.a % 2 >= r.b % 2) and r.b_in_a == (r.b % 2 >= r.a % 2) for r in got)
     assert all(of <= 36 < many for many, of in asked) and len(asked) == 2
+
+
+def test_elements_by_codes_hold_the_same(spark):
+    """Called functions come as sets of codes, of which there are few; what holds is what holds of the elements themselves."""
+    atoms = spark.createDataFrame([
+        (1, 0, 0, "", "kind", "=", None, ["a"]), (1, 0, 1, "calls", "size", "<=", [2], None), (1, 0, 2, "calls", "size", ">", [2], None),
+        (2, 0, 1, "calls", "size", "=", [5], None), (3, 0, 0, "", "kind", "=", None, ["a"]), (3, 0, 1, "reads", "size", ">", [0], None),
+    ], conditions.ATOMS)
+    fields = lambda kind, size, more: {"kind": (None, kind), "size": (size, None), "more": (more, None)}
+    calls = [(1, 1), (1, 3), (1, 3), (2, 1), (2, 2), (3, 5), (4, 1), (4, 5)]
+    rows = [(i, "", i, fields("ab"[i == 4], 0, 0)) for i in range(1, 6)] + [(s, "calls", 10 + k, fields("c", n, k)) for k, (s, n) in enumerate(calls)]
+    facts = spark.createDataFrame(rows, FACTS)
+    assert conditions.asked_fields(atoms, "calls") == ["size"]
+    elements, values = conditions.coded(facts.where("relation = 'calls'"), ["size"])
+    assert values.count() == 4
+    sets = elements.groupBy("subject", "relation").agg(F.collect_set("code").alias("codes"))
+    got = sorted(tuple(r) for r in conditions.holding(atoms, facts.where("relation = ''"), conditions.Elements(sets, values)).collect())
+    assert got == sorted(tuple(r) for r in conditions.holding(atoms, facts).collect()) == [(1, 1), (2, 3), (2, 4)]
+
+
+def test_condition_holds_keeps_ids_and_fields_out_of_uses(spark):
+    """Uses meet functions by number, and carry a code in place of what the called one has."""
+    from sparkwright.plans.conditions import function_values
+
+    subjects, elements = function_values(spark, "/root/testdata/sf0.001", ["kind", "params"])
+    assert dict(elements.sets.dtypes) == {"subject": "bigint", "relation": "string", "codes": "array<bigint>"}
+    assert 1 < elements.values.count() <= 2 * 9 < subjects.count()
